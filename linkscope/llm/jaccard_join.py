@@ -7,8 +7,9 @@ metric, and two documents link at a distance of at most 1/5.
 1. Equal sets collapse to one representative, whatever their number.
 2. Every shingle is a pivot of the first level.  Under one total order of shingles (rare in a
    bounded sample first, then by hash; any order gives the same links) two sets within the
-   radius share a shingle among their first n - ceil(4n/5) + 1.  A document is replicated to the regions of just those
-   pivots: this is the window that keeps boundary documents on both sides.
+   radius share l shingles among their first n - ceil(4n/5) + l.  A document is replicated to the regions of just those
+   pivots: this is the window that keeps boundary documents on both sides.  l is a small part of n
+   (SHARED), so a document that has fewer than l of these in common with others is linked with none.
 3. The document of smallest key in a region is its pivot of the second level, and regions with
    the same pivot are one Voronoi cell around it.  In a cell every distance to the pivot is
    computed; by the triangle inequality only members whose distances to the pivot differ by at
@@ -41,6 +42,8 @@ from linkscope.llm.text_kernel import SPACE_WORDS, blocks, mix, shingle_sets, wo
 
 #: Words of a shingle, and the similarity of a link in hundredths.
 SHINGLE, PERCENT = 5, 80
+#: Shingles that linked sets must share in their prefixes, for each hundred of the smaller one.
+SHARED = 3
 #: Expected documents of the sample that orders shingles, and the count there from which one is common.
 SAMPLE, COMMON = 8192, 3
 #: Most members of a cell that one task joins by itself, and the size of a block of a larger one.
@@ -67,8 +70,12 @@ def set_key(x: np.ndarray) -> str | None:
     return f"{int(mix(x).sum(dtype=np.uint64)):016x}{int(mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)):016x}"
 
 
+def shared(n: int) -> int:
+    return max(1, -(-n * SHARED // 100))
+
+
 def prefix_length(n: int, percent: int) -> int:
-    return n - -(-n * percent // 100) + 1
+    return min(n, n - -(-n * percent // 100) + shared(n))
 
 
 def summarise(common: tuple[np.ndarray, np.ndarray], n: int, percent: int, texts: pa.Array) -> list:
@@ -181,15 +188,19 @@ def links(docs: DataFrame, summary: DataFrame, id: str, text: str, n: int, perce
     summary has the id, n_shingles, key and prefix of every row of docs.
     """
     rep = cut(summary.where("key is not null").groupBy("key").agg(F.min(id).alias("rep")).where("rep is not null"))
-    # of two linked sets the smaller shares one of its first n - ceil(2pn/(100+p)) + 1
-    short = F.expr(f"n_shingles - cast(ceil({2 * percent} * n_shingles / {100 + percent}.0) as bigint) + 1")
+    # of two linked sets the smaller shares as many of its first n - ceil(2pn/(100+p)) + l
+    few = lambda n: f"greatest(1, cast(ceil({SHARED} * ({n}) / 100.0) as bigint))"
+    short = F.expr(f"n_shingles - cast(ceil({2 * percent} * n_shingles / {100 + percent}.0) as bigint) + {few('n_shingles')}")
     first = rep.join(summary.select(F.col(id).alias("rep"), "key", "n_shingles", "prefix"), ["rep", "key"])
     spread = first.select("rep", F.col("n_shingles").cast("int").alias("n"), short.alias("short"), F.posexplode("prefix").alias("at", "shingle")).select("shingle", "rep", "n", (F.col("at") < F.col("short")).alias("index"))
     # one exchange serves the regions' sums and the rows that join them
     spread = spread.repartition("shingle")
     region = spread.groupBy("shingle").agg(F.min("rep").alias("pivot"), F.count("*").alias("m"), F.min(F.when(F.col("index"), F.col("n"))).alias("ilo"), F.max(F.when(F.col("index"), F.col("n"))).alias("ihi")).where("m > 1 and ilo is not null")
     fits = F.col("index") | ((F.col("ilo") <= F.col("n")) & (100 * F.col("ihi") >= percent * F.col("n")))
-    cells = cut(spread.join(region.hint("merge"), "shingle").where(fits).select("pivot", "rep").distinct())
+    found = cut(spread.join(region.hint("merge"), "shingle").where(fits).groupBy("pivot", "rep", "n").count())
+    least = F.expr(few(f"ceil({percent} * n / 100.0)"))
+    enough = found.groupBy("rep", "n").agg(F.sum("count").alias("count")).where(F.col("count") >= least).select("rep")
+    cells = cut(found.select("pivot", "rep").join(enough, "rep"))
     # a cell of one member besides no other has nothing to join
     sized = cells.groupBy("pivot").agg(F.count("*").alias("m")).where("m > 1")
     member = cells.join(sized, "pivot")
