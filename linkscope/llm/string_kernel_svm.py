@@ -224,8 +224,16 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     chosen = list(dict.fromkeys(i for o, n in zip(order, (LANDMARKS // 2, LANDMARKS // 4, LANDMARKS // 4), strict=True) for i in o[usable[o]][:n].tolist()))
     if not chosen:
         return constant(0.0)
-    marks = dense([words[i] for i in chosen])
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    # of all triples only those that landmarks have count: they get a row each, the others share one of zeros
+    named = [words[i] for i in chosen]
+    codes = np.unique(np.concatenate([triples(m)[0].ravel() for _, m in by_length(named)]))
+    row = np.full(ALPHABET**3, len(codes), dtype=np.int32)
+    row[codes] = np.arange(len(codes))
+    marks = np.zeros((len(named), len(codes) + 1))
+    for at, matrix in by_length(named):
+        code, weight = triples(matrix)
+        np.add.at(marks, (at[:, None], row[code]), weight)
+    values, vectors = np.linalg.eigh(marks @ marks.T)
     good = values > 1e-6 * values.max()
     fold = (marks.T @ (vectors[:, good] / np.sqrt(values[good]))).astype(np.float32)  # triples to Nyström coordinates
     toxic = [o for o, v in zip(of_text, y, strict=True) if v and len(o)]
@@ -253,14 +261,16 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         for at, matrix in by_length([words[i] for i in new]):
             code, weight = triples(matrix)
             for i in range(0, len(at), 128):
-                np.add.at(more, at[i : i + 128], np.einsum("nt,ntd->nd", weight[i : i + 128].astype(np.float32), fold[code[i : i + 128]], optimize=True))
+                np.add.at(more, at[i : i + 128], np.einsum("nt,ntd->nd", weight[i : i + 128].astype(np.float32), fold[row[code[i : i + 128]]], optimize=True))
         z = np.concatenate([z, more])
         against = np.array(sorted(pool), dtype=np.int64)
         rows = [*worst, *strong.tolist(), *of_varied.tolist(), *against.tolist()]
         side = np.r_[np.ones(len(rows) - len(against)), -np.ones(len(against))]
         cost = np.r_[np.full(len(worst), COST), COST * np.sqrt(count[1, strong]), np.full(len(varied), COST / 5), 1 + count[0, against]]
         w = squared_hinge(z[[place[i] for i in rows]].astype(np.float64), side, cost, w)
-        model = Model((fold @ w[:-1]).astype(np.float32), float(w[-1]), np.array([1.0, 0.0, 0.0]))
+        folded = np.zeros(ALPHABET**3, dtype=np.float32)
+        folded[codes] = (fold @ w[:-1])[:-1]
+        model = Model(folded, float(w[-1]), np.array([1.0, 0.0, 0.0]))
         value = np.concatenate([model.margins(words[i : i + 8192]) for i in range(0, len(words), 8192)])
     full = [i for i, o in enumerate(of_text) if len(o)]
     model.logistic = logistic(np.array([top_two(value[of_text[i]].tolist()) for i in full]), y[full])
