@@ -38,7 +38,8 @@ def expand(contents: DataFrame) -> DataFrame:
     def run(frames):
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                yield pd.DataFrame(list(entries(bytes(content), path)), columns=[c.split()[0] for c in ENTRIES.split(", ")])
+                if rows := list(entries(bytes(content), path)):
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRIES.split(", ")])
 
     return contents.select("path", "content").mapInPandas(run, ENTRIES)
 
