@@ -38,7 +38,7 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def annotate(df: DataFrame, text: str, fn: Callable[[pa.Array], list], fields: list[T.StructField], into: str) -> DataFrame:
+def annotate(df: DataFrame, text: str, fn: Callable[[pa.Array], list], fields: list[T.StructField], into: str, after: Callable[[], None] | None = None) -> DataFrame:
     """df with one more struct column, computed by fn from whole batches of the text column.
 
     fn gets the batch's texts as an Arrow array and returns, for each field, an Arrow array
@@ -53,6 +53,9 @@ def annotate(df: DataFrame, text: str, fn: Callable[[pa.Array], list], fields: l
             if batch.num_rows:
                 made = pa.StructArray.from_arrays(fn(batch.column(position)), names=names)
                 yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, into])
+        if after is not None:
+            after()
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -43,7 +43,7 @@ THRESHOLD = 0.3
 HARD, ROUNDS, COST, VARIED = 1500, 5, 10.0, 40
 #: Margins below this count as this in the logistic.
 LOWEST = 0.0
-KEPT, BATCH_CHARS = 800_000, 1 << 21
+KEPT, BATCH_CHARS = 200_000, 1 << 20
 #: Letters: 26 plain, ACCENTED with their accents, and a word's two borders; 0 is a gap.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüßœæ"
 ALPHABET = 27 + len(ACCENTED) + 2
@@ -294,6 +294,10 @@ def hash_of(word: str) -> int:
 _known: dict[int, dict[str, float]] = {}
 
 
+def forget() -> None:
+    _known.clear()
+
+
 def score_batch(block: Broadcast, texts: pa.Array) -> list:
     token, model = block.value
     if token not in _known:
@@ -339,7 +343,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "toxicity") -> DataFrame:
     """docs with a struct column: score (0 to 1) and margin (null without a unit)."""
     block = docs.sparkSession.sparkContext.broadcast((hash(model.weight.tobytes()), model))
-    return annotate(docs, text, lambda texts: score_batch(block, texts), FIELDS, into)
+    return annotate(docs, text, lambda texts: score_batch(block, texts), FIELDS, into, forget)
 
 
 def held_out(id: str, parts: int, part: int):

@@ -180,6 +180,11 @@ def merger_of(path: str) -> tuple[Merger, dict[str, int]]:
     return _mergers[path]
 
 
+def forget() -> None:
+    for _, known in _mergers.values():
+        known.clear()
+
+
 def count_texts(path: str, texts: Iterable[str]) -> list[int]:
     merger, known = merger_of(path)
     lists = [merger.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
@@ -210,7 +215,7 @@ def count_batch(path: str, texts: pa.Array) -> list:
 
 def count(docs: DataFrame, path: str, text: str = "text", into: str = "tokens") -> DataFrame:
     """docs with a struct column of n_bytes and n_tokens; path: a piece model file that every executor has."""
-    return annotate(docs, text, lambda texts: count_batch(path, texts), FIELDS, into)
+    return annotate(docs, text, lambda texts: count_batch(path, texts), FIELDS, into, forget)
 
 
 def query(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
