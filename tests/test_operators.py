@@ -96,7 +96,7 @@ def small_elf(needed, symbols, rodata):
     names += b".shstrtab\0"
     body += names
     head = b"\x7fELF" + bytes([2, 1, 1]) + bytes(9) + struct.pack("<HHIQQQIHHHHHH", 3, 183, 1, 0, 0, 64 + len(body), 0, 64, 0, 0, 64, len(rows), len(rows) - 1)
-    return head + body + b"".join(struct.pack("<IIQQQQ", *r) + bytes(16) for r in rows)
+    return head + body + b"".join(struct.pack("<IIQQQQ", *r) + bytes(24) for r in rows)
 
 
 def test_elf_and_packages(spark, tmp_path):
