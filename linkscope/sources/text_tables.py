@@ -21,16 +21,6 @@ def symbol_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(name.alias("symbol")).where((F.col("symbol") != "") & ~F.col("symbol").startswith("#")).distinct()
 
 
-def macros(headers: DataFrame) -> DataFrame:
-    """Function-like macros and inline functions of header texts (file, text): name and kind."""
-    kinds = {"explicit": r"(?m)^[ \t]*#[ \t]*define[ \t]+([A-Za-z_]\w*)\(", "alias": r"(?m)^[ \t]*#[ \t]*define[ \t]+([A-Za-z_]\w*)[ \t]+[A-Za-z_]\w*[ \t]*$", "inline": r"static\s+(?:ossl_)?inline\s+[\w\s*]*?\b([A-Za-z_]\w*)\s*\("}
-    out = None
-    for kind, pattern in kinds.items():
-        one = headers.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("name"), F.lit(kind).alias("kind"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("name").agg(F.min("kind").alias("kind"))
-
-
 def manifest_projects(texts: DataFrame) -> DataFrame:
     """Projects of manifest files (text): path, name, remote, or the file's default remote."""
     attribute = lambda tag, name: F.regexp_extract(tag, rf'\b{name}="([^"]*)"', 1)
