@@ -13,15 +13,16 @@ from linkscope.operators.lineage import cut
 
 def paths_to(edges: DataFrame, targets: DataFrame, depth: int = 5) -> DataFrame:
     """Simple paths (src, path, depth) from every node that end at their first target, of at most so many hops."""
-    goal = targets.select(F.col("node").alias("dst"), F.lit(True).alias("is_target")).distinct()
-    hop = edges.distinct().join(goal, "dst", "left").select("src", "dst", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    starts = hop.join(targets.select(F.col("node").alias("src")), "src", "left_anti")
-    front = starts.select("src", F.array("src", "dst").alias("path"), F.col("dst").alias("at"), "is_target", F.lit(1).cast("long").alias("depth"))
-    out = front.where("is_target")
-    step = hop.select(F.col("src").alias("at"), F.col("dst").alias("next"), F.col("is_target").alias("hit"))
+    # from the targets backwards, so each row of a level is a path that counts; levels are written to the checkpoint folder
+    goal = targets.select("node").distinct()
+    hop = cut(edges.select("src", "dst").distinct().join(goal.withColumnRenamed("node", "src"), "src", "left_anti"))
+    back = hop.select(F.col("src").alias("before"), F.col("dst").alias("src"))
+    front = out = cut(hop.join(goal.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", F.array("src", "dst").alias("path"), F.lit(1).cast("long").alias("depth")))
     for _ in range(depth - 1):
-        front = front.where("not is_target").join(step, "at").where(~F.array_contains("path", F.col("next"))).select("src", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at"), F.col("hit").alias("is_target"), (F.col("depth") + 1).alias("depth"))
-        out = out.unionByName(front.where("is_target"))
+        front = cut(front.join(back, "src").where(~F.array_contains("path", F.col("before"))).select(F.col("before").alias("src"), F.concat(F.array("before"), "path").alias("path"), (F.col("depth") + 1).alias("depth")))
+        if front.isEmpty():
+            break
+        out = out.unionByName(front)
     return out.select("src", "path", "depth")
 
 

@@ -74,3 +74,28 @@ def file_symbols(spark, sf_dir):
 
 
 FILE_SYMBOLS = "fs AS (SELECT DISTINCT l_suppkey % 40 AS src, l_partkey % 97 AS symbol FROM lineitem)"
+
+
+# Graph views of all rows: orders are files, each part is the file of 40 times its key, so few files are both and the number of paths stays in proportion to the rows
+
+
+def all_edges(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as src", "l_partkey * 40 as dst").distinct()
+
+
+def all_targets(spark, sf_dir):
+    return table(spark, sf_dir, "part").where("p_partkey % 50 = 0").selectExpr("p_partkey * 40 as node")
+
+
+def all_file_symbols(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as src", "l_partkey as symbol").distinct()
+
+
+#: Hops that the reference follows.
+HOPS = 10
+ALL_EDGES = "edges AS (SELECT DISTINCT l_orderkey AS src, l_partkey * 40 AS dst FROM lineitem), targets AS (SELECT p_partkey * 40 AS node FROM part WHERE p_partkey % 50 = 0)"
+ALL_PATHS = f"""{ALL_EDGES}, walk AS (
+  SELECT src, [src, dst] AS path, dst AS tip, dst IN (FROM targets) AS hit, 1 AS depth FROM edges WHERE src NOT IN (FROM targets) AND src <> dst
+  UNION ALL SELECT w.src, list_append(w.path, e.dst), e.dst, e.dst IN (FROM targets), w.depth + 1 FROM walk w JOIN edges e ON e.src = w.tip WHERE NOT w.hit AND w.depth < {HOPS} AND NOT list_contains(w.path, e.dst)),
+paths AS (SELECT src, path, depth::BIGINT AS depth FROM walk WHERE hit)"""
+ALL_FILE_SYMBOLS = "fs AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS symbol FROM lineitem)"

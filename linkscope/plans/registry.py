@@ -110,6 +110,31 @@ query("project_boundaries", r"""WITH m AS (SELECT string_split(regexp_replace(ur
 k AS (SELECT *, coalesce(list_min(list_filter(range(1, len(a) + 1), lambda i: a[i] IS DISTINCT FROM b[i])), len(a) + 1) AS k FROM e)
 SELECT top, array_to_string(a[1 : k - 1], '/') AS project FROM k""")(lambda s, d: graph.boundaries(a.table(s, d, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"))))
 
+# The same over all rows, at the reference's depth
+
+_chain = lambda: F.array_join(F.transform("path", lambda x: x.cast("string")), " -> ").alias("chain")
+
+
+def _all_paths(s, d):
+    return graph.paths_to(a.all_edges(s, d), a.all_targets(s, d), a.HOPS)
+
+
+query("graph_paths_all_rows", f"WITH RECURSIVE {a.ALL_PATHS} SELECT src, array_to_string(path, ' -> ') AS chain, depth FROM paths")(lambda s, d: _all_paths(s, d).select("src", _chain(), "depth"))
+query("graph_first_paths_all_rows", f"WITH RECURSIVE {a.ALL_PATHS} SELECT src, array_to_string(path, ' -> ') AS chain, depth, row_number() OVER (PARTITION BY src ORDER BY depth, path) AS rank FROM paths QUALIFY rank <= 50")(
+    lambda s, d: graph.first_paths(_all_paths(s, d)).select("src", _chain(), "depth", "rank"))
+query("graph_reachable_all_rows", f"""WITH RECURSIVE {a.ALL_EDGES}, r AS (SELECT node, 0 AS depth FROM targets UNION SELECT e.src, r.depth + 1 FROM r JOIN edges e ON e.dst = r.node WHERE r.depth < {a.HOPS})
+SELECT node, min(depth)::BIGINT AS depth FROM r GROUP BY 1""")(lambda s, d: graph.reachable(a.all_edges(s, d), a.all_targets(s, d), a.HOPS))
+query("graph_chains_all_rows", f"WITH RECURSIVE {a.ALL_PATHS}, {a.ALL_FILE_SYMBOLS} SELECT src, symbol, array_to_string(path, ' -> ') AS chain, depth FROM paths JOIN fs USING (src)")(
+    lambda s, d: graph.chains(_all_paths(s, d), a.all_file_symbols(s, d)))
+query("graph_by_depth_all_rows", f"WITH RECURSIVE {a.ALL_PATHS}, {a.ALL_FILE_SYMBOLS}, l AS (SELECT src, min(depth) AS depth FROM paths GROUP BY 1) SELECT depth, count(DISTINCT symbol) AS n_symbols, count(DISTINCT src) AS n_files FROM l JOIN fs USING (src) GROUP BY 1")(
+    lambda s, d: graph.by_depth(_all_paths(s, d), a.all_file_symbols(s, d)))
+query("graph_stats_all_rows", f"WITH {a.ALL_EDGES} SELECT (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges")(lambda s, d: graph.stats(a.all_edges(s, d)))
+query("graph_fans_all_rows", f"WITH {a.ALL_EDGES}, b AS (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) SELECT node, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM b GROUP BY 1")(lambda s, d: graph.fans(a.all_edges(s, d)))
+query("graph_chain_edges_all_rows", f"WITH RECURSIVE {a.ALL_PATHS}, i AS (SELECT path, unnest(range(1, len(path))) AS k FROM paths) SELECT DISTINCT path[k] AS src, path[k + 1] AS dst FROM i")(
+    lambda s, d: graph.chain_edges(_all_paths(s, d)))
+query("graph_induced_all_rows", f"WITH {a.ALL_EDGES}, n AS (SELECT DISTINCT src AS node FROM edges) SELECT src, dst FROM edges WHERE src IN (FROM n) AND dst IN (FROM n)")(
+    lambda s, d: graph.induced(e := a.all_edges(s, d), e.select(F.col("src").alias("node"))))
+
 # Detection and classification
 
 query("string_clusters", """WITH l AS (SELECT l_suppkey AS file, l_orderkey AS "offset", l_orderkey - lag(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) > 256 AS new FROM lineitem WHERE l_linenumber = 1),
@@ -121,6 +146,15 @@ h AS (SELECT DISTINCT l_suppkey AS file, l_partkey AS string FROM lineitem WHERE
 r AS (SELECT file, sum(points) AS raw, sum(k)::BIGINT AS matched FROM e GROUP BY 1)
 SELECT file, matched, round_even((raw / 106 * 100)::DOUBLE, 1) AS score, CASE WHEN raw >= 60 THEN 'high' WHEN raw >= 35 THEN 'medium' WHEN raw >= 15 THEN 'low' ELSE 'none' END AS confidence FROM r""")(
     lambda s, d: classify.fingerprint_scores(a.table(s, d, "lineitem").where("l_orderkey % 3 = 0").selectExpr("l_suppkey as file", "l_partkey as string"), a.table(s, d, "part").where("p_partkey % 5 = 0").selectExpr("p_partkey as string", "p_partkey % 6 as category", "0.75D as per_point", "cast(3 + p_partkey % 6 as double) as max_points")))
+query("string_clusters_all_rows", """WITH l AS (SELECT l_suppkey AS file, l_orderkey AS "offset", l_orderkey - lag(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) > 256 AS new FROM lineitem),
+i AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY "offset") AS island FROM l)
+SELECT file, min("offset") AS start, max("offset") AS "end", count(*) AS n FROM i GROUP BY file, island HAVING count(*) >= 3""")(
+    lambda s, d: classify.clusters(a.table(s, d, "lineitem").selectExpr("l_suppkey as file", "l_orderkey as offset")))
+query("fingerprint_scores_all_rows", """WITH m AS (SELECT p_partkey AS string, p_partkey % 6 AS category, 0.75 AS per_point, 3.0 + p_partkey % 6 AS max_points FROM part),
+h AS (SELECT DISTINCT l_suppkey AS file, l_partkey AS string FROM lineitem), e AS (SELECT file, category, least(count(*) * max(per_point), max(max_points)) AS points, count(*) AS k FROM h JOIN m USING (string) GROUP BY 1, 2),
+r AS (SELECT file, sum(points) AS raw, sum(k)::BIGINT AS matched FROM e GROUP BY 1)
+SELECT file, matched, round_even((raw / 106 * 100)::DOUBLE, 1) AS score, CASE WHEN raw >= 60 THEN 'high' WHEN raw >= 35 THEN 'medium' WHEN raw >= 15 THEN 'low' ELSE 'none' END AS confidence FROM r""")(
+    lambda s, d: classify.fingerprint_scores(a.table(s, d, "lineitem").selectExpr("l_suppkey as file", "l_partkey as string"), a.table(s, d, "part").selectExpr("p_partkey as string", "p_partkey % 6 as category", "0.75D as per_point", "cast(3 + p_partkey % 6 as double) as max_points")))
 _NAMES = "names AS (SELECT l_suppkey AS file, l_partkey AS name, CASE l_linenumber % 3 WHEN 0 THEN 'und' WHEN 1 THEN 'def' ELSE 'rodata' END AS place FROM lineitem), pats AS (SELECT p_brand AS \"group\", p_partkey AS pattern FROM part WHERE p_size < 10), hits AS (SELECT file, \"group\", pattern, arg_min(place, CASE place WHEN 'und' THEN 0 WHEN 'def' THEN 1 ELSE 2 END) AS place FROM names JOIN pats ON name = pattern GROUP BY 1, 2, 3)"
 
 

@@ -114,6 +114,10 @@ query("ranked_groups", f"""WITH RECURSIVE {a.EDGES}, r AS (SELECT DISTINCT src A
 b AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY 1, 2), k AS (SELECT l_suppkey % 40 AS node, count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1)
 SELECT root, sum(CASE WHEN depth = 0 THEN coalesce(n, 0) ELSE 0 END)::BIGINT AS own_symbols, count(*) FILTER (depth = 1) AS n_libraries, count(*) FILTER (depth > 1 AND n > 0) AS n_deep, sum(coalesce(n, 0))::BIGINT AS group_total FROM b LEFT JOIN k USING (node) GROUP BY 1""")(
     lambda s, d: summary.ranked_groups(e := a.edges(s, d), e.where("src % 5 = 0").selectExpr("src as node"), a.table(s, d, "lineitem").where("l_suppkey % 2 = 0").selectExpr("l_suppkey % 40 as node", "l_partkey").groupBy("node").agg(F.countDistinct("l_partkey").alias("n_symbols"))))
+query("ranked_groups_all_rows", f"""WITH RECURSIVE {a.ALL_EDGES}, r AS (SELECT DISTINCT src AS root, src AS node, 0 AS depth FROM edges UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.depth < 20),
+b AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY 1, 2), k AS (SELECT l_orderkey AS node, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1)
+SELECT root, sum(CASE WHEN depth = 0 THEN coalesce(n, 0) ELSE 0 END)::BIGINT AS own_symbols, count(*) FILTER (depth = 1) AS n_libraries, count(*) FILTER (depth > 1 AND n > 0) AS n_deep, sum(coalesce(n, 0))::BIGINT AS group_total FROM b LEFT JOIN k USING (node) GROUP BY 1""")(
+    lambda s, d: summary.ranked_groups(e := a.all_edges(s, d), e.selectExpr("src as node"), a.table(s, d, "lineitem").selectExpr("l_orderkey as node", "l_partkey").groupBy("node").agg(F.countDistinct("l_partkey").alias("n_symbols"))))
 query("merged_graph", "SELECT 'a' || l_suppkey % 40 AS src, 'b' || l_partkey % 40 AS dst, count(DISTINCT l_orderkey) AS n_processes FROM lineitem GROUP BY 1, 2")(
     lambda s, d: summary.merged_graph(a.table(s, d, "lineitem").selectExpr("l_orderkey as process", "concat('/x/', l_linenumber, '/a', l_suppkey % 40) as src", "concat('/y/b', l_partkey % 40) as dst")))
 query("node_tiers", f"""SELECT p_partkey, CASE WHEN p_size < 5 THEN 'application' WHEN p_size < 9 THEN 'crypto' WHEN p_size % 7 > 0 THEN 'middleware' WHEN p_partkey % 8 < 6 THEN 'system' ELSE 'normal' END AS tier FROM part""")(
