@@ -204,6 +204,10 @@ query("path_functions", r"""SELECT page_id, regexp_extract(url, '[^/]*$') AS bas
   CASE WHEN starts_with(url, 'https:/') THEN substr(url, 9) ELSE url END AS below, trim(regexp_replace(html[1:200], '\s+', ' ', 'g')) AS blanks,
   CASE WHEN left(html, 1) IN ('=', '+', '-', '@') THEN '''' || left(html, 20) ELSE left(html, 20) END AS cell FROM pages""")(
     lambda s, d: a.table(s, d, "pages").select("page_id", text.basename(F.col("url")).alias("base"), text.dirname(F.col("url")).alias("dir"), F.when(F.col("url").startswith("https:/"), F.substring("url", 9, 1 << 20)).otherwise(F.col("url")).alias("below"), text.collapse_blanks(F.substring("html", 1, 200)).alias("blanks"), text.safe_cell(F.substring("html", 1, 20)).alias("cell")))
+query("path_functions_whole_text", r"""SELECT page_id, regexp_extract(url, '[^/]*$') AS base, CASE WHEN contains(url, '/') THEN regexp_replace(url, '/[^/]*$', '') ELSE '' END AS dir,
+  CASE WHEN starts_with(url, 'https:/') THEN substr(url, 9) ELSE url END AS below, trim(regexp_replace(html, '\s+', ' ', 'g')) AS blanks,
+  CASE WHEN left(html, 1) IN ('=', '+', '-', '@') THEN '''' || html ELSE html END AS cell FROM pages""")(
+    lambda s, d: a.table(s, d, "pages").select("page_id", text.basename(F.col("url")).alias("base"), text.dirname(F.col("url")).alias("dir"), F.when(F.col("url").startswith("https:/"), F.expr("substring(url, 9)")).otherwise(F.col("url")).alias("below"), text.collapse_blanks(F.col("html")).alias("blanks"), text.safe_cell(F.col("html")).alias("cell")))
 query("figure_functions", """SELECT p_partkey, round_even(p_size / 50 * 100, 2)::DOUBLE AS ratio, printf('%.1f%%', p_size::DOUBLE) AS label, floor((p_partkey - 1) / 1048575)::BIGINT AS sheet, coalesce(TRY_CAST(CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR ELSE 'x' END AS BIGINT), 0) AS whole,
   TRY_CAST(regexp_replace(CASE WHEN p_size % 3 = 0 THEN 'depth_' || p_size ELSE 'depth_x' END, '^depth_', '') AS BIGINT) AS depth FROM part""")(
     lambda s, d: a.table(s, d, "part").select("p_partkey", text.ratio(F.col("p_size"), F.lit(50)).alias("ratio"), text.percent_label(F.col("p_size")).alias("label"), text.sheet_of(F.col("p_partkey")).alias("sheet"), text.lenient_int(F.expr("case when p_size % 2 = 0 then cast(p_size as string) else 'x' end")).alias("whole"), text.depth_of_key(F.expr("case when p_size % 3 = 0 then concat('depth_', p_size) else 'depth_x' end")).alias("depth")))

@@ -1,5 +1,7 @@
 """Queries over all rows and whole texts, against plain Python."""
 
+import re
+
 from linkscope.operators import graph
 from linkscope.plans import registry, summaries  # noqa: F401  (summaries adds its queries to the registry)
 
@@ -31,3 +33,12 @@ def test_graph_of_all_rows(spark, sf_dir):
     assert (stats.n_edges, stats.n_nodes) == (len(edges), len({x for e in edges for x in e}))
     assert registry.QUERIES["graph_paths_all_rows"](spark, sf_dir).where("depth > 5").count() > 0
     assert {r.root for r in registry.QUERIES["ranked_groups_all_rows"](spark, sf_dir).collect()} == {a for a, _ in edges}
+
+
+def test_path_functions_take_whole_texts(spark, sf_dir):
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got = {r.page_id: r for r in registry.QUERIES["path_functions_whole_text"](spark, sf_dir).collect()}
+    assert got.keys() == html.keys() and max(map(len, html.values())) > 200
+    for k, t in html.items():
+        assert got[k].blanks == re.sub(r"[ \t\n\x0b\f\r]+", " ", t).strip(" ")
+        assert got[k].cell == ("'" + t if t[:1] in ("=", "+", "-", "@") else t)
