@@ -3,12 +3,16 @@
 A gear hash rolls over the bytes of a text: h = (h << 1) + gear[byte], of which the last WINDOW bytes
 count.  Where its top bits are zero a chunk ends, unless another such place lies less than
 LEAST bytes before; a stretch of MOST bytes without an end is cut.  All of this depends on nearby
-bytes alone, so an insertion moves the chunks' places but not their contents.  Chunks are
-deduplicated by digest: one that occurs in two or more documents is repeated, and the
-document of smallest id holds the original.  Neighbouring repeated chunks make a span, which
-counts from MIN_WORDS words on: a passage loses at its edges the part of a chunk that the texts around it
-decide, so a repeat of more than 50 words leaves a span well above that, while lines that
-documents have in common by chance or as a notice leave a shorter one.
+bytes alone, so an insertion moves the chunks' places but not their contents.  What is
+deduplicated by digest are runs of neighbouring chunks: from each chunk the shortest run on, and to each
+chunk the shortest run back, of MIN_WORDS words.  A run that occurs in two or more documents is repeated, and the
+document of smallest id holds the original.  So chunks that recur by chance in different documents never add up.
+Overlapping repeated runs make a span if one other document (the smallest id, for that itself the
+largest) holds them all; where that document changes a new span begins, and the two may overlap.
+A passage loses at its edges the part of a chunk that the texts around it
+decide, so a repeat of more than 50 words leaves a span well above MIN_WORDS, while lines that
+documents have in common by chance or as a notice leave none.  That the other document holds the runs of a span
+in the same order is not asked.
 
 Digests are 64-bit hashes of the bytes and the length.  Counts are combined map-side before the shuffle and the
 digests that are repeated are joined back, so a passage that a third of all documents holds is never gathered.
@@ -36,7 +40,7 @@ MIN_WORDS = 20
 
 GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
 
-CHUNKS = T.StructType([T.StructField("digest", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("words", T.IntegerType())])
+CHUNKS = T.StructType([T.StructField("digest", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("before", T.IntegerType())])
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -64,7 +68,8 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return ends
 
 
-def chunk_batch(texts: pa.Array) -> list:
+def chunk_batch(texts: pa.Array, min_words: int = 0) -> list:
+    """The chunks of each text, or with min_words the runs of chunks of that many words."""
     sizes, parts = [], []
     for _, _, data, offsets in blocks(texts):
         if len(data) == 0:
@@ -75,39 +80,55 @@ def chunk_batch(texts: pa.Array) -> list:
         ahead, back = _power_tables(len(data))
         total = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * ahead[: len(data)], out=total[1:])
-        length = ends - starts
-        digest = mix(mix((total[ends] - total[starts]) * back[starts]) + length.astype(np.uint64))
         blank = np.zeros(len(data) + 1, dtype=np.int64)
         np.cumsum((data == 32) | (data == 10), out=blank[1:])
         of = np.searchsorted(offsets, starts, "right") - 1
+        if min_words:
+            first, last = runs(blank[starts], blank[ends], of, min_words)
+            starts, ends, of = starts[first], ends[last], of[first]
+        length = ends - starts
+        digest = mix(mix((total[ends] - total[starts]) * back[starts]) + length.astype(np.uint64))
         sizes.append(np.bincount(of, minlength=len(offsets) - 1))
-        parts.append((digest.view(np.int64), (starts - offsets[of]).astype(np.int32), length.astype(np.int32), (blank[ends] - blank[starts]).astype(np.int32)))
+        parts.append((digest.view(np.int64), (starts - offsets[of]).astype(np.int32), length.astype(np.int32), (blank[ends] - blank[starts]).astype(np.int32), (blank[starts] - blank[offsets[of]]).astype(np.int32)))
     at = np.concatenate([[0], *[np.cumsum(np.concatenate(sizes))]]).astype(np.int32) if sizes else np.zeros(1, np.int32)
-    kinds = (np.int64, np.int32, np.int32, np.int32)
+    kinds = (np.int64, np.int32, np.int32, np.int32, np.int32)
     columns = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kind) for i, kind in enumerate(kinds)]
     return [pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(c) for c in columns], names=CHUNKS.names))]
 
 
-def chunks(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, digest, start, length (bytes) and words of every chunk."""
+def runs(before: np.ndarray, after: np.ndarray, of: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last chunks of the shortest runs of min_words words that begin or end at each chunk; before, after: words up to a chunk's start and end."""
+    n, every = len(of), np.arange(len(of))
+    on = np.searchsorted(after, before + min_words, "left")
+    on_ok = on < n
+    on_ok[on_ok] = of[on[on_ok]] == of[on_ok]
+    to = np.searchsorted(before, after - min_words, "right") - 1
+    to_ok = to >= 0
+    to_ok[to_ok] = of[to[to_ok]] == of[to_ok]
+    both = np.unique(np.r_[every[on_ok] * n + on[on_ok], to[to_ok] * n + every[to_ok]])
+    return both // n, both % n
+
+
+def chunks(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = 0) -> DataFrame:
+    """id, digest, start, length (bytes), words and words before of every chunk, or with min_words of every run."""
     into = fresh("made", [id, text])
-    made = annotate(docs.select(id, text).where(F.col(id).isNotNull()), text, chunk_batch, [T.StructField("chunks", T.ArrayType(CHUNKS))], into)
+    made = annotate(docs.select(id, text).where(F.col(id).isNotNull()), text, lambda texts: chunk_batch(texts, min_words), [T.StructField("chunks", T.ArrayType(CHUNKS))], into)
     return made.select(id, F.explode(f"{into}.chunks").alias("c")).select(id, "c.*")
 
 
 def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Spans of texts that other documents hold too: id, start, end (bytes), n_words, first_doc_id, is_first.
+    """Spans of texts that another document holds too: id, start, end (bytes), n_words, first_doc_id, is_first.
 
-    first_doc_id: the smallest id that holds the span's first chunk.
+    first_doc_id: the smallest id that holds the span's runs.
     """
-    every = chunks(docs, id, text)
-    repeated = every.groupBy("digest").agg(F.min(id).alias("first_doc_id"), F.max(id).alias("last")).where("first_doc_id <> last").drop("last")
-    found = every.join(repeated.hint("merge"), "digest")
-    item = F.struct("start", "length", "words", "first_doc_id")
-    per_doc = found.groupBy(id).agg(F.array_sort(F.collect_list(item)).alias("c"))
-    runs = F.expr("""aggregate(c, cast(array() as array<struct<start:int,end:int,words:int,first:bigint>>), (a, x) ->
+    every = chunks(docs, id, text, max(min_words, 1))
+    repeated = every.groupBy("digest").agg(F.min(id).alias("first_doc_id"), F.max(id).alias("last")).where("first_doc_id <> last")
+    found = every.join(repeated.hint("merge"), "digest").withColumn("last", F.when(F.col("first_doc_id") == F.col(id), F.col("last")))
+    item = F.struct("start", "length", "words", "before")
+    per_holder = found.groupBy(id, "first_doc_id", "last").agg(F.array_sort(F.collect_list(item)).alias("c"))
+    spans = F.expr("""aggregate(c, cast(array() as array<struct<start:int,end:int,before:int,after:int>>), (a, x) ->
         if(size(a) > 0 and a[size(a) - 1].end >= x.start,
-           concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, x.start + x.length), 'words', a[size(a) - 1].words + x.words, 'first', a[size(a) - 1].first))),
-           concat(a, array(named_struct('start', x.start, 'end', x.start + x.length, 'words', x.words, 'first', cast(x.first_doc_id as bigint))))))""")
-    spans = per_doc.select(id, F.explode(runs).alias("s")).where(F.col("s.words") >= min_words)
-    return spans.select(id, F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.words").alias("n_words"), F.col("s.first").alias("first_doc_id"), (F.col("s.first") == F.col(id)).alias("is_first"))
+           concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, x.start + x.length), 'before', a[size(a) - 1].before, 'after', greatest(a[size(a) - 1].after, x.before + x.words)))),
+           concat(a, array(named_struct('start', x.start, 'end', x.start + x.length, 'before', x.before, 'after', x.before + x.words)))))""")
+    first = F.col("first_doc_id").cast("long")
+    return per_holder.select(id, first.alias("first_doc_id"), F.explode(spans).alias("s")).select(id, F.col("s.start").alias("start"), F.col("s.end").alias("end"), (F.col("s.after") - F.col("s.before")).alias("n_words"), "first_doc_id", (F.col("first_doc_id") == F.col(id)).alias("is_first"))
