@@ -1,4 +1,4 @@
-"""Sinks: Parquet, JSON, separated text, and a spreadsheet or page of bounded tables."""
+"""Sinks: Parquet, JSON, separated text, and a spreadsheet or page written row by row."""
 
 from __future__ import annotations
 
@@ -81,12 +81,12 @@ def spreadsheet(path: str, sheets: dict[str, DataFrame], rows: int = ROWS) -> No
         z.writestr("[Content_Types].xml", f'<?xml version="1.0"?><Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(names) + 1)) + "</Types>")
 
 
-def page(path: str, title: str, tables: dict[str, DataFrame], rows: int = 500) -> None:
-    """A self-contained page of the first rows of each table."""
+def page(path: str, title: str, tables: dict[str, DataFrame]) -> None:
+    """A self-contained page of all rows of each table, streamed row by row."""
     with open(path, "w", encoding="utf-8") as f:
         f.write(f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>")
         for name, df in tables.items():
             f.write(f"<h2>{html.escape(name)}</h2><table><tr>" + "".join(f"<th>{html.escape(c)}</th>" for c in df.columns) + "</tr>")
-            for row in df.limit(rows).collect():
+            for row in df.toLocalIterator():
                 f.write("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in row) + "</tr>")
             f.write("</table>")
