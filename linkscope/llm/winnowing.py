@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkscope.llm.common import annotate, fresh
-from linkscope.llm.text_kernel import ALNUM_WORDS, blocks, coefficients, grams, mix, words
+from linkscope.llm.text_kernel import ALNUM_WORDS, blocks, coefficients, grams, mix, sliding, words
 
 #: Words of a benchmark window, and of the k-grams that are fingerprinted.
 WINDOW, K = 13, 5
@@ -77,14 +77,6 @@ def winnow(gram: np.ndarray, window: int) -> np.ndarray:
     return sliding(np.concatenate([border, least, border]), window, np.maximum) == gram
 
 
-def sliding(x: np.ndarray, window: int, of) -> np.ndarray:
-    """of() over every window, by doubling."""
-    size, done = 1, x
-    while size * 2 <= window:
-        done, size = of(done[:-size], done[size:]), size * 2
-    return of(done[: len(x) - window + 1], done[window - size :]) if size < window else done
-
-
 class Index:
     """Windows of a block of benchmark items."""
 
@@ -234,7 +226,16 @@ def contaminated(into: str = "winnowed"):
     return (n_hit > 0) & (20 * n_hit >= F.col(f"{into}.n_words"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones, columns unchanged."""
+def leaked(into: str = "winnowed", window: int = WINDOW):
+    """A stretch of hit words as long as a whole benchmark window, however long the text is, or contaminated().
+
+    So an item shorter than a window condemns a text only by its share of the words: a benchmark that holds the
+    item `yes` does not empty a corpus.  Short items side by side count as one stretch.
+    """
+    return F.exists(f"{into}.hits", lambda h: h["end"] - h["start"] >= window) | contaminated(into)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs without those that benchmark text has leaked into, columns unchanged; a null text stays."""
     into = fresh("winnowed", docs.columns)
-    return find(docs, benchmark, into=into).where(~contaminated(into)).drop(into)
+    return find(docs, benchmark, window=window, into=into).where(~leaked(into, window)).drop(into)
