@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -18,18 +19,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a folder of its own only where that is unset and all runs on this machine."""
+    context = spark.sparkContext
+    if named := context.getConf().get("spark.checkpoint.dir"):
+        return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="checkpoint-")
 
-    Only where that setting is absent (tests, local runs) a folder is made here.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+#: Most keys that count as hot, and the parts that a hot key's rows are dealt over.
+HOT, SALTS = 4096, 64
+
+
+def joined(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, by: list[str]) -> DataFrame:
+    """rows joined with a table that has one row for each key and the number of that key's rows in weight.
+
+    No key's rows meet in one task: keys of more than one in HOT of all rows are HOT at most, so they can be broadcast
+    as a flag; their rows are dealt over SALTS parts by a hash of the columns by, and their table rows are repeated
+    for each part.  table is read several times and should be cut.  Neither keys nor weight may be null.
+    """
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    is_hot = F.col(weight) * HOT > total
+    salt, parts = fresh("salt", rows.columns + table.columns), fresh("parts", rows.columns + table.columns)
+    hot = table.where(is_hot).select(*keys, F.lit(SALTS).alias(parts))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn(salt, F.pmod(F.hash(*by), F.coalesce(parts, F.lit(1)))).drop(parts)
+    each = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.when(is_hot, F.lit(SALTS - 1)).otherwise(F.lit(0)))))
+    return dealt.join(each, [*keys, salt]).drop(salt)
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """A column name like the given one that no column has yet, upper and lower case alike."""
     low = {c.lower() for c in taken}
@@ -38,12 +65,25 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+#: Most rows and bytes of an Arrow batch; a text longer than that is a batch by itself.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of Arrow batches to those of BATCH, so that a task holds a few MB of texts at once."""
+    for key, most in BATCH.items():
+        now = re.match(r"\d+", spark.conf.get(key))
+        if now is None or not 0 < int(now[0]) <= most:
+            spark.conf.set(key, str(most))
+
+
 def annotate(df: DataFrame, text: str, fn: Callable[[pa.Array], list], fields: list[T.StructField], into: str, after: Callable[[], None] | None = None) -> DataFrame:
     """df with one more struct column, computed by fn from whole batches of the text column.
 
     fn gets the batch's texts as an Arrow array and returns, for each field, an Arrow array
     of as many values.  Runs map-side only; the other columns pass through untouched.
     """
+    small_batches(df.sparkSession)
     position = df.columns.index(text)
     schema = T.StructType([*df.schema.fields, T.StructField(into, T.StructType(fields), False)])
     names = [f.name for f in fields]
