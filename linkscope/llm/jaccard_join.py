@@ -2,33 +2,43 @@
 
 Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lowered; a document's set is its distinct
 runs of five words (a shorter text is one run, a wordless one is empty).  Jaccard distance is a
-metric, and two documents link at a distance of at most 1/5.
+metric, and two documents link at a distance of at most r = 1/5.
 
 1. Equal sets collapse to one representative, whatever their number.
-2. Every shingle is a pivot of the first level.  Under one total order of shingles (rare in a
-   bounded sample first, then by hash; any order gives the same links) two sets within the
-   radius share l shingles among their first n - ceil(4n/5) + l.  A document is replicated to the regions of just those
-   pivots: this is the window that keeps boundary documents on both sides.  l is a small part of n
-   (SHARED), so a document that has fewer than l of these in common with others is linked with none.
-3. The document of smallest key in a region is its pivot of the second level, and regions with
-   the same pivot are one Voronoi cell around it.  In a cell every distance to the pivot is
-   computed; by the triangle inequality only members whose distances to the pivot differ by at
-   most the radius can link, and members already connected need no comparison.
-4. A cell of more than CELL members is joined recursively as pairs of hashed blocks of bounded
-   size, so that no task holds more than two blocks; each emits a spanning forest of its links,
-   never all pairs.
+2. Nearly all pairs of documents are at distance 1, where no sampled document could be a pivot that tells them apart.
+   So on the first level every shingle is a pivot, a set of one member.  A document is as near as can be to its own
+   shingles and at distance 1 from all others.  Under one total order of shingles (rare in a
+   bounded sample first, then by hash; any order gives the same links) two sets within r share
+   l shingles among their first n - ceil(4n/5) + l, so a document is replicated to the regions of just those.
+   l is a small part of n (SHARED); who shares fewer in all with others is linked with none.  Regions
+   whose smallest document is the same form one cell, with that document as its pivot.
+3. A cell of at most CELL documents and CELL_BYTES of text is joined in one task: distances to the pivot come first.
+   Documents within r of the pivot link to it, and need no comparison with each other; one farther away is compared
+   only with those whose distances to the pivot lie within r of its own (triangle inequality).
+4. A larger cell is split recursively.  A few of its documents, drawn by hash, become pivots; all
+   others are dealt out in bounded groups and learn their distances to them.  Links to pivots are
+   complete then.  Pivots that links connect, and the documents linked to them, form clusters; the largest
+   cluster of the cell needs no comparison inside.  Every other document is open: it must meet all that may link to it.
+   Its nearest pivot's Voronoi region is its home, and any document y is replicated to the regions of all pivots q with
+   d(y, q) <= d(y, nearest) + 2r, which brings together whatever links.  Each region with open documents is
+   a cell of the next level, where again only distances to its pivot within r of each other are compared.
+   When a cell has few open documents all of these are pivots, and it is done.  After LEVELS
+   levels the open ones are dealt into blocks that serve as pivots side by side, so it ends.
 5. Components of the links give the classes.
 
 Shingles are 64-bit hashes and sets are compared by them; set keys have 128 bits.
 
+Regions of shingles that are common in the sample are counted map-side and broadcast (there are at most SAMPLE_BYTES / 12 /
+HOT_COUNT of them), so no shuffle brings all documents with such a shingle together; all other joins
+by a key that many rows may have go through common.joined.
+
 Defined cases: a null text counts as empty; empty sets link with nothing; equal texts link
-whatever their ids; repeated rows give a row each; a row whose id is null has a null component
+whatever their ids, null ones too; repeated rows give a row each; a row whose id is null has a null component
 unless a text linked to it has an id; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -36,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkscope.llm.common import annotate, cut, fresh, hash_share
+from linkscope.llm.common import annotate, cut, fresh, hash_share, joined, small_batches
 from linkscope.llm.components import components
 from linkscope.llm.text_kernel import SPACE_WORDS, blocks, mix, shingle_sets, words
 
@@ -44,15 +54,18 @@ from linkscope.llm.text_kernel import SPACE_WORDS, blocks, mix, shingle_sets, wo
 SHINGLE, PERCENT = 5, 80
 #: Shingles that linked sets must share in their prefixes, for each hundred of the smaller one.
 SHARED = 3
-#: Expected documents of the sample that orders shingles, and the count there from which one is common.
-SAMPLE, COMMON = 8192, 3
-#: Most members of a cell that one task joins by itself, and the size of a block of a larger one.
-CELL, BLOCK = 256, 128
+#: Expected documents and bytes of the sample that orders shingles; the count there from which one is common, and hot.
+SAMPLE, SAMPLE_BYTES, COMMON, HOT_COUNT = 8192, 32 << 20, 3, 16
+#: Most documents and bytes of text of a cell that one task joins by itself, and of a group of a larger cell.
+CELL, CELL_BYTES = 256, 8 << 20
+#: Expected pivots of a split (at most MOST_PIVOTS), open documents and bytes that may all be pivots at once, and levels of splits.
+PIVOTS, MOST_PIVOTS, OPEN, OPEN_BYTES, LEVELS = 8, 12, 64, 4 << 20, 4
 
 SETS = [
     T.StructField("n_shingles", T.LongType()),
     T.StructField("key", T.StringType()),
     T.StructField("prefix", T.ArrayType(T.LongType())),
+    T.StructField("n_cold", T.IntegerType()),
 ]
 
 
@@ -78,34 +91,35 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - -(-n * percent // 100) + shared(n))
 
 
-def summarise(common: tuple[np.ndarray, np.ndarray], n: int, percent: int, texts: pa.Array) -> list:
-    """n_shingles, key and prefix of every text."""
-    hot, count = common
+def summarise(common: tuple[np.ndarray, np.ndarray], n: int, percent: int, hot_count: int, texts: pa.Array) -> list:
+    """n_shingles, key and prefix of every text, and how many of the prefix, at its start, are not hot."""
+    known, count = common
     sets = sets_of(texts, n)
-    prefixes = []
+    prefixes, cold = [], []
     for x in sets:
-        if len(x) == 0:
-            prefixes.append(x.view(np.int64))
-            continue
-        first = prefix_length(len(x), percent)
-        if len(hot):
-            at = np.searchsorted(hot, x)
-            at[at == len(hot)] = 0
-            seen = np.where(hot[at] == x, count[at], 0)
+        first = prefix_length(len(x), percent) if len(x) else 0
+        n_cold = first
+        if len(known) and len(x):
+            at = np.searchsorted(known, x)
+            at[at == len(known)] = 0
+            seen = np.where(known[at] == x, count[at], 0)
             rare = x[seen == 0]
             if len(rare) < first:
-                rare = x[np.lexsort((x, seen))]
+                order = np.lexsort((x, seen))
+                n_cold = int((seen[order[:first]] < hot_count).sum())
+                rare = x[order]
             x = rare
         prefixes.append(x[:first].view(np.int64))
+        cold.append(n_cold)
     flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-    return [pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) for x in sets], pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+    return [pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) for x in sets], pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(cold, pa.int32())]
 
 
 def common_shingles(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several documents of a bounded sample share, and in how many; only the order depends on them."""
-    total = docs.count()
-    share = min(1.0, SAMPLE / max(1, total))
+    total = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("size")).first()
+    share = min(1.0, SAMPLE / max(1, total["n"]), SAMPLE_BYTES / max(1, total["size"]))
     field = T.StructField("s", T.ArrayType(T.LongType()))
     made = annotate(docs.select(text).where(F.octet_length(text) < 1 << 20).where(hash_share(text) < share), text, lambda texts: [pa.array([x.view(np.int64) for x in sets_of(texts, n)], pa.list_(pa.int64()))], [field], "made")
     rows = made.select(text, "made.s").dropDuplicates([text]).select(F.explode("s").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON).toArrow()
@@ -114,6 +128,16 @@ def common_shingles(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.
     return hot[order], rows["count"].to_numpy()[order]
 
 
+def distances(sets: list[np.ndarray], pivot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the intersections and of the unions of many sets with one."""
+    size = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    at = np.searchsorted(pivot, flat)
+    at[at == len(pivot)] = 0
+    both = np.add.reduceat((pivot[at] == flat).astype(np.int64), np.r_[0, np.cumsum(size)[:-1]])
+    return both, size + len(pivot) - both
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of a bounded number of sets."""
     size = np.array([len(x) for x in sets])
@@ -143,30 +167,43 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def distinct_sets(n: int, keys: list[str], texts: pd.Series) -> tuple[list[str], list[np.ndarray]]:
+    """Keys and sets, each once, in order of keys; a text that does not have its row's key is another's of equal hash."""
+    found = {}
+    for k, x in zip(keys, sets_of(pa.array(texts, pa.large_string()), n), strict=True):
+        if k not in found and set_key(x) == k:
+            found[k] = x
+    return sorted(found), [found[k] for k in sorted(found)]
+
+
+LINKS = "a string, b string"
+
+
 def join_cell(n: int, percent: int, frame: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the links between the members (key, text, is_pivot, side) of one group.
+    """A spanning forest of the links between the members (key, text) of one cell."""
+    keys, sets = distinct_sets(n, frame["key"].tolist(), frame["text"])
+    ties: list[tuple[str, str]] = []
+    if len(keys) > 1:
+        both, union = distances(sets, sets[0])
+        d, inner = 1 - both / union, 100 * both >= percent * union
+        ties = [(keys[0], keys[i]) for i in np.flatnonzero(inner).tolist() if i]
+        outer = np.flatnonzero(~inner)
+        if len(outer):
+            # who has an outer one in its window
+            sorted_d, reach = np.sort(d[outer]), 1 - percent / 100 + 1e-9
+            near = np.flatnonzero(np.searchsorted(sorted_d, d + reach, "right") > np.searchsorted(sorted_d, d - reach, "left"))
+            ties += forest([keys[i] for i in near.tolist()], [sets[i] for i in near.tolist()], d[near], inner[near], percent)
+    return pd.DataFrame(ties, columns=["a", "b"], dtype=str)
 
-    Rows of side 0 are compared with all, rows of side 1 with those of side 0 only; an equal side for all
-    compares every two.
-    """
-    sets = sets_of(pa.array(frame["text"], pa.large_string()), n)
-    keys = frame["key"].tolist()
-    right, got = [], set()
-    for i, x in enumerate(sets):
-        if keys[i] not in got and set_key(x) == keys[i]:
-            got.add(keys[i])
-            right.append(i)
-    sets, keys = [sets[i] for i in right], [keys[i] for i in right]
-    if len(sets) < 2:
-        return pd.DataFrame({"a": pd.Series([], dtype=str), "b": pd.Series([], dtype=str)})
-    pivot = frame["is_pivot"].to_numpy()[right].argmax()
+
+def forest(keys: list[str], sets: list[np.ndarray], d: np.ndarray, inner: np.ndarray, percent: int) -> list[tuple[str, str]]:
+    """Ties for all links within the windows of d, but for those between two inner ones."""
     both = overlaps(sets)
     size = np.diag(both)
     union = size[:, None] + size[None, :] - both
-    d = 1 - both[pivot] / union[pivot]
     window = np.abs(d[:, None] - d[None, :]) <= 1 - percent / 100 + 1e-9
-    linked = np.triu(window & (100 * both >= percent * union), 1)
-    parent = list(range(len(sets)))
+    linked = np.triu(window & ~(inner[:, None] & inner[None, :]) & (100 * both >= percent * union), 1)
+    parent = list(range(len(keys)))
 
     def find(x):
         while parent[x] != x:
@@ -174,68 +211,199 @@ def join_cell(n: int, percent: int, frame: pd.DataFrame) -> pd.DataFrame:
             x = parent[x]
         return x
 
+    ties = []
     for i, j in np.argwhere(linked).tolist():
         a, b = find(i), find(j)
         if a != b:
-            parent[b if keys[a] < keys[b] else a] = a if keys[a] < keys[b] else b
-    ties = [(keys[find(i)], keys[i]) for i in range(len(keys)) if find(i) != i]
-    return pd.DataFrame(ties, columns=["a", "b"], dtype=str)
+            parent[max(a, b)] = min(a, b)
+            ties.append((keys[i], keys[j]))
+    return ties
+
+
+MEASURED = "cell long, key string, size long, open boolean, used boolean, mask long, linked array<string>, near array<struct<pivot:string,d:double>>"
+
+
+def measure(n: int, percent: int, frame: pd.DataFrame) -> pd.DataFrame:
+    """Members of one group of a cell against all pivots of the cell.
+
+    frame: cell, key, text, size, open, d (to the pivot whose region the cell is), pivot (whether the row is one),
+    final (whether nothing follows).  For each member: its links, their bits, and the pivots whose regions it goes to.
+    """
+    p, m = frame[frame["pivot"]], frame[~frame["pivot"]].drop_duplicates("key")
+    pivots, pivot_sets = distinct_sets(n, p["key"].tolist(), p["text"])
+    final = bool(frame["final"].iloc[0])
+    if not final:
+        pivots, pivot_sets = pivots[:MOST_PIVOTS], pivot_sets[:MOST_PIVOTS]
+    sets = sets_of(pa.array(m["text"], pa.large_string()), n)
+    right = np.array([set_key(x) == k for x, k in zip(sets, m["key"], strict=True)], dtype=bool)
+    m, sets = m[right], [x for x, ok in zip(sets, right.tolist(), strict=True) if ok]
+    keys, reach = m["key"].to_numpy(), 1 - percent / 100 + 1e-9
+    d = np.full((len(m), len(pivots)), np.inf)
+    linked: list[list[str]] = [[] for _ in range(len(m))]
+    mask = np.zeros(len(m), dtype=np.int64)
+    before = m["d"].to_numpy(dtype=float)
+    of_pivot = dict(zip(p["key"], p["d"], strict=True))
+    for j, (name, x) in enumerate(zip(pivots, pivot_sets, strict=True)):
+        # links can only be where the distances to the region's pivot are close; regions need all distances
+        rows = np.flatnonzero(np.abs(before - of_pivot[name]) <= reach) if final else np.arange(len(m))
+        if len(rows) == 0:
+            continue
+        both, union = distances([sets[i] for i in rows.tolist()], x)
+        d[rows, j] = 1 - both / union
+        for i in rows[100 * both >= percent * union].tolist():
+            mask[i] |= 1 << min(j, 62)
+            if keys[i] != name:
+                linked[i].append(name)
+    near: list[list[dict]] = [[] for _ in range(len(m))]
+    if not final and len(pivots):
+        home = d.argmin(1)
+        for i, j in np.argwhere(d <= d.min(1)[:, None] + 2 * reach).tolist():
+            one = {"pivot": pivots[j], "d": float(d[i, j])}
+            near[i] = [one, *near[i]] if j == home[i] else [*near[i], one]
+    lists = {"linked": pd.Series(linked, index=m.index, dtype=object), "near": pd.Series(near, index=m.index, dtype=object)}
+    return m[["cell", "key", "size", "open"]].assign(used=m["key"].isin(pivots), mask=mask, **lists)
+
+
+def largest_cluster(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of the masks (mask, n) of one cell: the bits of the cluster that most members are linked to."""
+    groups: list[list[int]] = []  # bits, members
+    for mask, n in zip(frame["mask"].tolist(), frame["n"].tolist(), strict=True):
+        if mask:
+            hit = [g for g in groups if g[0] & mask]
+            groups = [g for g in groups if not g[0] & mask] + [[mask, n]]
+            for bits, more in hit:
+                groups[-1][0] |= bits
+                groups[-1][1] += more
+    best = max(groups, key=lambda g: (g[1], -g[0]), default=[0, 0])
+    return pd.DataFrame({"cell": [frame["cell"].iloc[0]], "main": [best[0]], "total": [int(frame["n"].sum())]})
+
+
+def split(cells: DataFrame, texts: DataFrame, n: int, percent: int) -> list[DataFrame]:
+    """Links of cells (cell, key, size, open, d) too large for one task, level by level; texts: key, text."""
+    out = []
+    for level in range(LEVELS + 1):
+        sized = cut(cells.groupBy("cell").agg(F.count("*").alias("m"), F.sum("size").alias("bytes"), F.count_if("open").alias("n_open"), F.sum(F.when(F.col("open"), F.col("size")).otherwise(0)).alias("open_bytes")).where("m > 1 and n_open > 0"))
+        if sized.isEmpty():
+            break
+        few = (F.col("n_open") <= OPEN) & (F.col("open_bytes") <= OPEN_BYTES)
+        rows = joined(cells, sized, ["cell"], "m", ["key"])
+        if level == LEVELS:
+            # no more splits: blocks of open ones side by side, every member against each
+            b = F.greatest(F.ceil(F.col("n_open") / (OPEN // 2)), F.ceil(F.col("open_bytes") / (OPEN_BYTES // 2))).cast("int")
+            rows = rows.withColumn("b", F.when(few, F.lit(1)).otherwise(b)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+            own = F.pmod(F.xxhash64("key"), F.col("b")) == F.col("block")
+            rows = rows.withColumn("open", F.col("open") & own).withColumn("cell", F.xxhash64("cell", "block")).withColumn("final", F.lit(True))
+        else:
+            rows = rows.withColumn("final", few)
+        share = F.least(PIVOTS / F.col("n_open"), F.lit(float(OPEN_BYTES)) / F.col("open_bytes"))
+        asked = F.col("open") & (F.col("final") | (hash_share("key", F.lit(level)) < share))
+        chunks = F.greatest(F.ceil(F.col("m") / CELL), F.ceil(F.col("bytes") / CELL_BYTES)).cast("int")
+        rows = rows.withColumn("chunks", chunks).withColumn("asked", asked)
+        member = F.array(F.struct(F.lit(False).alias("pivot"), F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int").alias("chunk")))
+        places = F.when(F.col("asked"), F.concat(member, F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.struct(F.lit(True).alias("pivot"), i.alias("chunk"))))).otherwise(member)
+        dealt = rows.join(texts, "key").withColumn("place", F.explode(places)).select("cell", "key", "text", "size", "open", "d", "final", "place.pivot", "place.chunk")
+        got = cut(dealt.groupBy("cell", "chunk").applyInPandas(lambda frame: measure(n, percent, frame), MEASURED))
+        out.append(got.select(F.col("key").alias("a"), F.explode("linked").alias("b")))
+        going = got.join(F.broadcast(sized.where(few).select("cell")), "cell", "left_anti") if level < LEVELS else got.limit(0)
+        masks = going.groupBy("cell", "mask").agg(F.count("*").alias("n"))
+        main = cut(masks.groupBy("cell").applyInPandas(largest_cluster, "cell long, main long, total long"))
+        left = cut(joined(going, main, ["cell"], "total", ["key"]).withColumn("open", F.col("open") & ~F.col("used") & (F.col("mask").bitwiseAND(F.col("main")) == 0)).drop("main", "total"))
+        rest = cut(left.groupBy("cell").agg(F.count("*").alias("m"), F.count_if("open").alias("n_open"), F.sum(F.when(F.col("open"), F.col("size")).otherwise(0)).alias("open_bytes")).where("n_open > 0"))
+        onward = joined(left, rest, ["cell"], "m", ["key"])
+        same = onward.where(few).select("cell", "key", "size", "open", F.lit(0.0).alias("d"))
+        # a member that met no pivot (none was drawn) stays in its cell
+        still = onward.where(~few & (F.size("near") == 0)).select("cell", "key", "size", "open", F.lit(0.0).alias("d"))
+        regions = onward.where(~few).select("cell", "key", "size", "open", F.posexplode("near").alias("at", "q"))
+        regions = regions.select(F.xxhash64("cell", "q.pivot").alias("cell"), "key", "size", (F.col("open") & (F.col("at") == 0)).alias("open"), F.col("q.d").alias("d"))
+        cells = cut(same.unionByName(still).unionByName(regions))
+    return out
 
 
 def links(docs: DataFrame, summary: DataFrame, id: str, text: str, n: int, percent: int) -> DataFrame:
     """Links (a, b) between set keys that connect the same sets as all links within the radius do.
 
-    summary has the id, n_shingles, key and prefix of every row of docs.
+    summary has the id, th (a hash of the text), size (bytes), n_shingles, key, prefix and n_cold of every row of docs.
     """
-    rep = cut(summary.where("key is not null").groupBy("key").agg(F.min(id).alias("rep")).where("rep is not null"))
+    # one row stands for each set; rep is a label of 64 bits, and what equal labels of different sets bring together is told apart by key
+    rep = cut(summary.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), "th", "size")).alias("r")).select("key", "r.id", "r.th", "r.size", F.xxhash64("key").alias("rep")))
     # of two linked sets the smaller shares as many of its first n - ceil(2pn/(100+p)) + l
     few = lambda n: f"greatest(1, cast(ceil({SHARED} * ({n}) / 100.0) as bigint))"
     short = F.expr(f"n_shingles - cast(ceil({2 * percent} * n_shingles / {100 + percent}.0) as bigint) + {few('n_shingles')}")
-    first = rep.join(summary.select(F.col(id).alias("rep"), "key", "n_shingles", "prefix"), ["rep", "key"])
-    spread = first.select("rep", F.col("n_shingles").cast("int").alias("n"), short.alias("short"), F.posexplode("prefix").alias("at", "shingle")).select("shingle", "rep", "n", (F.col("at") < F.col("short")).alias("index"))
-    # one exchange serves the regions' sums and the rows that join them
-    spread = spread.repartition("shingle")
-    region = spread.groupBy("shingle").agg(F.min("rep").alias("pivot"), F.count("*").alias("m"), F.min(F.when(F.col("index"), F.col("n"))).alias("ilo"), F.max(F.when(F.col("index"), F.col("n"))).alias("ihi")).where("m > 1 and ilo is not null")
+    own = summary.select(F.col(id).alias("id_"), F.col("th").alias("th_"), F.col("key").alias("key_"), F.col("n_shingles").cast("int").alias("n"), short.alias("short"), "prefix", "n_cold")
+    of_rep = (F.col("key") == F.col("key_")) & F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_"))
+    index = (F.col("at") < F.col("short")).alias("index")
+
+    def regions(spread: DataFrame) -> DataFrame:
+        return spread.groupBy("shingle").agg(F.min("rep").alias("pivot"), F.count("*").alias("m"), F.min(F.when(F.col("index"), F.col("n"))).alias("ilo"), F.max(F.when(F.col("index"), F.col("n"))).alias("ihi")).where("m > 1 and ilo is not null")
+
+    # shingles that are not hot: one exchange serves the regions' sums and the rows that join them
+    cold = rep.join(own, of_rep).select("rep", "n", "short", F.posexplode(F.slice("prefix", F.lit(1), F.col("n_cold"))).alias("at", "shingle")).select("shingle", "rep", "n", index).repartition("shingle")
+    warm = rep.join(own.where("n_cold < size(prefix)"), of_rep).select("rep", "n", "short", "n_cold", F.posexplode(F.expr("slice(prefix, n_cold + 1, size(prefix) - n_cold)")).alias("at", "shingle"))
+    hot = cut(warm.select("shingle", "rep", "n", (F.col("at") + F.col("n_cold") < F.col("short")).alias("index")))
+    both = cold.join(regions(cold).hint("merge"), "shingle").unionByName(hot.join(F.broadcast(regions(hot)), "shingle"))
     fits = F.col("index") | ((F.col("ilo") <= F.col("n")) & (100 * F.col("ihi") >= percent * F.col("n")))
-    found = cut(spread.join(region.hint("merge"), "shingle").where(fits).groupBy("pivot", "rep", "n").count())
+    found = cut(both.where(fits).groupBy("pivot", "rep", "n").count())
     least = F.expr(few(f"ceil({percent} * n / 100.0)"))
-    enough = found.groupBy("rep", "n").agg(F.sum("count").alias("count")).where(F.col("count") >= least).select("rep")
-    cells = cut(found.select("pivot", "rep").join(enough, "rep"))
-    # a cell of one member besides no other has nothing to join
-    sized = cells.groupBy("pivot").agg(F.count("*").alias("m")).where("m > 1")
-    member = cells.join(sized, "pivot")
-    b = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    member = member.withColumn("b", F.when(F.col("m") <= CELL, F.lit(1)).otherwise(b)).withColumn("own", F.expr("cast(pmod(xxhash64(rep), b) as int)"))
-    # block pairs (i, j), i <= j, with the own block in them
-    member = member.select("pivot", "rep", F.explode(F.expr("transform(sequence(0, b - 1), x -> struct(least(x, own) as i, greatest(x, own) as j))")).alias("pair")).select("pivot", "rep", "pair.i", "pair.j")
-    keyed = member.join(rep, "rep")
-    texts = docs.select(F.col(id).alias("rep"), F.col(text).alias("text"))
-    full = keyed.join(texts, "rep").select("pivot", "i", "j", "key", "text", (F.col("pivot") == F.col("rep")).alias("is_pivot"))
-    return full.groupBy("pivot", "i", "j").applyInPandas(lambda frame: join_cell(n, percent, frame), "a string, b string").distinct()
-
-
-def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", also: tuple[str, ...] = (), n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs: id, columns of also, n_shingles, root (of the class) and component_id, its smallest id."""
+    enough = found.groupBy("rep", "n").agg(F.sum("count").alias("count")).where(F.col("count") >= least).select("rep").distinct()
+    cells = cut(found.select("pivot", "rep").distinct().join(enough, "rep").join(rep, "rep"))
+    # a cell of one member has nothing to join
+    sized = cut(cells.groupBy("pivot").agg(F.count("*").alias("m"), F.sum("size").alias("bytes")).where("m > 1"))
+    member = joined(cells, sized, ["pivot"], "m", ["key"])
+    small = (F.col("m") <= CELL) & (F.col("bytes") <= CELL_BYTES)
+    texts = docs.select(F.col(id).alias("id_"), F.xxhash64(text).alias("th_"), F.col(text).alias("text"))
+    with_text = lambda d: d.join(texts, F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")))
+    small_batches(docs.sparkSession)
+    found = with_text(member.where(small).select("pivot", "key", "id", "th")).select("pivot", "key", "text").groupBy("pivot").applyInPandas(lambda frame: join_cell(n, percent, frame), LINKS)
+    large = cut(member.where(~small).select(F.col("pivot").alias("cell"), "key", "size", F.lit(True).alias("open"), F.lit(0.0).alias("d")))
+    if not large.isEmpty():
+        used = rep.join(large.select("key").distinct(), "key", "left_semi")
+        for more in split(large, cut(with_text(used).select("key", "text")), n, percent):
+            found = found.unionByName(more)
+    return found.distinct()
+
+
+def labelled(docs: DataFrame, id: str, text: str, also: tuple[str, ...], n: int, percent: int) -> DataFrame:
+    """id, columns of also, th (a hash of the text), n_shingles, key, root (of the class) and component of every row."""
     docs = docs.select(id, text, *also)
     common = common_shingles(docs, text, n)
     into = fresh("made", docs.columns)
     block = docs.sparkSession.sparkContext.broadcast(common)
-    summary = cut(annotate(docs, text, lambda texts: summarise(block.value, n, percent, texts), SETS, into).select(id, *also, f"{into}.*"))
+    hot_count = HOT_COUNT
+    made = annotate(docs, text, lambda texts: summarise(block.value, n, percent, hot_count, texts), SETS, into)
+    summary = cut(made.select(id, *also, F.xxhash64(text).alias("th"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"), f"{into}.*"))
     labels = components(links(docs, summary, id, text, n, percent))
-    least = summary.where("key is not null").groupBy("key").agg(F.min(id).alias("low"))
-    rooted = least.join(labels.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "low", F.coalesce("root", "key").alias("root"))
+    least = summary.where("key is not null").groupBy("key").agg(F.min(id).alias("low"), F.count("*").alias("n"))
+    rooted = least.join(labels.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "low", "n", F.coalesce("root", "key").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    found = rooted.join(lowest, "root").select("key", "root", "component")
-    component = F.when(F.col("key").isNull(), F.col(id)).otherwise(F.col("component"))
-    return summary.select(id, *also, "n_shingles", "key").join(found, "key", "left").select(id, *also, "n_shingles", "root", component.alias("component_id"))
+    found = cut(rooted.join(lowest, "root").select("key", "root", "component", "n"))
+    columns = [id, *also, "th", "n_shingles", "key"]
+    linked = joined(summary.where("key is not null").select(*columns), found, ["key"], "n", [id, "th"]).select(*columns, "root", "component")
+    alone = summary.where("key is null").select(*columns, F.lit(None).cast("string").alias("root"), F.col(id).alias("component"))
+    return linked.unionByName(alone)
+
+
+def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per row of docs: id, n_shingles, root (of the class) and component_id, its smallest id."""
+    return labelled(docs, id, text, (), n, percent).select(id, "n_shingles", "root", F.col("component").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each class, that of the smallest id (a null id last); wordless texts stay."""
-    row = fresh("row_number", docs.columns)
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    found = cut(classes(numbered, id, text, (row,)).where("root is not null"))
-    order = F.struct(F.col(id).isNull(), F.col(id), F.col(row))
-    kept = found.groupBy("root").agg(F.min(order).getField(row).alias(row))
-    gone = found.join(kept, row, "left_anti").select(row)
-    return numbered.join(gone, row, "left_anti").drop(row)
+    """docs with one row of each class, that of the smallest id (a null id last); wordless texts stay.
+
+    Rows are known by id, text and a hash of the other columns, so nothing depends on their order or files; rows
+    that are equal in all of these are one document.
+    """
+    others = [c for c in docs.columns if c not in (id, text)]
+    rest, gone = fresh("rest", [*docs.columns, "th"]), fresh("gone", docs.columns)
+    marked = docs.withColumn(rest, F.xxhash64(*others) if others else F.lit(0).cast("long"))
+    found = cut(labelled(marked, id, text, (rest,), SHINGLE, PERCENT).where("root is not null").groupBy("root", id, "th", rest).agg(F.count("*").alias("times")))
+    order = F.struct(F.col(id).isNull(), F.col(id), F.col("th"), F.col(rest))
+    sized = cut(found.groupBy("root").agg(F.min(order).alias("kept"), F.count("*").alias("n")))
+    judged = joined(found, sized, ["root"], "n", [id, "th"]).select(id, "th", rest, "times", (~order.eqNullSafe(F.col("kept"))).alias(gone))
+    # what to drop, and of what to keep one row only
+    judged = cut(judged.where(F.col(gone) | (F.col("times") > 1)).select(F.col(id).alias("id_"), F.col("th").alias("th_"), F.col(rest).alias("rest_"), gone))
+    same = F.col(id).eqNullSafe(F.col("id_")) & (F.xxhash64(text) == F.col("th_")) & (F.col(rest) == F.col("rest_"))
+    out = marked.join(judged, same, "left_anti")
+    if not (repeated := judged.where(~F.col(gone))).isEmpty():
+        out = out.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates([id, text, rest]))
+    return out.drop(rest)
