@@ -6,13 +6,12 @@ rows are written as Parquet and read again, so a stage's lineage starts at files
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from linkscope.llm import group_packing, jaccard_join, secret_scan, string_kernel_svm, winnowing
-from linkscope.llm.common import table
+from linkscope.llm.common import shared_folder, table
 from linkscope.llm.queries import RANKS, TOKENIZER
 
 
@@ -48,12 +47,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, with a Parquet folder between each two."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents, with a Parquet folder between each two.
+
+    The folders lie in the shared folder, below one of the run; when a stage's output is written its input is deleted,
+    and the last one stays, as the rows that are returned are read from it.  A null text passes all stages as an
+    empty one, repeated rows become one in near_duplicates unless they have no words, an empty table gives no rows,
+    and columns of any other name go through to the packing, which returns its own.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    files = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if i:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}-{STAGES[i - 1][0]}"), True)
     return STAGES[-1][1](spark, docs, sf_dir)
