@@ -120,8 +120,9 @@ def runs(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int
     """id, copy (a hash of the text), high and low (digest), start, length (bytes), before, words of every run; with 0 words of every chunk."""
     own, into = docs.select(id, text).where(F.col(id).isNotNull()), fresh("made", [id, text])
     made = annotate(own, text, lambda texts: run_batch(texts, min_words), RUNS, into)
-    zipped = F.arrays_zip(*[F.col(f"{into}.{f.name}") for f in RUNS])
-    return made.select(F.col(id).alias("id"), F.hash(text).alias("copy"), F.explode(zipped).alias("c")).select("id", "copy", "c.*")
+    # a text is hashed once, below the explode
+    once = made.select(F.col(id).alias("id"), F.hash(text).alias("copy"), F.arrays_zip(*[F.col(f"{into}.{f.name}") for f in RUNS]).alias("all"))
+    return once.select("id", "copy", F.explode("all").alias("c")).select("id", "copy", "c.*")
 
 
 def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, min_words: int = MIN_WORDS) -> DataFrame:

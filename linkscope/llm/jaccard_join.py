@@ -59,7 +59,7 @@ SAMPLE, SAMPLE_BYTES, COMMON, HOT_COUNT = 8192, 32 << 20, 3, 16
 #: Most documents and bytes of text of a cell that one task joins by itself, and of a group of a larger cell.
 CELL, CELL_BYTES = 256, 8 << 20
 #: Expected pivots of a split (at most MOST_PIVOTS), open documents and bytes that may all be pivots at once, and levels of splits.
-PIVOTS, MOST_PIVOTS, OPEN, OPEN_BYTES, LEVELS = 8, 12, 64, 4 << 20, 4
+PIVOTS, MOST_PIVOTS, OPEN, OPEN_BYTES, LEVELS = 8, 12, 64, 4 << 20, 2
 
 SETS = [
     T.StructField("n_shingles", T.LongType()),
@@ -220,7 +220,7 @@ def forest(keys: list[str], sets: list[np.ndarray], d: np.ndarray, inner: np.nda
     return ties
 
 
-MEASURED = "cell long, key string, size long, open boolean, used boolean, mask long, linked array<string>, near array<struct<pivot:string,d:double>>"
+MEASURED = "cell long, key string, size long, open boolean, final boolean, used boolean, mask long, linked array<string>, near array<struct<pivot:string,d:double>>"
 
 
 def measure(n: int, percent: int, frame: pd.DataFrame) -> pd.DataFrame:
@@ -261,11 +261,11 @@ def measure(n: int, percent: int, frame: pd.DataFrame) -> pd.DataFrame:
             one = {"pivot": pivots[j], "d": float(d[i, j])}
             near[i] = [one, *near[i]] if j == home[i] else [*near[i], one]
     lists = {"linked": pd.Series(linked, index=m.index, dtype=object), "near": pd.Series(near, index=m.index, dtype=object)}
-    return m[["cell", "key", "size", "open"]].assign(used=m["key"].isin(pivots), mask=mask, **lists)
+    return m[["cell", "key", "size", "open", "final"]].assign(used=m["key"].isin(pivots), mask=mask, **lists)
 
 
 def largest_cluster(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of the masks (mask, n) of one cell: the bits of the cluster that most members are linked to."""
+    """Of the masks (mask, waiting, n, bytes) of one cell: the bits of the cluster that most members are linked to, and what stays open outside it."""
     groups: list[list[int]] = []  # bits, members
     for mask, n in zip(frame["mask"].tolist(), frame["n"].tolist(), strict=True):
         if mask:
@@ -274,8 +274,9 @@ def largest_cluster(frame: pd.DataFrame) -> pd.DataFrame:
             for bits, more in hit:
                 groups[-1][0] |= bits
                 groups[-1][1] += more
-    best = max(groups, key=lambda g: (g[1], -g[0]), default=[0, 0])
-    return pd.DataFrame({"cell": [frame["cell"].iloc[0]], "main": [best[0]], "total": [int(frame["n"].sum())]})
+    main = max(groups, key=lambda g: (g[1], -g[0]), default=[0, 0])[0]
+    left = frame[frame["waiting"] & ((frame["mask"] & main) == 0)]
+    return pd.DataFrame({"cell": [frame["cell"].iloc[0]], "main": [main], "total": [int(frame["n"].sum())], "n_open": [int(left["n"].sum())], "open_bytes": [int(left["bytes"].sum())]})
 
 
 def split(cells: DataFrame, texts: DataFrame, n: int, percent: int) -> list[DataFrame]:
@@ -304,18 +305,18 @@ def split(cells: DataFrame, texts: DataFrame, n: int, percent: int) -> list[Data
         dealt = rows.join(texts, "key").withColumn("place", F.explode(places)).select("cell", "key", "text", "size", "open", "d", "final", "place.pivot", "place.chunk")
         got = cut(dealt.groupBy("cell", "chunk").applyInPandas(lambda frame: measure(n, percent, frame), MEASURED))
         out.append(got.select(F.col("key").alias("a"), F.explode("linked").alias("b")))
-        going = got.join(F.broadcast(sized.where(few).select("cell")), "cell", "left_anti") if level < LEVELS else got.limit(0)
-        masks = going.groupBy("cell", "mask").agg(F.count("*").alias("n"))
-        main = cut(masks.groupBy("cell").applyInPandas(largest_cluster, "cell long, main long, total long"))
-        left = cut(joined(going, main, ["cell"], "total", ["key"]).withColumn("open", F.col("open") & ~F.col("used") & (F.col("mask").bitwiseAND(F.col("main")) == 0)).drop("main", "total"))
-        rest = cut(left.groupBy("cell").agg(F.count("*").alias("m"), F.count_if("open").alias("n_open"), F.sum(F.when(F.col("open"), F.col("size")).otherwise(0)).alias("open_bytes")).where("n_open > 0"))
-        onward = joined(left, rest, ["cell"], "m", ["key"])
-        same = onward.where(few).select("cell", "key", "size", "open", F.lit(0.0).alias("d"))
-        # a member that met no pivot (none was drawn) stays in its cell
-        still = onward.where(~few & (F.size("near") == 0)).select("cell", "key", "size", "open", F.lit(0.0).alias("d"))
-        regions = onward.where(~few).select("cell", "key", "size", "open", F.posexplode("near").alias("at", "q"))
-        regions = regions.select(F.xxhash64("cell", "q.pivot").alias("cell"), "key", "size", (F.col("open") & (F.col("at") == 0)).alias("open"), F.col("q.d").alias("d"))
-        cells = cut(same.unionByName(still).unionByName(regions))
+        if level == LEVELS:
+            break
+        waiting = F.col("open") & ~F.col("used")
+        going = got.where("not final").withColumn("waiting", waiting)
+        masks = going.groupBy("cell", "mask", "waiting").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+        main = cut(masks.groupBy("cell").applyInPandas(largest_cluster, "cell long, main long, total long, n_open long, open_bytes long"))
+        onward = joined(going.drop("open"), main, ["cell"], "total", ["key"]).where("n_open > 0").withColumn("open", F.col("waiting") & (F.col("mask").bitwiseAND(F.col("main")) == 0))
+        # few open ones, or none drawn as a pivot: the cell stays as it is; else its regions are cells
+        stays = few | (F.size("near") == 0)
+        alone = F.array(F.struct(F.lit(None).cast("string").alias("pivot"), F.lit(0.0).alias("d")))
+        placed = onward.withColumn("stays", stays).select("cell", "key", "size", "open", "stays", F.posexplode(F.when(F.col("stays"), alone).otherwise(F.col("near"))).alias("at", "q"))
+        cells = cut(placed.select(F.when(F.col("stays"), F.col("cell")).otherwise(F.xxhash64("cell", "q.pivot")).alias("cell"), "key", "size", (F.col("open") & (F.col("at") == 0)).alias("open"), F.col("q.d").alias("d")))
     return out
 
 
@@ -338,9 +339,12 @@ def links(docs: DataFrame, summary: DataFrame, id: str, text: str, n: int, perce
 
     # shingles that are not hot: one exchange serves the regions' sums and the rows that join them
     cold = rep.join(own, of_rep).select("rep", "n", "short", F.posexplode(F.slice("prefix", F.lit(1), F.col("n_cold"))).alias("at", "shingle")).select("shingle", "rep", "n", index).repartition("shingle")
+    both = cold.join(regions(cold).hint("merge"), "shingle")
+    some_hot = not summary.where("n_cold < size(prefix)").isEmpty()
     warm = rep.join(own.where("n_cold < size(prefix)"), of_rep).select("rep", "n", "short", "n_cold", F.posexplode(F.expr("slice(prefix, n_cold + 1, size(prefix) - n_cold)")).alias("at", "shingle"))
-    hot = cut(warm.select("shingle", "rep", "n", (F.col("at") + F.col("n_cold") < F.col("short")).alias("index")))
-    both = cold.join(regions(cold).hint("merge"), "shingle").unionByName(hot.join(F.broadcast(regions(hot)), "shingle"))
+    if some_hot:
+        hot = cut(warm.select("shingle", "rep", "n", (F.col("at") + F.col("n_cold") < F.col("short")).alias("index")))
+        both = both.unionByName(hot.join(F.broadcast(regions(hot)), "shingle"))
     fits = F.col("index") | ((F.col("ilo") <= F.col("n")) & (100 * F.col("ihi") >= percent * F.col("n")))
     found = cut(both.where(fits).groupBy("pivot", "rep", "n").count())
     least = F.expr(few(f"ceil({percent} * n / 100.0)"))

@@ -1,20 +1,18 @@
 """Language identification by prediction by partial matching.
 
-For each language a context tree over bytes of variable order, up to ORDER, is counted from labelled
+For each language a context tree over bytes (A-Z lowered) of variable order, up to ORDER, is counted from labelled
 texts and then frozen.  In a context with total count t and q distinct followers, a byte
 seen c times has probability c / (t + q); with the escape probability q / (t + q) the shorter
 context decides among the bytes not seen here, down to a uniform share over all 256 bytes.
 Every context's distribution sums to one, so the sums of -log2 are exact code lengths.  The
 language that codes a text in the fewest bits is predicted.
 
-The trees are laid out as one table: a row for each context of any language, with the code
-lengths of every byte class under each language, and an index from the last ORDER byte
-classes to the row of the longest context that some language has.  Bytes that training does not
-have share a class whose probability is divided among them.
+With the bytes seen here excluded, a byte that a context has not seen costs the context's escape and what it costs in
+the shorter context.  So a tree is kept as two tables for each order: the cost of every run of bytes that some language
+has, and the escape of every context, each with a column for each language.  No context or byte is left out.
 
-Training texts are a sample by hash: about SAMPLE_DOCS texts of each language at most (expected
-number; the one bound of this operator), each used whole unless longer than SAMPLE_BYTES,
-and contexts count from LEAST occurrences on, at most ROWS of them.
+Training texts are a sample by hash: of each language about SAMPLE_DOCS texts and SAMPLE_BYTES bytes at most (expected
+numbers; the one bound of this operator), each used whole.
 
 Defined cases: a text that is null or has no letter (str.isalpha) is `und` with score 0;
 with no labelled row at all every text is `und`; ties go to the language first in order; repeated
@@ -34,85 +32,85 @@ from pyspark.sql import types as T
 from linkscope.llm.common import annotate, fresh, hash_share
 from linkscope.llm.text_kernel import LOWER, blocks
 
-ORDER, CLASSES = 3, 64
-SAMPLE_DOCS, SAMPLE_BYTES = 400, 1 << 18
-LEAST, ROWS = 3, 24_000
+ORDER = 3
+SAMPLE_DOCS, SAMPLE_BYTES = 400, 4 << 20
 
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
 
 
-def escape(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Distributions of contexts (rows) from their counts and those of their shorter contexts."""
-    t, q = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-    unseen = np.where(counts > 0, 0.0, shorter)
-    rest = unseen.sum(1, keepdims=True)
-    total = t + np.where(rest > 0, q, 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        own = np.where(counts > 0, counts / total, np.where(rest > 0, q / total * unseen / rest, 0.0))
-    return np.where(t > 0, own, shorter)
+def runs(stream: np.ndarray, n: int) -> np.ndarray:
+    """Each byte with the n - 1 bytes before it as one number, from the n-th byte on."""
+    out = np.zeros(max(0, len(stream) - n + 1), dtype=np.uint32)
+    for j in range(n):
+        out = (out << np.uint32(8)) | stream[j : j + len(out)]
+    return out
+
+
+def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted table, and whether they are there."""
+    at = np.searchsorted(table, keys)
+    at[at == len(table)] = 0
+    return at, (table[at] == keys) if len(table) else np.zeros(len(keys), dtype=bool)
 
 
 class Model:
-    """Frozen statistics of all languages."""
+    """Frozen statistics of all languages.
+
+    costs[k]: sorted runs of k + 1 bytes and the bits of their last byte after the others; escapes[k]: sorted contexts
+    of k bytes and the bits of an escape from them.  Both have a column for each language.
+    """
 
     def __init__(self, texts: dict[str, list[bytes]]):
         self.languages = sorted(texts)
-        streams = {k: [LOWER[np.frombuffer(t, np.uint8)] for t in v if t] for k, v in texts.items()}
-        seen = np.zeros(256, dtype=np.int64)
-        for v in streams.values():
-            for s in v:
-                seen += np.bincount(s, minlength=256)
-        common = [b for b in np.argsort(-seen, kind="stable").tolist() if seen[b]][: CLASSES - 1]
-        self.of_byte = np.zeros(256, dtype=np.uint8)  # class 0: all other bytes
-        self.of_byte[common] = np.arange(1, len(common) + 1)
-        others = 256 - len(common)
-        start = np.full(CLASSES, 0.0)
-        start[: len(common) + 1] = 1 / 256
-        start[0] = others / 256
-        grams = {k: self._grams(v) for k, v in streams.items()}
-        # contexts: a language's own with enough occurrences, the most frequent first if there are too many
-        size = CLASSES**ORDER
-        total = np.zeros(size, dtype=np.int64)
-        for g in grams.values():
-            total += np.bincount(g // CLASSES, minlength=size)
-        deep = np.flatnonzero(total >= LEAST)
-        deep = np.sort(deep[np.argsort(-total[deep], kind="stable")][: ROWS])
-        pairs = CLASSES ** (ORDER - 1)
-        self.row = np.arange(size, dtype=np.int32) % pairs  # the context one shorter
-        self.row[deep] = pairs + np.arange(len(deep), dtype=np.int32)
-        tables = []
-        for k in self.languages:
-            g = grams[k]
-            full = np.bincount(g % (pairs * CLASSES), minlength=pairs * CLASSES).reshape(pairs, CLASSES)
-            none = full.sum(0)
-            level = escape(none[None, :], start[None, :])
-            for order in range(1, ORDER):
-                n = full.reshape(-1, CLASSES**order, CLASSES).sum(0)
-                level = escape(n, np.tile(level, (CLASSES, 1)))
-            codes, times = np.unique(g, return_counts=True)
-            kept = self.row[codes // CLASSES] >= pairs
-            rows = np.zeros((len(deep), CLASSES), dtype=np.int64)
-            rows[self.row[codes[kept] // CLASSES] - pairs, codes[kept] % CLASSES] = times[kept]
-            tables.append(np.concatenate([level, escape(rows, level[deep % pairs])]))
-        with np.errstate(divide="ignore"):
-            bits = -np.log2(np.stack(tables, axis=-1)) if tables else np.zeros((pairs, CLASSES, 0))
-        bits[:, 0] += np.log2(max(1, others))
-        self.bits = np.minimum(bits, 64).astype(np.float32).reshape(-1, max(1, len(self.languages)))  # classes without a byte never occur
-
-    def _grams(self, streams: list[np.ndarray]) -> np.ndarray:
-        if not streams:
-            return np.zeros(0, dtype=np.int64)
+        width = len(self.languages)
         border = np.zeros(ORDER, dtype=np.uint8)
-        return np.concatenate([self._codes(np.concatenate([border, self.of_byte[s]])) for s in streams])
-
-    @staticmethod
-    def _codes(classes: np.ndarray) -> np.ndarray:
-        """Each byte with the ORDER bytes before it as one number, from the ORDER-th byte on."""
-        n = len(classes) - ORDER
-        out = np.zeros(n, dtype=np.int64)
-        for j in range(ORDER + 1):
-            out *= CLASSES
-            out += classes[j : j + n]
+        streams = {k: np.concatenate([x for t in texts[k] if t for x in (border, LOWER[np.frombuffer(t, np.uint8)])] or [border]) for k in self.languages}
+        starts = {k: np.cumsum([0, *[len(t) + ORDER for t in texts[k] if t]]) for k in self.languages}
+        self.costs, self.escapes = [], []
+        for k in range(ORDER + 1):
+            seen = []
+            for name in self.languages:
+                # runs that end at a byte of a text, not at a border
+                ends = np.ones(len(streams[name]), dtype=bool)
+                for i in range(ORDER):
+                    ends[starts[name][starts[name] + i < len(ends)] + i] = False
+                seen.append(np.unique(runs(streams[name], k + 1)[ends[k:]], return_counts=True))
+            union = np.unique(np.concatenate([u for u, _ in seen])) if seen else np.zeros(0, np.uint32)
+            contexts = np.unique(union >> np.uint32(8)) if k else np.zeros(1, np.uint32)
+            bits, escape = np.zeros((len(union), width), np.float64), np.zeros((len(contexts), width), np.float64)
+            for j, (codes, times) in enumerate(seen):
+                at, (own, _) = find(union, codes)[0], find(contexts, codes >> np.uint32(8) if k else np.zeros(len(codes), np.uint32))
+                shorter = self.costs[-1][1][find(self.costs[-1][0], union & np.uint32((1 << 8 * k) - 1))[0], j] if k else np.full(len(union), 8.0)
+                t = np.bincount(own, weights=times, minlength=len(contexts))
+                q = np.bincount(own, minlength=len(contexts))
+                rest = 1 - np.bincount(own, weights=np.exp2(-shorter[at]), minlength=len(contexts))
+                some = (rest > 1e-9) & (t > 0)
+                total = t + np.where(some, q, 0)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    escape[:, j] = np.where(some, np.log2(total / q) + np.log2(np.maximum(rest, 1e-300)), np.where(t > 0, 64.0, 0.0))
+                # those not seen in this language escape from the context
+                bits[:, j] = escape[find(contexts, union >> np.uint32(8) if k else np.zeros(len(union), np.uint32))[0], j] + shorter
+                bits[at, j] = np.log2(total[own] / times)
+            if k == 0:  # all bytes, seen or not
+                full = np.tile(8.0 + escape[0], (256, 1))
+                full[union] = bits
+                union, bits = np.arange(256, dtype=np.uint32), full
+            self.costs.append((union, bits))
+            self.escapes.append((contexts, escape))
+
+    def bits(self, code: np.ndarray) -> np.ndarray:
+        """Bits of each byte, given with the ORDER bytes before it as one number, under each language."""
+        out = np.zeros((len(code), len(self.languages)))
+        left = np.arange(len(code))
+        for k in range(ORDER, -1, -1):
+            own = code[left] & np.uint32((1 << 8 * (k + 1)) - 1 if k < 3 else 0xFFFFFFFF)
+            at, hit = find(self.costs[k][0], own)
+            out[left[hit]] += self.costs[k][1][at[hit]]
+            left, own = left[~hit], own[~hit]
+            if len(left) == 0:
+                break
+            at, known = find(self.escapes[k][0], own >> np.uint32(8))
+            out[left[known]] += self.escapes[k][1][at[known]]
         return out
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -121,15 +119,15 @@ class Model:
         full = np.flatnonzero(np.diff(offsets))
         if len(full) == 0:
             return out
-        classes = self.of_byte[LOWER[data]]
-        code = self._codes(np.concatenate([np.zeros(ORDER, np.uint8), classes]))
+        code = runs(np.concatenate([np.zeros(ORDER, np.uint8), LOWER[data]]), ORDER + 1)
         # at a text's start the context is a border, as in training
         for i in range(min(ORDER, len(data))):
             at = offsets[:-1][full] + i
             at = at[at < offsets[1:][full]]
-            code[at] %= CLASSES ** (i + 1)
-        cost = self.bits[self.row[code // CLASSES].astype(np.int64) * CLASSES + code % CLASSES]
-        out[full] = np.add.reduceat(cost, offsets[:-1][full], axis=0, dtype=np.float64)
+            code[at] &= np.uint32((1 << 8 * (i + 1)) - 1)
+        # equal runs are looked up once
+        distinct, of = np.unique(code, return_inverse=True)
+        out[full] = np.add.reduceat(self.bits(distinct)[of], offsets[:-1][full], axis=0)
         return out
 
 
@@ -165,11 +163,10 @@ def predict(model: Broadcast, texts: pa.Array) -> list:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id") -> Model:
     """Context trees from the rows that have a text, a language and an id."""
     rows = labelled.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("id is not null and text is not null and lang is not null")
-    rows = rows.where(F.octet_length("text") <= SAMPLE_BYTES)
-    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    n = {r["lang"]: (r["count"], r["bytes"]) for r in rows.groupBy("lang").agg(F.count("*").alias("count"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
     if not n:
         return Model({})
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, SAMPLE_DOCS / v))) for k, v in sorted(n.items())])
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, SAMPLE_DOCS / v, SAMPLE_BYTES / max(1, size)))) for k, (v, size) in sorted(n.items())])
     texts: dict[str, list[bytes]] = {k: [] for k in n}
     for r in rows.where(hash_share("id") < share).select("lang", "text").collect():
         texts[r["lang"]].append(r["text"].encode())

@@ -13,8 +13,11 @@ folds into one weight per triple, so a word costs its triples, not its landmarks
 A unit is a run of non-blanks in lower case, punctuation inside kept as a gap; units over LONGEST letters are cut
 into overlapping ones, and single letters with blanks between are also read as one unit.
 
-Fitted on a sample by hash of about SAMPLE labelled texts (expected number; the one
-bound of this operator); scores cover every unit of every text.
+Letters of all scripts take part: Latin ones with and without accents, and full-width and other shapes of them, as
+themselves, those of other scripts in OTHERS classes by code.
+
+Fitted on a sample by hash of about SAMPLE labelled texts and SAMPLE_BYTES bytes at most (expected numbers; the one
+bound of this operator), each used whole; scores cover every unit of every text.
 
 Defined cases: a null, empty or letterless text scores 0; with labels of one class alone the
 score is 0 or 1 throughout, without labels 0; contradictory labels of a document count as their maximum; ties do not
@@ -36,7 +39,7 @@ from pyspark.sql import types as T
 from linkscope.llm.common import annotate, fresh, hash_share
 
 DECAY, SPAN, LONGEST = 0.7, 7, 24
-LANDMARKS, SAMPLE, SAMPLE_BYTES = 192, 5000, 1 << 17
+LANDMARKS, SAMPLE, SAMPLE_BYTES = 192, 5000, 32 << 20
 THRESHOLD = 0.3
 #: Words of each kind that stand against the toxic ones in a round, rounds, cost of a toxic text's error,
 #: and toxic words whose misspellings are learnt too.
@@ -44,35 +47,48 @@ HARD, ROUNDS, COST, VARIED = 1500, 5, 10.0, 40
 #: Margins below this count as this in the logistic.
 LOWEST = 0.0
 KEPT, BATCH_CHARS = 200_000, 1 << 20
-#: Letters: 26 plain, ACCENTED with their accents, and a word's two borders; 0 is a gap.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüßœæ"
-ALPHABET = 27 + len(ACCENTED) + 2
+#: Letters: 26 plain, ACCENTED with their accents, all others in OTHERS classes by their code, and a word's two borders; 0 is a gap.
+ACCENTED, OTHERS = "àáâãäåçèéêëìíîïñòóôõöøùúûüßœæ", 37
+ALPHABET = 27 + len(ACCENTED) + OTHERS + 2
 
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType())]
 _SPELLED = re.compile(r"(?<!\S)(?:\w[^\w\s]*\s+){3,}\w[^\w\s]*(?!\S)")
 
 
 def _letter_table() -> np.ndarray:
-    """Code point to letter; letters with accents not listed count as their base."""
-    table = np.zeros(0x250, dtype=np.int64)
+    """Code point to letter; letters with accents not listed, and other shapes of plain ones, count as their base."""
+    table = np.zeros(1 << 16, dtype=np.int64)
     for c in range(len(table)):
         low = chr(c).lower()[:1]
-        base = unicodedata.normalize("NFD", low)[:1]
+        if not low.isalpha():
+            continue
+        base = unicodedata.normalize("NFKD", low)[:1].lower()
         if low in ACCENTED:
             table[c] = 27 + ACCENTED.index(low)
         elif "a" <= base <= "z":
             table[c] = ord(base) - 96
+        else:
+            table[c] = 27 + len(ACCENTED) + ord(low) % OTHERS
     return table
 
 
 _LETTER = _letter_table()
 
 
+def letters(points: np.ndarray) -> np.ndarray:
+    """Letter of each code point; past the first plane the ideographs count."""
+    out = _LETTER[np.where(points < len(_LETTER), points, 0)]
+    far = points >= 0x20000
+    if far.any():
+        out[far] = 27 + len(ACCENTED) + points[far] % OTHERS
+    return out
+
+
 def letter_runs(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letters of all units as numbers in one array, and each unit's start and length there, outer non-letters left out."""
     size = np.array([len(u) for u in units], dtype=np.int64)
     points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out = _LETTER[np.where(points < len(_LETTER), points, 0)]
+    out = letters(points)
     inner = np.flatnonzero(out)
     ends = np.cumsum(size)
     first = np.searchsorted(inner, ends - size)
@@ -332,9 +348,9 @@ def score_batch(block: Broadcast, texts: pa.Array) -> list:
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """The model from a bounded sample of the labelled documents."""
     known = labels.select(F.col(id).alias("id"), F.col(label).alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
-    n = known.count()
-    few = known.where(hash_share("id") < min(1.0, SAMPLE / max(1, n)))
-    own = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).where("id is not null").where(F.octet_length("text") <= SAMPLE_BYTES)
+    own = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+    size = own.select("id", F.octet_length("text").alias("size")).join(known, "id").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    few = known.where(hash_share("id") < min(1.0, SAMPLE / max(1, size["n"]), SAMPLE_BYTES / max(1, size["bytes"])))
     rows = own.join(F.broadcast(few), "id").select("id", "text", "label").distinct().collect()
     rows.sort(key=lambda r: (r["id"], r["text"]))
     return fit([r["text"] for r in rows], [r["label"] for r in rows])
