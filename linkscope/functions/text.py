@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from linkscope.functions.categories import LIBRARY_PREFIXES
 
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
@@ -20,6 +21,11 @@ def library_stem(name: Column) -> Column:
     return F.substring_index(basename(name), ".so", 1)
 
 
+def is_ssl_name(name: Column) -> Column:
+    """Whether a base name starts like one of the libraries, with or without `.so`."""
+    return is_library(basename(name), LIBRARY_PREFIXES, needs_so=False)
+
+
 def is_library(name: Column, prefixes: list[str], needs_so: bool = True) -> Column:
     """Whether a file name in lower case starts with one of the prefixes and, if asked for, contains `.so`."""
     low = F.lower(name)

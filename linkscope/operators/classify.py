@@ -2,33 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkscope.functions.categories import tier_of
+from linkscope.functions.text import basename, is_ssl_name, library_stem
 
 
 def static_confidence(symbols: DataFrame, by: str = "file") -> DataFrame:
-    """Confidence that a file has the library built in, by the tiers of the symbols it exports.
+    """Confidence that a file has the library built in, by the tiers of the symbols it exports, and the reason as text.
 
-    symbols: by, symbol, category, detected (boolean) and version of the banner found, if any.
+    symbols: by, symbol, category, detected (boolean), version of the banner found, if any, and library, if named.
     """
     t = tier_of(F.col("category"))
-    n = symbols.groupBy(by).agg(*[F.count_if(t == i).alias(f"t{i}") for i in (1, 2, 3)], F.count("*").alias("total"), F.countDistinct("category").alias("n_categories"), F.max("detected").alias("detected"), F.max("version").alias("version"))
-    t1, t2, total, hit = F.col("t1"), F.col("t2"), F.col("total"), F.coalesce("detected", F.lit(False))
-    named = F.coalesce(F.col("version") != "", F.lit(False))
-    level = (
-        F.when(hit & named, "high")
-        .when(hit & (t1 >= 2), "high")
-        .when((t1 >= 5) | ((total >= 50) & (t1 >= 1)), "high")
-        .when(hit | ((t1 >= 2) & (total >= 5)) | ((t2 >= 5) & (total >= 20)), "medium")
-        .when((t1 >= 1) | ((t2 >= 1) & (total >= 5)) | (total >= 10), "low")
-        .when((total <= 2) & (t2 == 0), "none")
-        .when(F.col("n_categories") > 1, "low")
-        .when(total.between(3, 5) & (t2 == 0), "none")
-        .otherwise("low")
-    )
-    return n.select(by, "t1", "t2", "t3", "total", level.alias("confidence"))
+    named = "library" in symbols.columns
+    n = symbols.groupBy(by).agg(*[F.count_if(t == i).alias(f"t{i}") for i in (1, 2, 3)], F.count("*").alias("total"), F.countDistinct("category").alias("n_categories"), F.min("category").alias("category"), F.max("detected").alias("detected"), F.max("version").alias("version"), (F.max("library") if named else F.lit(None).cast("string")).alias("library"))
+    return n.select(by, "t1", "t2", "t3", "total", *confidence())
+
+
+def confidence() -> list[Column]:
+    """Level and reason from the columns t1, t2, t3, total, n_categories, category, detected, version and library: the first rule that fits."""
+    t1, t2, t3, total = (F.col(c) for c in ("t1", "t2", "t3", "total"))
+    hit, library = F.coalesce("detected", F.lit(False)), F.coalesce("library", F.lit(""))
+    version = hit & F.coalesce(F.col("version") != "", F.lit(False))
+    # Texts of the reasons.
+    rules = [
+        (version, "high", ["version_banner: ", F.col("version"), " (", total, " exported)"]),
+        (hit & (t1 >= 2), "high", [library, "_detected: ", t1, " tier1, ", total, " total"]),
+        (t1 >= 5, "high", ["tier1_symbols: ", t1, " tier1, ", total, " total"]),
+        ((total >= 50) & (t1 >= 1), "high", ["large_surface: ", total, " total, ", t1, " tier1"]),
+        (hit, "medium", ["ssl_detected: ", library, " (", total, " exported)"]),
+        ((t1 >= 2) & (total >= 5), "medium", ["moderate_tier1: ", t1, " tier1, ", total, " total"]),
+        ((t2 >= 5) & (total >= 20), "medium", ["strong_tier2: ", t2, " tier2, ", total, " total"]),
+        (t1 >= 1, "low", ["minimal_tier1: ", t1, " tier1, ", total, " total"]),
+        ((t2 >= 1) & (total >= 5), "low", ["weak_tier2: ", t2, " tier2, ", total, " total"]),
+        (total >= 10, "low", ["large_count: ", total, " total (t1=", t1, " t2=", t2, " t3=", t3, ")"]),
+        ((total <= 2) & (t2 == 0), "none", ["insufficient: ", total, " total, all tier3"]),
+        (F.col("n_categories") > 1, "low", ["mixed_categories: ", F.col("n_categories"), " categories, ", total, " total"]),
+        (total.between(3, 5) & (t2 == 0), "none", ["single_primitive: ", F.col("category"), " only, ", t3, " symbols"]),
+    ]
+    level, reason = F.when(F.lit(False), ""), F.when(F.lit(False), "")
+    written = lambda parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    for fits, name, parts in rules:
+        level, reason = level.when(fits, name), reason.when(fits, written(parts))
+    rest = written(["default: ", t1, " tier1, ", t2, " tier2, ", t3, " tier3, ", total, " total"])
+    return [level.otherwise("low").alias("confidence"), reason.otherwise(rest).alias("reason")]
 
 
 def fingerprint_scores(strings: DataFrame, marks: DataFrame, by: str = "file", max_score: float = 106, levels: tuple[float, float, float] = (60, 35, 15)) -> DataFrame:
@@ -66,28 +84,78 @@ def pattern_summary(hits: DataFrame) -> DataFrame:
     return n.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "n"))), lambda x: F.concat(x["group"].cast("string"), F.lit(" ("), x["n"].cast("string"), F.lit(")"))), ", ").alias("summary"))
 
 
-def package_methods(files: DataFrame, by: str = "package") -> DataFrame:
-    """How a package uses the library, from flags of its files: symbol, is_static, is_dlopen, is_resolved."""
-    used = F.col("symbol").isNotNull()
-    static, dlopen = F.coalesce("is_static", F.lit(False)), F.coalesce("is_dlopen", F.lit(False))
-    n = files.groupBy(by).agg(
-        F.bool_or(static).alias("has_static"),
-        F.bool_or(~static & dlopen & used).alias("has_dlopen"),
-        F.bool_or(~static & ~dlopen & used).alias("has_dynamic"),
-        F.bool_or(used & ~F.coalesce("is_resolved", F.lit(False))).alias("open"),
-        F.countDistinct("symbol").alias("n_symbols"),
+FILE_FACTS = """package, path, symbols, dlsym, dlopen_libs, libs, deps (arrays), is_static, uses_dlopen (booleans), confidence"""
+
+
+def package_libraries(files: DataFrame, bundled: DataFrame) -> DataFrame:
+    """What a package brings along (package, library, provider): its bundled libraries, and files that have one built in."""
+    sure = F.col("is_static") & F.col("confidence").isin("high", "medium")
+    own = files.where(sure).select("package", basename(F.col("path")).alias("library"), F.lit(True).alias("provider"))
+    return bundled.select("package", basename(F.col("library")).alias("library"), F.lit(False).alias("provider")).unionByName(own)
+
+
+def _resolved(targets: str) -> Column:
+    """Whether there are targets named like the libraries, and all have the stem of a library at hand."""
+    named = F.filter(targets, is_ssl_name)
+    return (F.size(named) > 0) & (F.size(F.array_except(F.transform(named, lambda x: F.lower(library_stem(x))), F.col("stems"))) == 0)
+
+
+def _kinds(files: DataFrame) -> DataFrame:
+    """Method, kind and numbers of symbols of each package; files have stems (of libraries at hand) and providers (of siblings) too."""
+    files = files.select("*", *[F.coalesce(c, F.array().cast("array<string>")).alias(f"{c}_") for c in ("symbols", "dlsym", "dlopen_libs", "libs", "deps", "stems", "providers")])
+    files = files.drop("symbols", "dlsym", "dlopen_libs", "libs", "deps", "stems", "providers").withColumnsRenamed({f"{c}_": c for c in ("symbols", "dlsym", "dlopen_libs", "libs", "deps", "stems", "providers")})
+    static, dlopen = F.coalesce("is_static", F.lit(False)), F.coalesce("uses_dlopen", F.lit(False))
+    evidence = (F.size("dlsym") > 0) | F.exists("dlopen_libs", is_ssl_name)
+    some = F.size("symbols") > 0
+    # a file that loads at run time counts as such only with evidence or symbols
+    loads = F.when(static, dlopen & evidence).otherwise(dlopen & (evidence | some))
+    directly = ~static & ~dlopen & some
+    rest = F.when(loads, F.array_except("symbols", "dlsym")).otherwise(F.col("symbols"))
+    lacking = (
+        F.when(loads, ~_resolved("dlopen_libs"))
+        .when(static, (F.size("libs") > 0) & ~_resolved("libs"))
+        .when(directly & (F.size("libs") > 0), ~_resolved("libs"))
+        .when(directly, ~F.arrays_overlap(F.transform("deps", basename), F.col("providers")))
+        .otherwise(F.lit(False))
     )
-    kinds = sum((F.col(c).cast("int") for c in ("has_static", "has_dlopen", "has_dynamic")), F.lit(0))
-    method = F.when(kinds == 0, "None").when(kinds > 1, "Mixed").when(F.col("has_dynamic"), "Dynamic").when(F.col("has_static"), "Static").otherwise("dlopen")
+    ways = F.concat(
+        F.when(static, F.transform(rest, lambda x: F.struct(F.lit("static").alias("way"), x.alias("symbol")))).otherwise(F.transform(F.when(directly | loads, rest).otherwise(F.array().cast("array<string>")), lambda x: F.struct(F.lit("dynamic").alias("way"), x.alias("symbol")))),
+        F.transform(F.when(loads, F.col("dlsym")).otherwise(F.array().cast("array<string>")), lambda x: F.struct(F.lit("dlopen").alias("way"), x.alias("symbol"))),
+    )
+    flags = files.groupBy("package").agg(F.bool_or(static).alias("has_static"), F.bool_or(loads).alias("has_dlopen"), F.bool_or((loads & ~static & (F.size(rest) > 0)) | directly).alias("has_dynamic"), F.bool_or(lacking).alias("open"))
+    each = files.select("package", F.explode(ways).alias("w")).select("package", "w.*").distinct()
+    n = each.groupBy("package", "symbol").agg(*[F.max((F.col("way") == w).cast("int")).alias(w) for w in ("static", "dynamic", "dlopen")]).groupBy("package").agg(*[F.sum(w).alias(f"n_{w}") for w in ("static", "dynamic", "dlopen")], F.count("*").alias("n_symbols"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_static", "n_dynamic", "n_dlopen", "n_symbols")]
+    full = flags.join(n, "package", "left").select(*flags.columns, *zero)
+    number = sum((F.col(c).cast("int") for c in ("has_static", "has_dlopen", "has_dynamic")), F.lit(0))
+    method = F.when(number == 0, "None").when(number > 1, "Mixed").when(F.col("has_dynamic"), "Dynamic").when(F.col("has_static"), "Static").otherwise("dlopen")
     kind = F.when((F.col("n_symbols") == 0) & ~F.col("has_dlopen"), "No-OpenSSL").when(~F.col("open"), "Self-Contained").otherwise("System-Link")
-    return n.select(by, method.alias("method"), kind.alias("kind"), "n_symbols")
+    return full.select("package", method.alias("method"), kind.alias("kind"), "n_static", "n_dynamic", "n_dlopen", "n_symbols")
+
 
+def package_methods(files: DataFrame, bundled: DataFrame) -> DataFrame:
+    """How each package uses the library, and whether all that it needs is inside; bundled: package, library.
+
+    files: see FILE_FACTS.  A file that loads at run time and has other symbols too counts as both.
+    """
+    own = package_libraries(files, bundled).groupBy("package").agg(F.collect_set(F.lower(library_stem(F.col("library")))).alias("stems"))
+    return _kinds(files.join(own, "package", "left").withColumn("providers", F.array().cast("array<string>")))
 
-def in_release(packages: DataFrame, release: list[str]) -> DataFrame:
-    """A package that another of its release serves is `In-APP-Link`; packages: package, kind, provides (boolean)."""
-    served = packages.groupBy(*release).agg(F.count_if("provides").alias("providers"))
-    other = F.col("providers") - F.col("provides").cast("int") > 0
-    return packages.join(served, release).withColumn("kind", F.when((F.col("kind") == "System-Link") & other, "In-APP-Link").otherwise(F.col("kind"))).drop("providers")
+
+def in_release(files: DataFrame, bundled: DataFrame, releases: DataFrame) -> DataFrame:
+    """package_methods() with `In-APP-Link` for a package whose needs the packages of its release meet together.
+
+    releases: package, release.  Names of files with a library built in count for direct needs only if a sibling has them.
+    """
+    alone = package_methods(files, bundled)
+    held = package_libraries(files, bundled).join(releases, "package")
+    of_release = held.groupBy("release").agg(F.collect_set(F.lower(library_stem(F.col("library")))).alias("stems"), F.collect_set(F.when(F.col("provider"), F.struct("package", "library"))).alias("held"))
+    several = releases.groupBy("release").agg(F.count("*").alias("n")).where("n > 1").select("release")
+    waiting = alone.where("kind = 'System-Link'").select("package").join(releases, "package").join(several, "release", "left_semi").join(of_release, "release")
+    siblings = F.transform(F.filter("held", lambda x: x["package"] != F.col("package")), lambda x: x["library"])
+    again = _kinds(files.join(waiting.select("package", "stems", siblings.alias("providers")), "package")).where("kind = 'Self-Contained'")
+    better = again.select("package", F.lit("In-APP-Link").alias("better"))
+    return alone.join(better, "package", "left").withColumn("kind", F.coalesce("better", "kind")).drop("better")
 
 
 def all_resolved(needs: DataFrame, bundled: DataFrame) -> DataFrame:

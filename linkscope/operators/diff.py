@@ -7,7 +7,7 @@ u are unchanged, a - u moved, min(o, n) - a changed and the rest removed or adde
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["file", "caller", "symbol"]
@@ -59,27 +59,80 @@ def metrics(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def pairs(old: DataFrame, new: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """Which old row became which new one, by rank instead of a search: equal (line, args) first, then
-    equal args, then the rest, in order of line. Groups are counted by ranks inside their own key only."""
-    from pyspark.sql import Window
-
-    def ranked(d: DataFrame, by: list[str], name: str) -> DataFrame:
-        return d.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy("line", "args", "id")))
-
-    a, b = (d.withColumn("id", F.monotonically_increasing_id()) for d in (old, new))
-    out = None
-    for status, by in (("unchanged", [*key, "line", "args"]), ("moved", [*key, "args"]), ("changed", key)):
-        x, y = ranked(a, by, "r"), ranked(b, by, "r")
-        x = x.select(*by, "r", F.col("id").alias("old_id"), *[F.col(c).alias(f"old_{c}") for c in ("line", "args")])
-        y = y.select(*[F.col(c).alias(f"k_{c}") for c in by], F.col("r").alias("k_r"), F.col("id").alias("new_id"), *[F.col(c).alias(f"new_{c}") for c in ("line", "args")])
-        on = F.col("r") == F.col("k_r")
-        for c in by:
-            on = on & F.col(c).eqNullSafe(F.col(f"k_{c}"))
-        hit = x.join(y, on).select(*key, "old_line", "old_args", "new_line", "new_args", F.lit(status).alias("status"), "old_id", "new_id")
-        out = hit if out is None else out.unionByName(hit)
-        a = a.join(hit.select(F.col("old_id").alias("id")), "id", "left_anti")
-        b = b.join(hit.select(F.col("new_id").alias("id")), "id", "left_anti")
-    null = F.lit(None)
-    gone = a.select(*key, F.col("line").alias("old_line"), F.col("args").alias("old_args"), null.cast("int").alias("new_line"), null.cast("string").alias("new_args"), F.lit("removed").alias("status"))
-    come = b.select(*key, null.cast("int").alias("old_line"), null.cast("string").alias("old_args"), F.col("line").alias("new_line"), F.col("args").alias("new_args"), F.lit("added").alias("status"))
-    return out.drop("old_id", "new_id").unionByName(gone).unionByName(come)
+    """Which old call became which new one: equal (line, args) first, then equal args, then the rest of the key.
+
+    Partners are taken in order of their lines on both sides, which keeps the sum of their distances least; counts equal
+    those of call_sites.  Rows that agree in key, line and args are interchangeable, so they are counted and no row needs an id.
+    """
+    key_columns = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in key]
+    side = lambda d: d.select(*key_columns, F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("args", F.lit("")).alias("args"))
+    n = _sides(side(old), side(new)).groupBy(*key, "args", "line").agg(F.sum("o").alias("o"), F.sum("n").alias("n"))
+    times = lambda count: F.explode(F.sequence(F.lit(1), F.col(count).cast("int"))).alias("_i")
+    same = n.withColumn("u", F.least("o", "n")).where("u > 0").select(*key, "line", "args", times("u"))
+    out = [same.select(*key, F.col("line").alias("old_line"), F.col("args").alias("old_args"), F.col("line").alias("new_line"), F.col("args").alias("new_args"), F.lit("unchanged").alias("status"))]
+    left = n.withColumn("d", F.col("o") - F.col("n")).where("d <> 0").withColumn("m", F.abs("d")).select(*key, "line", "args", (F.col("d") > 0).alias("is_old"), times("m"))
+    sides = [F.max(F.when(c, F.struct("line", "args"))) for c in (F.col("is_old"), ~F.col("is_old"))]
+    for status, by in (("moved", [*key, "args"]), ("changed", key)):
+        whole = Window.partitionBy(*by)
+        both = F.least(F.count_if("is_old").over(whole), F.count_if(~F.col("is_old")).over(whole))
+        left = left.withColumn("_both", both).withColumn("_r", F.row_number().over(Window.partitionBy(*by, "is_old").orderBy("line", "args")))
+        met = left.where("_r <= _both").groupBy(*by, "_r").agg(sides[0].alias("a"), sides[1].alias("b"))
+        out.append(met.select(*key, F.col("a.line").alias("old_line"), F.col("a.args").alias("old_args"), F.col("b.line").alias("new_line"), F.col("b.args").alias("new_args"), F.lit(status).alias("status")))
+        left = left.where("_r > _both").select(*key, "line", "args", "is_old")
+    of = lambda c, v: F.when(c, F.col(v))
+    gone, came = F.col("is_old"), ~F.col("is_old")
+    out.append(left.select(*key, of(gone, "line").alias("old_line"), of(gone, "args").alias("old_args"), of(came, "line").alias("new_line"), of(came, "args").alias("new_args"), F.when(gone, "removed").otherwise("added").alias("status")))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def _first(value: str, of_new: str = "n") -> Column:
+    """Value of the first new row in order of line and args, of the first old one where none is new."""
+    first = lambda c: F.min(F.when(F.col(c) > 0, F.struct("line", "args", value)))[value]
+    return F.coalesce(first(of_new), first("o"), F.lit(""))
+
+
+def call_site_details(old: DataFrame, new: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """Lines on both sides, in order, and the category of every group of call sites; both sides have a category too."""
+    key_columns = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in key]
+    side = lambda d: d.select(*key_columns, F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("args", F.lit("")).alias("args"), "category")
+    both = _sides(side(old), side(new))
+    lines = lambda c: F.array_sort(F.collect_list(F.when(F.col(c) > 0, F.col("line"))))
+    return both.groupBy(*key).agg(lines("o").alias("old_lines"), lines("n").alias("new_lines"), _first("category").alias("category"))
+
+
+def symbol_categories(old: DataFrame, new: DataFrame) -> DataFrame:
+    """symbols() with the category, the new side's before the old one's."""
+    side = lambda d: d.select("symbol", F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("args", F.lit("")).alias("args"), "category")
+    n = _sides(side(old), side(new)).groupBy("symbol").agg(F.sum("o").alias("old_calls"), F.sum("n").alias("new_calls"), _first("category").alias("category"))
+    return n.withColumn("status", counted_status("old_calls", "new_calls"))
+
+
+def file_symbols(old: DataFrame, new: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """files() with the number of symbols on both sides and the names that came and went, in order; by: a project column."""
+    key = [*(by or []), "file"]
+    pair = _sides(old.select(*key, "symbol"), new.select(*key, "symbol")).groupBy(*key, "symbol").agg(F.sum("o").alias("o"), F.sum("n").alias("n"))
+    names = lambda c: F.array_sort(F.collect_set(F.when(F.col(c) == 0, F.col("symbol"))))
+    n = pair.groupBy(*key).agg(F.sum("o").alias("old_calls"), F.sum("n").alias("new_calls"), F.count_if(F.col("o") > 0).alias("old_symbols"), F.count_if(F.col("n") > 0).alias("new_symbols"), names("o").alias("added_symbols"), names("n").alias("removed_symbols"))
+    moved = (F.size("added_symbols") > 0) | (F.size("removed_symbols") > 0)
+    status = counted_status("old_calls", "new_calls")
+    return n.withColumn("status", F.when((status == "unchanged") & moved, "changed").otherwise(status))
+
+
+def category_metrics(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Distinct symbols of each category on both sides, and the difference."""
+    n = _sides(old.select("category", "symbol"), new.select("category", "symbol")).groupBy("category", "symbol").agg(F.max("o").alias("o"), F.max("n").alias("n"))
+    return n.groupBy("category").agg(F.sum("o").alias("old_symbols"), F.sum("n").alias("new_symbols")).withColumn("delta", F.col("new_symbols") - F.col("old_symbols"))
+
+
+def is_empty(*layers: DataFrame) -> bool:
+    """Whether no layer has a row of another status than unchanged."""
+    return all(layer.where("status <> 'unchanged'").isEmpty() for layer in layers)
+
+
+def in_order(rows: DataFrame, *columns: str | Column) -> DataFrame:
+    """Rows in order of status, then of the given columns."""
+    place = F.element_at(F.create_map(*[F.lit(x) for pair in ORDER.items() for x in pair]), F.col("status"))
+    return rows.orderBy(F.coalesce(place, F.lit(99)), *columns)

@@ -42,15 +42,21 @@ def merged_symbol_summary(calls: DataFrame) -> DataFrame:
     )
 
 
-def top_category(facts: DataFrame, by: str) -> DataFrame:
-    """For each group the category of most distinct symbols; ties go to the larger name."""
-    n = facts.groupBy(by, "category").agg(F.countDistinct("symbol").alias("n"))
-    return n.groupBy(by).agg(F.max(F.struct("n", "category")).alias("m")).select(by, F.col("m.category").alias("top_category"), F.col("m.n").alias("top_count"))
+def top_category(facts: DataFrame, by: str, order: list[str] | None = None) -> DataFrame:
+    """For each group the category of most distinct symbols; ties go to the category whose first row in the order comes first.
 
+    Without an order ties go to the smaller name.
+    """
+    first = F.min(F.struct(*order)) if order else F.lit(0)
+    n = facts.groupBy(by, "category", "symbol").agg(first.alias("o")).groupBy(by, "category").agg(F.count("symbol").alias("n"), F.min("o").alias("o"))
+    return n.groupBy(by).agg(F.min(F.struct((-F.col("n")).alias("n"), "o", "category")).alias("m")).select(by, F.col("m.category").alias("top_category"), (-F.col("m.n")).alias("top_count"))
 
-def project_stats(calls: DataFrame) -> DataFrame:
-    n = calls.groupBy("project").agg(F.count("*").alias("n_calls"), F.countDistinct("symbol").alias("n_symbols"), F.countDistinct("file").alias("n_files"))
-    return n.join(top_category(calls, "project"), "project")
+
+def project_stats(calls: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Calls, distinct symbols and files, and the top category of each project; symbols and files are counted over distinct pairs."""
+    n = calls.groupBy("project", "symbol").agg(F.count("*").alias("n")).groupBy("project").agg(F.sum("n").alias("n_calls"), F.count("symbol").alias("n_symbols"))
+    files = calls.select("project", "file").distinct().groupBy("project").agg(F.count("file").alias("n_files"))
+    return n.join(files, "project").join(top_category(calls, "project", order), "project")
 
 
 def with_total(calls: DataFrame) -> DataFrame:
@@ -84,8 +90,15 @@ def top_blockers(found: DataFrame, by: str = "project", n: int = 5) -> DataFrame
 
 
 def component_stats(facts: DataFrame) -> DataFrame:
-    """Distinct symbols, executables and categories of each component."""
-    return facts.groupBy("component").agg(F.countDistinct("symbol").alias("n_symbols"), F.countDistinct("executable").alias("n_executables"), F.countDistinct("category").alias("n_categories"))
+    """Distinct symbols, executables and categories of each component, each counted over its own distinct pairs.
+
+    The facts are reduced to distinct (component, executable, category, symbol) first, which one partial aggregate does.
+    """
+    once = facts.select("component", "executable", "category", "symbol").distinct()
+    ids = [F.count(F.when(F.col("what") == i, F.lit(1))).alias(n) for i, n in enumerate(("n_symbols", "n_executables", "n_categories"))]
+    values = F.array(*[F.struct(F.lit(i).alias("what"), F.col(c).cast("string").alias("value")) for i, c in enumerate(("symbol", "executable", "category"))])
+    each = once.select("component", F.explode(values).alias("v")).select("component", "v.*").where("value is not null").distinct()
+    return once.select("component").distinct().join(each.groupBy("component").agg(*ids), "component", "left").select("component", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_symbols", "n_executables", "n_categories")])
 
 
 def assigned(facts: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -96,9 +109,8 @@ def assigned(facts: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def ranking(stats: DataFrame, n: int | None = None) -> DataFrame:
     """Components by symbols, ties by name, with rank and the share of all. The components are few: a dimension's rows."""
-    order = Window.orderBy(F.desc("n_symbols"), "component")
-    total = stats.agg(F.sum("n_symbols").alias("total"))
-    out = stats.crossJoin(total).withColumn("rank", F.row_number().over(order).cast("long")).withColumn("share", ratio(F.col("n_symbols"), F.col("total"))).drop("total")
+    order, whole = Window.orderBy(F.desc("n_symbols"), "component"), Window.partitionBy()
+    out = stats.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("share", ratio(F.col("n_symbols"), F.sum("n_symbols").over(whole)))
     return out if n is None else out.where(F.col("rank") <= n)
 
 
@@ -119,12 +131,46 @@ def most_common(facts: DataFrame, n: int = 10) -> DataFrame:
 
 
 def drill_down(facts: DataFrame) -> DataFrame:
-    """Component, executable and category with their distinct symbols, and the executable's total beside."""
-    n = facts.groupBy("component", "executable", "category").agg(F.countDistinct("symbol").alias("n_symbols"))
-    total = facts.groupBy("component", "executable").agg(F.countDistinct("symbol").alias("n_total"))
-    return n.join(total, ["component", "executable"])
+    """Component, executable and category with their distinct symbols, and the executable's total beside.
+
+    Both counts come from one distinct table: a symbol that an executable has in several categories counts once in its total.
+    """
+    key = ["component", "executable"]
+    once = facts.select(*key, "category", "symbol").distinct()
+    first = F.row_number().over(Window.partitionBy(*key, "symbol").orderBy("category"))
+    n = once.withColumn("first", ((first == 1) & F.col("symbol").isNotNull()).cast("long")).groupBy(*key, "category").agg(F.count("symbol").alias("n_symbols"), F.sum("first").alias("n_first"))
+    return n.withColumn("n_total", F.sum("n_first").over(Window.partitionBy(*key))).drop("n_first")
 
 
 def first_of(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def fallback_counts(calls: DataFrame) -> DataFrame:
+    """Call sites that were recovered from text, and the files that hold them; calls: file, confidence."""
+    fallback = F.col("confidence") == "fallback"
+    return calls.agg(F.count_if(fallback).alias("n_fallback_calls"), F.countDistinct(F.when(fallback, F.col("file"))).alias("n_fallback_files"))
+
+
+def symbol_dimension(*parts: DataFrame) -> DataFrame:
+    """One dimension from several lists of symbols (symbol, origin): each name once, with the first of its origins by name."""
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    return union.where("symbol is not null and symbol <> ''").groupBy("symbol").agg(F.min("origin").alias("origin"))
+
+
+def excluded(projects: DataFrame, patterns: list[str], path: str = "project") -> DataFrame:
+    """Projects but those whose path holds one of the patterns."""
+    hit = F.lit(False)
+    for p in patterns:
+        hit = hit | F.col(path).contains(p)
+    return projects.where(~F.coalesce(hit, F.lit(False)))
+
+
+def summary_with_files(calls: DataFrame, file: str = "file") -> DataFrame:
+    """symbol_summary() with the list of files as text, in order of category and symbol when sorted by them."""
+    each = calls.groupBy("symbol", file).agg(F.min("category").alias("category"), F.count("*").alias("n"))
+    names = F.array_join(F.array_sort(F.collect_list(F.col(file).cast("string"))), ";")
+    return each.groupBy("symbol").agg(F.min("category").alias("category"), F.sum("n").alias("n_calls"), F.count(file).alias("n_files"), names.alias("files"))

@@ -54,28 +54,6 @@ new AS (SELECT l_suppkey % 7 AS project, l_suppkey AS file, l_linenumber AS call
 sides AS (SELECT *, 1 AS o, 0 AS n FROM old UNION ALL SELECT *, 0, 1 FROM new)"""
 
 
-def edges(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_orderkey % 400 = 0 and l_suppkey % 40 <> l_partkey % 40").selectExpr("l_suppkey % 40 as src", "l_partkey % 40 as dst").distinct()
-
-
-def targets(spark, sf_dir):
-    return spark.range(2).withColumnRenamed("id", "node")
-
-
-EDGES = "edges AS (SELECT DISTINCT l_suppkey % 40 AS src, l_partkey % 40 AS dst FROM lineitem WHERE l_orderkey % 400 = 0 AND l_suppkey % 40 <> l_partkey % 40)"
-PATHS = f"""{EDGES}, walk AS (
-  SELECT src, [src, dst] AS path, dst AS tip, 1 AS depth FROM edges WHERE src NOT IN (0, 1)
-  UNION ALL SELECT w.src, list_append(w.path, e.dst), e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.tip WHERE w.tip NOT IN (0, 1) AND w.depth < 4 AND NOT list_contains(w.path, e.dst)),
-paths AS (SELECT src, path, depth::BIGINT AS depth FROM walk WHERE tip IN (0, 1))"""
-
-
-def file_symbols(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").selectExpr("l_suppkey % 40 as src", "l_partkey % 97 as symbol").distinct()
-
-
-FILE_SYMBOLS = "fs AS (SELECT DISTINCT l_suppkey % 40 AS src, l_partkey % 97 AS symbol FROM lineitem)"
-
-
 # Graph views of all rows: orders are files, each part is the file of 40 times its key, so few files are both and the number of paths stays in proportion to the rows
 
 

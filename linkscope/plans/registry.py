@@ -42,9 +42,9 @@ query("symbol_summary", f"WITH {a.CALLS} SELECT symbol, min(category) AS categor
     lambda s, d: usage.symbol_summary(a.calls(s, d)))
 query("merged_symbol_summary", f"""WITH {a.CALLS} SELECT symbol, min(category) AS category, count(*) AS n_calls, count(DISTINCT file) AS n_files, count(DISTINCT project) AS n_projects,
   string_agg(DISTINCT project::VARCHAR, ',' ORDER BY project::VARCHAR) AS projects FROM calls GROUP BY 1""")(lambda s, d: usage.merged_symbol_summary(a.calls(s, d)))
-query("project_stats", f"""WITH {a.CALLS}, c AS (SELECT project, category, count(DISTINCT symbol) AS n FROM calls GROUP BY 1, 2), t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY project ORDER BY n DESC, category DESC) = 1)
+query("project_stats", """WITH """ + a.CALLS + """, c AS (SELECT project, category, count(DISTINCT symbol) AS n FROM calls GROUP BY 1, 2), t AS (SELECT * FROM c JOIN (SELECT project, category, min({'f': file, 'c': caller}) AS first FROM calls GROUP BY 1, 2) USING (project, category) QUALIFY row_number() OVER (PARTITION BY project ORDER BY n DESC, first, category) = 1)
 SELECT project, count(*) AS n_calls, count(DISTINCT symbol) AS n_symbols, count(DISTINCT file) AS n_files, any_value(t.category) AS top_category, any_value(t.n) AS top_count FROM calls JOIN t USING (project) GROUP BY 1""")(
-    lambda s, d: usage.project_stats(a.calls(s, d)))
+    lambda s, d: usage.project_stats(a.calls(s, d), ["file", "caller"]))
 query("project_totals", f"""WITH {a.CALLS} SELECT project::VARCHAR AS project, count(*) AS n_calls, count(DISTINCT symbol) AS n_symbols, count(DISTINCT file) AS n_files FROM calls GROUP BY 1
 UNION ALL SELECT 'TOTAL', count(*), count(DISTINCT symbol), count(DISTINCT file) FROM calls""")(lambda s, d: usage.with_total(a.calls(s, d)))
 query("category_share", f"""WITH {a.CALLS}, c AS (SELECT category, count(DISTINCT symbol) AS n_symbols FROM calls GROUP BY 1)
@@ -87,30 +87,45 @@ SELECT *, CASE WHEN old_calls = new_calls AND old_calls > 0 AND n_added_symbols
 query("diff_metrics", f"""WITH {a.SNAPSHOTS}, m AS (SELECT 'calls' AS metric, (SELECT count(*) FROM old) AS old_value, (SELECT count(*) FROM new) AS new_value
 UNION ALL SELECT 'files', (SELECT count(DISTINCT file) FROM old), (SELECT count(DISTINCT file) FROM new) UNION ALL SELECT 'symbols', (SELECT count(DISTINCT symbol) FROM old), (SELECT count(DISTINCT symbol) FROM new))
 SELECT *, new_value - old_value AS delta FROM m""")(lambda s, d: diff.metrics(*a.snapshots(s, d)))
-query("diff_pairs")(lambda s, d: diff.pairs(*(x.drop("project") for x in a.snapshots(s, d))))
+_KEY = "file, caller, symbol"
+query("diff_pairs", f"""WITH {a.SNAPSHOTS}, n AS (SELECT file::VARCHAR AS file, caller::VARCHAR AS caller, symbol, args, line, sum(o)::INT AS o, sum(n)::INT AS n FROM sides GROUP BY ALL),
+same AS (SELECT {_KEY}, line AS old_line, args AS old_args, line AS new_line, args AS new_args, 'unchanged' AS status, unnest(range(least(o, n))) AS i FROM n),
+l AS (SELECT {_KEY}, args, line, o > n AS is_old, unnest(range(abs(o - n))) AS i FROM n),
+m AS (SELECT *, row_number() OVER (PARTITION BY {_KEY}, args, is_old ORDER BY line) AS r, least(count(*) FILTER (is_old) OVER (PARTITION BY {_KEY}, args), count(*) FILTER (NOT is_old) OVER (PARTITION BY {_KEY}, args)) AS k FROM l),
+moved AS (SELECT {_KEY}, max(line) FILTER (is_old) AS old_line, args AS old_args, max(line) FILTER (NOT is_old) AS new_line, args AS new_args, 'moved' AS status FROM m WHERE r <= k GROUP BY {_KEY}, args, r),
+c AS (SELECT {_KEY}, args, line, is_old, row_number() OVER (PARTITION BY {_KEY}, is_old ORDER BY line, args) AS r, least(count(*) FILTER (is_old) OVER (PARTITION BY {_KEY}), count(*) FILTER (NOT is_old) OVER (PARTITION BY {_KEY})) AS k FROM m WHERE r > k),
+changed AS (SELECT {_KEY}, max(line) FILTER (is_old) AS old_line, max(args) FILTER (is_old) AS old_args, max(line) FILTER (NOT is_old) AS new_line, max(args) FILTER (NOT is_old) AS new_args, 'changed' AS status FROM c WHERE r <= k GROUP BY {_KEY}, r)
+SELECT * EXCLUDE (i) FROM same UNION ALL SELECT * FROM moved UNION ALL SELECT * FROM changed
+UNION ALL SELECT {_KEY}, CASE WHEN is_old THEN line END, CASE WHEN is_old THEN args END, CASE WHEN NOT is_old THEN line END, CASE WHEN NOT is_old THEN args END, CASE WHEN is_old THEN 'removed' ELSE 'added' END FROM c WHERE r > k""")(
+    lambda s, d: diff.pairs(*(x.drop("project") for x in a.snapshots(s, d))))
+_CATEGORISED = f"{a.SNAPSHOTS}, s AS (SELECT *, 'c' || line % 3 AS category FROM sides)"
+_FIRST = "coalesce(min(CASE WHEN n > 0 THEN {'l': line, 'a': args, 'c': category} END).c, min(CASE WHEN o > 0 THEN {'l': line, 'a': args, 'c': category} END).c, '')"
+
+
+def _categorised(s, d):
+    return [x.withColumn("category", F.concat(F.lit("c"), (F.col("line") % 3).cast("string"))) for x in a.snapshots(s, d)]
+
+
+query("diff_call_site_details", f"""WITH {_CATEGORISED} SELECT file::VARCHAR AS file, caller::VARCHAR AS caller, symbol, coalesce(string_agg(line::VARCHAR, ',' ORDER BY line) FILTER (o > 0), '') AS old_lines,
+  coalesce(string_agg(line::VARCHAR, ',' ORDER BY line) FILTER (n > 0), '') AS new_lines, {_FIRST} AS category FROM s GROUP BY ALL""")(
+    lambda s, d: (x := diff.call_site_details(*_categorised(s, d))).select(*diff.KEY, *[F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c) for c in ("old_lines", "new_lines")], "category"))
+query("diff_symbol_categories", f"WITH {_CATEGORISED}, g AS (SELECT symbol, sum(o)::BIGINT AS old_calls, sum(n)::BIGINT AS new_calls, {_FIRST} AS category FROM s GROUP BY 1) SELECT *, {_COUNTED} AS status FROM g")(
+    lambda s, d: diff.symbol_categories(*_categorised(s, d)))
+_LISTED = f"""p AS (SELECT project, file, symbol, sum(o) AS o, sum(n) AS n FROM sides GROUP BY ALL), g AS (SELECT project, file, sum(o)::BIGINT AS old_calls, sum(n)::BIGINT AS new_calls, count(*) FILTER (o > 0) AS old_symbols, count(*) FILTER (n > 0) AS new_symbols,
+  coalesce(string_agg(symbol, ',' ORDER BY symbol) FILTER (o = 0), '') AS added_symbols, coalesce(string_agg(symbol, ',' ORDER BY symbol) FILTER (n = 0), '') AS removed_symbols FROM p GROUP BY 1, 2)
+SELECT *, CASE WHEN old_calls = new_calls AND old_calls > 0 AND added_symbols || removed_symbols <> '' THEN 'changed' ELSE {_COUNTED} END AS status FROM g"""
+query("diff_files_by_project", f"WITH {a.SNAPSHOTS}, {_LISTED}")(
+    lambda s, d: (x := diff.file_symbols(*a.snapshots(s, d), ["project"])).select(*[F.array_join(c, ",").alias(c) if c.endswith("ed_symbols") else c for c in x.columns]))
+query("diff_categories", f"""WITH {_CATEGORISED}, g AS (SELECT category, symbol, max(o) AS o, max(n) AS n FROM s GROUP BY ALL), t AS (SELECT category, sum(o)::BIGINT AS old_symbols, sum(n)::BIGINT AS new_symbols FROM g GROUP BY 1) SELECT *, new_symbols - old_symbols AS delta FROM t""")(
+    lambda s, d: diff.category_metrics(*_categorised(s, d)))
 
 # Graphs
 
-query("graph_paths", f"WITH RECURSIVE {a.PATHS} SELECT src, array_to_string(path, ' -> ') AS chain, depth FROM paths")(
-    lambda s, d: graph.paths_to(a.edges(s, d), a.targets(s, d), 4).select("src", F.array_join(F.transform("path", lambda x: x.cast("string")), " -> ").alias("chain"), "depth"))
-query("graph_first_paths", f"WITH RECURSIVE {a.PATHS} SELECT src, array_to_string(path, ' -> ') AS chain, depth, row_number() OVER (PARTITION BY src ORDER BY depth, path) AS rank FROM paths QUALIFY rank <= 20")(
-    lambda s, d: graph.first_paths(graph.paths_to(a.edges(s, d), a.targets(s, d), 4), 20).select("src", F.array_join(F.transform("path", lambda x: x.cast("string")), " -> ").alias("chain"), "depth", "rank"))
-query("graph_reachable", f"""WITH RECURSIVE {a.EDGES}, r AS (SELECT unnest([0, 1])::BIGINT AS node, 0 AS depth UNION SELECT e.src, r.depth + 1 FROM r JOIN edges e ON e.dst = r.node WHERE r.depth < 10)
-SELECT node, min(depth)::BIGINT AS depth FROM r GROUP BY 1""")(lambda s, d: graph.reachable(a.edges(s, d), a.targets(s, d)))
-query("graph_chains", f"WITH RECURSIVE {a.PATHS}, {a.FILE_SYMBOLS} SELECT src, symbol, array_to_string(path, ' -> ') AS chain, depth FROM paths JOIN fs USING (src) WHERE depth <= 2")(
-    lambda s, d: graph.chains(graph.paths_to(a.edges(s, d), a.targets(s, d), 2), a.file_symbols(s, d)))
-query("graph_by_depth", f"WITH RECURSIVE {a.PATHS}, {a.FILE_SYMBOLS}, l AS (SELECT src, min(depth) AS depth FROM paths GROUP BY 1) SELECT depth, count(DISTINCT symbol) AS n_symbols, count(DISTINCT src) AS n_files FROM l JOIN fs USING (src) GROUP BY 1")(
-    lambda s, d: graph.by_depth(graph.paths_to(a.edges(s, d), a.targets(s, d), 4), a.file_symbols(s, d)))
-query("graph_stats", f"WITH {a.EDGES} SELECT (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges")(lambda s, d: graph.stats(a.edges(s, d)))
-query("graph_fans", f"WITH {a.EDGES}, b AS (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) SELECT node, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM b GROUP BY 1")(lambda s, d: graph.fans(a.edges(s, d)))
-query("graph_chain_edges", f"WITH RECURSIVE {a.PATHS}, i AS (SELECT path, unnest(range(1, len(path))) AS k FROM paths) SELECT DISTINCT path[k] AS src, path[k + 1] AS dst FROM i")(
-    lambda s, d: graph.chain_edges(graph.paths_to(a.edges(s, d), a.targets(s, d), 4)))
-query("graph_induced", f"WITH {a.EDGES} SELECT src, dst FROM edges WHERE src % 3 = 0 AND dst % 3 = 0")(lambda s, d: graph.induced(a.edges(s, d), s.range(0, 40, 3).withColumnRenamed("id", "node")))
 query("project_boundaries", r"""WITH m AS (SELECT string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS p FROM pages), e AS (SELECT p[1] AS top, min(p) AS a, max(p) AS b FROM m GROUP BY 1),
 k AS (SELECT *, coalesce(list_min(list_filter(range(1, len(a) + 1), lambda i: a[i] IS DISTINCT FROM b[i])), len(a) + 1) AS k FROM e)
 SELECT top, array_to_string(a[1 : k - 1], '/') AS project FROM k""")(lambda s, d: graph.boundaries(a.table(s, d, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"))))
 
-# The same over all rows, at the reference's depth
+# Paths over all rows, ten hops
 
 _chain = lambda: F.array_join(F.transform("path", lambda x: x.cast("string")), " -> ").alias("chain")
 
@@ -119,38 +134,29 @@ def _all_paths(s, d):
     return graph.paths_to(a.all_edges(s, d), a.all_targets(s, d), a.HOPS)
 
 
-query("graph_paths_all_rows", f"WITH RECURSIVE {a.ALL_PATHS} SELECT src, array_to_string(path, ' -> ') AS chain, depth FROM paths")(lambda s, d: _all_paths(s, d).select("src", _chain(), "depth"))
-query("graph_first_paths_all_rows", f"WITH RECURSIVE {a.ALL_PATHS} SELECT src, array_to_string(path, ' -> ') AS chain, depth, row_number() OVER (PARTITION BY src ORDER BY depth, path) AS rank FROM paths QUALIFY rank <= 50")(
+query("graph_paths", f"WITH RECURSIVE {a.ALL_PATHS} SELECT src, array_to_string(path, ' -> ') AS chain, depth FROM paths")(lambda s, d: _all_paths(s, d).select("src", _chain(), "depth"))
+query("graph_first_paths", f"WITH RECURSIVE {a.ALL_PATHS} SELECT src, array_to_string(path, ' -> ') AS chain, depth, row_number() OVER (PARTITION BY src ORDER BY depth, path) AS rank FROM paths QUALIFY rank <= 50")(
     lambda s, d: graph.first_paths(_all_paths(s, d)).select("src", _chain(), "depth", "rank"))
-query("graph_reachable_all_rows", f"""WITH RECURSIVE {a.ALL_EDGES}, r AS (SELECT node, 0 AS depth FROM targets UNION SELECT e.src, r.depth + 1 FROM r JOIN edges e ON e.dst = r.node WHERE r.depth < {a.HOPS})
+query("graph_reachable", f"""WITH RECURSIVE {a.ALL_EDGES}, r AS (SELECT node, 0 AS depth FROM targets UNION SELECT e.src, r.depth + 1 FROM r JOIN edges e ON e.dst = r.node WHERE r.depth < {a.HOPS})
 SELECT node, min(depth)::BIGINT AS depth FROM r GROUP BY 1""")(lambda s, d: graph.reachable(a.all_edges(s, d), a.all_targets(s, d), a.HOPS))
-query("graph_chains_all_rows", f"WITH RECURSIVE {a.ALL_PATHS}, {a.ALL_FILE_SYMBOLS} SELECT src, symbol, array_to_string(path, ' -> ') AS chain, depth FROM paths JOIN fs USING (src)")(
+query("graph_chains", f"WITH RECURSIVE {a.ALL_PATHS}, {a.ALL_FILE_SYMBOLS} SELECT src, symbol, array_to_string(path, ' -> ') AS chain, depth FROM paths JOIN fs USING (src)")(
     lambda s, d: graph.chains(_all_paths(s, d), a.all_file_symbols(s, d)))
-query("graph_by_depth_all_rows", f"WITH RECURSIVE {a.ALL_PATHS}, {a.ALL_FILE_SYMBOLS}, l AS (SELECT src, min(depth) AS depth FROM paths GROUP BY 1) SELECT depth, count(DISTINCT symbol) AS n_symbols, count(DISTINCT src) AS n_files FROM l JOIN fs USING (src) GROUP BY 1")(
+query("graph_by_depth", f"WITH RECURSIVE {a.ALL_PATHS}, {a.ALL_FILE_SYMBOLS}, l AS (SELECT src, min(depth) AS depth FROM paths GROUP BY 1) SELECT depth, count(DISTINCT symbol) AS n_symbols, count(DISTINCT src) AS n_files FROM l JOIN fs USING (src) GROUP BY 1")(
     lambda s, d: graph.by_depth(_all_paths(s, d), a.all_file_symbols(s, d)))
-query("graph_stats_all_rows", f"WITH {a.ALL_EDGES} SELECT (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges")(lambda s, d: graph.stats(a.all_edges(s, d)))
-query("graph_fans_all_rows", f"WITH {a.ALL_EDGES}, b AS (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) SELECT node, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM b GROUP BY 1")(lambda s, d: graph.fans(a.all_edges(s, d)))
-query("graph_chain_edges_all_rows", f"WITH RECURSIVE {a.ALL_PATHS}, i AS (SELECT path, unnest(range(1, len(path))) AS k FROM paths) SELECT DISTINCT path[k] AS src, path[k + 1] AS dst FROM i")(
+query("graph_stats", f"WITH {a.ALL_EDGES} SELECT (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges")(lambda s, d: graph.stats(a.all_edges(s, d)))
+query("graph_fans", f"WITH {a.ALL_EDGES}, b AS (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) SELECT node, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM b GROUP BY 1")(lambda s, d: graph.fans(a.all_edges(s, d)))
+query("graph_chain_edges", f"WITH RECURSIVE {a.ALL_PATHS}, i AS (SELECT path, unnest(range(1, len(path))) AS k FROM paths) SELECT DISTINCT path[k] AS src, path[k + 1] AS dst FROM i")(
     lambda s, d: graph.chain_edges(_all_paths(s, d)))
-query("graph_induced_all_rows", f"WITH {a.ALL_EDGES}, n AS (SELECT DISTINCT src AS node FROM edges) SELECT src, dst FROM edges WHERE src IN (FROM n) AND dst IN (FROM n)")(
+query("graph_induced", f"WITH {a.ALL_EDGES}, n AS (SELECT DISTINCT src AS node FROM edges) SELECT src, dst FROM edges WHERE src IN (FROM n) AND dst IN (FROM n)")(
     lambda s, d: graph.induced(e := a.all_edges(s, d), e.select(F.col("src").alias("node"))))
 
 # Detection and classification
 
-query("string_clusters", """WITH l AS (SELECT l_suppkey AS file, l_orderkey AS "offset", l_orderkey - lag(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) > 256 AS new FROM lineitem WHERE l_linenumber = 1),
-i AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY "offset") AS island FROM l)
-SELECT file, min("offset") AS start, max("offset") AS "end", count(*) AS n FROM i GROUP BY file, island HAVING count(*) >= 3""")(
-    lambda s, d: classify.clusters(a.table(s, d, "lineitem").where("l_linenumber = 1").selectExpr("l_suppkey as file", "l_orderkey as offset")))
-query("fingerprint_scores", """WITH m AS (SELECT p_partkey AS string, p_partkey % 6 AS category, 0.75 AS per_point, 3.0 + p_partkey % 6 AS max_points FROM part WHERE p_partkey % 5 = 0),
-h AS (SELECT DISTINCT l_suppkey AS file, l_partkey AS string FROM lineitem WHERE l_orderkey % 3 = 0), e AS (SELECT file, category, least(count(*) * max(per_point), max(max_points)) AS points, count(*) AS k FROM h JOIN m USING (string) GROUP BY 1, 2),
-r AS (SELECT file, sum(points) AS raw, sum(k)::BIGINT AS matched FROM e GROUP BY 1)
-SELECT file, matched, round_even((raw / 106 * 100)::DOUBLE, 1) AS score, CASE WHEN raw >= 60 THEN 'high' WHEN raw >= 35 THEN 'medium' WHEN raw >= 15 THEN 'low' ELSE 'none' END AS confidence FROM r""")(
-    lambda s, d: classify.fingerprint_scores(a.table(s, d, "lineitem").where("l_orderkey % 3 = 0").selectExpr("l_suppkey as file", "l_partkey as string"), a.table(s, d, "part").where("p_partkey % 5 = 0").selectExpr("p_partkey as string", "p_partkey % 6 as category", "0.75D as per_point", "cast(3 + p_partkey % 6 as double) as max_points")))
-query("string_clusters_all_rows", """WITH l AS (SELECT l_suppkey AS file, l_orderkey AS "offset", l_orderkey - lag(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) > 256 AS new FROM lineitem),
+query("string_clusters", """WITH l AS (SELECT l_suppkey AS file, l_orderkey AS "offset", l_orderkey - lag(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) > 256 AS new FROM lineitem),
 i AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY "offset") AS island FROM l)
 SELECT file, min("offset") AS start, max("offset") AS "end", count(*) AS n FROM i GROUP BY file, island HAVING count(*) >= 3""")(
     lambda s, d: classify.clusters(a.table(s, d, "lineitem").selectExpr("l_suppkey as file", "l_orderkey as offset")))
-query("fingerprint_scores_all_rows", """WITH m AS (SELECT p_partkey AS string, p_partkey % 6 AS category, 0.75 AS per_point, 3.0 + p_partkey % 6 AS max_points FROM part),
+query("fingerprint_scores", """WITH m AS (SELECT p_partkey AS string, p_partkey % 6 AS category, 0.75 AS per_point, 3.0 + p_partkey % 6 AS max_points FROM part),
 h AS (SELECT DISTINCT l_suppkey AS file, l_partkey AS string FROM lineitem), e AS (SELECT file, category, least(count(*) * max(per_point), max(max_points)) AS points, count(*) AS k FROM h JOIN m USING (string) GROUP BY 1, 2),
 r AS (SELECT file, sum(points) AS raw, sum(k)::BIGINT AS matched FROM e GROUP BY 1)
 SELECT file, matched, round_even((raw / 106 * 100)::DOUBLE, 1) AS score, CASE WHEN raw >= 60 THEN 'high' WHEN raw >= 35 THEN 'medium' WHEN raw >= 15 THEN 'low' ELSE 'none' END AS confidence FROM r""")(
@@ -168,26 +174,19 @@ query("pattern_summary", f"WITH {_NAMES}, n AS (SELECT file, \"group\", count(*)
     lambda s, d: classify.pattern_summary(_hits(s, d)))
 _TIER = "CASE WHEN category IN ({}) THEN 1 WHEN category IN ({}) THEN 3 ELSE 2 END".format(*(", ".join(f"'{c}'" for c in t) for t in (categories.TIER_1, categories.TIER_3)))
 _CATEGORY = list(categories.PREFIXES)
+#: The reason by the same rules; of hit, named, v (version), library, t1 to t3, total, k (categories) and category.
+_REASON = """CASE WHEN hit AND named THEN 'version_banner: ' || v || ' (' || total || ' exported)' WHEN hit AND t1 >= 2 THEN '_detected: ' || t1 || ' tier1, ' || total || ' total'
+  WHEN t1 >= 5 THEN 'tier1_symbols: ' || t1 || ' tier1, ' || total || ' total' WHEN total >= 50 AND t1 >= 1 THEN 'large_surface: ' || total || ' total, ' || t1 || ' tier1'
+  WHEN hit THEN 'ssl_detected:  (' || total || ' exported)' WHEN t1 >= 2 AND total >= 5 THEN 'moderate_tier1: ' || t1 || ' tier1, ' || total || ' total'
+  WHEN t2 >= 5 AND total >= 20 THEN 'strong_tier2: ' || t2 || ' tier2, ' || total || ' total' WHEN t1 >= 1 THEN 'minimal_tier1: ' || t1 || ' tier1, ' || total || ' total'
+  WHEN t2 >= 1 AND total >= 5 THEN 'weak_tier2: ' || t2 || ' tier2, ' || total || ' total' WHEN total >= 10 THEN 'large_count: ' || total || ' total (t1=' || t1 || ' t2=' || t2 || ' t3=' || t3 || ')'
+  WHEN total <= 2 AND t2 = 0 THEN 'insufficient: ' || total || ' total, all tier3' WHEN k > 1 THEN 'mixed_categories: ' || k || ' categories, ' || total || ' total'
+  WHEN total BETWEEN 3 AND 5 AND t2 = 0 THEN 'single_primitive: ' || category || ' only, ' || t3 || ' symbols' ELSE 'default: ' || t1 || ' tier1, ' || t2 || ' tier2, ' || t3 || ' tier3, ' || total || ' total' END"""
 query("static_confidence", f"""WITH f AS (SELECT l_orderkey AS file, ({_CATEGORY!r})[l_partkey % {len(_CATEGORY)} + 1] AS category, l_returnflag = 'R' AND l_linenumber = 1 AS detected, CASE WHEN l_linestatus = 'F' AND l_suppkey % 2 = 0 THEN '1.1' ELSE '' END AS version FROM lineitem),
-n AS (SELECT file, count(*) FILTER ({_TIER} = 1) AS t1, count(*) FILTER ({_TIER} = 2) AS t2, count(*) FILTER ({_TIER} = 3) AS t3, count(*) AS total, count(DISTINCT category) AS k, bool_or(detected) AS hit, max(version) <> '' AS named FROM f GROUP BY 1)
+n AS (SELECT file, count(*) FILTER ({_TIER} = 1) AS t1, count(*) FILTER ({_TIER} = 2) AS t2, count(*) FILTER ({_TIER} = 3) AS t3, count(*) AS total, count(DISTINCT category) AS k, min(category) AS category, bool_or(detected) AS hit, max(version) AS v, max(version) <> '' AS named FROM f GROUP BY 1)
 SELECT file, t1, t2, t3, total, CASE WHEN hit AND (named OR t1 >= 2) OR t1 >= 5 OR total >= 50 AND t1 >= 1 THEN 'high' WHEN hit OR t1 >= 2 AND total >= 5 OR t2 >= 5 AND total >= 20 THEN 'medium'
-  WHEN t1 >= 1 OR t2 >= 1 AND total >= 5 OR total >= 10 THEN 'low' WHEN total <= 2 AND t2 = 0 THEN 'none' WHEN k > 1 THEN 'low' WHEN total BETWEEN 3 AND 5 AND t2 = 0 THEN 'none' ELSE 'low' END AS confidence FROM n""")(
+  WHEN t1 >= 1 OR t2 >= 1 AND total >= 5 OR total >= 10 THEN 'low' WHEN total <= 2 AND t2 = 0 THEN 'none' WHEN k > 1 THEN 'low' WHEN total BETWEEN 3 AND 5 AND t2 = 0 THEN 'none' ELSE 'low' END AS confidence, {_REASON} AS reason FROM n""")(
     lambda s, d: classify.static_confidence(a.table(s, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.get(F.array(*map(F.lit, _CATEGORY)), (F.col("l_partkey") % len(_CATEGORY)).cast("int")).alias("category"), F.expr("l_returnflag = 'R' and l_linenumber = 1").alias("detected"), F.expr("case when l_linestatus = 'F' and l_suppkey % 2 = 0 then '1.1' else '' end").alias("version"))))
-_PACKAGES = """f AS (SELECT l_orderkey AS package, CASE WHEN l_linenumber <> 3 THEN l_partkey END AS symbol, l_linestatus = 'F' AND l_linenumber = 2 AS is_static, l_returnflag = 'A' AS is_dlopen, l_suppkey % 3 = 0 AS is_resolved FROM lineitem),
-n AS (SELECT package, bool_or(is_static) AS st, bool_or(NOT is_static AND is_dlopen AND symbol IS NOT NULL) AS dl, bool_or(NOT is_static AND NOT is_dlopen AND symbol IS NOT NULL) AS dy, bool_or(symbol IS NOT NULL AND NOT is_resolved) AS op, count(DISTINCT symbol) AS n_symbols FROM f GROUP BY 1),
-p AS (SELECT package, CASE st::INT + dl::INT + dy::INT WHEN 0 THEN 'None' WHEN 1 THEN CASE WHEN dy THEN 'Dynamic' WHEN st THEN 'Static' ELSE 'dlopen' END ELSE 'Mixed' END AS method,
-  CASE WHEN n_symbols = 0 AND NOT dl THEN 'No-OpenSSL' WHEN NOT op THEN 'Self-Contained' ELSE 'System-Link' END AS kind, n_symbols FROM n)"""
-
-
-def _packages(s, d):
-    return classify.package_methods(a.table(s, d, "lineitem").selectExpr("l_orderkey as package", "case when l_linenumber <> 3 then l_partkey end as symbol", "l_linestatus = 'F' and l_linenumber = 2 as is_static", "l_returnflag = 'A' as is_dlopen", "l_suppkey % 3 = 0 as is_resolved"))
-
-
-query("package_methods", f"WITH {_PACKAGES} SELECT * FROM p")(_packages)
-query("release_packages", f"""WITH {_PACKAGES}, r AS (SELECT p.*, o_custkey AS customer, o_orderpriority AS priority, o_orderstatus = 'F' AS provides FROM p JOIN orders ON package = o_orderkey),
-c AS (SELECT *, count(*) FILTER (provides) OVER (PARTITION BY customer, priority) - provides::INT AS others FROM r)
-SELECT package, method, CASE WHEN kind = 'System-Link' AND others > 0 THEN 'In-APP-Link' ELSE kind END AS kind, n_symbols FROM c""")(
-    lambda s, d: classify.in_release(_packages(s, d).join(a.table(s, d, "orders").selectExpr("o_orderkey as package", "o_custkey as customer", "o_orderpriority as priority", "o_orderstatus = 'F' as provides"), "package"), ["customer", "priority"]).select("package", "method", "kind", "n_symbols"))
 query("resolved_packages", """WITH n AS (SELECT DISTINCT l_orderkey AS package, l_suppkey % 4 AS library FROM lineitem WHERE l_linenumber <= 3), b AS (SELECT DISTINCT l_orderkey AS package, l_partkey % 4 AS library FROM lineitem)
 SELECT package, bool_and(b.library IS NOT NULL) AS resolved FROM n LEFT JOIN b USING (package, library) GROUP BY 1""")(
     lambda s, d: classify.all_resolved(a.table(s, d, "lineitem").where("l_linenumber <= 3").selectExpr("l_orderkey as package", "l_suppkey % 4 as library"), a.table(s, d, "lineitem").selectExpr("l_orderkey as package", "l_partkey % 4 as library")))
@@ -197,14 +196,10 @@ FROM (SELECT c_custkey, (['Yes (static)', 'Yes', 'true', 'false'])[c_custkey % 4
 
 # Scalar functions and sources
 
-_HEADS = [p for v in categories.PREFIXES.values() for p in v.split()]
+_HEADS = [p for v in categories.PREFIXES.values() for p in v]
 query("prefix_categories", f"SELECT symbol, {categories.sql_category('symbol')} AS category FROM (SELECT DISTINCT ({[*_HEADS, 'zz_']!r})[p_partkey % {len(_HEADS) + 1} + 1] || p_brand AS symbol FROM part)")(
     lambda s, d: a.table(s, d, "part").select(F.concat(F.get(F.array(*map(F.lit, [*_HEADS, "zz_"])), (F.col("p_partkey") % (len(_HEADS) + 1)).cast("int")), "p_brand").alias("symbol")).distinct().select("symbol", categories.category_of(F.col("symbol")).alias("category")))
 query("path_functions", r"""SELECT page_id, regexp_extract(url, '[^/]*$') AS base, CASE WHEN contains(url, '/') THEN regexp_replace(url, '/[^/]*$', '') ELSE '' END AS dir,
-  CASE WHEN starts_with(url, 'https:/') THEN substr(url, 9) ELSE url END AS below, trim(regexp_replace(html[1:200], '\s+', ' ', 'g')) AS blanks,
-  CASE WHEN left(html, 1) IN ('=', '+', '-', '@') THEN '''' || left(html, 20) ELSE left(html, 20) END AS cell FROM pages""")(
-    lambda s, d: a.table(s, d, "pages").select("page_id", text.basename(F.col("url")).alias("base"), text.dirname(F.col("url")).alias("dir"), F.when(F.col("url").startswith("https:/"), F.substring("url", 9, 1 << 20)).otherwise(F.col("url")).alias("below"), text.collapse_blanks(F.substring("html", 1, 200)).alias("blanks"), text.safe_cell(F.substring("html", 1, 20)).alias("cell")))
-query("path_functions_whole_text", r"""SELECT page_id, regexp_extract(url, '[^/]*$') AS base, CASE WHEN contains(url, '/') THEN regexp_replace(url, '/[^/]*$', '') ELSE '' END AS dir,
   CASE WHEN starts_with(url, 'https:/') THEN substr(url, 9) ELSE url END AS below, trim(regexp_replace(html, '\s+', ' ', 'g')) AS blanks,
   CASE WHEN left(html, 1) IN ('=', '+', '-', '@') THEN '''' || html ELSE html END AS cell FROM pages""")(
     lambda s, d: a.table(s, d, "pages").select("page_id", text.basename(F.col("url")).alias("base"), text.dirname(F.col("url")).alias("dir"), F.when(F.col("url").startswith("https:/"), F.expr("substring(url, 9)")).otherwise(F.col("url")).alias("below"), text.collapse_blanks(F.col("html")).alias("blanks"), text.safe_cell(F.col("html")).alias("cell")))

@@ -110,11 +110,7 @@ query("category_bars", f"""WITH c AS (SELECT coalesce(({summary.DISPLAY!r})[p_si
 SELECT category, n_symbols, CASE WHEN category = 'other' THEN {len(summary.DISPLAY) + 2} ELSE coalesce(nullif(list_position({summary.DISPLAY!r}, category), 0), {len(summary.DISPLAY) + 1}) END::BIGINT AS place,
   repeat('#', floor(n_symbols / (SELECT max(n_symbols) FROM c) * 30)::INT) AS bar FROM c""")(
     lambda s, d: summary.category_bars(a.table(s, d, "part").select(F.coalesce(F.get(F.array(*map(F.lit, summary.DISPLAY)), F.col("p_size").cast("int") - 1), F.expr("case when p_size % 2 = 0 then 'other' else 'mine' end")).alias("category")).groupBy("category").agg(F.count("*").alias("n_symbols"))))
-query("ranked_groups", f"""WITH RECURSIVE {a.EDGES}, r AS (SELECT DISTINCT src AS root, src AS node, 0 AS depth FROM edges WHERE src % 5 = 0 UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.depth < 20),
-b AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY 1, 2), k AS (SELECT l_suppkey % 40 AS node, count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1)
-SELECT root, sum(CASE WHEN depth = 0 THEN coalesce(n, 0) ELSE 0 END)::BIGINT AS own_symbols, count(*) FILTER (depth = 1) AS n_libraries, count(*) FILTER (depth > 1 AND n > 0) AS n_deep, sum(coalesce(n, 0))::BIGINT AS group_total FROM b LEFT JOIN k USING (node) GROUP BY 1""")(
-    lambda s, d: summary.ranked_groups(e := a.edges(s, d), e.where("src % 5 = 0").selectExpr("src as node"), a.table(s, d, "lineitem").where("l_suppkey % 2 = 0").selectExpr("l_suppkey % 40 as node", "l_partkey").groupBy("node").agg(F.countDistinct("l_partkey").alias("n_symbols"))))
-query("ranked_groups_all_rows", f"""WITH RECURSIVE {a.ALL_EDGES}, r AS (SELECT DISTINCT src AS root, src AS node, 0 AS depth FROM edges UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.depth < 20),
+query("ranked_groups", f"""WITH RECURSIVE {a.ALL_EDGES}, r AS (SELECT DISTINCT src AS root, src AS node, 0 AS depth FROM edges UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.depth < 20),
 b AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY 1, 2), k AS (SELECT l_orderkey AS node, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1)
 SELECT root, sum(CASE WHEN depth = 0 THEN coalesce(n, 0) ELSE 0 END)::BIGINT AS own_symbols, count(*) FILTER (depth = 1) AS n_libraries, count(*) FILTER (depth > 1 AND n > 0) AS n_deep, sum(coalesce(n, 0))::BIGINT AS group_total FROM b LEFT JOIN k USING (node) GROUP BY 1""")(
     lambda s, d: summary.ranked_groups(e := a.all_edges(s, d), e.selectExpr("src as node"), a.table(s, d, "lineitem").selectExpr("l_orderkey as node", "l_partkey").groupBy("node").agg(F.countDistinct("l_partkey").alias("n_symbols"))))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from linkscope.plans import registry, summaries  # noqa: F401  (summaries adds its queries to the registry)
+from linkscope.plans import registry, scans, summaries  # noqa: F401  (these add their queries to the registry)
 
 
 @pytest.fixture(scope="module")

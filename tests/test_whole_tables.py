@@ -3,7 +3,7 @@
 import re
 
 from linkscope.operators import graph
-from linkscope.plans import registry, summaries  # noqa: F401  (summaries adds its queries to the registry)
+from linkscope.plans import registry, scans, summaries  # noqa: F401  (these add their queries to the registry)
 
 
 def walks(edges, targets, depth):
@@ -26,18 +26,18 @@ def test_paths_of_ten_hops_equal_brute_force(spark):
     assert all(r.depth == len(r.path) - 1 and r.src == r.path[0] for r in got)
 
 
-def test_graph_of_all_rows(spark, sf_dir):
+def test_graph_of(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()
     edges = {(r.l_orderkey, r.l_partkey * 40) for r in rows}
-    stats = registry.QUERIES["graph_stats_all_rows"](spark, sf_dir).first()
+    stats = registry.QUERIES["graph_stats"](spark, sf_dir).first()
     assert (stats.n_edges, stats.n_nodes) == (len(edges), len({x for e in edges for x in e}))
-    assert registry.QUERIES["graph_paths_all_rows"](spark, sf_dir).where("depth > 5").count() > 0
-    assert {r.root for r in registry.QUERIES["ranked_groups_all_rows"](spark, sf_dir).collect()} == {a for a, _ in edges}
+    assert registry.QUERIES["graph_paths"](spark, sf_dir).where("depth > 5").count() > 0
+    assert {r.root for r in registry.QUERIES["ranked_groups"](spark, sf_dir).collect()} == {a for a, _ in edges}
 
 
 def test_path_functions_take_whole_texts(spark, sf_dir):
     html = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
-    got = {r.page_id: r for r in registry.QUERIES["path_functions_whole_text"](spark, sf_dir).collect()}
+    got = {r.page_id: r for r in registry.QUERIES["path_functions"](spark, sf_dir).collect()}
     assert got.keys() == html.keys() and max(map(len, html.values())) > 200
     for k, t in html.items():
         assert got[k].blanks == re.sub(r"[ \t\n\x0b\f\r]+", " ", t).strip(" ")
