@@ -17,8 +17,8 @@ than 50 words leaves more than half of it, while lines that documents have in co
 by chance or as a notice leave none.  Where words are long, or not parted by blanks, WORD_BYTES bytes
 count as one.  That the other document holds the runs of a span in the same order is not asked.
 
-Digests are 128-bit xxh3 hashes of a run's bytes, so equal ones stand for equal bytes: for 10**13 runs the chance of
-any false repeat is below 10**-12.  Counts are combined map-side before the shuffle, and where
+Digests are 96 bits of the xxh3 hash of a run's bytes, so equal ones stand for equal bytes: for 10**13 runs the chance
+of any false repeat at all is below 10**-3.  Counts are combined map-side before the shuffle, and where
 the repeated digests are joined back the rows of a hot one are dealt over many parts (common.joined), so a passage that a
 third of all documents hold meets in no single task.
 
@@ -41,13 +41,13 @@ from linkscope.llm.common import annotate, cut, fresh, joined
 from linkscope.llm.text_kernel import blocks, mix, sliding
 
 #: Bytes the gear hash remembers, bytes on either side that a chunk's end is the least of, and most bytes of a chunk.
-WINDOW, REACH, MOST = 16, 12, 256
+WINDOW, REACH, MOST = 16, 14, 256
 #: Words of a run that is looked up, words from which a span counts, and bytes that count as a word at most.
 RUN_WORDS, MIN_WORDS, WORD_BYTES = 20, 25, 12
 
 GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) >> np.uint32(32 - WINDOW)
 
-RUNS = [T.StructField(n, T.ArrayType(t)) for n, t in (("high", T.LongType()), ("low", T.LongType()), ("start", T.IntegerType()), ("length", T.IntegerType()), ("before", T.IntegerType()), ("words", T.IntegerType()))]
+RUNS = [T.StructField(n, T.ArrayType(t)) for n, t in (("high", T.LongType()), ("low", T.IntegerType()), ("start", T.IntegerType()), ("length", T.IntegerType()), ("before", T.IntegerType()), ("words", T.IntegerType()))]
 
 
 def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -108,11 +108,11 @@ def run_batch(texts: pa.Array, min_words: int) -> list:
         first, stop, of = starts[keep], ends[last[keep]], of[keep]
         raw = memoryview(np.ascontiguousarray(data))
         digests = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(first.tolist(), stop.tolist(), strict=True)])
-        halves = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
+        pieces = np.frombuffer(digests, dtype=np.dtype([("high", "<i8"), ("low", "<i4"), ("rest", "<i4")]))
         sizes.append(np.bincount(of, minlength=len(offsets) - 1))
-        parts.append((halves[:, 0], halves[:, 1], first - offsets[of], stop - first, words[first] - words[offsets[of]], words[stop] - words[first]))
+        parts.append((pieces["high"], pieces["low"], first - offsets[of], stop - first, words[first] - words[offsets[of]], words[stop] - words[first]))
     at = pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32))
-    kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int32)
+    kinds = (np.int64, np.int32, np.int32, np.int32, np.int32, np.int32)
     return [pa.ListArray.from_arrays(at, pa.array(np.concatenate([p[i] for p in parts] or [np.zeros(0)]).astype(kind))) for i, kind in enumerate(kinds)]
 
 

@@ -57,7 +57,7 @@ SHARED = 3
 #: Expected documents and bytes of the sample that orders shingles; the count there from which one is common, and hot.
 SAMPLE, SAMPLE_BYTES, COMMON, HOT_COUNT = 8192, 32 << 20, 3, 16
 #: Most documents and bytes of text of a cell that one task joins by itself, and of a group of a larger cell.
-CELL, CELL_BYTES = 256, 8 << 20
+CELL, CELL_BYTES = 1024, 8 << 20
 #: Expected pivots of a split (at most MOST_PIVOTS), open documents and bytes that may all be pivots at once, and levels of splits.
 PIVOTS, MOST_PIVOTS, OPEN, OPEN_BYTES, LEVELS = 8, 12, 64, 4 << 20, 2
 
@@ -352,16 +352,17 @@ def links(docs: DataFrame, summary: DataFrame, id: str, text: str, n: int, perce
     cells = cut(found.select("pivot", "rep").distinct().join(enough, "rep").join(rep, "rep"))
     # a cell of one member has nothing to join
     sized = cut(cells.groupBy("pivot").agg(F.count("*").alias("m"), F.sum("size").alias("bytes")).where("m > 1"))
-    member = joined(cells, sized, ["pivot"], "m", ["key"])
     small = (F.col("m") <= CELL) & (F.col("bytes") <= CELL_BYTES)
-    texts = docs.select(F.col(id).alias("id_"), F.xxhash64(text).alias("th_"), F.col(text).alias("text"))
-    with_text = lambda d: d.join(texts, F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")))
+    member = cut(joined(cells, sized, ["pivot"], "m", ["key"]).select("pivot", "key", "id", "th", "size", small.alias("small")))
+    # the texts that any cell needs are fetched once, each once
     small_batches(docs.sparkSession)
-    found = with_text(member.where(small).select("pivot", "key", "id", "th")).select("pivot", "key", "text").groupBy("pivot").applyInPandas(lambda frame: join_cell(n, percent, frame), LINKS)
-    large = cut(member.where(~small).select(F.col("pivot").alias("cell"), "key", "size", F.lit(True).alias("open"), F.lit(0.0).alias("d")))
+    needed = member.select("key", "id", "th").distinct()
+    of_text = F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_"))
+    texts = cut(needed.join(docs.select(F.col(id).alias("id_"), F.xxhash64(text).alias("th_"), F.col(text).alias("text")), of_text).select("key", "text"))
+    found = member.where("small").select("pivot", "key").join(texts, "key").groupBy("pivot").applyInPandas(lambda frame: join_cell(n, percent, frame), LINKS)
+    large = member.where("not small").select(F.col("pivot").alias("cell"), "key", "size", F.lit(True).alias("open"), F.lit(0.0).alias("d"))
     if not large.isEmpty():
-        used = rep.join(large.select("key").distinct(), "key", "left_semi")
-        for more in split(large, cut(with_text(used).select("key", "text")), n, percent):
+        for more in split(large, texts, n, percent):
             found = found.unionByName(more)
     return found.distinct()
 

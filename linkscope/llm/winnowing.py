@@ -9,9 +9,9 @@ windows around it; a window counts only if its words equal the item's, byte for
 An item with fewer words than a window is one window by itself and is found by its
 leading k-gram.
 
-Benchmark items reach the executors in blocks of at most BLOCK_BYTES of text, so what is
-broadcast is bounded whatever the size of the benchmark; several blocks mean several
-passes, whose hits are united per row.
+Benchmark items reach the executors in blocks of about BLOCK_BYTES of text, of which a pass over the texts holds
+PASS_BLOCKS at most, so what a worker keeps is bounded whatever the size of the benchmark; the columns of several
+passes are united in their row.
 
 Defined cases: a null or empty text has no words, is not contaminated and carries no item;
 null or wordless items match nothing; repeated items each count by their own id; repeated
@@ -35,8 +35,8 @@ from linkscope.llm.text_kernel import ALNUM_WORDS, blocks, coefficients, grams,
 
 #: Words of a benchmark window, and of the k-grams that are fingerprinted.
 WINDOW, K = 13, 5
-#: Most bytes of benchmark text that one broadcast holds.
-BLOCK_BYTES = 1 << 20
+#: Bytes of benchmark text that one broadcast holds, and the broadcasts of one pass.
+BLOCK_BYTES, PASS_BLOCKS = 1 << 20, 8
 _FILTER_BITS = 22
 
 HITS = [
@@ -154,28 +154,43 @@ def matches(found, index: Index) -> list[tuple[int, int, list[str]]]:
 _indexes: dict[int, Index] = {}
 
 
-def scan(block: Broadcast, window: int, k: int, texts: pa.Array) -> list:
+def index_of(block: Broadcast, window: int, k: int, keep: set[int]) -> Index:
+    """The index of a block, made once in a worker; those of other passes are let go of."""
+    token, items = block.value
+    for old in _indexes.keys() - keep - {token}:
+        del _indexes[old]
+    if token not in _indexes:
+        _indexes[token] = Index(items, window, k)
+    return _indexes[token]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[dict]:
+    """Spans in order, those that touch as one."""
+    out: list[dict] = []
+    for s, e in sorted(spans):
+        if out and out[-1]["end"] >= s:
+            out[-1]["end"] = max(e, out[-1]["end"])
+        else:
+            out.append({"start": s, "end": e})
+    return out
+
+
+def scan(parts: list[Broadcast], window: int, k: int, texts: pa.Array) -> list:
     """n_words, merged word spans that benchmark windows cover, and items with a window, of each text."""
-    if block.value[0] not in _indexes:
-        _indexes.clear()
-        _indexes[block.value[0]] = Index(block.value[1], window, k)
-    index = _indexes[block.value[0]]
+    tokens = {b.value[0] for b in parts}
     n_words, hits, items = [], [], []
     for first, end, data, offsets in blocks(texts):
         found = words(data, offsets, ALNUM_WORDS)
         n_words += np.diff(found.of_text).tolist()
         spans = [[] for _ in range(end - first)]
         owners = [set() for _ in range(end - first)]
-        places = matches(found, index)
-        of = np.searchsorted(found.of_text, [s for s, _, _ in places], "right") - 1
-        for (s, e, names), d in zip(places, of.tolist(), strict=True):
-            s, e = s - int(found.of_text[d]), e - int(found.of_text[d])
-            owners[d].update(names)
-            if spans[d] and spans[d][-1]["end"] >= s:
-                spans[d][-1]["end"] = max(e, spans[d][-1]["end"])
-            else:
-                spans[d].append({"start": s, "end": e})
-        hits += spans
+        for block in parts:
+            places = matches(found, index_of(block, window, k, tokens))
+            of = np.searchsorted(found.of_text, [s for s, _, _ in places], "right") - 1
+            for (s, e, names), d in zip(places, of.tolist(), strict=True):
+                owners[d].update(names)
+                spans[d].append((s - int(found.of_text[d]), e - int(found.of_text[d])))
+        hits += [merged(x) for x in spans]
         items += [sorted(x) for x in owners]
     return [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))]
 
@@ -186,25 +201,21 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     known = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
     size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // BLOCK_BYTES))
-    passes = []
-    row = fresh("row_number", docs.columns)
-    source = docs if n == 1 else docs.withColumn(row, F.monotonically_increasing_id())
+    parts = []
     for i in range(n):
         own = known if n == 1 else known.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i)
         items = sorted((r[0], r[1]) for r in own.collect())
-        block = spark.sparkContext.broadcast((hash(tuple(items)), items))
-        passes.append(annotate(source, text, partial(scan, block, window, k), HITS, into))
-    if n == 1:
-        return passes[0]
-    found = passes[0].select(row, into)
-    for other in passes[1:]:
-        found = found.unionByName(other.select(row, into))
-    found = found.groupBy(row).agg(F.max(f"{into}.n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(f"{into}.hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"{into}.items")))).alias("items"))
-    merged = F.expr("""aggregate(hits, cast(array() as array<struct<start:bigint,end:bigint>>), (a, x) ->
-        if(size(a) > 0 and a[size(a) - 1].end >= x.start,
-           concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, x.end)))),
-           concat(a, array(x))))""")
-    return source.join(found.select(row, F.struct("n_words", merged.alias("hits"), "items").alias(into)), row).drop(row)
+        parts.append(spark.sparkContext.broadcast((hash((window, k, *items)), items)))
+    # each pass adds a column to the rows as they come, so no row needs a number and none is moved
+    names, found = [], docs
+    for i in range(0, n, PASS_BLOCKS):
+        names.append(into if n <= PASS_BLOCKS else fresh(f"{into}_{i}", found.columns))
+        found = annotate(found, text, partial(scan, parts[i : i + PASS_BLOCKS], window, k), HITS, names[-1])
+    if n <= PASS_BLOCKS:
+        return found
+    field = T.StructType(HITS)
+    unite = F.udf(lambda each: (each[0]["n_words"], [(h["start"], h["end"]) for h in merged([(h["start"], h["end"]) for e in each for h in e["hits"]])], sorted({x for e in each for x in e["items"]})), field)
+    return found.withColumn(into, unite(F.array(*names))).drop(*names)
 
 
 def digest(found: DataFrame, into: str = "winnowed") -> DataFrame:

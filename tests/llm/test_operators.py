@@ -39,9 +39,10 @@ def windows_of(items, n=13):
     return found
 
 
-@pytest.mark.parametrize("block", [1 << 20, 300])
-def test_winnowing_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "parts"), [(1 << 20, 8), (300, 8), (300, 2)])
+def test_winnowing_against_brute_force(spark, monkeypatch, block, parts):
     monkeypatch.setattr(winnowing, "BLOCK_BYTES", block)
+    monkeypatch.setattr(winnowing, "PASS_BLOCKS", parts)
     r = random.Random(5)
     items = [(i, prose(i, n)) for i, n in enumerate([13, 14, 40, 12, 6, 5, 4, 2, 1, 30, 13])] + [(40, prose(2, 40))]
     texts = [prose(1000, 50)]
