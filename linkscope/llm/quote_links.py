@@ -15,7 +15,7 @@ A passage that very many messages hold is reduced to its first holder by a map-s
 join, and no conversation is gathered in a task.
 
 Defined cases: a null text is empty; a text of quotes alone has an empty body; a quote of nothing known is
-unlinked; a null conv_id or turn links with nothing and is its own root; rows of equal conv_id and turn share their
+unlinked, and so is a part of a passage; any number of marks is a level; a null conv_id or turn links with nothing and is its own root; rows of equal conv_id and turn share their
 links; repeated rows stay; an empty table gives no rows; further columns are not read.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from linkscope.llm.common import cut
 
-MARKS = r"^[ \t]*(>[ \t]*)+"
+MARKS = r"^[ \t>]*>[ \t]*"
 QUOTED = r"(^|\n)[ \t]*>"
 
 
@@ -38,7 +38,9 @@ def parsed(messages: DataFrame) -> DataFrame:
     plain = lambda level: F.array_join(F.transform("lines", lambda x: F.when(x["level"] == level, x["words"]).otherwise("")), "\n")
     body = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.trim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"), F.lit(" \t\r\n")))
     deepest = F.coalesce(F.array_max(F.transform("lines", lambda x: x["level"])), F.lit(0))
-    quoted = F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.col("deepest")), lambda i: i > 0), lambda i: F.transform(passages(plain(i)), lambda h: F.struct(i.alias("level"), h.alias("hash")))))
+    # the levels that occur, so a line of very many marks is one pass over the lines
+    levels = F.filter(F.array_distinct(F.transform("lines", lambda x: x["level"])), lambda i: i > 0)
+    quoted = F.flatten(F.transform(levels, lambda i: F.transform(passages(plain(i)), lambda h: F.struct(i.alias("level"), h.alias("hash")))))
     m = m.withColumn("deepest", deepest).withColumn("own", passages(F.when(F.col("lines").isNull(), F.col("text")).otherwise(plain(0)))).withColumn("body", body)
     none = F.expr("cast(array() as array<struct<level:int,hash:string>>)")
     return m.withColumn("quoted", F.when(F.col("deepest") > 0, quoted).otherwise(none)).select("conv_id", "turn", "role", "body", "own", "quoted")
@@ -70,13 +72,13 @@ WITH RECURSIVE m AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text, regexp_matches(coalesce(text, ''), '(^|\n)[ \t]*>') AS q FROM conversations),
 l AS (
   SELECT *, CASE WHEN q THEN list_transform(string_split(text, chr(10)), lambda x: {
-    'level': length(regexp_replace(regexp_extract(x, '^[ \t]*(>[ \t]*)+', 0), '[^>]', '', 'g')),
-    'words': regexp_replace(x, '^[ \t]*(>[ \t]*)+', ''), 'line': x}) END AS lines FROM m),
+    'level': length(regexp_replace(regexp_extract(x, '^[ \t>]*>[ \t]*', 0), '[^>]', '', 'g')),
+    'words': regexp_replace(x, '^[ \t>]*>[ \t]*', ''), 'line': x}) END AS lines FROM m),
 p AS (
   SELECT *, CASE WHEN q THEN trim(array_to_string(list_transform(list_filter(lines, lambda x: x.level = 0), lambda x: x.line), chr(10)), ' ' || chr(9) || chr(13) || chr(10)) ELSE text END AS body,
     CASE WHEN q THEN array_to_string(list_transform(lines, lambda x: CASE WHEN x.level = 0 THEN x.words ELSE '' END), chr(10)) ELSE text END AS own_text FROM l),
 levels AS (
-  SELECT DISTINCT conv_id, turn, text, lines, k.level AS level FROM p, (SELECT unnest(range(1, 64)) AS level) k WHERE q AND k.level <= list_max(list_transform(lines, lambda x: x.level))),
+  SELECT DISTINCT conv_id, turn, text, lines, level FROM (SELECT *, unnest(list_distinct(list_transform(lines, lambda x: x.level))) AS level FROM p WHERE q) WHERE level > 0),
 qp AS (
   SELECT conv_id, turn, text, level, unnest(regexp_split_to_array(array_to_string(list_transform(lines, lambda x: CASE WHEN x.level = level THEN x.words ELSE '' END), chr(10)), '\n[ \t\r\n]*\n')) AS passage FROM levels),
 qh AS (
