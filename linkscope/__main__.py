@@ -11,38 +11,102 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkscope.functions.categories import category_of
-from linkscope.operators import diff, resolve, usage
+from linkscope.functions import text
+from linkscope.functions.categories import CUSTOM, LIBRARY_PREFIXES, category_of
+from linkscope.functions.text import is_library
+from linkscope.operators import banners, classify, diff, graph, resolve, summary, usage
+from linkscope.operators import scan as operators_scan
+from linkscope.operators.lineage import cut
 from linkscope.plans import sinks
-from linkscope.sources import calls, diagnostics, elf, headers, packages, reports, repositories, text_tables
-
-
-def texts(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """file and text of all files below a path, read as UTF-8."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return raw.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("text"))
-
-
-def named(spark: SparkSession, path: str) -> DataFrame:
-    return text_tables.symbol_list(spark, path)
-
-
-def symbols_of(contents: DataFrame, dimension: DataFrame) -> DataFrame:
-    """File, symbol and category of what ELF files import or export and the dimension knows."""
-    each = elf.facts(contents).select(F.col("path").alias("file"), F.explode("symbols").alias("s")).select("file", F.col("s.name").alias("symbol"), F.col("s.defined").alias("defined"))
-    return usage.known(each, dimension).withColumn("category", category_of(F.col("symbol")))
+from linkscope.sources import calls, diagnostics, elf, files, headers, machine_code, packages, reports, repositories, text_tables
+
+
+def named(spark: SparkSession, a) -> DataFrame:
+    """The dimension: names of a text file, those that given libraries export, and the users' own."""
+    parts = [text_tables.symbol_list(spark, a.symbols).withColumn("origin", F.lit("list"))] if a.symbols else []
+    for path in a.openssl_lib or []:
+        parts.append(elf.facts(elf.files(spark, path)).select(F.explode("symbols").alias("s")).where("s.defined").select(F.col("s.name").alias("symbol"), F.lit("library").alias("origin")))
+    if a.add:
+        own = text_tables.symbol_list(spark, a.add).withColumn("origin", F.lit(CUSTOM))
+        if own.isEmpty():
+            raise ValueError(f"no names in {a.add}")
+        parts.append(own)
+    if not parts:
+        raise ValueError("one of --symbols, --openssl-lib and --add is needed")
+    return usage.symbol_dimension(*parts)
+
+
+def custom_names(spark: SparkSession, a) -> list[str]:
+    """The users' own names, a bounded list."""
+    return [r["symbol"] for r in text_tables.symbol_list(spark, a.add).collect()] if a.add else []
+
+
+def results_of(contents: DataFrame, dimension: DataFrame, marks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Results of ELF files (path, content), and their facts."""
+    facts = elf.facts(contents)
+    symbols = facts.select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.defined")
+    strings = elf.strings(contents)
+    imports = F.filter("symbols", lambda s: ~s["defined"] & s["name"].isin("dlopen", "dlsym"))
+    needed = facts.where("error is null").select("path", "arch", F.filter("needed", lambda x: is_library(x, LIBRARY_PREFIXES)).alias("libs"), (F.size(imports) > 0).alias("has_loader"), F.col("path").alias("position"))
+    probes = banners.probes(dimension.select("symbol", category_of(F.col("symbol")).alias("category")))
+    found = banners.banners(strings.select(F.col("path").alias("file"), "text"), probes).withColumnRenamed("file", "path")
+    resolved = machine_code.dlsym_arguments(contents)
+    resolved = resolved.toDF("path", "symbol").join(dimension.select("symbol").distinct(), "symbol", "left_semi").select("path", "symbol")
+    inputs = operators_scan.file_facts(symbols, needed, strings, found, dimension, resolved, marks)
+    return operators_scan.file_results(inputs), facts
 
 
 def scan(spark, a):
-    found = symbols_of(elf.files(spark, a.path), named(spark, a.symbols))
-    return {"symbols": found, "by_category": usage.by_category(found), "totals": usage.scan_totals(found), "most_common": usage.most_common(found)}
+    names = named(spark, a)
+    contents = elf.files(spark, a.path, not a.no_recursive)
+    if a.from_file:
+        lines = spark.read.text(a.from_file).withColumn("position", F.lit(0)).withColumnRenamed("value", "line")
+        contents = contents.join(resolve.target_list(lines).select(F.regexp_replace("target", "^file:/*", "/").alias("t")), F.regexp_replace("path", "^file:/*", "/") == F.col("t"), "left_semi")
+    marks = reports.fingerprints(spark, a.fingerprints) if a.fingerprints else None
+    results, facts = results_of(contents, names, marks)
+    results = cut(results)
+    edges = resolve.by_basename(facts.select(F.col("path").alias("src"), F.explode("needed").alias("dep")), facts.select("path", F.col("path").alias("ord"))).select("src", F.coalesce("path", "dep").alias("dst"))
+    targets = edges.where(is_library(text.basename(F.col("dst")), LIBRARY_PREFIXES)).select(F.col("dst").alias("node")).distinct()
+    custom = custom_names(spark, a)
+    each = results.select(F.col("path").alias("file"), F.explode("symbols").alias("symbol")).withColumn("category", category_of(F.col("symbol"), custom=custom))
+    paths = graph.paths_to(edges, targets, 10)
+    marked = operators_scan.mark_transitive(results, edges, targets)
+    out = {"files": marked, "symbols": operators_scan.detection(results), "by_category": usage.by_category(each), "totals": operators_scan.totals(results, facts.select("path", "arch", F.col("path").alias("position"))), "roll_up": operators_scan.roll_up(results), "most_common": usage.most_common(each), "edges": edges}
+    out["chains"] = graph.chains(graph.first_paths(paths), each.select(F.col("file").alias("src"), "symbol").distinct())
+    out["by_depth"] = graph.by_depth(paths, each.select(F.col("file").alias("src"), "symbol").distinct())
+    return out | {"errors": facts.where("error is not null").select("path", "error")}
 
 
 def hap(spark, a):
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(a.path)
     members = packages.expand(raw)
-    inside = members.where(F.substring("content", 1, 4) == F.lit(elf.MAGIC)).select(F.concat("package", F.lit("!"), "entry").alias("path"), "content")
-    return {"metadata": packages.metadata(members), "libraries": packages.native_libraries(members), "symbols": symbols_of(inside, named(spark, a.symbols))}
+    libraries = packages.native_libraries(members)
+    if a.abi:
+        libraries = packages.of_interface(libraries, a.abi)
+    inside = libraries.select("package", F.concat("package", F.lit("!libs/"), "abi", F.lit("/"), "library").alias("path"), "content")
+    files, bundled = operators_scan.without_bundled(inside)
+    results, facts = results_of(files.select("path", "content"), named(spark, a))
+    results = cut(results.join(facts.select("path", F.col("needed").alias("deps")), "path").withColumn("package", F.substring_index("path", "!libs/", 1)))
+    about = packages.metadata(members)
+    release = about.select("package", F.concat_ws("/", F.when(F.col("bundle") == "", F.col("package")).otherwise(F.col("bundle")), F.when(F.col("version_code") == 0, F.col("package")).otherwise(F.col("version_code").cast("string")), "version").alias("release")).dropDuplicates(["package"])
+    providers = resolve.static_providers(results.select("package", "path", F.when(F.col("is_static"), F.col("confidence")).alias("confidence"), "reason", F.size("symbols").alias("n_symbols"), F.col("deps").alias("needs")))
+    kinds = classify.in_release(results, bundled, release)
+    rows = operators_scan.bundled_text(kinds, bundled, providers.select("package", "label")).withColumn("usage", classify.usage_label("bundled", "kind"))
+    return {"metadata": about, "interfaces": packages.interfaces(libraries), "libraries": libraries.drop("content"), "bundled": bundled, "files": results, "packages": rows, "providers": providers, "batch": operators_scan.package_batch(results)}
+
+
+def hap_summary(spark, a):
+    """Rows of packages and their total from earlier reports."""
+    files = cut(reports.package_files(spark, a.path))
+    bundled = files.select("package", F.explode("bundled_files").alias("library")).distinct()
+    releases = files.select("package", "release").distinct()
+    kinds = classify.in_release(files, bundled, releases)
+    texts = files.groupBy("package").agg(F.max("bundled").alias("bundled"), F.max("score").alias("fingerprint"))
+    rows = kinds.join(texts, "package").withColumn("usage", classify.usage_label("bundled", "kind"))
+    ways = F.when(F.array_contains("dlsym", F.col("symbol")), "dlopen").when(F.col("is_static"), "static").otherwise("dynamic")
+    facts = files.select("package", "dlsym", "is_static", F.explode("symbols").alias("symbol")).select("package", "symbol", ways.alias("way")).withColumn("category", category_of(F.col("symbol")))
+    counted = summary.package_rows(facts)
+    return {"packages": rows.join(counted.drop("static_syms", "dynamic_syms", "dlopen_syms", "total_syms"), "package", "left"), "total": summary.package_total(counted.join(rows.select("package", "usage"), "package"), facts)}
 
 
 def proc(spark, a):
@@ -52,19 +116,44 @@ def proc(spark, a):
 
 
 def source(spark, a):
-    files, names = texts(spark, a.path, not a.no_recursive), named(spark, a.symbols)
-    known = [r["symbol"] for r in names.collect()]
-    found = calls.extract(files, known).withColumn("category", category_of(F.col("symbol")))
-    out = {"call_sites": found, "symbol_summary": usage.symbol_summary(found)}
+    dimension = named(spark, a)
+    read = files.texts(spark, a.path, not a.no_recursive)
+    known, custom = [r["symbol"] for r in dimension.select("symbol").collect()], custom_names(spark, a)
+    found = calls.extract(read, known).withColumn("category", category_of(F.col("symbol"), custom=custom))
+    out = {"call_sites": found, "symbol_summary": usage.summary_with_files(found), "rejected": files.rejected(spark, a.path, list(calls.LANGUAGES))}
     if a.recover_parser_diagnostics:
-        seen = diagnostics.diagnostics(files, diagnostics.RECOVERY_LIMIT)
-        out |= {"diagnostics": seen, "recovered": diagnostics.recovered(seen, names, found)}
+        seen = diagnostics.diagnostics(read, diagnostics.RECOVERY_LIMIT)
+        recovered = diagnostics.recovered(seen, dimension, found)
+        out |= {"diagnostics": seen, "recovered": recovered, "fallback": usage.fallback_counts(recovered)}
     if a.compat:
         status = usage.compat_status(found, reports.compatibility(spark, a.compat))
         out |= {"coverage": usage.coverage(status.select("symbol", "status").distinct())}
     return out
 
 
+def projects_of(read: DataFrame, dimension: DataFrame, root: str, exclude: list[str]) -> DataFrame:
+    """Projects below a root (path) that name any symbol, by the boundary rule; excluded ones left out."""
+    below = F.substring_index(F.col("folder"), root.rstrip("/") + "/", -1)
+    folders = resolve.probe(read.withColumnRenamed("file", "path"), dimension).select(below.alias("path"))
+    return usage.excluded(graph.boundaries(folders), exclude).select(F.col("project").alias("path")).distinct()
+
+
+def combo_scan(spark, a):
+    """Probe, scan of every project, and one merged report."""
+    dimension, read = named(spark, a), files.texts(spark, a.path, not a.no_recursive)
+    projects = cut(projects_of(read, dimension, a.path, a.exclude or []))
+    known = [r["symbol"] for r in dimension.select("symbol").collect()]
+    below = F.substring_index(F.col("file"), a.path.rstrip("/") + "/", -1)
+    found = calls.extract(read, known).withColumn("below", below)
+    inside = found.join(F.broadcast(projects), F.col("below").startswith(F.concat("path", F.lit("/"))))
+    rows = cut(inside.withColumnRenamed("path", "project").drop("below").withColumn("category", category_of(F.col("symbol"), custom=custom_names(spark, a))))
+    out = {"projects": usage.with_total(rows), "call_sites": rows, "symbol_summary": usage.merged_symbol_summary(rows), "project_stats": usage.project_stats(rows, ["file", "line"])}
+    if a.compat:
+        status = usage.compat_status(rows, reports.compatibility(spark, a.compat))
+        out |= {"coverage": usage.coverage(status.select("symbol", "status").distinct()), "blockers": usage.blockers(status)}
+    return out
+
+
 def source_merge(spark, a):
     raw = spark.read.format("binaryFile").load(a.path)
     rows = reports.spreadsheet_calls(raw).withColumnRenamed("file_path", "file")
@@ -73,15 +162,25 @@ def source_merge(spark, a):
 
 def source_diff(spark, a):
     old, new = (text_tables.call_reports(spark, p) for p in (a.old, a.new))
+    old, new = (x.withColumn("file", text.strip_prefix(F.col("file"), prefix)) for x, prefix in ((old, a.old_prefix), (new, a.new_prefix)))
     if a.ignore_categories:
         old, new = (x.where(~F.coalesce(F.col("category"), F.lit("")).isin(a.ignore_categories.split(","))) for x in (old, new))
-    out = {"metrics": diff.metrics(old, new), "files": diff.files(old, new), "symbols": diff.symbols(old, new)}
-    return out if a.summary_only else out | {"call_sites": diff.call_sites(old, new).where(F.lit(a.include_unchanged) | (F.col("status") != "unchanged"))}
+    several = not old.where("project <> ''").isEmpty() or not new.where("project <> ''").isEmpty()
+    out = {"metrics": diff.metrics(old, new), "categories": diff.category_metrics(old, new), "files": diff.in_order(diff.file_symbols(old, new), F.desc(F.abs(F.col("new_calls") - F.col("old_calls"))), "file"), "symbols": diff.in_order(diff.symbol_categories(old, new), "category", "symbol")}
+    if several:
+        deltas = diff.symbols(old, new, ["project"])
+        out |= {"projects": summary.project_deltas(deltas), "project_files": diff.file_symbols(old, new, ["project"])}
+    if a.summary_only:
+        return out
+    key = ["project", *diff.KEY] if several else diff.KEY
+    sites = diff.call_sites(old, new, key).join(diff.call_site_details(old, new, key), key)
+    sites = sites.where(F.lit(a.include_unchanged) | (F.col("status") != "unchanged"))
+    return out | {"call_sites": diff.in_order(sites, *key), "pairs": diff.pairs(old, new, key).where(F.lit(a.include_unchanged) | (F.col("status") != "unchanged"))}
 
 
 def source_probe(spark, a):
-    files = texts(spark, a.path).withColumnRenamed("file", "path")
-    return {"folders": resolve.probe(files, named(spark, a.symbols))}
+    read, dimension = files.texts(spark, a.path), named(spark, a)
+    return {"folders": resolve.probe(read.withColumnRenamed("file", "path"), dimension), "projects": projects_of(read, dimension, a.path, a.exclude or [])}
 
 
 def source_summary(spark, a):
@@ -91,8 +190,8 @@ def source_summary(spark, a):
 
 
 def update_data(spark, a):
-    files = texts(spark, a.path)
-    return {"macros": headers.macros(files), "version": headers.version(files, a.path)}
+    read = files.texts(spark, a.path)
+    return {"macros": headers.macros(read), "version": headers.version(read, a.path)}
 
 
 def aggregate(spark, a):
@@ -106,7 +205,7 @@ def export(spark, a):
     return {"table": spark.read.parquet(a.path)}
 
 
-COMMANDS = {"scan": scan, "hap": hap, "proc": proc, "source": source, "source-merge": source_merge, "source-diff": source_diff, "source-probe": source_probe, "source-summary": source_summary, "update-data": update_data, "aggregate": aggregate, "export": export}
+COMMANDS = {"scan": scan, "hap": hap, "hap-summary": hap_summary, "combo-scan": combo_scan, "proc": proc, "source": source, "source-merge": source_merge, "source-diff": source_diff, "source-probe": source_probe, "source-summary": source_summary, "update-data": update_data, "aggregate": aggregate, "export": export}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -122,16 +221,29 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--ignore-categories", default="")
             p.add_argument("--summary-only", action="store_true")
             p.add_argument("--include-unchanged", action="store_true")
+            p.add_argument("--old-prefix", default="")
+            p.add_argument("--new-prefix", default="")
         elif name == "source-summary":
             p.add_argument("manifest")
         else:
             p.add_argument("path")
-        if name in ("scan", "hap", "source", "source-probe"):
-            p.add_argument("--symbols", required=True, help="file of symbol names, one a line")
-        if name == "source":
+        if name in ("scan", "hap", "source", "source-probe", "combo-scan"):
+            p.add_argument("--symbols", default="", help="file of symbol names, one a line")
+            p.add_argument("--openssl-lib", action="append", help="library whose exports are the symbols")
+            p.add_argument("--add", default="", help="file of names of the user's own")
+        if name in ("scan", "source", "combo-scan"):
             p.add_argument("--no-recursive", action="store_true")
-            p.add_argument("--recover-parser-diagnostics", action="store_true")
+        if name == "scan":
+            p.add_argument("--from-file", default="", help="file of the paths to scan, one a line")
+            p.add_argument("--fingerprints", default="")
+        if name == "hap":
+            p.add_argument("--abi", default="")
+        if name in ("source-probe", "combo-scan"):
+            p.add_argument("--exclude", nargs="+")
+        if name in ("source", "combo-scan"):
             p.add_argument("--compat", default="")
+        if name == "source":
+            p.add_argument("--recover-parser-diagnostics", action="store_true")
         if name == "proc":
             p.add_argument("--pid", type=int, default=0)
             p.add_argument("--include-deleted", action="store_true")
@@ -155,7 +267,7 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> i
     else:
         for name, df in tables.items():
             sinks.write(df, f"{a.output.rstrip('/')}/{name}", a.format)
-    changed = a.command == "source-diff" and not tables["symbols"].where("status <> 'unchanged'").isEmpty()
+    changed = a.command == "source-diff" and not diff.is_empty(tables["symbols"], tables["files"], *[tables[t] for t in ("call_sites",) if t in tables])
     return int(changed)
 
 

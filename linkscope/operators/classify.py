@@ -52,9 +52,18 @@ def confidence() -> list[Column]:
 def fingerprint_scores(strings: DataFrame, marks: DataFrame, by: str = "file", max_score: float = 106, levels: tuple[float, float, float] = (60, 35, 15)) -> DataFrame:
     """Scores by categories of known strings: each counts per_point a string and max_points at most.
 
-    marks: category, string, per_point, max_points. Thresholds hold for the raw score; the reported one is of 100.
+    marks: category, string, per_point, max_points and, if some are parts of strings, mode (exact or substring).
+    Thresholds hold for the raw score; the reported one is of 100.
     """
-    hit = strings.select(by, "string").distinct().join(marks, "string")
+    own = strings.select(by, "string").distinct()
+    if "mode" in marks.columns:
+        # the marks are a bounded table that users supply; parts of strings are looked for in each string once
+        exact = own.join(marks.where("mode <> 'substring'").drop("mode"), "string")
+        parts = marks.where("mode = 'substring'").drop("mode")
+        inside = own.withColumnRenamed("string", "whole").join(F.broadcast(parts), F.contains("whole", "string")).drop("whole").distinct()
+        hit = exact.unionByName(inside)
+    else:
+        hit = own.join(marks, "string")
     each = hit.groupBy(by, "category").agg(F.least(F.count("*") * F.max("per_point"), F.max("max_points")).alias("points"), F.count("*").alias("matched"))
     raw = each.groupBy(by).agg(F.sum("points").alias("raw"), F.sum("matched").alias("matched"))
     level = F.when(F.col("raw") >= levels[0], "high").when(F.col("raw") >= levels[1], "medium").when(F.col("raw") >= levels[2], "low").otherwise("none")

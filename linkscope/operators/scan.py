@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from linkscope.functions.categories import LIBRARY_PREFIXES, PREFIXES, category_of
 from linkscope.functions.text import basename, is_library
-from linkscope.operators import classify, graph
+from linkscope.operators import banners, classify, graph
 
 NONE = "cast(array() as array<string>)"
 
@@ -148,3 +148,32 @@ def batch_categories(files: DataFrame) -> DataFrame:
     symbol = F.col("symbol")
     return files.select(F.explode("symbols").alias("symbol")).distinct().select(category_of(symbol).alias("category")).groupBy("category").agg(F.count("*").alias("n_symbols"))
 
+
+def file_facts(symbols: DataFrame, needed: DataFrame, strings: DataFrame, found: DataFrame, dimension: DataFrame, resolved: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """The columns of a file from facts of its parts.
+
+    symbols: path, name, defined; needed: path, libs, has_loader, arch, position; strings: path, offset, text; found:
+    banners' rows (path, library, version); dimension: symbol; resolved: path, symbol (from machine code); marks: a fingerprint.
+    """
+    known = symbols.join(dimension.select(F.col("symbol").alias("name")).distinct(), "name", "left_semi")
+    names = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("name"))))
+    own = known.groupBy("path").agg(names(~F.col("defined")).alias("und"), names(F.col("defined")).alias("defs"))
+    weak = banners.weak_symbols(symbols.select(F.col("path").alias("file"), F.col("name").alias("symbol"))).select(F.col("file").alias("path"), F.lit(True).alias("weak"))
+    texts = strings.join(dimension.select(F.col("symbol").alias("text")).distinct(), "text", "left_semi")
+    hidden = texts.groupBy("path").agg(F.array_sort(F.collect_set("text")).alias("hidden"))
+    raw = texts.select("path", F.col("text").alias("symbol"), "offset").join(known.select("path", F.col("name").alias("symbol")).distinct(), ["path", "symbol"], "left_anti")
+    runs = classify.clusters(raw, "path").select("path", "start", F.col("end").alias("stop"))
+    near = raw.join(runs, "path").where("offset between start and stop").select("path", "symbol").distinct()
+    loaded = banners.dlopen_symbols(raw.select("path", "symbol"), near, resolved, "path", strict=True)
+    loaded = loaded.groupBy("path").agg(F.array_sort(F.collect_set("symbol")).alias("dl_symbols"), F.max("confidence").alias("dl_confidence"))
+    libs = strings.where(is_library(basename(F.col("text")), LIBRARY_PREFIXES)).groupBy("path").agg(F.array_sort(F.collect_set("text")).alias("dl_libs"))
+    out = needed.join(own, "path", "left").join(found.select("path", F.col("library").alias("banner_library"), F.col("version").alias("banner_version")), "path", "left").join(weak, "path", "left").join(hidden, "path", "left").join(loaded, "path", "left").join(libs, "path", "left")
+    if marks is None:
+        out = out.withColumns({"print_confidence": F.lit(""), "print_library": F.lit(None).cast("string"), "print_score": F.lit(0.0), "print_matched": F.lit(0).cast("long"), "print_total": F.lit(0)})
+    else:
+        total = marks.agg(F.count("*").alias("print_total"))
+        scored = classify.fingerprint_scores(strings.select("path", F.col("text").alias("string")), marks.drop("library"), "path").select("path", F.nullif("confidence", F.lit("none")).alias("print_confidence"), F.lit(None).cast("string").alias("print_library"), F.col("score").alias("print_score"), F.col("matched").alias("print_matched"))
+        out = out.join(scored, "path", "left").crossJoin(total)
+    none = F.expr(NONE)
+    lists = {c: F.coalesce(c, none) for c in ("und", "defs", "hidden", "dl_symbols", "dl_libs")}
+    return out.withColumns(lists | {"dl_found": (F.size(F.coalesce("dl_symbols", none)) > 0) | (F.size(F.coalesce("dl_libs", none)) > 0)})

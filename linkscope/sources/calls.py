@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # File name endings by language.
 LANGUAGES = {".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hxx": "cpp", ".rs": "rust"}
+# Words at the start of a file that tell a source from an array of figures.
+WORDS = ["#include", "#define", "#ifndef", "#pragma", "typedef", "struct", "enum", "extern", "static", "const ", "void ", "int ", "char "]
 KEYWORDS = frozenset("if for while switch return sizeof do else catch case fn match loop".split())
 SCHEMA = "file string, caller string, line int, symbol string, args string, language string"
 _NOISE = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])\'', re.S)
@@ -83,5 +85,6 @@ def extract(sources: DataFrame, symbols: list[str]) -> DataFrame:
 
     ending = F.concat(F.lit("."), F.lower(F.element_at(F.split("file", r"\."), -1)))
     language = F.element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), ending)
-    blob = (F.length("text") > 50 * 1024) & F.ltrim(F.substring("text", 1, 512)).startswith("0x")
+    head = F.substring("text", 1, 512)
+    blob = (F.octet_length("text") > 50 * 1024) & F.ltrim(F.regexp_replace(head, r"^\s+", "")).startswith("0x") & ~F.exists(F.array(*map(F.lit, WORDS)), lambda w: F.contains(head, w))
     return sources.select("file", "text", language.alias("language")).where(F.col("language").isNotNull() & F.col("text").isNotNull() & ~blob).mapInPandas(run, SCHEMA)

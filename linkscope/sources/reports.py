@@ -96,3 +96,36 @@ def spreadsheet_calls(contents: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["project", *COLUMNS])
 
     return contents.select("path", "content").mapInPandas(run, schema).withColumn("line", F.expr("try_cast(line as int)"))
+
+
+def package_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files of earlier package reports, one row each, with the columns that the rules for packages ask for.
+
+    Reports of another kind and unreadable files give no rows; what a report lacks has its default.
+    """
+    loading = "dlopen_detection struct<uses_dlopen:boolean,dlopen_symbols:array<string>,dlopen_libs:array<string>,confidence:string>"
+    file = f"struct<path:string,type:string,arch:string,direct_deps:array<string>,openssl_deps:struct<direct:boolean,transitive:boolean,libs:array<string>>,openssl_symbols_used:array<string>,static_openssl:boolean,static_ssl_library:string,static_openssl_confidence:string,static_openssl_confidence_reason:string,{loading.replace(' struct', ':struct', 1)},fingerprint_detail:struct<score:double>>"
+    package = "struct<package_path:string,bundle_name:string,version_name:string,version_code:int,bundled_openssl:string,bundled_openssl_files:array<string>>"
+    r = _json(spark, path, f"meta struct<report_type:string,package:{package}>, files_detail array<{file}>").withColumn("report", F.input_file_name())
+    r = r.where(F.col("meta.report_type") == "package").select("report", "meta.package.*", F.explode_outer("files_detail").alias("f"))
+    none, p = F.array().cast("array<string>"), F.coalesce("package_path", "report")
+    release = F.concat_ws("/", F.coalesce("bundle_name", p), F.coalesce(F.col("version_code").cast("string"), p), F.coalesce("version_name", F.lit("")))
+    return r.select(
+        "report", p.alias("package"), release.alias("release"), F.coalesce("bundled_openssl", F.lit("false")).alias("bundled"), F.coalesce("bundled_openssl_files", none).alias("bundled_files"),
+        F.coalesce("f.path", F.lit("")).alias("path"), F.coalesce("f.openssl_symbols_used", none).alias("symbols"), F.coalesce("f.dlopen_detection.dlopen_symbols", none).alias("dlsym"),
+        F.coalesce("f.static_openssl", F.lit(False)).alias("is_static"), F.coalesce("f.static_openssl_confidence", F.lit("")).alias("confidence"), F.coalesce("f.static_openssl_confidence_reason", F.lit("")).alias("reason"),
+        F.coalesce("f.dlopen_detection.uses_dlopen", F.lit(False)).alias("uses_dlopen"), F.coalesce("f.dlopen_detection.dlopen_libs", none).alias("dlopen_libs"), F.coalesce("f.openssl_deps.libs", none).alias("libs"),
+        F.coalesce("f.direct_deps", none).alias("deps"), F.col("f.fingerprint_detail.score").alias("score"),
+    )
+
+
+def fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """Marks of a fingerprint file: category, string, per_point, max_points, mode, library; an unreadable file gives none."""
+    one = "struct<per_point:double,max_points:double,strings:array<string>,match_mode:string,library:string>"
+    r = _json(spark, path, f"categories map<string,{one}>").select(F.explode("categories").alias("category", "v"))
+    return r.select("category", F.explode("v.strings").alias("string"), F.coalesce("v.per_point", F.lit(0.0)).alias("per_point"), F.coalesce("v.max_points", F.lit(0.0)).alias("max_points"), F.coalesce("v.match_mode", F.lit("exact")).alias("mode"), "v.library")
+
+
+def symbol_json(spark: SparkSession, path: str, key: str = "symbols") -> DataFrame:
+    """symbol and origin of a file that lists names under a key (symbols or macros)."""
+    return _json(spark, path, f"{key} array<string>").select(F.explode(key).alias("symbol"), F.lit(key).alias("origin")).distinct()
