@@ -87,6 +87,11 @@ def pattern_hits(names: DataFrame, patterns: DataFrame) -> DataFrame:
     return names.join(patterns, names["name"] == patterns["pattern"]).groupBy("file", "group", "pattern").agg(F.min_by("place", rank).alias("place"))
 
 
+def shared_objects(names: DataFrame, file: str = "file") -> DataFrame:
+    """Names of files that are shared objects, the only ones in which patterns are looked for."""
+    return names.where(basename(F.col(file)).rlike(r"\.so($|\.)"))
+
+
 def pattern_summary(hits: DataFrame) -> DataFrame:
     """`group (n), ...` of each file, groups in order."""
     n = hits.groupBy("file", "group").agg(F.count("*").alias("n"))

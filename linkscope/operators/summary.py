@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkscope.functions.text import basename, ratio
@@ -109,3 +109,66 @@ def tier(name: Column, is_root: Column, is_target: Column, n_symbols: Column) ->
 def merged_graph(edges: DataFrame) -> DataFrame:
     """Edges of all processes (process, src, dst as paths) merged by file names: src, dst, number of processes."""
     return edges.select("process", basename(F.col("src")).alias("src"), basename(F.col("dst")).alias("dst")).groupBy("src", "dst").agg(F.countDistinct("process").alias("n_processes"))
+
+
+def symbol_components(facts: DataFrame) -> DataFrame:
+    """Components that use each symbol, as text in order, and their number; facts: component, symbol."""
+    each = facts.select("symbol", F.col("component").cast("string").alias("component")).distinct()
+    return each.groupBy("symbol").agg(F.count("*").alias("n_components"), F.array_join(F.array_sort(F.collect_list("component")), ",").alias("components"))
+
+
+def shared_libraries(edges: DataFrame) -> DataFrame:
+    """Libraries that several processes load: edges of processes (process, src, dst); dst and the number of processes."""
+    return edges.select("process", basename(F.col("dst")).alias("library")).distinct().groupBy("library").agg(F.count("*").alias("n_processes")).where("n_processes > 1")
+
+
+def shared_graph(edges: DataFrame) -> DataFrame:
+    """Merged edges between nodes that more than one process has."""
+    named = edges.select("process", basename(F.col("src")).alias("src"), basename(F.col("dst")).alias("dst"))
+    both = named.select("process", F.col("src").alias("node")).union(named.select("process", "dst")).distinct().groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    kept = named.select("src", "dst").distinct().join(both.withColumnRenamed("node", "src"), "src", "left_semi")
+    return kept.join(both.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+
+
+def chain_graph(edges: DataFrame, chain_edges: DataFrame) -> DataFrame:
+    """The edges whose ends both lie on any chain."""
+    node = chain_edges.select(F.col("src").alias("node")).union(chain_edges.select("dst")).distinct()
+    return edges.select("src", "dst").distinct().join(node.withColumnRenamed("node", "src"), "src", "left_semi").join(node.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+
+
+def error_rows(errors: DataFrame) -> DataFrame:
+    """Errors with their severity in capitals, `WARNING` without one."""
+    return errors.withColumn("severity", F.upper(F.coalesce("severity", F.lit("warning"))))
+
+
+def first_errors(errors: DataFrame, n: int = 10) -> DataFrame:
+    """The first n errors in order of file and message, and a row that counts the rest, if there are more."""
+    first = errors.select("file", "message").orderBy("file", "message").limit(n)
+    more = errors.agg((F.count("*") - n).alias("rest")).where("rest > 0").select(F.lit("").alias("file"), F.format_string("... and %d more", "rest").alias("message"))
+    return first.unionByName(more)
+
+
+def manifest_rows(projects: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Projects (path) with name and address of the manifest's entry of that path; empty without one."""
+    known = manifest.groupBy("path").agg(F.max("name").alias("name"), F.max("url").alias("url"))
+    return projects.join(known, "path", "left").withColumns({"name": F.coalesce("name", F.lit("")), "url": F.coalesce("url", F.lit(""))})
+
+
+def used_repositories(rows: DataFrame) -> DataFrame:
+    """Repositories with any use, most symbols first, then most calls, then by name, with their place."""
+    order = Window.orderBy(F.desc("n_symbols"), F.desc("n_calls"), "project")
+    return rows.where("n_calls > 0").withColumn("place", F.row_number().over(order).cast("long"))
+
+
+def searched_symbols(counts: DataFrame, part: str = "", category: str = "", n: int = 500) -> DataFrame:
+    """The first n symbols whose name holds a part, upper and lower case alike, and whose category fits."""
+    hit = F.lower("symbol").contains(part.lower())
+    return counts.where(hit & (F.lit(category == "") | (F.col("category") == category))).orderBy("symbol").limit(n)
+
+
+def category_total(counts: DataFrame) -> DataFrame:
+    """Categories with their symbols and share, and a row TOTAL of the sum."""
+    whole = Window.partitionBy()
+    share = F.format_string("%.1f%%", F.col("n_symbols") / F.sum("n_symbols").over(whole) * 100)
+    total = counts.agg(F.sum("n_symbols").alias("n_symbols")).select(F.lit("TOTAL").alias("category"), "n_symbols", F.lit("100.0%").alias("share"))
+    return counts.select("category", "n_symbols", share.alias("share")).unionByName(total)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkscope.functions import categories, text
-from linkscope.operators import classify, scan, trees, usage
+from linkscope.operators import classify, graph, scan, summary, trees, usage
 from linkscope.plans import adapters as a
 from linkscope.plans.registry import query
 
@@ -189,3 +189,33 @@ query("library_names", rf"""SELECT p_partkey, string_split(n, '.so')[1] AS stem,
 query("relative_paths", r"""WITH u AS (SELECT page_id, (['/work/out/a/b.c', '/work/outer/a.c', '/else/out/x/y.c', 'plain.c', '/work/out'])[page_id % 5 + 1] AS p FROM pages)
 SELECT page_id, CASE WHEN starts_with(p, '/work/out/') THEN substr(p, 11) ELSE p END AS below, CASE WHEN starts_with(p, '/work/out/') THEN substr(p, 11) WHEN contains(p, '/out/') THEN string_split(p, '/out/')[-1] ELSE regexp_extract(p, '[^/]*$') END AS relative, len(string_split(replace(p, '/', ' -> '), ' -> ')) - 1 AS depth FROM u""")(
     lambda s, d: a.table(s, d, "pages").select("page_id", F.get(F.array(*map(F.lit, ["/work/out/a/b.c", "/work/outer/a.c", "/else/out/x/y.c", "plain.c", "/work/out"])), (F.col("page_id") % 5).cast("int")).alias("p")).select("page_id", text.strip_prefix(F.col("p"), "/work/out").alias("below"), text.relative_path(F.col("p"), "/work/out").alias("relative"), text.chain_depth(F.replace("p", F.lit("/"), F.lit(" -> "))).alias("depth")))
+
+# Tables of reports
+
+_PROCESS_EDGES = ["l_orderkey as process", "concat('/x/', l_linenumber, '/a', l_suppkey) as src", "concat('/y/b', l_partkey) as dst"]
+query("symbol_components", f"WITH {a.COMPONENTS} SELECT symbol, count(DISTINCT component) AS n_components, string_agg(DISTINCT component, ',' ORDER BY component) AS components FROM facts GROUP BY 1")(
+    lambda s, d: summary.symbol_components(a.components(s, d)))
+query("shared_libraries", "SELECT 'b' || l_partkey AS library, count(DISTINCT l_orderkey) AS n_processes FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) > 1")(
+    lambda s, d: summary.shared_libraries(a.table(s, d, "lineitem").selectExpr(*_PROCESS_EDGES)))
+query("shared_graph", """WITH e AS (SELECT l_orderkey AS process, 'a' || l_suppkey AS src, 'b' || l_partkey AS dst FROM lineitem), n AS (SELECT node FROM (SELECT process, src AS node FROM e UNION SELECT process, dst FROM e) GROUP BY 1 HAVING count(*) > 1)
+SELECT DISTINCT src, dst FROM e WHERE src IN (FROM n) AND dst IN (FROM n)""")(lambda s, d: summary.shared_graph(a.table(s, d, "lineitem").selectExpr(*_PROCESS_EDGES)))
+query("chain_graph", f"""WITH RECURSIVE {a.ALL_PATHS}, i AS (SELECT path, unnest(range(1, len(path))) AS k FROM paths), n AS (SELECT path[k] AS node FROM i UNION SELECT path[k + 1] FROM i)
+SELECT src, dst FROM edges WHERE src IN (FROM n) AND dst IN (FROM n)""")(lambda s, d: summary.chain_graph(e := a.all_edges(s, d), graph.chain_edges(graph.paths_to(e, a.all_targets(s, d), a.HOPS))))
+query("error_rows", "SELECT o_orderkey, upper(coalesce(CASE WHEN o_custkey % 3 = 0 THEN NULL WHEN o_custkey % 3 = 1 THEN 'error' ELSE 'Info' END, 'warning')) AS severity FROM orders")(
+    lambda s, d: summary.error_rows(a.table(s, d, "orders").selectExpr("o_orderkey", "case when o_custkey % 3 = 0 then null when o_custkey % 3 = 1 then 'error' else 'Info' end as severity")))
+query("first_errors", """WITH e AS (SELECT 'f' || o_orderkey AS file, o_orderpriority AS message FROM orders WHERE o_orderstatus = 'P') SELECT * FROM (SELECT * FROM e ORDER BY file, message LIMIT 10)
+UNION ALL SELECT '', printf('... and %d more', count(*) - 10) FROM e HAVING count(*) > 10""")(
+    lambda s, d: summary.first_errors(a.table(s, d, "orders").where("o_orderstatus = 'P'").selectExpr("concat('f', o_orderkey) as file", "o_orderpriority as message")))
+query("manifest_rows", """WITH m AS (SELECT 'p/' || s_suppkey % 60 AS path, max(s_name) AS name, max('http://h/' || s_suppkey) AS url FROM supplier GROUP BY 1)
+SELECT c_custkey, path, coalesce(name, '') AS name, coalesce(url, '') AS url FROM (SELECT c_custkey, 'p/' || c_custkey % 90 AS path FROM customer) LEFT JOIN m USING (path)""")(
+    lambda s, d: summary.manifest_rows(a.table(s, d, "customer").selectExpr("c_custkey", "concat('p/', c_custkey % 90) as path"), a.table(s, d, "supplier").selectExpr("concat('p/', s_suppkey % 60) as path", "s_name as name", "concat('http://h/', s_suppkey) as url")))
+query("used_repositories", f"""WITH {a.CALLS}, r AS (SELECT project, count(*) AS n_calls, count(DISTINCT symbol) AS n_symbols FROM calls GROUP BY 1 UNION ALL SELECT s_suppkey + 1000, 0, 0 FROM supplier)
+SELECT *, row_number() OVER (ORDER BY n_symbols DESC, n_calls DESC, project) AS place FROM r WHERE n_calls > 0""")(
+    lambda s, d: summary.used_repositories(a.calls(s, d).groupBy("project").agg(F.count("*").alias("n_calls"), F.countDistinct("symbol").alias("n_symbols")).unionByName(a.table(s, d, "supplier").selectExpr("s_suppkey + 1000 as project", "0L as n_calls", "0L as n_symbols"))))
+query("searched_symbols", f"WITH {a.CALLS} SELECT symbol, min(category) AS category, count(*) AS n_calls, count(DISTINCT file) AS n_files FROM calls GROUP BY 1 HAVING contains(lower(symbol), 's1') ORDER BY symbol LIMIT 500")(
+    lambda s, d: summary.searched_symbols(usage.symbol_summary(a.calls(s, d)), "S1"))
+query("category_total", f"""WITH {a.CALLS}, c AS (SELECT category, count(DISTINCT symbol) AS n_symbols FROM calls GROUP BY 1)
+SELECT category, n_symbols, printf('%.1f%%', n_symbols / (SELECT sum(n_symbols) FROM c) * 100) AS share FROM c UNION ALL SELECT 'TOTAL', sum(n_symbols)::BIGINT, '100.0%' FROM c""")(
+    lambda s, d: summary.category_total(usage.by_category(a.calls(s, d)).select("category", "n_symbols")))
+query("shared_objects", "SELECT l_partkey AS name, 'd/f' || l_suppkey || CASE l_linenumber % 4 WHEN 0 THEN '.so' WHEN 1 THEN '.so.1' WHEN 2 THEN '.sox' ELSE '' END AS file FROM lineitem WHERE l_linenumber % 4 < 2")(
+    lambda s, d: classify.shared_objects(a.table(s, d, "lineitem").selectExpr("l_partkey as name", "concat('d/f', l_suppkey, case l_linenumber % 4 when 0 then '.so' when 1 then '.so.1' when 2 then '.sox' else '' end) as file")))

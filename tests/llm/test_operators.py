@@ -265,7 +265,7 @@ def test_packing_round_trip(spark, sf_dir):
 
 def test_encoder_is_the_tokenizer():
     encode = group_packing.Encoder(RANKS, TOKENIZER)
-    for s in ("", "a<|endoftext|>b", "  q \n\n z\t", "don't I'LL 12 345٣ ﬁ​漢字\U0001f600's", "aaaa" * 5000):
+    for s in ("", "a<|endoftext|>b", "  q \n\n z\t", "don't I'LL 12 345٣ ﬁ​漢字\U0001f600's", "aaaa" * 5000, " " * 1_200_000 + "x", "\n" * 5000, "мир и 漢字 देवनागरी ภาษาไทย", "a\u0301\u200d\ufeff"):
         assert encode(s).tolist() == encode.slow.encode(s, add_special_tokens=False).ids
 
 
