@@ -74,7 +74,7 @@ def scan(spark, a):
     out = {"files": marked, "symbols": operators_scan.detection(results), "by_category": usage.by_category(each), "totals": operators_scan.totals(results, facts.select("path", "arch", F.col("path").alias("position"))), "roll_up": operators_scan.roll_up(results), "most_common": usage.most_common(each), "edges": edges}
     out["chains"] = graph.chains(graph.first_paths(paths), each.select(F.col("file").alias("src"), "symbol").distinct())
     out["by_depth"] = graph.by_depth(paths, each.select(F.col("file").alias("src"), "symbol").distinct())
-    return out | {"errors": facts.where("error is not null").select("path", "error")}
+    return out | {"report": operators_scan.report_rows(marked, facts), "errors": facts.where("error is not null").select("path", "error")}
 
 
 def hap(spark, a):
@@ -214,7 +214,7 @@ def parser() -> argparse.ArgumentParser:
     for name in COMMANDS:
         p = sub.add_parser(name)
         p.add_argument("-o", "--output", required=True)
-        p.add_argument("-f", "--format", default="parquet", choices=["parquet", "json", "tsv", "xlsx", "html"])
+        p.add_argument("-f", "--format", default="parquet", choices=["parquet", "json", "tsv", "xlsx", "html", "document"])
         if name == "source-diff":
             p.add_argument("old")
             p.add_argument("new")
@@ -264,6 +264,8 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> i
         sinks.spreadsheet(a.output, tables)
     elif a.format == "html":
         sinks.page(a.output, a.command, tables)
+    elif a.format == "document":
+        sinks.document(a.output, {"meta": {"report_type": a.command, "target": getattr(a, "path", "")}, **tables})
     else:
         for name, df in tables.items():
             sinks.write(df, f"{a.output.rstrip('/')}/{name}", a.format)

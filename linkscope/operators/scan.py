@@ -177,3 +177,11 @@ def file_facts(symbols: DataFrame, needed: DataFrame, strings: DataFrame, found:
     none = F.expr(NONE)
     lists = {c: F.coalesce(c, none) for c in ("und", "defs", "hidden", "dl_symbols", "dl_libs")}
     return out.withColumns(lists | {"dl_found": (F.size(F.coalesce("dl_symbols", none)) > 0) | (F.size(F.coalesce("dl_libs", none)) > 0)})
+
+
+def report_rows(results: DataFrame, facts: DataFrame) -> DataFrame:
+    """Files as the rows of a report: nested as readers of reports ask for; facts: path, kind, arch, needed, error."""
+    loading = F.when(F.col("uses_dlopen"), F.struct(F.lit(True).alias("uses_dlopen"), F.col("dlsym").alias("dlopen_symbols"), "dlopen_libs", F.col("dlopen_confidence").alias("confidence")))
+    own = facts.select("path", F.col("kind").alias("type"), "arch", F.col("needed").alias("direct_deps"), "error")
+    found = results.select("path", F.struct(F.col("is_direct").alias("direct"), F.col("is_transitive").alias("transitive"), "libs").alias("openssl_deps"), F.col("symbols").alias("openssl_symbols_used"), F.col("is_static").alias("static_openssl"), F.col("static_version").alias("static_openssl_version"), F.col("static_library").alias("static_ssl_library"), F.col("confidence").alias("static_openssl_confidence"), F.col("reason").alias("static_openssl_confidence_reason"), F.col("exported").alias("openssl_exported"), loading.alias("dlopen_detection"))
+    return own.join(found, "path", "left")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import html
+import json
 import zipfile
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ROWS = 1_048_575
 
@@ -90,3 +92,27 @@ def page(path: str, title: str, tables: dict[str, DataFrame]) -> None:
             for row in df.toLocalIterator():
                 f.write("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in row) + "</tr>")
             f.write("</table>")
+
+
+def document(path: str, parts: dict) -> None:
+    """One JSON object: plain values as they are, a table as the list of its rows, streamed row by row."""
+    with open(path, "w", encoding="utf-8") as f:
+        for i, (name, value) in enumerate(parts.items()):
+            f.write(("{" if i == 0 else ",\n") + json.dumps(name) + ": ")
+            if isinstance(value, DataFrame):
+                f.write("[")
+                for j, row in enumerate(value.select(F.to_json(F.struct("*"))).toLocalIterator()):
+                    f.write((",\n" if j else "") + row[0])
+                f.write("]")
+            else:
+                json.dump(value, f, ensure_ascii=False, default=str)
+        f.write("}" if parts else "{}")
+
+
+def column_letter(n: int) -> str:
+    """Letters of a sheet's n-th column, from 1."""
+    out = ""
+    while n > 0:
+        n, rest = divmod(n - 1, 26)
+        out = chr(65 + rest) + out
+    return out

@@ -148,6 +148,8 @@ def test_scan_of_files(spark, tmp_path):
     totals = spark.read.parquet(f"{out}/totals").first()
     assert (totals.n_files, totals.arch) == (5, "aarch64")
     assert {(r.symbol, r.depth) for r in spark.read.parquet(f"{out}/chains").collect() if r.src.endswith("app")} == {("main", 2)}
+    report = {r.path.rsplit("/", 1)[-1]: r for r in spark.read.parquet(f"{out}/report").collect()}
+    assert report["loads"].dlopen_detection.dlopen_libs == ["libcrypto.so.3"] and report["app"].openssl_deps.transitive and report["app"].dlopen_detection is None
     # the exports of a library as the dimension, and a list of targets
     (tmp_path / "targets.txt").write_text(f"# one\n{folder}/libmid.so\n")
     assert command.main(["scan", str(folder), "--openssl-lib", str(folder / "libssl.so.3"), "--from-file", str(tmp_path / "targets.txt"), "-o", out], spark) == 0
@@ -201,3 +203,25 @@ def test_rules_of_small_functions(spark):
     assert {tuple(r) for r in scan.runtime_only(mapped, spark.createDataFrame([(1, "/a")], "pid int, path string")).collect()} == {(1, "/a", False), (1, "/b", True), (2, "/a", True)}
     kept, left = scan.without_bundled(spark.createDataFrame([("p", "l/libssl.so"), ("p", "l/LIBCRYPTO.so.3"), ("p", "l/libcrypto.a")], "package string, path string"))
     assert [r.path for r in kept.collect()] == ["l/libcrypto.a"] and left.count() == 2
+
+
+def test_documents_and_columns(spark, tmp_path):
+    import json
+
+    from linkscope.plans import sinks
+
+    rows = spark.createDataFrame([(1, ["a"], None), (2, [], "é")], "n int, l array<string>, t string")
+    sinks.document(str(tmp_path / "d.json"), {"meta": {"k": 1}, "rows": rows, "none": rows.limit(0)})
+    assert json.loads((tmp_path / "d.json").read_text()) == {"meta": {"k": 1}, "rows": [{"n": 1, "l": ["a"]}, {"n": 2, "l": [], "t": "é"}], "none": []}
+    assert [sinks.column_letter(n) for n in (1, 26, 27, 702, 703)] == ["A", "Z", "AA", "ZZ", "AAA"]
+
+
+def test_new_files_are_scanned_once(spark, tmp_path):
+    from linkscope.streaming import rescan
+
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for name in ("a.c", "b.c"):
+        (source / name).write_text("x")
+        rescan.watch(spark, str(source), out, str(tmp_path / "seen"), lambda batch: batch.select("path", "length")).awaitTermination()
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in spark.read.parquet(out).collect()) == ["a.c", "b.c"]
