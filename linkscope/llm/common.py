@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +30,28 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="checkpoint-")
 
 
+#: Makes Spark delete an action's shuffle files when it ends; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Frames that are made herein delete the shuffle files of their actions when these end."""
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
+    """Cut the lineage with a checkpoint in the shared folder; the shuffle files that led to it are deleted."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+        context.setCheckpointDir(shared_folder(spark))
+    with releasing(spark):
+        return df.select("*").checkpoint()
 
 
 #: Most keys that count as hot, and the parts that a hot key's rows are dealt over.
@@ -57,6 +74,24 @@ def joined(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, by:
     return dealt.join(each, [*keys, salt]).drop(salt)
 
 
+#: Most words, of 64 bits each, of a sieve, and its bits for each key while there are no more.
+SIEVE_WORDS, SIEVE_BITS = 1 << 19, 16
+
+
+def sieve(rows: DataFrame, keys: DataFrame, by: list[str], into: str) -> DataFrame:
+    """rows with one more column: false only where no row of keys has the same in the columns by, nulls taken as equal.
+
+    A broadcast bitmap of bounded size says so, thus no row is exchanged; true may be wrong, the more often the more keys
+    there are.  keys are read twice and should be cut; the columns by need the same types in both.
+    """
+    words = min(SIEVE_WORDS, keys.count() * SIEVE_BITS // 64 + 1)
+    at, word, bits = (fresh(n, [*rows.columns, *keys.columns, into]) for n in ("at", "word", "bits"))
+    placed = lambda df: df.withColumn(at, F.pmod(F.xxhash64(*by), F.lit(64 * words))).withColumn(word, F.shiftright(at, 6))
+    bitmap = placed(keys).groupBy(word).agg(F.expr(f"bit_or(shiftleft(1L, cast({at} & 63 as int)))").alias(bits))
+    found = F.expr(f"shiftrightunsigned({bits}, cast({at} & 63 as int)) & 1") == 1
+    return placed(rows).join(F.broadcast(bitmap), word, "left").withColumn(into, F.coalesce(found, F.lit(False))).drop(at, word, bits)
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """A column name like the given one that no column has yet, upper and lower case alike."""
     low = {c.lower() for c in taken}

@@ -32,6 +32,10 @@ Regions of shingles that are common in the sample are counted map-side and broad
 HOT_COUNT of them), so no shuffle brings all documents with such a shingle together; all other joins
 by a key that many rows may have go through common.joined.
 
+Prefixes are most of the data.  They are made from the texts twice, so that none is stored: one exchange brings them to their
+regions, packed as entries of two numbers.  What is exchanged of texts is sieved by a bitmap first (common.sieve).
+Labels, shingles and sizes of entries are cut short, which may bring more sets together but keeps no two apart.
+
 Defined cases: a null text counts as empty; empty sets link with nothing; equal texts link
 whatever their ids, null ones too; repeated rows give a row each; a row whose id is null has a null component
 unless a text linked to it has an id; an empty table gives no rows; other columns are not read.
@@ -42,11 +46,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkscope.llm.common import annotate, cut, fresh, hash_share, joined, small_batches
+from linkscope.llm.common import annotate, cut, fresh, hash_share, joined, releasing, sieve, small_batches
 from linkscope.llm.components import components
 from linkscope.llm.text_kernel import SPACE_WORDS, blocks, mix, shingle_sets, words
 
@@ -64,10 +69,14 @@ PIVOTS, MOST_PIVOTS, OPEN, OPEN_BYTES, LEVELS = 8, 12, 64, 4 << 20, 2
 SETS = [
     T.StructField("n_shingles", T.LongType()),
     T.StructField("key", T.StringType()),
-    T.StructField("prefix", T.ArrayType(T.LongType())),
     T.StructField("n_cold", T.IntegerType()),
+    T.StructField("hot", T.ArrayType(T.LongType())),
 ]
 
+#: An entry: the label of a set, of LABEL_DIGITS hexadecimal digits, its size in SIZE_BITS bits (larger ones as the largest) and, in the last, whether the shingle is of the shorter prefix; the first SHINGLE_BITS bits of the shingle; rows of a batch of entries.
+LABEL_DIGITS, SIZE_BITS, SHINGLE_BITS, ENTRY_ROWS = 10, 23, 48, 1 << 16
+ENTRY = "entry long, shingle long"
+
 
 def sets_of(texts: pa.Array, n: int) -> list[np.ndarray]:
     out = []
@@ -91,29 +100,50 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - -(-n * percent // 100) + shared(n))
 
 
-def summarise(common: tuple[np.ndarray, np.ndarray], n: int, percent: int, hot_count: int, texts: pa.Array) -> list:
-    """n_shingles, key and prefix of every text, and how many of the prefix, at its start, are not hot."""
+def short_length(n: int, percent: int) -> int:
+    """Of two linked sets the smaller shares as many of its first n - ceil(2pn/(100+p)) + l."""
+    return n - -(-2 * percent * n // (100 + percent)) + shared(n)
+
+
+def prefix(common: tuple[np.ndarray, np.ndarray], percent: int, hot_count: int, x: np.ndarray) -> tuple[np.ndarray, int]:
+    """The prefix of a set, and how many of it, at its start, are not hot."""
     known, count = common
+    first = n_cold = prefix_length(len(x), percent) if len(x) else 0
+    if len(known) and len(x):
+        at = np.searchsorted(known, x)
+        at[at == len(known)] = 0
+        seen = np.where(known[at] == x, count[at], 0)
+        rare = x[seen == 0]
+        if len(rare) < first:
+            order = np.lexsort((x, seen))
+            n_cold = int((seen[order[:first]] < hot_count).sum())
+            rare = x[order]
+        x = rare
+    return x[:first], n_cold
+
+
+def summarise(common: tuple[np.ndarray, np.ndarray], n: int, percent: int, hot_count: int, texts: pa.Array) -> list:
+    """n_shingles and key of every text, how many of its prefix are not hot, and the others."""
     sets = sets_of(texts, n)
-    prefixes, cold = [], []
-    for x in sets:
-        first = prefix_length(len(x), percent) if len(x) else 0
-        n_cold = first
-        if len(known) and len(x):
-            at = np.searchsorted(known, x)
-            at[at == len(known)] = 0
-            seen = np.where(known[at] == x, count[at], 0)
-            rare = x[seen == 0]
-            if len(rare) < first:
-                order = np.lexsort((x, seen))
-                n_cold = int((seen[order[:first]] < hot_count).sum())
-                rare = x[order]
-            x = rare
-        prefixes.append(x[:first].view(np.int64))
-        cold.append(n_cold)
-    flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-    return [pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) for x in sets], pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(cold, pa.int32())]
+    made = [prefix(common, percent, hot_count, x) for x in sets]
+    hot = [p[n_cold:].view(np.int64) for p, n_cold in made]
+    flat = np.concatenate(hot) if hot else np.zeros(0, np.int64)
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in hot])]).astype(np.int32)
+    return [pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) for x in sets], pa.string()), pa.array([n_cold for _, n_cold in made], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+
+
+def entries(common: tuple[np.ndarray, np.ndarray], n: int, percent: int, hot_count: int, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Entry and shingle of all in the texts' prefixes that is not hot; of equal sets one is taken."""
+    seen: set[str | None] = {None}
+    owners, shingles = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for x in sets_of(texts, n):
+        if (key := set_key(x)) not in seen:
+            seen.add(key)
+            first, n_cold = prefix(common, percent, hot_count, x)
+            own = int(key[:LABEL_DIGITS], 16) << SIZE_BITS + 1 | min(len(x), (1 << SIZE_BITS) - 1) << 1
+            owners.append(np.uint64(own) | (np.arange(n_cold) < short_length(len(x), percent)).astype(np.uint64))
+            shingles.append(first[:n_cold] >> np.uint64(64 - SHINGLE_BITS))
+    return np.concatenate(owners).view(np.int64), np.concatenate(shingles).view(np.int64)
 
 
 def common_shingles(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +152,8 @@ def common_shingles(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.
     share = min(1.0, SAMPLE / max(1, total["n"]), SAMPLE_BYTES / max(1, total["size"]))
     field = T.StructField("s", T.ArrayType(T.LongType()))
     made = annotate(docs.select(text).where(F.octet_length(text) < 1 << 20).where(hash_share(text) < share), text, lambda texts: [pa.array([x.view(np.int64) for x in sets_of(texts, n)], pa.list_(pa.int64()))], [field], "made")
-    rows = made.select(text, "made.s").dropDuplicates([text]).select(F.explode("s").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON).toArrow()
+    with releasing(docs.sparkSession):
+        rows = made.select(text, "made.s").dropDuplicates([text]).select(F.explode("s").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON).toArrow()
     hot = rows["s"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hot)
     return hot[order], rows["count"].to_numpy()[order]
@@ -320,29 +351,37 @@ def split(cells: DataFrame, texts: DataFrame, n: int, percent: int) -> list[Data
     return out
 
 
-def links(docs: DataFrame, summary: DataFrame, id: str, text: str, n: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, summary: DataFrame, block: Broadcast, id: str, text: str, n: int, percent: int) -> DataFrame:
     """Links (a, b) between set keys that connect the same sets as all links within the radius do.
 
-    summary has the id, th (a hash of the text), size (bytes), n_shingles, key, prefix and n_cold of every row of docs.
+    summary has the id, th (a hash of the text), size (bytes) and columns SETS of every row of docs; block has the common shingles.
     """
-    # one row stands for each set; rep is a label of 64 bits, and what equal labels of different sets bring together is told apart by key
-    rep = cut(summary.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), "th", "size")).alias("r")).select("key", "r.id", "r.th", "r.size", F.xxhash64("key").alias("rep")))
-    # of two linked sets the smaller shares as many of its first n - ceil(2pn/(100+p)) + l
+    hot_count = HOT_COUNT
+    # one row stands for each set; rep is a short label, and what equal labels of different sets bring together is told apart by key
+    rep = cut(summary.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), "th", "size")).alias("r")).select("key", "r.id", "r.th", "r.size", F.expr(f"cast(conv(substring(key, 1, {LABEL_DIGITS}), 16, 10) as bigint)").alias("rep")))
     few = lambda n: f"greatest(1, cast(ceil({SHARED} * ({n}) / 100.0) as bigint))"
     short = F.expr(f"n_shingles - cast(ceil({2 * percent} * n_shingles / {100 + percent}.0) as bigint) + {few('n_shingles')}")
-    own = summary.select(F.col(id).alias("id_"), F.col("th").alias("th_"), F.col("key").alias("key_"), F.col("n_shingles").cast("int").alias("n"), short.alias("short"), "prefix", "n_cold")
-    of_rep = (F.col("key") == F.col("key_")) & F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_"))
-    index = (F.col("at") < F.col("short")).alias("index")
 
     def regions(spread: DataFrame) -> DataFrame:
-        return spread.groupBy("shingle").agg(F.min("rep").alias("pivot"), F.count("*").alias("m"), F.min(F.when(F.col("index"), F.col("n"))).alias("ilo"), F.max(F.when(F.col("index"), F.col("n"))).alias("ihi")).where("m > 1 and ilo is not null")
+        return spread.groupBy("shingle").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"), F.min(F.when(F.col("index"), F.col("n"))).alias("ilo"), F.max(F.when(F.col("index"), F.col("n"))).alias("ihi")).where("pivot < last and ilo is not null").drop("last")
 
-    # shingles that are not hot: one exchange serves the regions' sums and the rows that join them
-    cold = rep.join(own, of_rep).select("rep", "n", "short", F.posexplode(F.slice("prefix", F.lit(1), F.col("n_cold"))).alias("at", "shingle")).select("shingle", "rep", "n", index).repartition("shingle")
+    def spread_out(batches):
+        for batch in batches:
+            made = pa.RecordBatch.from_arrays([pa.array(x) for x in entries(block.value, n, percent, hot_count, batch.column(0))], names=["entry", "shingle"])
+            for i in range(0, made.num_rows, ENTRY_ROWS):
+                yield made.slice(i, ENTRY_ROWS)
+        pa.default_memory_pool().release_unused()
+
+    # shingles that are not hot: one exchange serves the regions' sums and the rows that join them; a few more copies may pass the sieve, which changes no region
+    small_batches(docs.sparkSession)
+    kept = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    packed = sieve(kept, rep.select("id", "th"), ["id", "th"], "stands").where("stands").select("text").mapInArrow(spread_out, ENTRY).repartition("shingle")
+    cold = packed.select("shingle", F.shiftrightunsigned("entry", SIZE_BITS + 1).alias("rep"), F.shiftright("entry", 1).bitwiseAND((1 << SIZE_BITS) - 1).cast("int").alias("n"), (F.col("entry").bitwiseAND(1) == 1).alias("index"))
     both = cold.join(regions(cold).hint("merge"), "shingle")
-    some_hot = not summary.where("n_cold < size(prefix)").isEmpty()
-    warm = rep.join(own.where("n_cold < size(prefix)"), of_rep).select("rep", "n", "short", "n_cold", F.posexplode(F.expr("slice(prefix, n_cold + 1, size(prefix) - n_cold)")).alias("at", "shingle"))
-    if some_hot:
+    own = summary.where("size(hot) > 0").select(F.col(id).alias("id_"), F.col("th").alias("th_"), F.col("key").alias("key_"), F.least(F.col("n_shingles"), F.lit((1 << SIZE_BITS) - 1)).cast("int").alias("n"), short.alias("short"), "n_cold", "hot")
+    if not own.isEmpty():
+        of_rep = (F.col("key") == F.col("key_")) & F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_"))
+        warm = rep.join(own, of_rep).select("rep", "n", "short", "n_cold", F.posexplode("hot").alias("at", "shingle"))
         hot = cut(warm.select("shingle", "rep", "n", (F.col("at") + F.col("n_cold") < F.col("short")).alias("index")))
         both = both.unionByName(hot.join(F.broadcast(regions(hot)), "shingle"))
     fits = F.col("index") | ((F.col("ilo") <= F.col("n")) & (100 * F.col("ihi") >= percent * F.col("n")))
@@ -355,10 +394,10 @@ def links(docs: DataFrame, summary: DataFrame, id: str, text: str, n: int, perce
     small = (F.col("m") <= CELL) & (F.col("bytes") <= CELL_BYTES)
     member = cut(joined(cells, sized, ["pivot"], "m", ["key"]).select("pivot", "key", "id", "th", "size", small.alias("small")))
     # the texts that any cell needs are fetched once, each once
-    small_batches(docs.sparkSession)
-    needed = member.select("key", "id", "th").distinct()
+    needed = cut(member.select("key", "id", "th").distinct())
     of_text = F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_"))
-    texts = cut(needed.join(docs.select(F.col(id).alias("id_"), F.xxhash64(text).alias("th_"), F.col(text).alias("text")), of_text).select("key", "text"))
+    asked = sieve(kept, needed, ["id", "th"], "asked").where("asked").select(F.col("id").alias("id_"), F.col("th").alias("th_"), "text")
+    texts = cut(needed.join(asked, of_text).select("key", "text"))
     found = member.where("small").select("pivot", "key").join(texts, "key").groupBy("pivot").applyInPandas(lambda frame: join_cell(n, percent, frame), LINKS)
     large = member.where("not small").select(F.col("pivot").alias("cell"), "key", "size", F.lit(True).alias("open"), F.lit(0.0).alias("d"))
     if not large.isEmpty():
@@ -376,7 +415,7 @@ def labelled(docs: DataFrame, id: str, text: str, also: tuple[str, ...], n: int,
     hot_count = HOT_COUNT
     made = annotate(docs, text, lambda texts: summarise(block.value, n, percent, hot_count, texts), SETS, into)
     summary = cut(made.select(id, *also, F.xxhash64(text).alias("th"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"), f"{into}.*"))
-    labels = components(links(docs, summary, id, text, n, percent))
+    labels = components(links(docs, summary, block, id, text, n, percent))
     least = summary.where("key is not null").groupBy("key").agg(F.min(id).alias("low"), F.count("*").alias("n"))
     rooted = least.join(labels.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "low", "n", F.coalesce("root", "key").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
