@@ -447,7 +447,11 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     # what to drop, and of what to keep one row only
     judged = cut(judged.where(F.col(gone) | (F.col("times") > 1)).select(F.col(id).alias("id_"), F.col("th").alias("th_"), F.col(rest).alias("rest_"), gone))
     same = F.col(id).eqNullSafe(F.col("id_")) & (F.xxhash64(text) == F.col("th_")) & (F.col(rest) == F.col("rest_"))
-    out = marked.join(judged, same, "left_anti")
+    # only rows that may be judged are exchanged
+    th, met = fresh("th", marked.columns), fresh("met", marked.columns)
+    sifted = sieve(marked.withColumn(th, F.xxhash64(text)), judged.select(F.col("id_").alias(id), F.col("th_").alias(th), F.col("rest_").alias(rest)), [id, th, rest], met).drop(th)
+    maybe = sifted.where(met).drop(met)
+    out = sifted.where(~F.col(met)).drop(met).unionByName(maybe.join(judged, same, "left_anti"))
     if not (repeated := judged.where(~F.col(gone))).isEmpty():
-        out = out.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates([id, text, rest]))
+        out = out.unionByName(maybe.join(repeated, same, "left_semi").dropDuplicates([id, text, rest]))
     return out.drop(rest)

@@ -68,3 +68,11 @@ def test_entries_hold_each_prefix_once():
     bits = jaccard_join.SIZE_BITS
     got = [(e >> bits + 1, e >> 1 & (1 << bits) - 1, bool(e & 1), s) for e, s in zip(entry.view(np.uint64).tolist(), shingle.tolist(), strict=True)]
     assert got == expected
+
+
+def test_deduplicate_exchanges_only_what_it_may_drop(spark):
+    rows = [(i, prose(i, 600)) for i in range(200)] + [(500, prose(7, 600)), (9, prose(9, 600)), (None, prose(11, 600))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left, kept = left_by(spark, lambda: jaccard_join.deduplicate(docs).collect())
+    assert left < 0.1 * sum(len(t) for _, t in rows)
+    assert sorted(tuple(r) for r in kept) == rows[:200]
