@@ -53,7 +53,7 @@ def test_quotes_of_several_levels_equal_sql(spark, tmp_path):
 def test_odd_documents_equal_sql(spark, tmp_path):
     odd_docs(spark).where("doc_id is not null").dropDuplicates(["doc_id"]).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "same text here now"), (2, ""), (3, None), (4, prose(99, 30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    for name in ("op3_winnowing", "op4_jaccard_join"):
+    for name in ("op3_winnowing", "op4_jaccard_join", "op11_mountain_manifest"):
         compared(spark, name, str(tmp_path))
 
 
