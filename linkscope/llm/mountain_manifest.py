@@ -236,7 +236,8 @@ def forest(leaves: DataFrame, rows: int = ROWS) -> Forest:
     for made in levels:
         shared = shared.unionByName(made.select("grp", F.col("level") - 1, "place", "run", "low", "high").toDF(*shared.columns))
         nodes = nodes.unionByName(made.select(*nodes.columns))
-    return Forest(ordered, parts, spans, nodes, shared, cut(roots))
+    # as many ranges as hold rows, whatever number was asked for
+    return Forest(ordered, max(1, len(spans.start)), spans, nodes, shared, cut(roots))
 
 
 class Ways:
