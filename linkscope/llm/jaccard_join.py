@@ -445,11 +445,12 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     sized = cut(found.groupBy("root").agg(F.min(order).alias("kept"), F.count("*").alias("n")))
     judged = joined(found, sized, ["root"], "n", [id, "th"]).select(id, "th", rest, "times", (~order.eqNullSafe(F.col("kept"))).alias(gone))
     # what to drop, and of what to keep one row only
-    judged = cut(judged.where(F.col(gone) | (F.col("times") > 1)).select(F.col(id).alias("id_"), F.col("th").alias("th_"), F.col(rest).alias("rest_"), gone))
-    same = F.col(id).eqNullSafe(F.col("id_")) & (F.xxhash64(text) == F.col("th_")) & (F.col(rest) == F.col("rest_"))
+    taken = [*marked.columns, gone]
+    of_id, of_th, of_rest, th, met = (fresh(n, taken) for n in ("id_", "th_", "rest_", "th", "met"))
+    judged = cut(judged.where(F.col(gone) | (F.col("times") > 1)).select(F.col(id).alias(of_id), F.col("th").alias(of_th), F.col(rest).alias(of_rest), gone))
+    same = F.col(id).eqNullSafe(F.col(of_id)) & (F.xxhash64(text) == F.col(of_th)) & (F.col(rest) == F.col(of_rest))
     # only rows that may be judged are exchanged
-    th, met = fresh("th", marked.columns), fresh("met", marked.columns)
-    sifted = sieve(marked.withColumn(th, F.xxhash64(text)), judged.select(F.col("id_").alias(id), F.col("th_").alias(th), F.col("rest_").alias(rest)), [id, th, rest], met).drop(th)
+    sifted = sieve(marked.withColumn(th, F.xxhash64(text)), judged.select(F.col(of_id).alias(id), F.col(of_th).alias(th), F.col(of_rest).alias(rest)), [id, th, rest], met).drop(th)
     maybe = sifted.where(met).drop(met)
     out = sifted.where(~F.col(met)).drop(met).unionByName(maybe.join(judged, same, "left_anti"))
     if not (repeated := judged.where(~F.col(gone))).isEmpty():

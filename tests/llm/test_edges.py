@@ -52,6 +52,32 @@ def test_filters_keep_columns_and_clean_rows(spark):
     assert len(kept) == docs.count() - 3 and not any("same text" in (r[0] or "").lower() for r in kept)
 
 
+@pytest.mark.parametrize("upper", [False, True])
+def test_columns_of_any_name(spark, upper):
+    """Names that the operators give their own columns, in both cases of letters."""
+    clash = ["id_", "th_", "rest_", "met", "gone", "th", "rest", "root", "key", "size", "made", "wide", "secrets", "component", "times", "salt", "parts", "at", "word", "bits"]
+    docs = odd_docs(spark, clash=[c.upper() for c in clash] if upper else clash)
+    out = jaccard_join.deduplicate(docs)
+    assert out.columns == docs.columns and out.count() == jaccard_join.deduplicate(odd_docs(spark, clash=("x",))).count()
+    redacted = secret_scan.redact(docs, length="n_chars")
+    assert redacted.columns == docs.columns and redacted.exceptAll(docs).count() == 0
+    assert winnowing.decontaminate(docs, benchmark(spark)).columns == docs.columns
+
+
+def test_many_secrets_in_a_long_text(spark):
+    """Places and pieces of a text of many spans; a text's cost is in proportion to its length."""
+    parts = ["password=abcdef12", " plain 漢 ", "AKIA" + "Z9" * 9, "\n", "0123456789abcdef" * 2, " x ", "token: 'deadbeefdeadbeefdeadbeef'", "."]
+    text = "".join(parts) * 20000 + "end"
+    docs = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars int")
+    found = secret_scan.digest(secret_scan.scan(docs)).first()
+    assert (found.n_assign, found.n_access, found.n_hex) == (40000, 20000, 40000)
+    spans = [s.split(":") for s in found.spans.split(",")]
+    assert all(len(text[int(a) : int(b)]) in (17, 22, 32, 24, 31) for _, a, b in spans)
+    out = secret_scan.redact(docs, length="n_chars").first()
+    one = "[SECRET] plain 漢 [SECRET]\n[SECRET] x [SECRET]'."
+    assert out.text in (one * 20000 + "end", one.replace("]'.", "].") * 20000 + "end") and out.n_chars == len(out.text)
+
+
 def test_jaccard_of_odd_rows(spark):
     docs = odd_docs(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
