@@ -102,6 +102,24 @@ def test_components_of_chains_and_stars(spark):
     assert {got[f"{i:04d}"] for i in range(61)} == {"0000"} and {got[f"b{i}"] for i in range(9)} == {"b0"} and got["d2"] == "d1"
 
 
+def test_components_with_a_hot_node(spark):
+    r = random.Random(5)
+    edges = [("m", f"s{i:05d}") for i in range(6000)] + [(f"s{i:05d}", f"t{i:05d}") for i in range(0, 6000, 3)] + [(f"r{r.randrange(900)}", f"r{r.randrange(900)}") for _ in range(500)] + [(None, "m"), ("q", None)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    got = components.components(spark.createDataFrame(edges, "a string, b string"))
+    assert {x.node: x.root for x in got.collect()} == {x: find(x) for x in parent}
+
+
 def plain_code_length(training, text, order=3):
     """Bits of a text by counts in dictionaries and escapes with exclusion, byte by byte."""
     low_bytes = lambda t: bytes(b + 32 if 65 <= b <= 90 else b for b in t)
