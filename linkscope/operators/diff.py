@@ -7,9 +7,11 @@ u are unchanged, a - u moved, min(o, n) - a changed and the rest removed or adde
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkscope.operators import matching
+
 KEY = ["file", "caller", "symbol"]
 ORDER = {"added": 0, "removed": 1, "changed": 2, "moved": 3, "unchanged": 4}
 
@@ -59,33 +61,13 @@ def metrics(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def pairs(old: DataFrame, new: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """Which old call became which new one: equal (line, args) first, then equal args, then the rest of the key.
+    """Which old call became which new one: equal (line, args) first, then equal args by the nearest line, equal line, nearest line.
 
-    Partners are taken in order of their lines on both sides, which keeps the sum of their distances least; counts equal
-    those of call_sites.  Rows that agree in key, line and args are interchangeable, so they are counted and no row needs an id.
+    A null line counts as 0 and null args as empty.  Counts equal those of call_sites.
     """
     key_columns = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in key]
     side = lambda d: d.select(*key_columns, F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("args", F.lit("")).alias("args"))
-    n = _sides(side(old), side(new)).groupBy(*key, "args", "line").agg(F.sum("o").alias("o"), F.sum("n").alias("n"))
-    times = lambda count: F.explode(F.sequence(F.lit(1), F.col(count).cast("int"))).alias("_i")
-    same = n.withColumn("u", F.least("o", "n")).where("u > 0").select(*key, "line", "args", times("u"))
-    out = [same.select(*key, F.col("line").alias("old_line"), F.col("args").alias("old_args"), F.col("line").alias("new_line"), F.col("args").alias("new_args"), F.lit("unchanged").alias("status"))]
-    left = n.withColumn("d", F.col("o") - F.col("n")).where("d <> 0").withColumn("m", F.abs("d")).select(*key, "line", "args", (F.col("d") > 0).alias("is_old"), times("m"))
-    sides = [F.max(F.when(c, F.struct("line", "args"))) for c in (F.col("is_old"), ~F.col("is_old"))]
-    for status, by in (("moved", [*key, "args"]), ("changed", key)):
-        whole = Window.partitionBy(*by)
-        both = F.least(F.count_if("is_old").over(whole), F.count_if(~F.col("is_old")).over(whole))
-        left = left.withColumn("_both", both).withColumn("_r", F.row_number().over(Window.partitionBy(*by, "is_old").orderBy("line", "args")))
-        met = left.where("_r <= _both").groupBy(*by, "_r").agg(sides[0].alias("a"), sides[1].alias("b"))
-        out.append(met.select(*key, F.col("a.line").alias("old_line"), F.col("a.args").alias("old_args"), F.col("b.line").alias("new_line"), F.col("b.args").alias("new_args"), F.lit(status).alias("status")))
-        left = left.where("_r > _both").select(*key, "line", "args", "is_old")
-    of = lambda c, v: F.when(c, F.col(v))
-    gone, came = F.col("is_old"), ~F.col("is_old")
-    out.append(left.select(*key, of(gone, "line").alias("old_line"), of(gone, "args").alias("old_args"), of(came, "line").alias("new_line"), of(came, "args").alias("new_args"), F.when(gone, "removed").otherwise("added").alias("status")))
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return found
+    return matching.pairs(_sides(side(old), side(new)).groupBy(*key, "args", "line").agg(F.sum("o").alias("o"), F.sum("n").alias("n")), key)
 
 
 def _first(value: str, of_new: str = "n") -> Column:

@@ -88,15 +88,23 @@ query("diff_metrics", f"""WITH {a.SNAPSHOTS}, m AS (SELECT 'calls' AS metric, (S
 UNION ALL SELECT 'files', (SELECT count(DISTINCT file) FROM old), (SELECT count(DISTINCT file) FROM new) UNION ALL SELECT 'symbols', (SELECT count(DISTINCT symbol) FROM old), (SELECT count(DISTINCT symbol) FROM new))
 SELECT *, new_value - old_value AS delta FROM m""")(lambda s, d: diff.metrics(*a.snapshots(s, d)))
 _KEY = "file, caller, symbol"
-query("diff_pairs", f"""WITH {a.SNAPSHOTS}, n AS (SELECT file::VARCHAR AS file, caller::VARCHAR AS caller, symbol, args, line, sum(o)::INT AS o, sum(n)::INT AS n FROM sides GROUP BY ALL),
+_GONE = "news[: j - 1] || news[j + 1 :]"
+query("diff_pairs", f"""WITH RECURSIVE {a.SNAPSHOTS}, n AS (SELECT file::VARCHAR AS file, caller::VARCHAR AS caller, symbol, args, line, sum(o)::INT AS o, sum(n)::INT AS n FROM sides GROUP BY ALL),
 same AS (SELECT {_KEY}, line AS old_line, args AS old_args, line AS new_line, args AS new_args, 'unchanged' AS status, unnest(range(least(o, n))) AS i FROM n),
 l AS (SELECT {_KEY}, args, line, o > n AS is_old, unnest(range(abs(o - n))) AS i FROM n),
-m AS (SELECT *, row_number() OVER (PARTITION BY {_KEY}, args, is_old ORDER BY line) AS r, least(count(*) FILTER (is_old) OVER (PARTITION BY {_KEY}, args), count(*) FILTER (NOT is_old) OVER (PARTITION BY {_KEY}, args)) AS k FROM l),
-moved AS (SELECT {_KEY}, max(line) FILTER (is_old) AS old_line, args AS old_args, max(line) FILTER (NOT is_old) AS new_line, args AS new_args, 'moved' AS status FROM m WHERE r <= k GROUP BY {_KEY}, args, r),
-c AS (SELECT {_KEY}, args, line, is_old, row_number() OVER (PARTITION BY {_KEY}, is_old ORDER BY line, args) AS r, least(count(*) FILTER (is_old) OVER (PARTITION BY {_KEY}), count(*) FILTER (NOT is_old) OVER (PARTITION BY {_KEY})) AS k FROM m WHERE r > k),
-changed AS (SELECT {_KEY}, max(line) FILTER (is_old) AS old_line, max(args) FILTER (is_old) AS old_args, max(line) FILTER (NOT is_old) AS new_line, max(args) FILTER (NOT is_old) AS new_args, 'changed' AS status FROM c WHERE r <= k GROUP BY {_KEY}, r)
-SELECT * EXCLUDE (i) FROM same UNION ALL SELECT * FROM moved UNION ALL SELECT * FROM changed
-UNION ALL SELECT {_KEY}, CASE WHEN is_old THEN line END, CASE WHEN is_old THEN args END, CASE WHEN NOT is_old THEN line END, CASE WHEN NOT is_old THEN args END, CASE WHEN is_old THEN 'removed' ELSE 'added' END FROM c WHERE r > k""")(
+g AS (SELECT {_KEY}, args, coalesce(list(line ORDER BY line) FILTER (is_old), []) AS olds, coalesce(list(line ORDER BY line) FILTER (NOT is_old), []) AS news FROM l GROUP BY ALL),
+w AS (SELECT *, 0 AS i, NULL::INT AS old_line, NULL::INT AS new_line FROM g
+  UNION ALL SELECT {_KEY}, args, olds, {_GONE}, i + 1, olds[i + 1], news[j] FROM (SELECT *, list_position(far, list_min(far)) AS j FROM (SELECT *, list_transform(news, lambda v: abs(v - olds[i + 1])) AS far FROM w WHERE i < len(olds) AND len(news) > 0))),
+r AS (SELECT {_KEY}, args, unnest(olds[i + 1 :]) AS line, true AS is_old FROM w WHERE i = len(olds) OR len(news) = 0 UNION ALL SELECT {_KEY}, args, unnest(news), false FROM w WHERE i = len(olds) OR len(news) = 0),
+q AS (SELECT *, row_number() OVER (PARTITION BY {_KEY}, line, is_old ORDER BY args) AS k FROM r),
+beside AS (SELECT {_KEY}, line, k, max(args) FILTER (is_old) AS old_args, max(args) FILTER (NOT is_old) AS new_args FROM q GROUP BY {_KEY}, line, k HAVING count(*) = 2),
+h AS (SELECT {_KEY}, coalesce(list({{'line': line, 'args': args}} ORDER BY line, args) FILTER (is_old), []) AS olds, coalesce(list({{'line': line, 'args': args}} ORDER BY line, args) FILTER (NOT is_old), []) AS news FROM q ANTI JOIN beside USING (file, caller, symbol, line, k) GROUP BY ALL),
+x AS (SELECT *, 0 AS i, NULL::STRUCT(line INT, args VARCHAR) AS a, NULL::STRUCT(line INT, args VARCHAR) AS b FROM h
+  UNION ALL SELECT {_KEY}, olds, {_GONE}, i + 1, olds[i + 1], news[j] FROM (SELECT *, list_position(far, list_min(far)) AS j FROM (SELECT *, list_transform(news, lambda v: abs(v.line - olds[i + 1].line)) AS far FROM x WHERE i < len(olds) AND len(news) > 0))),
+e AS (SELECT * FROM x WHERE i = len(olds) OR len(news) = 0)
+SELECT * EXCLUDE (i) FROM same UNION ALL SELECT {_KEY}, old_line, args, new_line, args, 'moved' FROM w WHERE i > 0 UNION ALL SELECT {_KEY}, line, old_args, line, new_args, 'changed' FROM beside
+UNION ALL SELECT {_KEY}, a.line, a.args, b.line, b.args, 'changed' FROM x WHERE i > 0
+UNION ALL SELECT {_KEY}, v.line, v.args, NULL, NULL, 'removed' FROM (SELECT *, unnest(olds[i + 1 :]) AS v FROM e) UNION ALL SELECT {_KEY}, NULL, NULL, v.line, v.args, 'added' FROM (SELECT *, unnest(news) AS v FROM e)""")(
     lambda s, d: diff.pairs(*(x.drop("project") for x in a.snapshots(s, d))))
 _CATEGORISED = f"{a.SNAPSHOTS}, s AS (SELECT *, 'c' || line % 3 AS category FROM sides)"
 _FIRST = "coalesce(min(CASE WHEN n > 0 THEN {'l': line, 'a': args, 'c': category} END).c, min(CASE WHEN o > 0 THEN {'l': line, 'a': args, 'c': category} END).c, '')"

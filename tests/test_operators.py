@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__
 from linkscope.functions import categories
-from linkscope.operators import diff, graph
+from linkscope.operators import diff, graph, matching
 from linkscope.plans import sinks
 from linkscope.sources import calls, elf, packages, text_tables
 from linkscope.streaming import rescan
@@ -46,6 +46,40 @@ def test_diff_counts_equal_greedy_matching(spark):
             assert all(paired[f"f{g}", k] == n[k] for k in diff.ORDER)
 
 
+def partners(old, new):
+    """Plain greedy matching of a group's rows (line, args) in order, one old row at a time."""
+    left, right, out = sorted(old), sorted(new), []
+    for status, fits in (("unchanged", lambda a, b: a == b), ("moved", lambda a, b: a[1] == b[1]), ("changed", lambda a, b: a[0] == b[0]), ("changed", lambda a, b: True)):
+        for a in list(left):
+            found = [b for b in right if fits(a, b)]
+            if found:
+                b = min(found, key=lambda b: abs(a[0] - b[0]))
+                right.remove(b)
+                left.remove(a)
+                out.append((*a, *b, status))
+    return sorted(map(str, out + [(*a, None, None, "removed") for a in left] + [(None, None, *b, "added") for b in right]))
+
+
+@pytest.mark.parametrize("lines,size", [(4, 6), (30, 12), (1000, 25)])
+def test_partners_equal_plain_greedy(spark, lines, size):
+    r = random.Random(lines)
+    groups = {f"f{g}": tuple([(r.randrange(lines), r.choice("xyz")) for _ in range(r.randrange(size))] for _ in range(2)) for g in range(150)}
+    groups["hot"] = tuple([(r.randrange(5 * lines), r.choice("xyzuvw")) for _ in range(700)] for _ in range(2))
+    side = lambda i: spark.createDataFrame([(g, "c", "s", line, args) for g, v in groups.items() for line, args in v[i]], "file string, caller string, symbol string, line int, args string")
+    got = {}
+    for x in diff.pairs(side(0), side(1)).collect():
+        got.setdefault(x.file, []).append((x.old_line, x.old_args, x.new_line, x.new_args, x.status))
+    assert {g: sorted(map(str, v)) for g, v in got.items()} == {g: partners(*v) for g, v in groups.items() if any(v)}
+
+
+def test_nearest_partner_takes_time_in_proportion():
+    import time
+
+    n, start = 200_000, time.perf_counter()
+    found = list(matching.nearest([(3 * i, "a", 1) for i in range(n)], [(3 * i + 1, "a", 1) for i in range(n)]))
+    assert len(found) == n and time.perf_counter() - start < 10
+
+
 def test_first_category_in_order_decides(spark):
     names = ["SSL_new", "OSSL_PARAM_get", "OSSL_x", "SHA1", "zz", "mine", "MAC_ro"]
     rows = spark.createDataFrame([(n,) for n in names], "symbol string").select("symbol", categories.category_of(rows_col(), custom=["mine"], macros=["MAC_ro"]).alias("c")).collect()
