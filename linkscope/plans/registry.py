@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkscope.functions import categories, text
-from linkscope.operators import classify, diff, graph, usage
+from linkscope.operators import classify, diff, graph, path_search, usage
 from linkscope.plans import adapters as a
 
 QUERIES: dict = {}
@@ -144,7 +144,7 @@ def _all_paths(s, d):
 
 query("graph_paths", f"WITH RECURSIVE {a.ALL_PATHS} SELECT src, array_to_string(path, ' -> ') AS chain, depth FROM paths")(lambda s, d: _all_paths(s, d).select("src", _chain(), "depth"))
 query("graph_first_paths", f"WITH RECURSIVE {a.ALL_PATHS} SELECT src, array_to_string(path, ' -> ') AS chain, depth, row_number() OVER (PARTITION BY src ORDER BY depth, path) AS rank FROM paths QUALIFY rank <= 50")(
-    lambda s, d: graph.first_paths(_all_paths(s, d)).select("src", _chain(), "depth", "rank"))
+    lambda s, d: path_search.first_paths_to(a.all_edges(s, d), a.all_targets(s, d), 50, a.HOPS).select("src", _chain(), "depth", "rank"))
 query("graph_reachable", f"""WITH RECURSIVE {a.ALL_EDGES}, r AS (SELECT node, 0 AS depth FROM targets UNION SELECT e.src, r.depth + 1 FROM r JOIN edges e ON e.dst = r.node WHERE r.depth < {a.HOPS})
 SELECT node, min(depth)::BIGINT AS depth FROM r GROUP BY 1""")(lambda s, d: graph.reachable(a.all_edges(s, d), a.all_targets(s, d), a.HOPS))
 query("graph_chains", f"WITH RECURSIVE {a.ALL_PATHS}, {a.ALL_FILE_SYMBOLS} SELECT src, symbol, array_to_string(path, ' -> ') AS chain, depth FROM paths JOIN fs USING (src)")(
