@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkscope.functions.categories import tier_of
 from linkscope.functions.text import basename, is_ssl_name, library_stem
+from linkscope.operators.substrings import occurrences
 
 
 def static_confidence(symbols: DataFrame, by: str = "file") -> DataFrame:
@@ -57,10 +58,9 @@ def fingerprint_scores(strings: DataFrame, marks: DataFrame, by: str = "file", m
     """
     own = strings.select(by, "string").distinct()
     if "mode" in marks.columns:
-        # the marks are a bounded table that users supply; parts of strings are looked for in each string once
         exact = own.join(marks.where("mode <> 'substring'").drop("mode"), "string")
         parts = marks.where("mode = 'substring'").drop("mode")
-        inside = own.withColumnRenamed("string", "whole").join(F.broadcast(parts), F.contains("whole", "string")).drop("whole").distinct()
+        inside = occurrences(own.withColumnRenamed("string", "whole"), "whole", parts, "string").distinct().join(parts, "string").distinct()
         hit = exact.unionByName(inside)
     else:
         hit = own.join(marks, "string")

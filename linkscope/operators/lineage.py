@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,3 +17,15 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
+
+
+#: Most rows and bytes of an Arrow batch that a Python worker gets at once.
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of this session to a few MB of texts; limits that are lower already stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.match(r"\d+", spark.conf.get(key))
+        if now is None or not 0 < int(now[0]) <= most:
+            spark.conf.set(key, str(most))

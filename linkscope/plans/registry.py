@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkscope.functions import categories, text
-from linkscope.operators import classify, diff, graph, path_search, usage
+from linkscope.operators import classify, diff, graph, intervals, path_search, prefixes, substrings, usage
 from linkscope.plans import adapters as a
 
 QUERIES: dict = {}
@@ -218,3 +218,24 @@ query("event_properties", """SELECT event_type, (props->>'$.k')::BIGINT % 10 AS
     lambda s, d: a.table(s, d, "events").select("event_type", (F.from_json("props", "k long")["k"] % 10).alias("k")).groupBy("event_type", "k").agg(F.count("*").alias("n")))
 query("first_mapped", "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")(
     lambda s, d: usage.first_of(a.table(s, d, "events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).drop("ts"))
+
+# Joins by parts of strings, by places and by beginnings
+
+query("contained_marks", "WITH m AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) AS mark FROM benchmark) SELECT page_id, mark FROM pages JOIN m ON contains(html, mark)")(
+    lambda s, d: substrings.occurrences(a.table(s, d, "pages").select("page_id", "html"), "html", a.table(s, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("mark")), "mark"))
+_PARTS = """m AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) AS string FROM benchmark)"""
+query("fingerprint_parts", f"""WITH {_PARTS}, e AS (SELECT page_id AS file, len(string) % 6 AS category, least(count(*) * 0.75, 3.0 + len(string) % 6) AS points, count(*) AS k FROM pages JOIN m ON contains(html, string) GROUP BY 1, 2),
+r AS (SELECT file, sum(points) AS raw, sum(k)::BIGINT AS matched FROM e GROUP BY 1)
+SELECT file, matched, round_even((raw / 106 * 100)::DOUBLE, 1) AS score, CASE WHEN raw >= 60 THEN 'high' WHEN raw >= 35 THEN 'medium' WHEN raw >= 15 THEN 'low' ELSE 'none' END AS confidence FROM r""")(
+    lambda s, d: classify.fingerprint_scores(a.table(s, d, "pages").selectExpr("page_id as file", "html as string"), a.table(s, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("string")).distinct().selectExpr("string", "length(string) % 6 as category", "0.75D as per_point", "cast(3 + length(string) % 6 as double) as max_points", "'substring' as mode")))
+query("innermost_spans", """WITH i AS (SELECT p_partkey % 50 AS "group", p_partkey * 7 % 20000 AS start, p_partkey * 7 % 20000 + CASE p_size % 5 WHEN 0 THEN 0 WHEN 1 THEN 40 ELSE p_size * p_size END AS "end", p_partkey AS label FROM part),
+p AS (SELECT DISTINCT l_suppkey % 50 AS "group", l_orderkey % 20000 AS place FROM lineitem),
+h AS (SELECT p."group", place, label, row_number() OVER (PARTITION BY p."group", place ORDER BY start DESC NULLS LAST, "end", label) AS k FROM p LEFT JOIN i ON i."group" = p."group" AND start <= place AND place < "end")
+SELECT "group", place, label FROM h WHERE k = 1""")(
+    lambda s, d: intervals.innermost(a.table(s, d, "lineitem").selectExpr("l_suppkey % 50 as group", "l_orderkey % 20000 as place").distinct(), a.table(s, d, "part").selectExpr("p_partkey % 50 as group", "p_partkey * 7 % 20000 as start", "p_partkey * 7 % 20000 + case p_size % 5 when 0 then 0 when 1 then 40 else p_size * p_size end as end", "p_partkey as label"), "group", "place"))
+_FILE = "concat('/lib/', replace(p_name, ' ', ''), cast(p_partkey % 50 as varchar(9)), '.so.', cast(p_size as varchar(9)))"
+_NODE = f"case when p_size % 11 = 0 then {_FILE} else concat('/usr/', replace(p_name, ' ', ''), cast(p_partkey % 70 as varchar(9)), case p_size % 3 when 0 then '.so' when 1 then concat('.so.', cast(p_size as varchar(9)), '.1') else '' end) end"
+query("nodes_by_prefix", f"""WITH f AS (SELECT {_FILE} AS path, p_partkey AS ord FROM part), g AS (SELECT path, min(ord) AS ord, regexp_extract(path, '[^/]*$') AS name FROM f GROUP BY 1), n AS (SELECT DISTINCT {_NODE} AS path FROM part),
+h AS (SELECT n.path, g.path AS file, row_number() OVER (PARTITION BY n.path ORDER BY g.path <> n.path, ord) AS k FROM n LEFT JOIN g ON g.path = n.path OR starts_with(name, regexp_extract(n.path, '[^/]*$')) OR starts_with(regexp_extract(n.path, '[^/]*$'), string_split(name, '.so')[1] || '.so'))
+SELECT path, file FROM h WHERE k = 1""")(
+    lambda s, d: prefixes.first_by_prefix(a.table(s, d, "part").selectExpr(f"{_NODE} as path"), a.table(s, d, "part").selectExpr(f"{_FILE} as path", "p_partkey as ord")))

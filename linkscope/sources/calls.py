@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkscope.operators.intervals import around_all
+
 # File name endings by language.
 LANGUAGES = {".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hxx": "cpp", ".rs": "rust"}
 # Words at the start of a file that tell a source from an array of figures.
@@ -66,11 +68,11 @@ def call_sites(text: str, language: str, symbols: frozenset[str]) -> list[tuple[
             args = re.sub(r"\s+", " ", text[m.end() : end]).strip()
             found.append((m.start(), name, args, bool(scope)))
     out = []
-    for at, name, args, scoped in found:
-        if name in defined and not scoped:
-            continue
-        inner = [s for s in scopes if s[0] <= at < s[1]]
-        out.append((max(inner)[2] if inner else "<file_scope>", code.count("\n", 0, at) + 1, name, args))
+    line, last = 1, 0
+    for (at, name, args, scoped), caller in zip(found, around_all([f[0] for f in found], scopes), strict=True):
+        line, last = line + code.count("\n", last, at), at
+        if name not in defined or scoped:
+            out.append((caller or "<file_scope>", line, name, args))
     return out
 
 
