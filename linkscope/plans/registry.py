@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkscope.functions import categories, text
-from linkscope.operators import classify, diff, graph, intervals, path_search, prefixes, substrings, usage
+from linkscope.operators import classify, diff, graph, intervals, layering, ordering, path_search, prefixes, substrings, usage
 from linkscope.plans import adapters as a
 
 QUERIES: dict = {}
@@ -127,6 +127,12 @@ query("diff_files_by_project", f"WITH {a.SNAPSHOTS}, {_LISTED}")(
 query("diff_categories", f"""WITH {_CATEGORISED}, g AS (SELECT category, symbol, max(o) AS o, max(n) AS n FROM s GROUP BY ALL), t AS (SELECT category, sum(o)::BIGINT AS old_symbols, sum(n)::BIGINT AS new_symbols FROM g GROUP BY 1) SELECT *, new_symbols - old_symbols AS delta FROM t""")(
     lambda s, d: diff.category_metrics(*_categorised(s, d)))
 
+# Order of all rows
+
+_PLACE = ["project", "file", "line", "caller", "symbol", "args"]
+query("calls_in_order", f"WITH {a.CALLS} SELECT {', '.join(_PLACE)}, row_number() OVER (ORDER BY {', '.join(_PLACE)}) - 1 AS place FROM calls")(
+    lambda s, d: ordering.numbered(a.calls(s, d).select(*_PLACE), _PLACE, "place"))
+
 # Graphs
 
 query("project_boundaries", r"""WITH m AS (SELECT string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS p FROM pages), e AS (SELECT p[1] AS top, min(p) AS a, max(p) AS b FROM m GROUP BY 1),
@@ -155,6 +161,19 @@ query("graph_stats", f"WITH {a.ALL_EDGES} SELECT (SELECT count(*) FROM (SELECT s
 query("graph_fans", f"WITH {a.ALL_EDGES}, b AS (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) SELECT node, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM b GROUP BY 1")(lambda s, d: graph.fans(a.all_edges(s, d)))
 query("graph_chain_edges", f"WITH RECURSIVE {a.ALL_PATHS}, i AS (SELECT path, unnest(range(1, len(path))) AS k FROM paths) SELECT DISTINCT path[k] AS src, path[k + 1] AS dst FROM i")(
     lambda s, d: graph.chain_edges(_all_paths(s, d)))
+query("graph_layers", f"""WITH RECURSIVE {a.ALL_EDGES}, nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), first AS (SELECT node FROM nodes WHERE node NOT IN (SELECT dst FROM edges)),
+queue AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE q(node, turn) USING KEY (node) AS (
+  SELECT node, [node] FROM (SELECT node FROM first UNION SELECT min(node) FROM nodes WHERE NOT EXISTS (FROM first)) WHERE node IS NOT NULL
+  UNION SELECT dst, min(list_append(turn, dst)) FROM q JOIN edges ON src = node WHERE dst NOT IN (SELECT node FROM recurring.q) GROUP BY dst) FROM q)),
+onward AS MATERIALIZED (SELECT e.src, e.dst FROM edges e JOIN queue a ON a.node = e.src JOIN queue b ON b.node = e.dst WHERE len(a.turn) < len(b.turn) OR len(a.turn) = len(b.turn) AND a.turn < b.turn),
+walk(node, l) AS (SELECT node, 0 FROM queue WHERE len(turn) = 1 UNION SELECT dst, l + 1 FROM walk JOIN onward ON src = node), taken AS (SELECT node, max(l) AS l FROM walk GROUP BY 1),
+told AS (SELECT dst AS node, max(l) + 1 AS l FROM edges JOIN taken ON src = node GROUP BY 1),
+layered AS MATERIALIZED (SELECT n.node, coalesce(greatest(t.l, r.l), 0)::BIGINT AS layer FROM nodes n LEFT JOIN taken t USING (node) LEFT JOIN told r USING (node)),
+placed(node, layer, place) AS (SELECT node, layer, row_number() OVER (ORDER BY node) - 1 FROM layered WHERE layer = 0
+  UNION ALL SELECT y.node, any_value(y.layer), row_number() OVER (ORDER BY coalesce(sum(p.place)::DOUBLE / count(p.place), 0), y.node) - 1
+  FROM layered y LEFT JOIN edges e ON e.dst = y.node LEFT JOIN placed p ON p.node = e.src AND p.layer = y.layer - 1
+  WHERE y.layer = (SELECT min(layer) FROM layered WHERE layer > (SELECT max(layer) FROM placed)) GROUP BY y.node)
+SELECT node, layer, place FROM placed""")(lambda s, d: layering.layers(a.all_edges(s, d)))
 query("graph_induced", f"WITH {a.ALL_EDGES}, n AS (SELECT DISTINCT src AS node FROM edges) SELECT src, dst FROM edges WHERE src IN (FROM n) AND dst IN (FROM n)")(
     lambda s, d: graph.induced(e := a.all_edges(s, d), e.select(F.col("src").alias("node"))))
 
