@@ -35,3 +35,13 @@ def numbered(rows: DataFrame, order: list[str | Column], into: str) -> DataFrame
     sums = sums.select(part, (F.sum(before).over(Window.orderBy(part)) - F.col(before)).alias(before))
     within = F.col(into).bitwiseAND(F.lit((1 << WITHIN) - 1))
     return placed.join(F.broadcast(sums), part).withColumn(into, F.col(before) + within).drop(part, before)
+
+
+def within(rows: DataFrame, keys: list[str], order: list[str | Column], into: str) -> DataFrame:
+    """rows with their place, from 0, among those of equal keys; no task needs to hold a group, and keys may not be null."""
+    least = into + "_"
+    while least in rows.columns:
+        least += "_"
+    placed = cut(numbered(rows, [*keys, *order], into))
+    starts = placed.groupBy(*keys).agg(F.min(into).alias(least))
+    return placed.join(starts, keys).withColumn(into, F.col(into) - F.col(least)).drop(least)

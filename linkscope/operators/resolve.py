@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkscope.functions.text import basename, dirname
+from linkscope.operators.free_names import free_names
 
 # Folders without libraries.
 SKIPPED = """python python2 python2.7 python3 python3.8 python3.9 python3.10 python3.11 python3.12 python3.13 python3.14 site-packages
@@ -63,14 +64,13 @@ def static_providers(files: DataFrame) -> DataFrame:
 
 
 def planned(entries: DataFrame) -> DataFrame:
-    """Packages inside containers (container, entry, position) with their display names, numbered from the second of a name on."""
+    """Packages inside containers (container, entry, position) with their display names; those that are taken get the least free number."""
     name = basename(F.col("entry"))
     inner = entries.where(~F.col("entry").startswith("__MACOSX") & (name != "") & F.lower(F.regexp_extract("entry", r"\.[^./]*$", 0)).isin(INNER))
     ending = F.regexp_extract(name, r"\.[^.]*$", 0)
     stem = F.concat(F.regexp_replace(basename(F.col("container")), r"\.[^.]*$", ""), F.lit("_"), F.regexp_replace(name, r"\.[^.]*$", ""))
-    k = F.row_number().over(Window.partitionBy("container", "_stem", "_ending").orderBy("position"))
-    n = inner.select("container", "entry", "position", stem.alias("_stem"), ending.alias("_ending")).withColumn("k", k)
-    return n.select("container", "entry", F.concat("_stem", F.when(F.col("k") > 1, F.concat(F.lit("_"), F.col("k").cast("string"))).otherwise(""), "_ending").alias("display_name"))
+    named = free_names(inner.select("container", "entry", "position", stem.alias("stem"), ending.alias("ending")), "container", "stem", "ending", ["position", "entry"])
+    return named.select("container", "entry", F.concat("stem", F.coalesce(F.concat(F.lit("_"), F.col("number").cast("string")), F.lit("")), "ending").alias("display_name"))
 
 
 def probe(sources: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -55,6 +55,12 @@ SELECT *, CASE WHEN bool_or(consumers <> '') OVER (PARTITION BY package) THEN 'Y
 query("planned_packages", """SELECT container, entry, 'box' || container_key || '_m' || m || CASE WHEN k > 1 THEN '_' || k ELSE '' END || '.hap' AS display_name FROM (SELECT l_orderkey AS container_key, 'in/box' || l_orderkey || '.app' AS container,
   l_linenumber || '/m' || l_partkey % 3 || '.hap' AS entry, l_partkey % 3 AS m, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 3 ORDER BY l_linenumber) AS k FROM lineitem WHERE l_suppkey % 4 <> 0)""")(
     lambda s, d: resolve.planned(a.table(s, d, "lineitem").selectExpr("concat('in/box', l_orderkey, '.app') as container", "concat(l_linenumber, '/m', l_partkey % 3, case when l_suppkey % 4 = 0 then '.txt' else '.hap' end) as entry", "l_linenumber as position")))
+query("free_package_names", """WITH RECURSIVE v AS (SELECT l_orderkey AS o, l_linenumber || '/m' || l_partkey % 2 || CASE l_suppkey % 3 WHEN 0 THEN '_2' WHEN 1 THEN '_3' ELSE '' END || '.hap' AS entry, 'box' || l_orderkey || '_m' || l_partkey % 2 || CASE l_suppkey % 3 WHEN 0 THEN '_2' WHEN 1 THEN '_3' ELSE '' END AS stem,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, entry) AS i FROM lineitem),
+w AS (SELECT DISTINCT o, 0::BIGINT AS i, []::VARCHAR[] AS taken, '' AS entry FROM v
+  UNION ALL SELECT w.o, v.i, list_append(w.taken, list_filter(list_transform(range(1, len(w.taken) + 2), lambda n: v.stem || CASE WHEN n > 1 THEN '_' || n ELSE '' END), lambda x: NOT list_contains(w.taken, x))[1]), v.entry FROM w JOIN v ON v.o = w.o AND v.i = w.i + 1)
+SELECT 'in/box' || o || '.app' AS container, entry, taken[-1] || '.hap' AS display_name FROM w WHERE i > 0""")(
+    lambda s, d: resolve.planned(a.table(s, d, "lineitem").selectExpr("concat('in/box', l_orderkey, '.app') as container", "concat(l_linenumber, '/m', l_partkey % 2, case l_suppkey % 3 when 0 then '_2' when 1 then '_3' else '' end, '.hap') as entry", "l_linenumber as position")))
 query("symbol_probe", r"""WITH s AS (SELECT unnest(['the', 'license', 'password', 'token']) AS symbol), w AS (SELECT source || '/' || lang AS folder, source || '/' || lang || '/' || lpad(doc_id::VARCHAR, 9, '0') AS path, unnest(list_distinct(regexp_extract_all(text, '\w+'))) AS symbol FROM documents)
 SELECT folder, count(DISTINCT path) AS n_files, min(path) AS sample FROM w WHERE symbol IN (SELECT symbol FROM s) GROUP BY 1""")(
     lambda s, d: resolve.probe(a.table(s, d, "documents").selectExpr("concat(source, '/', lang, '/', lpad(doc_id, 9, '0')) as path", "text"), s.createDataFrame([(x,) for x in ("the", "license", "password", "token")], "symbol string")))
