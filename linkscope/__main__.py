@@ -18,7 +18,7 @@ from linkscope.operators import banners, classify, diff, graph, resolve, summary
 from linkscope.operators import scan as operators_scan
 from linkscope.operators.lineage import cut
 from linkscope.plans import sinks
-from linkscope.sources import calls, diagnostics, elf, files, headers, machine_code, packages, reports, repositories, text_tables
+from linkscope.sources import calls, diagnostics, elf, files, headers, machine_code, packages, processes, reports, repositories, text_tables
 
 
 def named(spark: SparkSession, a) -> DataFrame:
@@ -110,6 +110,11 @@ def hap_summary(spark, a):
 
 
 def proc(spark, a):
+    """Libraries of saved map files, or of what runs now if no path is given."""
+    if not a.path:
+        found = cut(processes.running(spark, a.pid or None, a.name or None))
+        mapped = processes.libraries_of(found)
+        return {"processes": found.drop("maps"), "libraries": mapped if a.include_deleted else mapped.where("not deleted")}
     lines = spark.read.text(a.path).withColumn("position", F.monotonically_increasing_id()).select(F.lit(a.pid).alias("pid"), "position", F.col("value").alias("line"))
     found = text_tables.mapped_libraries(lines)
     return {"libraries": found if a.include_deleted else found.where("not deleted")}
@@ -225,6 +230,8 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--new-prefix", default="")
         elif name == "source-summary":
             p.add_argument("manifest")
+        elif name == "proc":
+            p.add_argument("path", nargs="?", default="", help="saved map files; what runs now if left out")
         else:
             p.add_argument("path")
         if name in ("scan", "hap", "source", "source-probe", "combo-scan"):
@@ -246,6 +253,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--recover-parser-diagnostics", action="store_true")
         if name == "proc":
             p.add_argument("--pid", type=int, default=0)
+            p.add_argument("--name", default="", help="name of running processes")
             p.add_argument("--include-deleted", action="store_true")
         if name == "aggregate":
             p.add_argument("-m", "--mapping", required=True)
@@ -254,12 +262,14 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(words: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    """Exit code 0; for source-diff 1 where something differs."""
+    """Exit code 0; for source-diff 1 where something differs; for proc 2 where no such process runs."""
     words = sys.argv[1:] if words is None else words
     if words and words[0] not in COMMANDS and not words[0].startswith("-"):
         words = ["scan", *words]
     a = parser().parse_args(words)
     tables = COMMANDS[a.command](spark or SparkSession.builder.appName("linkscope").getOrCreate(), a)
+    if a.format in ("xlsx", "html", "document"):
+        tables = {name: df.orderBy(*order) if (order := sinks.order_of(name, df)) and a.command != "source-diff" else df for name, df in tables.items()}
     if a.format == "xlsx":
         sinks.spreadsheet(a.output, tables)
     elif a.format == "html":
@@ -268,7 +278,14 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> i
         sinks.document(a.output, {"meta": {"report_type": a.command, "target": getattr(a, "path", "")}, **tables})
     else:
         for name, df in tables.items():
-            sinks.write(df, f"{a.output.rstrip('/')}/{name}", a.format)
+            path, order = f"{a.output.rstrip('/')}/{name}", sinks.order_of(name, df)
+            # the status comes first in a difference, which is in order already
+            if order and not (a.command == "source-diff" and name == "call_sites"):
+                sinks.write_ordered(df, path, a.format, order)
+            else:
+                sinks.write(df, path, a.format)
+    if a.command == "proc" and "processes" in tables and tables["processes"].isEmpty():
+        return 2
     changed = a.command == "source-diff" and not diff.is_empty(tables["symbols"], tables["files"], *[tables[t] for t in ("call_sites",) if t in tables])
     return int(changed)
 

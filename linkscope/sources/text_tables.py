@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def mapped_libraries(lines: DataFrame) -> DataFrame:
-    """Libraries of process maps (pid, position, line): path, whether deleted; the first line of a path counts."""
+def mapped_libraries(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Libraries of process maps (pid, position, line): path, whether deleted; the first line of a path counts.  by: what tells processes apart, pid unless given."""
+    by = by or ["pid"]
     path = F.get(F.split(F.trim("line"), r"\s+", 6), 5)
-    m = lines.select("pid", "position", path.alias("raw")).where(F.col("raw").startswith("/"))
-    m = m.select("pid", "position", F.regexp_replace("raw", r" \(deleted\)$", "").alias("path"), F.col("raw").endswith(" (deleted)").alias("deleted"))
+    m = lines.select(*by, "position", path.alias("raw")).where(F.col("raw").startswith("/"))
+    m = m.select(*by, "position", F.regexp_replace("raw", r" \(deleted\)$", "").alias("path"), F.col("raw").endswith(" (deleted)").alias("deleted"))
     m = m.where(F.element_at(F.split("path", "/"), -1).contains(".so"))
-    return m.groupBy("pid", "path").agg(F.min_by("deleted", "position").alias("deleted"), F.min("position").alias("position"))
+    return m.groupBy(*by, "path").agg(F.min_by("deleted", "position").alias("deleted"), F.min("position").alias("position"))
 
 
 def symbol_list(spark: SparkSession, path: str) -> DataFrame:
