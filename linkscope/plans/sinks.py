@@ -1,17 +1,15 @@
-"""Sinks: Parquet, JSON, separated text, and a spreadsheet or page written row by row."""
+"""Sinks: Parquet, JSON, separated text, workbooks (see workbook), and pages and documents written row by row."""
 
 from __future__ import annotations
 
 import html
 import json
-import zipfile
-from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS = 1_048_575
+from linkscope.plans.workbook import column_letter, sheet_names, spreadsheet  # noqa: F401  (sinks too)
 
 
 def write(df: DataFrame, path: str, kind: str, partition: list[str] | None = None) -> None:
@@ -81,65 +79,6 @@ def read_ordered(spark: SparkSession, path: str, into: str = "row") -> DataFrame
     return placed.join(F.broadcast(listed.select(F.col("file").alias("_file"), "first_row")), "_file").select(*table.columns, (F.col("first_row") + F.col("_at")).alias(into))
 
 
-def sheet_names(titles: list[str]) -> list[str]:
-    """Legal, distinct names of at most 31 characters."""
-    out: list[str] = []
-    for t in titles:
-        base = "".join("_" if c in "[]:*?/\\" else c for c in t)[:31] or "Sheet"
-        name, n = base, 1
-        while name.lower() in {x.lower() for x in out}:
-            n += 1
-            name = f"{base[: 31 - len(str(n)) - 1]}_{n}"
-        out.append(name)
-    return out
-
-
-def _cell(value) -> str:
-    if value is None:
-        return "<c/>"
-    if isinstance(value, int | float) and not isinstance(value, bool):
-        return f"<c><v>{value}</v></c>"
-    text = str(value)
-    if text[:1] in ("=", "+", "-", "@"):
-        text = "'" + text
-    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
-
-
-def spreadsheet(path: str, sheets: dict[str, DataFrame], rows: int = ROWS) -> None:
-    """A workbook; a table with more rows than a sheet holds goes on in `title (2)` and so on, streamed row by row."""
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    titles: list[str] = []
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for title, df in sheets.items():
-            head = "<row>" + "".join(map(_cell, df.columns)) + "</row>"
-            part, n, f = 0, 0, None
-            for row in df.toLocalIterator():
-                if f is None or n == rows:
-                    if f is not None:
-                        f.write(b"</sheetData></worksheet>")
-                        f.close()
-                    part, n = part + 1, 0
-                    titles.append(title if part == 1 else f"{title} ({part})")
-                    f = z.open(f"xl/worksheets/sheet{len(titles)}.xml", "w")
-                    f.write(f'<?xml version="1.0"?><worksheet xmlns="{main}"><sheetData>{head}'.encode())
-                f.write(("<row>" + "".join(map(_cell, row)) + "</row>").encode())
-                n += 1
-            if f is None:
-                titles.append(title)
-                f = z.open(f"xl/worksheets/sheet{len(titles)}.xml", "w")
-                f.write(f'<?xml version="1.0"?><worksheet xmlns="{main}"><sheetData>{head}'.encode())
-            f.write(b"</sheetData></worksheet>")
-            f.close()
-        names = sheet_names(titles)
-        z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(t)}" sheetId="{i}" r:id="r{i}"/>' for i, t in enumerate(names, 1)) + "</sheets></workbook>")
-        package = "http://schemas.openxmlformats.org/package/2006"
-        z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + "</Relationships>")
-        z.writestr("_rels/.rels", f'<?xml version="1.0"?><Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-        z.writestr("[Content_Types].xml", f'<?xml version="1.0"?><Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(names) + 1)) + "</Types>")
-
-
 def page(path: str, title: str, tables: dict[str, DataFrame]) -> None:
     """A self-contained page of all rows of each table, streamed row by row."""
     with open(path, "w", encoding="utf-8") as f:
@@ -164,12 +103,3 @@ def document(path: str, parts: dict) -> None:
             else:
                 json.dump(value, f, ensure_ascii=False, default=str)
         f.write("}" if parts else "{}")
-
-
-def column_letter(n: int) -> str:
-    """Letters of a sheet's n-th column, from 1."""
-    out = ""
-    while n > 0:
-        n, rest = divmod(n - 1, 26)
-        out = chr(65 + rest) + out
-    return out
