@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import argparse
 import sys
+from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +16,10 @@ from pyspark.sql import functions as F
 from linkscope.functions import text
 from linkscope.functions.categories import CUSTOM, LIBRARY_PREFIXES, category_of
 from linkscope.functions.text import is_library
-from linkscope.operators import banners, classify, diff, graph, resolve, summary, usage
+from linkscope.operators import banners, classify, diff, graph, resolve, summary, trees, usage
 from linkscope.operators import scan as operators_scan
 from linkscope.operators.lineage import cut
-from linkscope.plans import sinks
+from linkscope.plans import sheets, sinks
 from linkscope.sources import calls, diagnostics, elf, files, headers, machine_code, packages, processes, reports, repositories, text_tables
 
 
@@ -56,25 +58,73 @@ def results_of(contents: DataFrame, dimension: DataFrame, marks: DataFrame | Non
     return operators_scan.file_results(inputs), facts
 
 
-def scan(spark, a):
+# Folders of libraries below a sysroot, in the order in which they are searched.
+SYSROOT = ["lib64", "lib", "usr/lib64", "usr/lib", "usr/local/lib64", "usr/local/lib", "lib/x86_64-linux-gnu", "lib/aarch64-linux-gnu", "lib/arm-linux-gnueabihf", "usr/lib/x86_64-linux-gnu", "usr/lib/aarch64-linux-gnu", "usr/lib/arm-linux-gnueabihf"]
+
+
+def bare(path: str):
+    """A path without the name of the local file system."""
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
+def tree_of(spark: SparkSession, a, facts: DataFrame) -> DataFrame:
+    """Dependency trees of the programs of a scan, of all its files if it has none; libraries are looked up by rpath, runpath, the given folders, then by name."""
+    folders = [*(a.library_path or []), *([a.sysroot] if a.sysroot else [])]
+    search = [f.rstrip("/") for f in a.library_path or []] + ([f"{a.sysroot.rstrip('/')}/{f}" for f in SYSROOT] if a.sysroot else [])
+    plain = lambda d: d.where("error is null").select(bare("path").alias("path"), "kind", "needed", "rpath", "runpath")
+    own = plain(facts)
+    every = cut(reduce(DataFrame.unionByName, [own, *[plain(elf.facts(elf.files(spark, f))) for f in folders]]).dropDuplicates(["path"]))
+    asked = every.select(F.col("path").alias("src"), text.dirname(F.col("path")).alias("origin"), "rpath", "runpath", F.posexplode("needed").alias("position", "library"))
+    found = cut(resolve.resolve(asked, every.select("path"), search))
+    named = resolve.by_basename(found.where("path is null").select("src", F.col("library").alias("dep")).distinct(), every.select("path", F.col("path").alias("ord")))
+    edges = found.join(named.select("src", F.col("dep").alias("library"), F.col("path").alias("other")), ["src", "library"], "left").select("src", F.coalesce("path", "other", "library").alias("dst"), "position")
+    programs = own.where("kind = 'executable'")
+    roots = own if programs.isEmpty() else programs
+    return cut(trees.trees(edges, roots.select(F.col("path").alias("node")), every))
+
+
+def scan_parts(spark: SparkSession, a) -> dict[str, DataFrame]:
+    """What a scan finds: results, facts, edges, paths to libraries, chains, symbols by file, totals, and on demand trees and marks."""
     names = named(spark, a)
     contents = elf.files(spark, a.path, not a.no_recursive)
     if a.from_file:
         lines = spark.read.text(a.from_file).withColumn("position", F.lit(0)).withColumnRenamed("value", "line")
-        contents = contents.join(resolve.target_list(lines).select(F.regexp_replace("target", "^file:/*", "/").alias("t")), F.regexp_replace("path", "^file:/*", "/") == F.col("t"), "left_semi")
+        contents = contents.join(resolve.target_list(lines).select(F.regexp_replace("target", "^file:/*", "/").alias("t")), bare("path") == F.col("t"), "left_semi")
     marks = reports.fingerprints(spark, a.fingerprints) if a.fingerprints else None
     results, facts = results_of(contents, names, marks)
     results = cut(results)
     edges = resolve.by_basename(facts.select(F.col("path").alias("src"), F.explode("needed").alias("dep")), facts.select("path", F.col("path").alias("ord"))).select("src", F.coalesce("path", "dep").alias("dst"))
     targets = edges.where(is_library(text.basename(F.col("dst")), LIBRARY_PREFIXES)).select(F.col("dst").alias("node")).distinct()
-    custom = custom_names(spark, a)
-    each = results.select(F.col("path").alias("file"), F.explode("symbols").alias("symbol")).withColumn("category", category_of(F.col("symbol"), custom=custom))
     paths = graph.paths_to(edges, targets, 10)
-    marked = operators_scan.mark_transitive(results, edges, targets)
-    out = {"files": marked, "symbols": operators_scan.detection(results), "by_category": usage.by_category(each), "totals": operators_scan.totals(results, facts.select("path", "arch", F.col("path").alias("position"))), "roll_up": operators_scan.roll_up(results), "most_common": usage.most_common(each), "edges": edges}
-    out["chains"] = graph.chains(graph.first_paths(paths), each.select(F.col("file").alias("src"), "symbol").distinct())
-    out["by_depth"] = graph.by_depth(paths, each.select(F.col("file").alias("src"), "symbol").distinct())
-    return out | {"report": operators_scan.report_rows(marked, facts), "errors": facts.where("error is not null").select("path", "error")}
+    symbols = results.select(F.col("path").alias("src"), F.explode("symbols").alias("symbol")).distinct()
+    totals = operators_scan.totals(results, facts.select("path", "arch", F.col("path").alias("position")))
+    out = {"results": operators_scan.mark_transitive(results, edges, targets), "facts": facts, "edges": edges, "paths": paths, "symbols": symbols, "totals": totals, "chains": graph.chains(graph.first_paths(paths), symbols)}
+    if a.tree:
+        out["tree"] = tree_of(spark, a, facts)
+    if marks is not None:
+        strings, bare_marks = elf.strings(contents).select("path", F.col("text").alias("string")), marks.drop("library")
+        out |= {"scores": classify.fingerprint_scores(strings, bare_marks, "path"), "score_parts": classify.fingerprint_parts(strings, bare_marks, "path"), "marks": marks.agg(F.count("*").alias("total"))}
+    return out
+
+
+def scan(spark, a):
+    parts = scan_parts(spark, a)
+    results, facts, symbols = parts["results"], parts["facts"], parts["symbols"]
+    each = results.select(F.col("path").alias("file"), F.explode("symbols").alias("symbol")).withColumn("category", category_of(F.col("symbol"), custom=custom_names(spark, a)))
+    out = {"files": results, "symbols": operators_scan.detection(results), "by_category": usage.by_category(each), "totals": parts["totals"], "roll_up": operators_scan.roll_up(results), "most_common": usage.most_common(each), "edges": parts["edges"]}
+    out |= {"chains": parts["chains"], "by_depth": graph.by_depth(parts["paths"], symbols)}
+    if "tree" in parts:
+        own = symbols.select(bare("src").alias("name"), "symbol")
+        out |= {"tree": parts["tree"], "tree_depths": trees.symbols_by_depth(parts["tree"], own), "tree_chains": trees.import_chains(parts["tree"], own)}
+    return out | {"report": operators_scan.report_rows(results, facts), "errors": facts.where("error is not null").select("path", "error")}
+
+
+def scan_workbook(spark, a):
+    """The sheets of a scan."""
+    parts = scan_parts(spark, a)
+    meta = {"Report Type": "single", "Scan Time": datetime.now(UTC).isoformat(timespec="seconds"), "Scan Root": a.path}
+    own = parts["symbols"].select(bare("src").alias("path"), "symbol")
+    return sheets.scan_sheets(parts | {"tree_symbols": own}, meta, custom_names(spark, a))
 
 
 def hap(spark, a):
@@ -165,12 +215,23 @@ def source_merge(spark, a):
     return {"call_sites": rows, "symbol_summary": usage.merged_symbol_summary(rows), "projects": usage.with_total(rows)}
 
 
-def source_diff(spark, a):
+def sides_of(spark: SparkSession, a) -> tuple[DataFrame, DataFrame, bool]:
+    """Call sites of both reports of a difference, and whether any has a project."""
     old, new = (text_tables.call_reports(spark, p) for p in (a.old, a.new))
     old, new = (x.withColumn("file", text.strip_prefix(F.col("file"), prefix)) for x, prefix in ((old, a.old_prefix), (new, a.new_prefix)))
     if a.ignore_categories:
         old, new = (x.where(~F.coalesce(F.col("category"), F.lit("")).isin(a.ignore_categories.split(","))) for x in (old, new))
     several = not old.where("project <> ''").isEmpty() or not new.where("project <> ''").isEmpty()
+    return old, new, several
+
+
+def diff_workbook(spark, a):
+    """The sheets of a difference."""
+    return sheets.diff_sheets(*sides_of(spark, a), a.include_unchanged)
+
+
+def source_diff(spark, a):
+    old, new, several = sides_of(spark, a)
     out = {"metrics": diff.metrics(old, new), "categories": diff.category_metrics(old, new), "files": diff.in_order(diff.file_symbols(old, new), F.desc(F.abs(F.col("new_calls") - F.col("old_calls"))), "file"), "symbols": diff.in_order(diff.symbol_categories(old, new), "category", "symbol")}
     if several:
         deltas = diff.symbols(old, new, ["project"])
@@ -211,6 +272,8 @@ def export(spark, a):
 
 
 COMMANDS = {"scan": scan, "hap": hap, "hap-summary": hap_summary, "combo-scan": combo_scan, "proc": proc, "source": source, "source-merge": source_merge, "source-diff": source_diff, "source-probe": source_probe, "source-summary": source_summary, "update-data": update_data, "aggregate": aggregate, "export": export}
+#: Commands whose workbooks have fixed sheets.
+WORKBOOKS = {"scan": scan_workbook, "source-diff": diff_workbook}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -243,6 +306,9 @@ def parser() -> argparse.ArgumentParser:
         if name == "scan":
             p.add_argument("--from-file", default="", help="file of the paths to scan, one a line")
             p.add_argument("--fingerprints", default="")
+            p.add_argument("--tree", action="store_true", help="dependency trees of the programs")
+            p.add_argument("-L", "--library-path", action="append", help="folder of libraries that trees may lead to")
+            p.add_argument("--sysroot", default="", help="root of a system whose library folders are searched")
         if name == "hap":
             p.add_argument("--abi", default="")
         if name in ("source-probe", "combo-scan"):
@@ -267,11 +333,18 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> i
     if words and words[0] not in COMMANDS and not words[0].startswith("-"):
         words = ["scan", *words]
     a = parser().parse_args(words)
-    tables = COMMANDS[a.command](spark or SparkSession.builder.appName("linkscope").getOrCreate(), a)
+    spark = spark or SparkSession.builder.appName("linkscope").getOrCreate()
+    book = WORKBOOKS.get(a.command) if a.format == "xlsx" else None
+    if book:
+        sinks.spreadsheet(a.output, book(spark, a))
+        if a.command != "source-diff":
+            return 0
+    tables = COMMANDS[a.command](spark, a)
     if a.format in ("xlsx", "html", "document"):
         tables = {name: df.orderBy(*order) if (order := sinks.order_of(name, df)) and a.command != "source-diff" else df for name, df in tables.items()}
     if a.format == "xlsx":
-        sinks.spreadsheet(a.output, tables)
+        if not book:
+            sinks.spreadsheet(a.output, tables)
     elif a.format == "html":
         sinks.page(a.output, a.command, tables)
     elif a.format == "document":

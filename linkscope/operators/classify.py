@@ -50,12 +50,8 @@ def confidence() -> list[Column]:
     return [level.otherwise("low").alias("confidence"), reason.otherwise(rest).alias("reason")]
 
 
-def fingerprint_scores(strings: DataFrame, marks: DataFrame, by: str = "file", max_score: float = 106, levels: tuple[float, float, float] = (60, 35, 15)) -> DataFrame:
-    """Scores by categories of known strings: each counts per_point a string and max_points at most.
-
-    marks: category, string, per_point, max_points and, if some are parts of strings, mode (exact or substring).
-    Thresholds hold for the raw score; the reported one is of 100.
-    """
+def fingerprint_parts(strings: DataFrame, marks: DataFrame, by: str = "file") -> DataFrame:
+    """Known strings of each category that a file has, of how many, and its points before and after the category's limit."""
     own = strings.select(by, "string").distinct()
     if "mode" in marks.columns:
         exact = own.join(marks.where("mode <> 'substring'").drop("mode"), "string")
@@ -64,8 +60,19 @@ def fingerprint_scores(strings: DataFrame, marks: DataFrame, by: str = "file", m
         hit = exact.unionByName(inside)
     else:
         hit = own.join(marks, "string")
-    each = hit.groupBy(by, "category").agg(F.least(F.count("*") * F.max("per_point"), F.max("max_points")).alias("points"), F.count("*").alias("matched"))
-    raw = each.groupBy(by).agg(F.sum("points").alias("raw"), F.sum("matched").alias("matched"))
+    every = marks.select("category", "string").distinct().groupBy("category").agg(F.count("*").alias("total"))
+    each = hit.groupBy(by, "category").agg(F.count("*").alias("matched"), (F.count("*") * F.max("per_point")).alias("raw"), F.max("max_points").alias("most"))
+    return each.join(every, "category").select(by, "category", "matched", "total", "raw", F.least("raw", "most").alias("capped"))
+
+
+def fingerprint_scores(strings: DataFrame, marks: DataFrame, by: str = "file", max_score: float = 106, levels: tuple[float, float, float] = (60, 35, 15)) -> DataFrame:
+    """Scores by categories of known strings: each counts per_point a string and max_points at most.
+
+    marks: category, string, per_point, max_points and, if some are parts of strings, mode (exact or substring).
+    Thresholds hold for the raw score; the reported one is of 100.
+    """
+    each = fingerprint_parts(strings, marks, by)
+    raw = each.groupBy(by).agg(F.sum("capped").alias("raw"), F.sum("matched").alias("matched"))
     level = F.when(F.col("raw") >= levels[0], "high").when(F.col("raw") >= levels[1], "medium").when(F.col("raw") >= levels[2], "low").otherwise("none")
     return raw.select(by, "matched", F.bround(F.col("raw") / max_score * 100, 1).alias("score"), level.alias("confidence"))
 

@@ -49,10 +49,14 @@ def chains(paths: DataFrame, symbols: DataFrame) -> DataFrame:
     return paths.join(symbols, "src").select("src", "symbol", F.array_join(F.transform("path", lambda x: x.cast("string")), " -> ").alias("chain"), "depth")
 
 
-def by_depth(paths: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Distinct symbols and files at each least depth."""
+def by_depth(paths: DataFrame, symbols: DataFrame, names: bool = False) -> DataFrame:
+    """Distinct symbols and files at each least depth, and the symbols themselves on demand."""
     low = paths.groupBy("src").agg(F.min("depth").alias("depth"))
-    return low.join(symbols, "src").groupBy("depth").agg(F.countDistinct("symbol").alias("n_symbols"), F.countDistinct("src").alias("n_files"))
+    at = low.join(symbols, "src")
+    counted = at.groupBy("depth").agg(F.countDistinct("symbol").alias("n_symbols"), F.countDistinct("src").alias("n_files"))
+    if not names:
+        return counted
+    return counted.join(at.select("depth", "symbol").distinct().groupBy("depth").agg(F.array_sort(F.collect_list("symbol")).alias("symbols")), "depth")
 
 
 def stats(edges: DataFrame) -> DataFrame:

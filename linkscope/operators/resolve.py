@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +24,15 @@ def resolve(requests: DataFrame, files: DataFrame, search: list[str]) -> DataFra
     Folders: rpath, then runpath, `$ORIGIN` put in, then the search paths.  files: path.  The folders of a request are
     exploded and joined with the files by path, so nothing is listed on the driver.
     """
-    r = requests.withColumn("_id", F.monotonically_increasing_id())
-    own = lambda c: F.filter(F.split(F.replace(F.coalesce(c, F.lit("")), F.lit("$ORIGIN"), F.coalesce("origin", F.lit(""))), ":"), lambda x: x != "")
-    folders = F.concat(own("rpath"), own("runpath"), F.array(*map(F.lit, search)).cast("array<string>"))
-    asked = r.select("_id", F.concat(F.lit(""), "library").alias("_library"), F.posexplode(folders).alias("_at", "_folder")).select("_id", "_at", F.concat(F.regexp_replace("_folder", "/$", ""), F.lit("/"), "_library").alias("path"))
-    hit = asked.join(files.select("path").distinct(), "path").groupBy("_id").agg(F.min_by("path", "_at").alias("path"))
-    return r.join(hit, "_id", "left").drop("_id")
+    key = ["library", "rpath", "runpath", "origin"]
+    # a path depends on these four alone, so equal requests are asked once
+    asked = requests.select(*[F.col(c).alias(f"_{c}") for c in key]).distinct()
+    own = lambda c: F.filter(F.split(F.replace(F.coalesce(c, F.lit("")), F.lit("$ORIGIN"), F.coalesce("_origin", F.lit(""))), ":"), lambda x: x != "")
+    folders = F.concat(own("_rpath"), own("_runpath"), F.array(*map(F.lit, search)).cast("array<string>"))
+    tried = asked.select("*", F.posexplode(folders).alias("_at", "_folder")).withColumn("path", F.concat(F.regexp_replace("_folder", "/$", ""), F.lit("/"), "_library"))
+    hit = tried.join(files.select("path").distinct(), "path").groupBy(*[f"_{c}" for c in key]).agg(F.min_by("path", "_at").alias("path"))
+    same = [requests[c].eqNullSafe(hit[f"_{c}"]) for c in key]
+    return requests.join(hit, reduce(and_, same), "left").drop(*[f"_{c}" for c in key])
 
 
 def library_folders(files: DataFrame, root: str, max_depth: int = 50) -> DataFrame:
