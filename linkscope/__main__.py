@@ -20,7 +20,7 @@ from linkscope.operators import banners, classify, diff, graph, resolve, summary
 from linkscope.operators import scan as operators_scan
 from linkscope.operators.lineage import cut
 from linkscope.plans import sheets, sinks
-from linkscope.sources import calls, diagnostics, elf, files, headers, machine_code, packages, processes, reports, repositories, text_tables
+from linkscope.sources import archives, calls, diagnostics, elf, files, headers, machine_code, packages, processes, reports, repositories, text_tables
 
 
 def named(spark: SparkSession, a) -> DataFrame:
@@ -128,8 +128,7 @@ def scan_workbook(spark, a):
 
 
 def hap(spark, a):
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(a.path)
-    members = packages.expand(raw)
+    members = archives.members(spark, a.path)
     libraries = packages.native_libraries(members)
     if a.abi:
         libraries = packages.of_interface(libraries, a.abi)
@@ -142,7 +141,7 @@ def hap(spark, a):
     providers = resolve.static_providers(results.select("package", "path", F.when(F.col("is_static"), F.col("confidence")).alias("confidence"), "reason", F.size("symbols").alias("n_symbols"), F.col("deps").alias("needs")))
     kinds = classify.in_release(results, bundled, release)
     rows = operators_scan.bundled_text(kinds, bundled, providers.select("package", "label")).withColumn("usage", classify.usage_label("bundled", "kind"))
-    return {"metadata": about, "interfaces": packages.interfaces(libraries), "libraries": libraries.drop("content"), "bundled": bundled, "files": results, "packages": rows, "providers": providers, "batch": operators_scan.package_batch(results)}
+    return {"metadata": about, "interfaces": packages.interfaces(libraries), "libraries": libraries.drop("content"), "bundled": bundled, "files": results, "packages": rows, "providers": providers, "first_libraries": archives.first_libraries(members), "errors": archives.errors(members), "batch": operators_scan.package_batch(results)}
 
 
 def hap_summary(spark, a):
