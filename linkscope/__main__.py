@@ -24,8 +24,10 @@ from linkscope.sources import archives, calls, diagnostics, elf, files, headers,
 
 
 def named(spark: SparkSession, a) -> DataFrame:
-    """The dimension: names of a text file, those that given libraries export, and the users' own."""
-    parts = [text_tables.symbol_list(spark, a.symbols).withColumn("origin", F.lit("list"))] if a.symbols else []
+    """The dimension: names of a text file or of a JSON file's list `symbols`, those that given libraries export, and the users' own."""
+    parts = []
+    if a.symbols:
+        parts.append(reports.symbol_json(spark, a.symbols) if a.symbols.lower().endswith(".json") else text_tables.symbol_list(spark, a.symbols).withColumn("origin", F.lit("list")))
     for path in a.openssl_lib or []:
         parts.append(elf.facts(elf.files(spark, path)).select(F.explode("symbols").alias("s")).where("s.defined").select(F.col("s.name").alias("symbol"), F.lit("library").alias("origin")))
     if a.add:
@@ -141,7 +143,7 @@ def hap(spark, a):
     providers = resolve.static_providers(results.select("package", "path", F.when(F.col("is_static"), F.col("confidence")).alias("confidence"), "reason", F.size("symbols").alias("n_symbols"), F.col("deps").alias("needs")))
     kinds = classify.in_release(results, bundled, release)
     rows = operators_scan.bundled_text(kinds, bundled, providers.select("package", "label")).withColumn("usage", classify.usage_label("bundled", "kind"))
-    return {"metadata": about, "interfaces": packages.interfaces(libraries), "libraries": libraries.drop("content"), "bundled": bundled, "files": results, "packages": rows, "providers": providers, "first_libraries": archives.first_libraries(members), "errors": archives.errors(members), "batch": operators_scan.package_batch(results)}
+    return {"metadata": about, "interfaces": packages.interfaces(libraries), "libraries": libraries.drop("content"), "bundled": bundled, "files": results, "packages": rows, "providers": providers, "first_libraries": archives.first_libraries(members), "errors": archives.errors(members), "batch": operators_scan.package_batch(results), "batch_categories": operators_scan.batch_categories(results)}
 
 
 def hap_summary(spark, a):
@@ -164,8 +166,9 @@ def proc(spark, a):
         found = cut(processes.running(spark, a.pid or None, a.name or None))
         mapped = processes.libraries_of(found)
         return {"processes": found.drop("maps"), "libraries": mapped if a.include_deleted else mapped.where("not deleted")}
-    lines = spark.read.text(a.path).withColumn("position", F.monotonically_increasing_id()).select(F.lit(a.pid).alias("pid"), "position", F.col("value").alias("line"))
-    found = text_tables.mapped_libraries(lines)
+    # a line's place is its number in its file, so it does not depend on how files are cut
+    maps = spark.read.text(a.path, wholetext=True).select(F.lit(a.pid).alias("pid"), F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    found = text_tables.mapped_libraries(maps.select("pid", F.struct("file", "at").alias("position"), F.regexp_replace("line", "\r$", "").alias("line"))).withColumn("position", F.col("position.at").cast("long"))
     return {"libraries": found if a.include_deleted else found.where("not deleted")}
 
 
@@ -199,7 +202,10 @@ def combo_scan(spark, a):
     known = [r["symbol"] for r in dimension.select("symbol").collect()]
     below = F.substring_index(F.col("file"), a.path.rstrip("/") + "/", -1)
     found = calls.extract(read, known).withColumn("below", below)
-    inside = found.join(F.broadcast(projects), F.col("below").startswith(F.concat("path", F.lit("/"))))
+    # the folders above each file are few, so projects are found by equality
+    above = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.array_join(F.slice("parts", 1, i), "/"))
+    folders = found.select("below", F.split("below", "/").alias("parts")).distinct().where(F.size("parts") > 1).select("below", F.explode(above).alias("path"))
+    inside = found.join(folders.join(projects.distinct(), "path"), "below")
     rows = cut(inside.withColumnRenamed("path", "project").drop("below").withColumn("category", category_of(F.col("symbol"), custom=custom_names(spark, a))))
     out = {"projects": usage.with_total(rows), "call_sites": rows, "symbol_summary": usage.merged_symbol_summary(rows), "project_stats": usage.project_stats(rows, ["file", "line"])}
     if a.compat:

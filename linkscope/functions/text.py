@@ -79,10 +79,6 @@ def sheet_of(position: Column, rows: int = 1_048_575) -> Column:
     return F.floor((position - 1) / rows).cast("long")
 
 
-def link_kind(is_dlopen: Column, inferred: Column, is_static: Column, has_symbols: Column) -> Column:
-    return F.when(is_dlopen & inferred, "dlopen-infer").when(is_dlopen, "dlopen").when(is_static, "static-link").when(has_symbols, "dynamic-link").otherwise("")
-
-
 def relative_path(path: Column, root: str) -> Column:
     """path below the root; else below the last folder that has the root's name; else its base name."""
     name = root.rstrip("/").rsplit("/", 1)[-1]

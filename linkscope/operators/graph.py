@@ -93,19 +93,3 @@ def boundaries(matched: DataFrame) -> DataFrame:
     ends = parts.groupBy(F.element_at("p", 1).alias("top")).agg(F.min("p").alias("a"), F.max("p").alias("b"))
     upto = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.size("a")), lambda i: ~F.get("a", i - 1).eqNullSafe(F.get("b", i - 1)))), F.size("a") + 1)
     return ends.select("top", F.array_join(F.slice("a", 1, upto - 1), "/").alias("project"))
-
-
-def dependency_tree(edges: list[tuple[str, str]], root: str, max_depth: int = 20) -> list[tuple[str, str | None, int, str | None]]:
-    """Depth-first tree of one root on the driver: (name, parent, depth, error); a node met before is a leaf."""
-    out, seen, follow = [], set(), {}
-    for a, b in edges:
-        follow.setdefault(a, []).append(b)
-    stack = [(root, None, 0)]
-    while stack:
-        name, parent, depth = stack.pop()
-        error = "circular dependency" if name in seen else "max depth exceeded" if depth > max_depth else None
-        out.append((name, parent, depth, error))
-        if error is None:
-            seen.add(name)
-            stack += [(child, name, depth + 1) for child in reversed(follow.get(name, []))]
-    return out

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__
 from linkscope.functions import categories
-from linkscope.operators import diff, graph, matching
+from linkscope.operators import diff, graph, matching, trees
 from linkscope.plans import sinks
 from linkscope.sources import calls, elf, packages, text_tables
 from linkscope.streaming import rescan
@@ -103,7 +103,7 @@ def test_paths_and_reach(spark):
     e, t = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("t",)], "node string")
     assert sorted(r.path for r in graph.paths_to(e, t).collect()) == [["a", "b", "c", "t"], ["a", "b", "t"], ["b", "c", "t"], ["b", "t"], ["c", "b", "t"], ["c", "t"]]
     assert {r.node: r.depth for r in graph.reachable(e, t).collect()} == {"t": 0, "b": 1, "c": 1, "a": 2}
-    tree = graph.dependency_tree([("r", "a"), ("r", "b"), ("a", "x"), ("b", "x")], "r")
+    tree = [(name, parent, depth, error) for name, parent, depth, _, error in trees.walk("r", {"r": ["a", "b"], "a": ["x"], "b": ["x"]}, {"r", "a", "b", "x"})]
     assert tree == [("r", None, 0, None), ("a", "r", 1, None), ("x", "a", 2, None), ("b", "r", 1, None), ("x", "b", 2, "circular dependency")]
 
 
