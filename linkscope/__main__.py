@@ -230,14 +230,19 @@ def sides_of(spark: SparkSession, a) -> tuple[DataFrame, DataFrame, bool]:
     return old, new, several
 
 
+def scanned_of(spark: SparkSession, a) -> tuple[DataFrame, DataFrame]:
+    """Files scanned by both reports of a difference."""
+    return text_tables.files_scanned(spark, a.old), text_tables.files_scanned(spark, a.new)
+
+
 def diff_workbook(spark, a):
     """The sheets of a difference."""
-    return sheets.diff_sheets(*sides_of(spark, a), a.include_unchanged)
+    return sheets.diff_sheets(*sides_of(spark, a), a.include_unchanged, scanned_of(spark, a))
 
 
 def source_diff(spark, a):
     old, new, several = sides_of(spark, a)
-    out = {"metrics": diff.metrics(old, new), "categories": diff.category_metrics(old, new), "files": diff.in_order(diff.file_symbols(old, new), F.desc(F.abs(F.col("new_calls") - F.col("old_calls"))), "file"), "symbols": diff.in_order(diff.symbol_categories(old, new), "category", "symbol")}
+    out = {"metrics": diff.metrics(old, new, ["project"] if several else None, scanned_of(spark, a)), "categories": diff.category_metrics(old, new), "files": diff.in_order(diff.file_symbols(old, new), F.desc(F.abs(F.col("new_calls") - F.col("old_calls"))), "file"), "symbols": diff.in_order(diff.symbol_categories(old, new), "category", "symbol")}
     if several:
         deltas = diff.symbols(old, new, ["project"])
         out |= {"projects": summary.project_deltas(deltas), "project_files": diff.file_symbols(old, new, ["project"])}

@@ -53,11 +53,18 @@ def files(old: DataFrame, new: DataFrame) -> DataFrame:
     return n.withColumn("status", F.when((status == "unchanged") & moved, "changed").otherwise(status))
 
 
-def metrics(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Calls, files, symbols and categories of both sides, and the differences."""
-    one = lambda d: d.agg(F.count("*").alias("calls"), F.countDistinct("file").alias("files"), F.countDistinct("symbol").alias("symbols"))
-    long = lambda d, v: d.unpivot([], ["calls", "files", "symbols"], "metric", v)
-    return long(one(old), "old_value").join(long(one(new), "new_value"), "metric").withColumn("delta", F.col("new_value") - F.col("old_value"))
+def metrics(old: DataFrame, new: DataFrame, by: list[str] | None = None, scanned: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Calls, files, symbols and categories of both sides, and the differences.
+
+    by: a project column, where the same file of two projects counts twice; scanned: one number of each side, n_scanned,
+    that is not counted from calls.
+    """
+    one = lambda d: d.agg(F.count("*").alias("calls"), F.countDistinct(*(by or []), "file").alias("files"), F.countDistinct("symbol").alias("symbols"))
+    long = lambda d, v: d.unpivot([], d.columns, "metric", v)
+    sides = [one(old), one(new)]
+    if scanned is not None:
+        sides = [side.crossJoin(n.select(F.col("n_scanned").alias("scanned"))) for side, n in zip(sides, scanned, strict=True)]
+    return long(sides[0], "old_value").join(long(sides[1], "new_value"), "metric").withColumn("delta", F.col("new_value") - F.col("old_value"))
 
 
 def pairs(old: DataFrame, new: DataFrame, key: list[str] = KEY) -> DataFrame:

@@ -20,7 +20,7 @@ NO_DEPTHS, NO_TREE, NEEDS_TREE, NO_ERRORS = "No depth data available", "No depen
 # What a depth means; {} is a number of hops.
 DEPTHS = {1: "Direct OpenSSL dependency (depth 1)", 2: "One hop to OpenSSL (depth 2)", 3: "Two hops to OpenSSL (depth 3)"}
 # Names of the metrics.
-METRICS = {"files": "Files with Calls", "calls": "Call Sites", "symbols": "Unique Symbols"}
+METRICS = {"scanned": "Files Scanned", "files": "Files with Calls", "calls": "Call Sites", "symbols": "Unique Symbols"}
 
 
 def _titled(rows: DataFrame, columns: dict[str, Column], order: list[tuple[Column, bool]]) -> DataFrame:
@@ -173,10 +173,10 @@ def project_names(old: DataFrame, new: DataFrame) -> DataFrame:
     return n.withColumn("status", whole).drop("n", "n_added", "n_removed", "n_same")
 
 
-def diff_sheets(old: DataFrame, new: DataFrame, several: bool, unchanged: bool = False) -> dict[str, Sheet]:
+def diff_sheets(old: DataFrame, new: DataFrame, several: bool, unchanged: bool = False, scanned: tuple[DataFrame, DataFrame] | None = None) -> dict[str, Sheet]:
     """The sheets of a difference between call sites (project, file, line, caller, symbol, category, args).
 
-    several: keys hold the project.  Rows whose status is unchanged are shown on demand only.
+    several: keys hold the project; scanned: files scanned on both sides (n_scanned).  Rows whose status is unchanged are shown on demand only.
     """
     spark = old.sparkSession
     shown = lambda d: d.where(F.lit(unchanged) | (F.col("status") != "unchanged"))
@@ -188,7 +188,7 @@ def diff_sheets(old: DataFrame, new: DataFrame, several: bool, unchanged: bool =
 
     label = F.element_at(F.create_map(*[F.lit(x) for pair in METRICS.items() for x in pair]), F.col("metric"))
     rank = F.array_position(F.array(*map(F.lit, METRICS)), F.col("metric"))
-    figures = diff.metrics(old, new).select(rank.alias("place"), label.alias("Metric"), F.col("old_value").alias("Old"), F.col("new_value").alias("New"), F.col("delta").alias("Delta"))
+    figures = diff.metrics(old, new, ["project"] if several else None, scanned).select(rank.alias("place"), label.alias("Metric"), F.col("old_value").alias("Old"), F.col("new_value").alias("New"), F.col("delta").alias("Delta"))
     groups = diff.category_metrics(old, new).select(F.lit(9).alias("place"), F.concat(F.lit("["), F.coalesce("category", F.lit("")), F.lit("]")).alias("Metric"), F.col("old_symbols").alias("Old"), F.col("new_symbols").alias("New"), F.col("delta").alias("Delta"))
     gap = spark.range(1).select(F.lit(8).alias("place"), *[F.lit(None).cast(t).alias(c) for c, t in (("Metric", "string"), ("Old", "long"), ("New", "long"), ("Delta", "long"))])
     parts = [figures, *([] if groups.isEmpty() else [gap, groups])]

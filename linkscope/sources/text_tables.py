@@ -42,3 +42,14 @@ def call_reports(spark: SparkSession, path: str) -> DataFrame:
     single = r.where("meta.report_type = 'source_scan'").select("report", F.lit("").alias("project"), F.explode("call_sites").alias("c"))
     merged = r.where("meta.report_type = 'combo_scan'").select("report", F.explode("projects").alias("p")).select("report", F.col("p.project").alias("project"), F.explode("p.call_sites").alias("c"))
     return single.unionByName(merged).select("report", "project", F.col("c.file_path").alias("file"), F.col("c.caller_function").alias("caller"), F.col("c.ossl_symbol").alias("symbol"), F.col("c.line_number").alias("line"), F.col("c.call_args").alias("args"), F.col("c.category").alias("category"))
+
+
+SCANNED = "meta struct<report_type:string>, summary struct<total_files_scanned:long>, projects array<struct<project:string,total_files_scanned:long>>"
+
+
+def files_scanned(spark: SparkSession, path: str) -> DataFrame:
+    """One number, n_scanned: the files that single and merged source reports say were scanned, 0 where they do not say."""
+    r = spark.read.schema(SCANNED).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
+    merged = F.aggregate(F.coalesce("projects", F.array().cast("array<struct<project:string,total_files_scanned:long>>")), F.lit(0).cast("long"), lambda n, p: n + F.coalesce(p["total_files_scanned"], F.lit(0)))
+    own = F.when(F.col("meta.report_type") == "combo_scan", merged).when(F.col("meta.report_type") == "source_scan", F.col("summary.total_files_scanned"))
+    return r.agg(F.coalesce(F.sum(own), F.lit(0)).alias("n_scanned"))

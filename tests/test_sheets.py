@@ -5,6 +5,7 @@ import json
 from linkscope import __main__ as command
 from linkscope.operators import classify, resolve
 from linkscope.plans import sheets, workbook
+from linkscope.sources import text_tables
 from tests.test_operators import small_elf
 from tests.test_workbook import read
 
@@ -70,18 +71,18 @@ def site(file, caller, symbol, line, args, category="ssl_core"):
     return {"file_path": file, "caller_function": caller, "ossl_symbol": symbol, "line_number": line, "call_args": args, "category": category}
 
 
-def report(path, sites):
-    path.write_text(json.dumps({"meta": {"report_type": "source_scan"}, "call_sites": sites}))
+def report(path, sites, **more):
+    path.write_text(json.dumps({"meta": {"report_type": "source_scan"}, "call_sites": sites} | more))
 
 
 def test_diff_workbook(spark, tmp_path):
-    report(tmp_path / "old.json", [site("a.c", "f", "SSL_new", 3, "x"), site("a.c", "f", "SSL_new", 9, "y"), site("b.c", "g", "EVP_x", 1, "", "crypto_evp"), site("c.c", "k", "SSL_free", 1, "s")])
+    report(tmp_path / "old.json", [site("a.c", "f", "SSL_new", 3, "x"), site("a.c", "f", "SSL_new", 9, "y"), site("b.c", "g", "EVP_x", 1, "", "crypto_evp"), site("c.c", "k", "SSL_free", 1, "s")], summary={"total_files_scanned": 12})
     report(tmp_path / "new.json", [site("a.c", "f", "SSL_new", 4, "x"), site("a.c", "f", "SSL_new", 9, "z"), site("a.c", "h", "BIO_x", 2, "=1", "crypto_bio"), site("c.c", "k", "SSL_free", 1, "s")])
     words = ["source-diff", str(tmp_path / "old.json"), str(tmp_path / "new.json"), "-f", "xlsx", "-o", str(tmp_path / "w.xlsx")]
     assert command.main(words, spark) == 1
     found = read(tmp_path / "w.xlsx")
     assert list(found) == ["Summary Delta", "Symbol Delta", "File Delta", "Call Site Delta"]
-    assert found["Summary Delta"][1:] == [["Files with Calls", "3", "2", "-1"], ["Call Sites", "4", "4", "0"], ["Unique Symbols", "3", "3", "0"], [None] * 4, ["[crypto_bio]", "0", "1", "1"], ["[crypto_evp]", "1", "0", "-1"], ["[ssl_core]", "2", "2", "0"]]
+    assert found["Summary Delta"][1:] == [["Files Scanned", "12", "0", "-12"], ["Files with Calls", "3", "2", "-1"], ["Call Sites", "4", "4", "0"], ["Unique Symbols", "3", "3", "0"], [None] * 4, ["[crypto_bio]", "0", "1", "1"], ["[crypto_evp]", "1", "0", "-1"], ["[ssl_core]", "2", "2", "0"]]
     assert found["Symbol Delta"][1:] == [["BIO_x", "crypto_bio", "added", "0", "1", "1"], ["EVP_x", "crypto_evp", "removed", "1", "0", "-1"]]
     assert found["File Delta"][1:] == [["b.c", "removed", "1", "0", "-1", "1", "0", "", "EVP_x"], ["a.c", "changed", "2", "3", "1", "1", "2", "BIO_x", ""]]
     assert [r[:4] + r[5:7] for r in found["Call Site Delta"][1:]] == [["added", "a.c", "h", "BIO_x", None, "2"], ["removed", "b.c", "g", "EVP_x", "1", None], ["moved", "a.c", "f", "SSL_new", "3", "4"], ["changed", "a.c", "f", "SSL_new", "9", "9"]]
@@ -97,5 +98,13 @@ def test_diff_workbook_of_projects(spark):
     old = spark.createDataFrame([("p", "a.c", 1, "f", "A", "c", ""), ("q", "a.c", 1, "f", "B", "c", ""), ("s", "a.c", 1, "f", "B", "c", "")], form)
     new = spark.createDataFrame([("p", "a.c", 1, "f", "A", "c", ""), ("r", "a.c", 1, "f", "B", "c", ""), ("s", "a.c", 1, "f", "B", "c", ""), ("s", "b.c", 1, "f", "A", "c", "")], form)
     found = {t: [tuple(r) for r in s.rows.collect()] for t, s in sheets.diff_sheets(old, new, True).items()}
+    assert found["Summary Delta"][:3] == [("Files with Calls", 3, 4, 1), ("Call Sites", 3, 4, 1), ("Unique Symbols", 2, 2, 0)]
     assert [r[:5] for r in found["Project Delta"]] == [("q", "removed", 1, 0, -1), ("r", "added", 0, 1, 1), ("s", "changed", 1, 2, 1)] and found["Project Delta"][2][7:] == ("A", "")
     assert [r[0] for r in found["File Delta"]] == ["r/a.c", "s/b.c", "q/a.c"] and [r[:3] for r in found["Call Site Delta"]] == [("r", "added", "a.c"), ("s", "added", "b.c"), ("q", "removed", "a.c")]
+
+
+def test_files_scanned_of_merged_reports(spark, tmp_path):
+    report(tmp_path / "one.json", [], meta={"report_type": "combo_scan"}, projects=[{"project": "p", "total_files_scanned": 4}, {"project": "q"}, {"project": "r", "total_files_scanned": 5}])
+    (tmp_path / "other.json").write_text('{"meta": {"report_type": "other"}, "summary": {"total_files_scanned": 99}}')
+    (tmp_path / "broken.json").write_text("{")
+    assert [text_tables.files_scanned(spark, str(tmp_path / f"{n}.json")).first().n_scanned for n in ("one", "other", "broken")] == [9, 0, 0]
