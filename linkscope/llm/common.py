@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import contextlib
 import re
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkscope.operators.lineage import CLEANUP, releasing  # noqa: F401
+
 #: Columns of the documents table, in its order.
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,21 +31,6 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="checkpoint-")
 
 
-#: Makes Spark delete an action's shuffle files when it ends; else they stay until the driver happens to collect its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextlib.contextmanager
-def releasing(spark: SparkSession) -> Iterator[None]:
-    """Frames that are made herein delete the shuffle files of their actions when these end."""
-    was = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder; the shuffle files that led to it are deleted."""
     spark, context = df.sparkSession, df.sparkSession.sparkContext

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkscope.functions.text import basename, ratio
 from linkscope.operators.diff import counted_status
-from linkscope.operators.lineage import cut
+from linkscope.operators.lineage import counted, cut
 
 # Categories with a column of their own in package summaries.
 SHOWN = ["ssl_core", "crypto_evp", "crypto_x509", "crypto_ec", "crypto_hash", "crypto_sm", "crypto_bio"]
@@ -82,16 +84,31 @@ def category_bars(counts: DataFrame, width: int = 30) -> DataFrame:
     return counts.crossJoin(F.broadcast(most)).select("category", "n_symbols", ordinal.cast("long").alias("place"), F.repeat(F.lit("#"), F.floor(F.col("n_symbols") / F.col("most") * width).cast("int")).alias("bar"))
 
 
+#: A level is held against all found before if these are at most so many times its rows; what is met again at a smaller level goes on, and is dropped at the end.
+AGAIN = 4
+
+
 def descendants(edges: DataFrame, roots: DataFrame, depth: int = 20) -> DataFrame:
     """root, node and least depth of all that is below each root (src of roots), level by level, each level checkpointed."""
-    front = found = roots.select(F.col("node").alias("root"), "node", F.lit(0).cast("long").alias("depth")).distinct()
     step = edges.select(F.col("src").alias("node"), "dst").distinct()
+    front = cut(roots.select(F.col("node").alias("root"), "node").distinct())
+    levels, n_front = [front], counted(front)
+    n_found = n_front
     for i in range(1, depth + 1):
-        front = cut(front.join(step, "node").select("root", F.col("dst").alias("node")).distinct().join(found.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(i).cast("long").alias("depth")))
-        if front.isEmpty():
+        near = front.join(step, "node").select("root", F.col("dst").alias("node")).distinct()
+        if n_found <= AGAIN * n_front:
+            for level in levels:
+                near = near.join(level, ["root", "node"], "left_anti")
+        front = cut(near)
+        if (n_front := counted(front)) == 0:
             break
-        found = found.unionByName(front)
-    return found
+        levels.append(front)
+        n_found += n_front
+        if i == 1:
+            # from here on only nodes that some edge leads to are met
+            step = cut(step.join(step.select(F.col("dst").alias("node")).distinct(), "node", "left_semi"))
+    found = [level.withColumn("depth", F.lit(i).cast("long")) for i, level in enumerate(levels)]
+    return reduce(DataFrame.unionByName, found).groupBy("root", "node").agg(F.min("depth").alias("depth"))
 
 
 def ranked_groups(edges: DataFrame, roots: DataFrame, counts: DataFrame, depth: int = 20) -> DataFrame:
