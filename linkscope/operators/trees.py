@@ -1,15 +1,19 @@
 """Dependency trees of executables: which library pulls in which, how deep, and by what chain.
 
-A tree's size is bounded by the libraries of one machine, so each root's own edges form one group; which edges
-those are is found for all roots at once.
+A tree's size is bounded by the libraries of one machine, so each root's own edges form one group.  What roots pull in
+is mostly the same, so all that is below a file is found once for each file that any root needs directly, packed as one
+text, and joined to those roots.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkscope.operators.lineage import counted, cut, small_batches
 from linkscope.operators.summary import descendants
 
 #: Levels that are followed.
@@ -32,25 +36,87 @@ def walk(root: str, follow: dict[str, list[str]], known: set[str], most: int = D
             waiting += [(child, name, depth + 1, f"{chain} -> {child}") for child in reversed(follow.get(name, []))]
 
 
+#: Files that roots need directly in one task of walks, about; a walk takes time, not bytes, so its tasks are not joined to fewer.
+STARTS = 1 << 16
+#: Between a packed file's names, between files, and what replaces either in a name; rows of a batch of trees.
+NAME, FILE, ESCAPE, ROWS = "\0", "\1", "\2", 1 << 14
+
+
+def packed(name: Column) -> Column:
+    for mark, sign in ((ESCAPE, "c"), (NAME, "a"), (FILE, "b")):
+        name = F.replace(name, F.lit(mark), F.lit(ESCAPE + sign))
+    return name
+
+
+def unpacked(name: str) -> str:
+    for mark, sign in ((FILE, "b"), (NAME, "a"), (ESCAPE, "c")):
+        name = name.replace(ESCAPE + sign, mark)
+    return name
+
+
+def learn(pack: str, follow: dict[str, list[str]], known: set[str]) -> None:
+    """Adds a pack's files: a sign, + for one that exists, with the name, then the names of what it needs, in order."""
+    escaped = ESCAPE in pack
+    for file in pack.split(FILE):
+        names = file.split(NAME)
+        if escaped:
+            names = [unpacked(x) for x in names]
+        name = names[0][1:]
+        if name not in follow:
+            follow[name] = names[1:]
+            if names[0][0] == "+":
+                known.add(name)
+
+
 def trees(edges: DataFrame, roots: DataFrame, files: DataFrame, most: int = DEPTH) -> DataFrame:
     """Trees of all roots (node): edges (src, dst, position among those of src) as text; files (path) are those that exist."""
     text = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "position")
-    start = roots.select(F.col("node").cast("string").alias("node")).distinct()
-    below = descendants(text, start, most + 1).select("root", F.col("node").alias("src"))
-    there = files.select(F.col("path").cast("string").alias("src")).distinct().withColumn("there", F.lit(True))
-    rows = below.join(there, "src", "left").join(text, "src", "left").select("root", "src", "dst", "position", F.coalesce("there", F.lit(False)).alias("there"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        root, follow = frame["root"].iloc[0], {}
-        ordered = frame.dropna(subset=["dst"]).sort_values(["src", "position", "dst"])
-        for a, b in zip(ordered["src"], ordered["dst"], strict=True):
-            follow.setdefault(a, [])
-            if b not in follow[a]:
-                follow[a].append(b)
-        found = list(walk(root, follow, set(frame["src"][frame["there"]]), most))
-        return pd.DataFrame([(root, i, *row) for i, row in enumerate(found)], columns=[c.split()[0] for c in TREE.split(", ")])
-
-    return rows.groupBy("root").applyInPandas(run, TREE)
+    start = roots.select(F.col("node").cast("string").alias("root")).distinct()
+    there = files.select(F.col("path").cast("string").alias("src")).distinct().withColumn("sign", F.lit("+"))
+    needs = text.where("src is not null and dst is not null").groupBy("src").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(F.col("position").isNull().alias("last"), "position", "dst"))), lambda x: x["dst"])).alias("needs"))
+    own = cut(needs.join(there, "src", "full").select("src", "needs", F.concat_ws(NAME, F.concat(F.coalesce("sign", F.lit("-")), packed(F.col("src"))), F.transform("needs", packed)).alias("pack")))
+    direct = cut(own.join(start, F.col("src") == F.col("root")).select("root", F.explode("needs").alias("src")))
+    # what is below a file that several roots need is found once, unless there are more such files than roots
+    shared = counted(direct.select("src").distinct()) < counted(start)
+    nodes = (direct if shared else start.withColumnRenamed("root", "src")).select(F.col("src").alias("node")).distinct()
+    below = descendants(text.select("src", "dst"), nodes, most).select(F.col("root").alias("top"), F.col("node").alias("src")).join(own.select("src", "pack"), "src")
+    packs = below.groupBy("top").agg(F.array_join(F.collect_list("pack"), FILE).alias("pack"))
+    if shared:
+        packs = direct.join(packs, F.col("src") == F.col("top")).select("root", "pack").unionByName(start.join(own, F.col("root") == F.col("src"), "left").select("root", "pack"))
+    else:
+        packs = start.join(packs, F.col("root") == F.col("top"), "left").select("root", "pack")
+    small_batches(edges.sparkSession)
+    names = [c.split()[0] for c in TREE.split(", ")]
+    types = [pa.int32() if c.endswith(" int") else pa.string() for c in TREE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for root, follow, known in gathered(batches):
+            for i, row in enumerate(walk(root, follow, known, most)):
+                rows.append((root, i, *row))
+                if len(rows) == ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=names)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=names)
+
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), counted(direct) // STARTS)
+    return packs.repartition(parts, "root").sortWithinPartitions("root").mapInArrow(run, TREE)
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, dict[str, list[str]], set[str]]]:
+    """Roots, in order, with what their packs say; rows: root, pack, sorted by root."""
+    last, follow, known, begun = None, {}, set(), False
+    for batch in batches:
+        for root, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if begun and root != last:
+                yield last, follow, known
+                follow, known = {}, set()
+            last, begun = root, True
+            if pack:
+                learn(pack, follow, known)
+    if begun:
+        yield last, follow, known
 
 
 def first_places(tree: DataFrame) -> DataFrame:
