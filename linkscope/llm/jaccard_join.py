@@ -11,7 +11,8 @@ metric, and two documents link at a distance of at most r = 1/5.
    bounded sample first, then by hash; any order gives the same links) two sets within r share
    l shingles among their first n - ceil(4n/5) + l, so a document is replicated to the regions of just those.
    l is a small part of n (SHARED); who shares fewer in all with others is linked with none.  Regions
-   whose smallest document is the same form one cell, with that document as its pivot.
+   whose smallest document is the same form one cell, with that document as its pivot.  A document leaves
+   cells in which it has fewer than l shingles altogether, the last ones in one order of all cells, so that linked ones still meet.
 3. A cell of at most CELL documents and CELL_BYTES of text is joined in one task: distances to the pivot come first.
    Documents within r of the pivot link to it, and need no comparison with each other; one farther away is compared
    only with those whose distances to the pivot lie within r of its own (triangle inequality).
@@ -47,7 +48,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -387,8 +388,12 @@ def links(docs: DataFrame, summary: DataFrame, block: Broadcast, id: str, text:
     fits = F.col("index") | ((F.col("ilo") <= F.col("n")) & (100 * F.col("ihi") >= percent * F.col("n")))
     found = cut(both.where(fits).groupBy("pivot", "rep", "n").count())
     least = F.expr(few(f"ceil({percent} * n / 100.0)"))
-    enough = found.groupBy("rep", "n").agg(F.sum("count").alias("count")).where(F.col("count") >= least).select("rep").distinct()
-    cells = cut(found.select("pivot", "rep").distinct().join(enough, "rep").join(rep, "rep"))
+    # linked sets share at least so many; under one order of all pivots neither drops the first that both have, if each drops the
+    # last of its pivots with fewer in all (so who has fewer in all drops out). Those in whose regions sets have small shares, which chance brings together, come last.
+    shares = cut(found.groupBy("pivot").agg(F.count("*").alias("m"), F.avg(F.col("count") / F.col("n")).alias("share")))
+    later = Window.partitionBy("rep", "n").orderBy("share", "pivot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    meets = joined(found, shares, ["pivot"], "m", ["rep"]).withColumn("after", F.sum("count").over(later)).where(F.col("after") >= least)
+    cells = cut(meets.select("pivot", "rep").distinct().join(rep, "rep"))
     # a cell of one member has nothing to join
     sized = cut(cells.groupBy("pivot").agg(F.count("*").alias("m"), F.sum("size").alias("bytes")).where("m > 1"))
     small = (F.col("m") <= CELL) & (F.col("bytes") <= CELL_BYTES)
