@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkscope.functions.text import percent_label, ratio
+from linkscope.operators.parts import dealt
 
 
 def known(facts: DataFrame, dimension: DataFrame, on: str = "symbol") -> DataFrame:
@@ -94,7 +95,7 @@ def component_stats(facts: DataFrame) -> DataFrame:
 
     The facts are reduced to distinct (component, executable, category, symbol) first, which one partial aggregate does.
     """
-    once = facts.select("component", "executable", "category", "symbol").distinct()
+    once = dealt(facts.select("component", "executable", "category", "symbol"), "component", "executable", "category", "symbol").distinct()
     ids = [F.count(F.when(F.col("what") == i, F.lit(1))).alias(n) for i, n in enumerate(("n_symbols", "n_executables", "n_categories"))]
     values = F.array(*[F.struct(F.lit(i).alias("what"), F.col(c).cast("string").alias("value")) for i, c in enumerate(("symbol", "executable", "category"))])
     each = once.select("component", F.explode(values).alias("v")).select("component", "v.*").where("value is not null").distinct()
@@ -104,7 +105,7 @@ def component_stats(facts: DataFrame) -> DataFrame:
 def assigned(facts: DataFrame, mapping: DataFrame) -> DataFrame:
     """Facts with the component of their executable, `unclassified` without one; the last entry of a mapping counts."""
     last = mapping.groupBy("executable").agg(F.max_by("component", "ord").alias("found"))
-    return facts.join(last, "executable", "left").withColumn("component", F.coalesce("found", F.lit("unclassified"))).drop("found")
+    return dealt(facts, "executable").join(last, "executable", "left").withColumn("component", F.coalesce("found", F.lit("unclassified"))).drop("found")
 
 
 def ranking(stats: DataFrame, n: int | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkscope.operators.parts import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,7 +33,9 @@ MAPPING = """mapping AS (SELECT DISTINCT 's' || (p_partkey % 500)::VARCHAR AS sy
 def components(spark, sf_dir):
     c, n, o = (table(spark, sf_dir, t) for t in ("customer", "nation", "orders"))
     l, p = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    joined = l.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(n.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    joined = dealt(l, "l_orderkey").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = dealt(joined, "o_custkey").join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(n.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = dealt(joined, "l_partkey").join(p, F.col("l_partkey") == F.col("p_partkey"))
     return joined.selectExpr("n_name as component", "c_custkey as executable", "l_partkey as symbol", "p_brand as category")
 
 
