@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkscope.operators.parts import dealt
+
 # Keywords in strings, banner patterns, and error names that one library alone has.
 KEYWORDS = r"OpenSSL|BoringSSL|LibreSSL|boringssl/src/|-fvisibility=hidden|OPENSSLDIR:|ENGINESDIR:"
 LOOSE = r"OpenSSL\s+(\d+\.\d+\.\d+[a-z]*(?:-[a-z0-9.]+)?(?:\+[a-z0-9.]+)?)"
@@ -42,7 +44,7 @@ def banners(strings: DataFrame, probes: DataFrame, by: str = "file", text: str =
     t = F.col(text)
     mark = probes.select(F.col("symbol").alias(text)).distinct().withColumn("is_probe", F.lit(True))
     keyed = strings.select(by, text, F.regexp_extract(t, KEYWORDS, 0).alias("kw")).join(mark, text, "left")
-    telling = keyed.where((F.col("kw") != "") | t.isin(ERRORS) | F.col("is_probe")).distinct()
+    telling = dealt(keyed.where((F.col("kw") != "") | t.isin(ERRORS) | F.col("is_probe")), by).distinct()
     kw = F.col("kw")
     version = lambda pattern, word: F.min(F.when(kw == word, F.nullif(F.regexp_extract(t, pattern, 1), F.lit(""))))
     n = telling.groupBy(by).agg(
