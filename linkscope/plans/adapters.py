@@ -62,7 +62,7 @@ sides AS (SELECT *, 1 AS o, 0 AS n FROM old UNION ALL SELECT *, 0, 1 FROM new)""
 
 
 def all_edges(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as src", "l_partkey * 40 as dst").distinct()
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as src", "l_partkey * 40 as dst").transform(dealt, "src", "dst").distinct()
 
 
 def all_targets(spark, sf_dir):
