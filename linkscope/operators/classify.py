@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkscope.functions.categories import tier_of
 from linkscope.functions.text import basename, is_ssl_name, library_stem
+from linkscope.operators.parts import dealt
 from linkscope.operators.substrings import occurrences
 
 
@@ -81,7 +82,7 @@ def clusters(strings: DataFrame, by: str = "file", gap: int = 256, least: int =
     """Runs of offsets with no gap above the limit that have enough members: by, start, end, n."""
     order = Window.partitionBy(by).orderBy("offset")
     new = F.when(F.col("offset") - F.lag("offset").over(order) > gap, 1).otherwise(0)
-    island = strings.withColumn("new", new).withColumn("island", F.sum("new").over(order.rangeBetween(Window.unboundedPreceding, 0)))
+    island = dealt(strings, by).withColumn("new", new).withColumn("island", F.sum("new").over(order.rangeBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(by, "island").agg(F.min("offset").alias("start"), F.max("offset").alias("end"), F.count("*").alias("n")).where(F.col("n") >= least).drop("island")
 
 
