@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from linkscope.functions.text import basename
 
 
+#: Beginnings that a task makes.
+MOST_HEADS = 1 << 20
+
+
 def heads(name: Column, lengths: list[int]) -> Column:
     """The beginnings of a name of the given lengths, as rows; as many at most as a name has characters."""
     fits = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(name)) if lengths else F.expr("cast(array() as array<int>)")
@@ -29,8 +33,12 @@ def first_by_prefix(nodes: DataFrame, files: DataFrame) -> DataFrame:
     bases = own.select("base").where("base <> ''").distinct()
     known = files.where("path is not null").select("path", "ord", basename(F.col("path")).alias("name"))
     known = known.withColumn("stem", F.concat(F.substring_index("name", ".so", 1), F.lit(".so")))
+    lengths = lengths_of(bases, "base")
+    # each name becomes as many rows as there are lengths, so a few MB of names would be the work of one task
+    n = -(-known.count() * max(1, len(lengths)) // MOST_HEADS)
+    wide = known.repartition(n, "path") if n > 1 else known
     first = F.min(F.struct("ord", "path")).alias("first")
-    longer = known.select("ord", "path", heads(F.col("name"), lengths_of(bases, "base")).alias("base")).groupBy("base").agg(first)
+    longer = wide.select("ord", "path", heads(F.col("name"), lengths).alias("base")).groupBy("base").agg(first)
     stems = known.groupBy("stem").agg(first)
     shorter = bases.select("base", heads(F.col("base"), lengths_of(stems, "stem")).alias("stem")).join(stems, "stem").groupBy("base").agg(F.min("first").alias("first"))
     met = bases.join(longer.withColumnRenamed("first", "a"), "base", "left").join(shorter.withColumnRenamed("first", "b"), "base", "left").select("base", F.least("a", "b").alias("first"))

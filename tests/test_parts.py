@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from linkscope.operators import parts
+from linkscope.operators import parts, prefixes
 from linkscope.plans import registry, scans, summaries  # noqa: F401  (these add their queries to the registry)
 
 
@@ -31,3 +31,12 @@ def test_small_input_stays(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     assert parts.dealt(lines, "l_orderkey") is lines
     assert parts.file_bytes(lines) == os.path.getsize(f"{sf_dir}/lineitem.parquet")
+
+
+def test_names_of_one_file_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(prefixes, "MOST_HEADS", 16)
+    nodes = spark.createDataFrame([("a/lib",), ("a/libx.so.1",), ("q",)], "path string")
+    files = spark.createDataFrame([(f"b/libx{i}.so", i) for i in range(40)] + [("a/libx.so", 99)], "path string, ord long")
+    found = prefixes.first_by_prefix(nodes, files)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == [("a/lib", "b/libx0.so"), ("a/libx.so.1", "a/libx.so"), ("q", None)]
