@@ -20,7 +20,8 @@ def known(facts: DataFrame, dimension: DataFrame, on: str = "symbol") -> DataFra
 
 def without_local(calls: DataFrame, local: DataFrame) -> DataFrame:
     """Calls but those of a function that the same file defines."""
-    return calls.join(local.select("file", "symbol").distinct(), ["file", "symbol"], "left_anti")
+    own = dealt(local.select("file", "symbol"), "file", "symbol").distinct()
+    return dealt(calls, "file", "symbol").join(own, ["file", "symbol"], "left_anti")
 
 
 def by_category(facts: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def calls(spark, sf_dir):
     l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return l.join(p, l.l_partkey == p.p_partkey).selectExpr("l_suppkey % 10 as project", "l_orderkey as file", "l_linenumber as caller", "concat('s', cast(l_partkey % 500 as string)) as symbol", "cast(l_quantity as int) as line", "concat(l_returnflag, l_linestatus) as args", "p_brand as category")
+    return dealt(l, "l_partkey").join(p, l.l_partkey == p.p_partkey).selectExpr("l_suppkey % 10 as project", "l_orderkey as file", "l_linenumber as caller", "concat('s', cast(l_partkey % 500 as string)) as symbol", "cast(l_quantity as int) as line", "concat(l_returnflag, l_linestatus) as args", "p_brand as category")
 
 
 CALLS = """calls AS (SELECT l_suppkey % 10 AS project, l_orderkey AS file, l_linenumber AS caller, 's' || (l_partkey % 500)::VARCHAR AS symbol, l_quantity::INT AS line,
