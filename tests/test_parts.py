@@ -15,7 +15,7 @@ def plain(columns, rows):
     return sorted(repr(tuple(r[i] for i in order)) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["assigned_components", "banner_detection", "graph_fans", "string_clusters", "library_calls"])
+@pytest.mark.parametrize("name", ["assigned_components", "banner_detection", "graph_fans", "graph_stats", "string_clusters", "library_calls"])
 def test_partitions_follow_the_files(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(parts, "PART_BYTES", 4096)
     df = registry.QUERIES[name](spark, sf_dir)
