@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkscope.llm.common import annotate, fresh, hash_share
+from linkscope.llm.common import annotate, fresh, hash_share, small_batches
 
 DECAY, SPAN, LONGEST = 0.7, 7, 24
 LANDMARKS, SAMPLE, SAMPLE_BYTES = 192, 5000, 32 << 20
@@ -52,6 +53,7 @@ ACCENTED, OTHERS = "àáâãäåçèéêëìíîïñòóôõöøùúûüßœæ",
 ALPHABET = 27 + len(ACCENTED) + OTHERS + 2
 
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType())]
+MODEL = "weight binary, bias double, logistic array<double>"
 _SPELLED = re.compile(r"(?<!\S)(?:\w[^\w\s]*\s+){3,}\w[^\w\s]*(?!\S)")
 
 
@@ -345,15 +347,25 @@ def score_batch(block: Broadcast, texts: pa.Array) -> list:
     return [pa.array(model.score(margins)), pa.array(np.where(some, margins[:, 0], 0.0), mask=~some)]
 
 
+def fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (id, text, label), as one row."""
+    rows = [(r["id"], r["text"], r["label"]) for batch in batches for r in batch.to_pylist()]
+    if rows:
+        rows.sort(key=lambda r: r[:2])
+        model = fit([r[1] for r in rows], [r[2] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.astype(np.float32).tobytes()]), pa.array([model.bias]), pa.array([model.logistic.tolist()])], names=["weight", "bias", "logistic"])
+
+
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """The model from a bounded sample of the labelled documents."""
+    """The model from a bounded sample of the labelled documents; one task fits it, so the driver holds neither texts nor matrices."""
     known = labels.select(F.col(id).alias("id"), F.col(label).alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     own = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     size = own.select("id", F.octet_length("text").alias("size")).join(known, "id").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     few = known.where(hash_share("id") < min(1.0, SAMPLE / max(1, size["n"]), SAMPLE_BYTES / max(1, size["bytes"])))
-    rows = own.join(F.broadcast(few), "id").select("id", "text", "label").distinct().collect()
-    rows.sort(key=lambda r: (r["id"], r["text"]))
-    return fit([r["text"] for r in rows], [r["label"] for r in rows])
+    sample = own.join(F.broadcast(few), "id").select("id", "text", "label").distinct()
+    small_batches(docs.sparkSession)
+    made = sample.repartition(1).mapInArrow(fit_sample, MODEL).first()
+    return constant(0.0) if made is None else Model(np.frombuffer(made["weight"], dtype=np.float32), made["bias"], np.array(made["logistic"]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "toxicity") -> DataFrame:
