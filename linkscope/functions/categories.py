@@ -60,16 +60,28 @@ TIER_3 = ["crypto_aes", "crypto_des", "crypto_chacha", "crypto_hash", "crypto_hm
 CUSTOM = "COSTOM"
 
 
+def first_fit(symbol: Column, rules: list[tuple[str, str]]) -> Column:
+    """Name of the first of the rules (prefix, name) that fits, or null.
+
+    The prefixes are halved in their order as texts, where none of the lower half begins one of the upper, so a symbol is held against few of them.
+    """
+    order = sorted(p for p, _ in rules)
+    whole = [i for i in range(1, len(order)) if not any(order[i].startswith(p) for p in order[:i])]
+    if len(rules) > 4 and whole:
+        middle = order[min(whole, key=lambda i: abs(2 * i - len(order)))]
+        return F.when(symbol < middle, first_fit(symbol, [r for r in rules if r[0] < middle])).otherwise(first_fit(symbol, [r for r in rules if r[0] >= middle]))
+    out = F.when(F.lit(False), "")
+    for p, name in rules:
+        out = out.when(symbol.startswith(p), name)
+    return out
+
+
 def category_of(symbol: Column, rules: Mapping[str, list[str]] = PREFIXES, custom: Iterable[str] = (), macros: Iterable[str] = ()) -> Column:
     """Exact membership in the custom list first, then ordered prefixes, then `macro`, else `other`."""
     custom, macros = list(custom), list(macros)
-    out = F.when(symbol.isin(custom), CUSTOM) if custom else F.when(F.lit(False), "")
-    for name, prefixes in rules.items():
-        hit = F.lit(False)
-        for p in prefixes:
-            hit = hit | symbol.startswith(p)
-        out = out.when(hit, name)
-    return (out.when(symbol.isin(macros), "macro") if macros else out).otherwise("other")
+    rest = F.when(symbol.isin(macros), "macro").otherwise("other") if macros else F.lit("other")
+    out = F.coalesce(first_fit(symbol, [(p, name) for name, prefixes in rules.items() for p in prefixes]), rest)
+    return F.when(symbol.isin(custom), CUSTOM).otherwise(out) if custom else out
 
 
 def tier_of(category: Column) -> Column:

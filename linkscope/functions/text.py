@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from linkscope.functions.categories import LIBRARY_PREFIXES
 
 def basename(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def dirname(path: Column) -> Column:
@@ -28,10 +30,9 @@ def is_ssl_name(name: Column) -> Column:
 
 def is_library(name: Column, prefixes: list[str], needs_so: bool = True) -> Column:
     """Whether a file name in lower case starts with one of the prefixes and, if asked for, contains `.so`."""
+    # one pattern: a name is put in lower case once, not for each prefix
     low = F.lower(name)
-    hit = F.lit(False)
-    for p in prefixes:
-        hit = hit | low.startswith(p)
+    hit = low.rlike(f"^(?:{'|'.join(map(re.escape, prefixes))})") if prefixes else F.lit(False)
     return hit & low.contains(".so") if needs_so else hit
 
 

@@ -26,7 +26,8 @@ def _tiers(files: DataFrame, rules) -> DataFrame:
     kinds = F.transform(own, lambda s: category_of(s, rules))
     tier = lambda i: F.size(F.filter("kinds", lambda k: classify.tier_of(k) == i)).cast("long")
     out = files.withColumn("kinds", kinds)
-    return out.withColumns({"t1": tier(1), "t2": tier(2), "t3": tier(3), "total": F.size("kinds").cast("long"), "n_categories": F.size(F.array_distinct("kinds")).cast("long"), "category": F.array_min("kinds")})
+    out = out.withColumns({"t1": tier(1), "t3": tier(3), "total": F.size("kinds").cast("long"), "n_categories": F.size(F.array_distinct("kinds")).cast("long"), "category": F.array_min("kinds")})
+    return out.withColumn("t2", F.col("total") - F.col("t1") - F.col("t3"))
 
 
 def static_phase(files: DataFrame, rules=None) -> DataFrame:
@@ -88,9 +89,12 @@ def totals(results: DataFrame, machines: DataFrame) -> DataFrame:
     """Files, files with symbols, references, distinct symbols, and the first known machine; machines: path, arch, position."""
     first = F.min_by("arch", F.when(F.col("arch") != "unknown", F.col("position")))
     arch = machines.where("arch <> 'unknown'").agg(F.coalesce(first, F.lit("unknown")).alias("arch"), F.lit(1).alias("one"))
-    some = results.agg(F.count("*").alias("n_files"), F.count_if(F.size("symbols") > 0).alias("n_with_symbols"), F.coalesce(F.sum(F.size("symbols")), F.lit(0)).alias("n_references"))
-    distinct = results.select(F.explode("symbols").alias("s")).agg(F.countDistinct("s").alias("n_symbols"))
-    return some.crossJoin(distinct).crossJoin(arch.drop("one"))
+    # a file is read once: itself, at 0, and its symbols behind, which are made distinct first
+    rows = results.select(F.size("symbols").alias("n"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "symbols")).alias("at", "s"))
+    itself = F.col("at") == 0
+    each = rows.groupBy("s").agg(F.count_if(itself).alias("files"), F.count_if(itself & (F.col("n") > 0)).alias("some"), F.sum(F.when(itself, F.col("n"))).alias("n"))
+    total = lambda c, v: F.coalesce(F.sum(c), F.lit(0)).alias(v)
+    return each.agg(total("files", "n_files"), total("some", "n_with_symbols"), total("n", "n_references"), F.count("s").alias("n_symbols")).crossJoin(arch.drop("one"))
 
 
 def without_bundled(files: DataFrame, path: str = "path") -> tuple[DataFrame, DataFrame]:
