@@ -80,9 +80,14 @@ def file_results(files: DataFrame, rules=None) -> DataFrame:
 
 def roll_up(results: DataFrame) -> DataFrame:
     """Files with something built in, files that load at run time, and the distinct names and libraries that they load, as text."""
-    n = results.agg(F.count_if("is_static").alias("n_static"), F.count_if("uses_dlopen").alias("n_dlopen"))
-    names = lambda c, v: results.select(F.explode(c).alias(v)).distinct().agg(F.count("*").alias(f"n_{v}"), F.array_join(F.array_sort(F.collect_list(v)), ",").alias(v))
-    return n.crossJoin(names("dlsym", "loaded_symbols")).crossJoin(names("dlopen_libs", "loaded_libraries"))
+    # a file is read once: itself (0) and its names and libraries (1, 2), which are made distinct first
+    of = lambda i, c: F.transform(c, lambda x: F.struct(F.lit(i).alias("of"), x.alias("name")))
+    itself = F.array(F.struct(F.lit(0).alias("of"), F.lit(None).cast("string").alias("name")))
+    rows = results.select("is_static", "uses_dlopen", F.explode(F.concat(itself, of(1, "dlsym"), of(2, "dlopen_libs"))).alias("x")).select("is_static", "uses_dlopen", "x.*")
+    each = rows.groupBy("of", "name").agg(F.count_if("is_static").alias("s"), F.count_if("uses_dlopen").alias("d"))
+    number = lambda c, v: F.coalesce(F.sum(F.when(F.col("of") == 0, F.col(c))), F.lit(0)).alias(v)
+    names = lambda i, v: [F.count_if(F.col("of") == i).alias(f"n_{v}"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("of") == i, F.col("name")))), ",").alias(v)]
+    return each.agg(number("s", "n_static"), number("d", "n_dlopen"), *names(1, "loaded_symbols"), *names(2, "loaded_libraries"))
 
 
 def totals(results: DataFrame, machines: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def scanned(df) -> int:
     return df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
 
 
-@pytest.mark.parametrize("name, most", [("scan_file_totals", 2)])
+@pytest.mark.parametrize("name, most", [("scan_roll_up", 1), ("scan_file_totals", 2)])
 def test_files_are_read_once(spark, sf_dir, name, most):
     assert scanned(registry.QUERIES[name](spark, sf_dir)) <= most
 
@@ -24,6 +24,8 @@ def test_totals_of_no_files_and_of_null_names(spark):
     machines = spark.createDataFrame([("p", "m", 1)], "path string, arch string, position long")
     assert scan.totals(results, machines).first() == (1, 1, 3, 1, "m")
     assert scan.totals(results.limit(0), machines.limit(0)).first() == (0, 0, 0, 0, "unknown")
+    assert scan.roll_up(results).first() == (1, 0, 2, "x", 0, "")
+    assert scan.roll_up(results.limit(0)).first() == (0, 0, 0, "", 0, "")
 
 
 def test_first_category_that_fits(spark):
