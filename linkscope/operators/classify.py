@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkscope.functions.categories import tier_of
 from linkscope.functions.text import basename, is_ssl_name, library_stem
+from linkscope.operators.lineage import cut
 from linkscope.operators.parts import dealt
 from linkscope.operators.substrings import occurrences
 
@@ -116,43 +117,59 @@ def package_libraries(files: DataFrame, bundled: DataFrame) -> DataFrame:
     return bundled.select("package", basename(F.col("library")).alias("library"), F.lit(False).alias("provider")).unionByName(own)
 
 
-def _resolved(targets: str) -> Column:
-    """Whether there are targets named like the libraries, and all have the stem of a library at hand."""
-    named = F.filter(targets, is_ssl_name)
-    return (F.size(named) > 0) & (F.size(F.array_except(F.transform(named, lambda x: F.lower(library_stem(x))), F.col("stems"))) == 0)
+#: What a row of a package tells of: a file, a symbol in use, or the stem of a library that is needed or at hand.
+FILE, SYMBOL, STEM = 0, 1, 2
+#: Bits of files and symbols: ways of use; of files only: needs no library that could be named, or one that only a sibling can have.
+STATIC, DYNAMIC, DLOPEN, STUCK, SIBLING = 1, 2, 4, 8, 16
+#: Bits of a stem.
+NEEDED, HELD = 1, 2
 
 
-def _kinds(files: DataFrame) -> DataFrame:
-    """Method, kind and numbers of symbols of each package; files have stems (of libraries at hand) and providers (of siblings) too."""
-    files = files.select("*", *[F.coalesce(c, F.array().cast("array<string>")).alias(f"{c}_") for c in ("symbols", "dlsym", "dlopen_libs", "libs", "deps", "stems", "providers")])
-    files = files.drop("symbols", "dlsym", "dlopen_libs", "libs", "deps", "stems", "providers").withColumnsRenamed({f"{c}_": c for c in ("symbols", "dlsym", "dlopen_libs", "libs", "deps", "stems", "providers")})
-    static, dlopen = F.coalesce("is_static", F.lit(False)), F.coalesce("uses_dlopen", F.lit(False))
+def _file_ways(files: DataFrame) -> DataFrame:
+    """What a file tells by itself: package, bits, used and loaded (symbols), needed (stems), held (stem or null), deps (base names, of direct needs without libraries)."""
+    lists, none = ("symbols", "dlsym", "dlopen_libs", "libs", "deps"), F.array().cast("array<string>")
+    sure = F.col("is_static") & F.col("confidence").isin("high", "medium")
+    files = files.select("package", F.when(sure, F.lower(library_stem(F.col("path")))).alias("held"), F.coalesce("is_static", F.lit(False)).alias("static"), F.coalesce("uses_dlopen", F.lit(False)).alias("dlopen"), *[F.coalesce(c, none).alias(c) for c in lists])
+    static, dlopen, some = F.col("static"), F.col("dlopen"), F.size("symbols") > 0
     evidence = (F.size("dlsym") > 0) | F.exists("dlopen_libs", is_ssl_name)
-    some = F.size("symbols") > 0
     # a file that loads at run time counts as such only with evidence or symbols
-    loads = F.when(static, dlopen & evidence).otherwise(dlopen & (evidence | some))
-    directly = ~static & ~dlopen & some
+    files = files.withColumns({"loads": F.when(static, dlopen & evidence).otherwise(dlopen & (evidence | some)), "directly": ~static & ~dlopen & some})
+    loads, directly = F.col("loads"), F.col("directly")
     rest = F.when(loads, F.array_except("symbols", "dlsym")).otherwise(F.col("symbols"))
-    lacking = (
-        F.when(loads, ~_resolved("dlopen_libs"))
-        .when(static, (F.size("libs") > 0) & ~_resolved("libs"))
-        .when(directly & (F.size("libs") > 0), ~_resolved("libs"))
-        .when(directly, ~F.arrays_overlap(F.transform("deps", basename), F.col("providers")))
-        .otherwise(F.lit(False))
-    )
-    ways = F.concat(
-        F.when(static, F.transform(rest, lambda x: F.struct(F.lit("static").alias("way"), x.alias("symbol")))).otherwise(F.transform(F.when(directly | loads, rest).otherwise(F.array().cast("array<string>")), lambda x: F.struct(F.lit("dynamic").alias("way"), x.alias("symbol")))),
-        F.transform(F.when(loads, F.col("dlsym")).otherwise(F.array().cast("array<string>")), lambda x: F.struct(F.lit("dlopen").alias("way"), x.alias("symbol"))),
-    )
-    flags = files.groupBy("package").agg(F.bool_or(static).alias("has_static"), F.bool_or(loads).alias("has_dlopen"), F.bool_or((loads & ~static & (F.size(rest) > 0)) | directly).alias("has_dynamic"), F.bool_or(lacking).alias("open"))
-    each = files.select("package", F.explode(ways).alias("w")).select("package", "w.*").distinct()
-    n = each.groupBy("package", "symbol").agg(*[F.max((F.col("way") == w).cast("int")).alias(w) for w in ("static", "dynamic", "dlopen")]).groupBy("package").agg(*[F.sum(w).alias(f"n_{w}") for w in ("static", "dynamic", "dlopen")], F.count("*").alias("n_symbols"))
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_static", "n_dynamic", "n_dlopen", "n_symbols")]
-    full = flags.join(n, "package", "left").select(*flags.columns, *zero)
+    asks = F.when(loads, F.col("dlopen_libs")).when((static | directly) & (F.size("libs") > 0), F.col("libs"))
+    files = files.withColumns({"rest": rest, "needed": F.transform(F.filter(asks, is_ssl_name), lambda x: F.lower(library_stem(x)))})
+    sibling = directly & F.col("needed").isNull()
+    flags = {STATIC: static, DYNAMIC: (loads & ~static & (F.size("rest") > 0)) | directly, DLOPEN: loads, STUCK: F.col("needed").isNotNull() & (F.size(F.coalesce("needed", none)) == 0), SIBLING: sibling}
+    bits = sum((F.when(c, bit).otherwise(0) for bit, c in flags.items()), F.lit(0))
+    only = lambda c, of: F.when(c, of).otherwise(none)
+    return files.select("package", bits.alias("bits"), only(static | loads | directly, F.col("rest")).alias("used"), only(loads, F.col("dlsym")).alias("loaded"), F.coalesce("needed", none).alias("needed"), "held", only(sibling, F.transform("deps", basename)).alias("deps"))
+
+
+def _alone(files: DataFrame, bundled: DataFrame) -> DataFrame:
+    """package_methods() and stuck: no library of a sibling can help.
+
+    A package's files meet once, with the stems that it brings along; symbols and stems are made distinct there.
+    """
+    row = lambda what, name, bits: F.struct(F.lit(what).alias("what"), name.alias("name"), bits.alias("bits"))
+    each = lambda what, c, bits: F.transform(c, lambda x: row(what, x, bits))
+    has = lambda c, bit: F.col(c).bitwiseAND(F.lit(bit)) != 0
+    way = F.when(has("bits", STATIC), STATIC).otherwise(DYNAMIC)
+    tells = F.concat(F.array(row(FILE, F.lit(None).cast("string"), F.col("bits"))), each(SYMBOL, "used", way), each(SYMBOL, "loaded", F.lit(DLOPEN)), each(STEM, "needed", F.lit(NEEDED)), each(STEM, F.array_compact(F.array("held")), F.lit(HELD)))
+    brought = bundled.select("package", F.array(row(STEM, F.lower(library_stem(F.col("library"))), F.lit(HELD))).alias("tells"))
+    rows = _file_ways(files).select("package", tells.alias("tells")).unionByName(brought)
+    met = dealt(rows, "package")
+    met = rows.repartition("package") if met is rows else met
+    # no array is empty; for an inner explode Spark would filter by the array's size, and work out all of it once more for that
+    one = met.select("package", F.explode_outer("tells").alias("t")).select("package", "t.*").groupBy("package", "what", "name").agg(F.bit_or("bits").alias("bits"))
+    of = lambda what, bit: (F.col("what") == what) & has("bits", bit)
+    flag = lambda what, bit, name: F.bool_or(of(what, bit)).alias(name)
+    counts = {"n_static": of(SYMBOL, STATIC), "n_dynamic": of(SYMBOL, DYNAMIC), "n_dlopen": of(SYMBOL, DLOPEN), "n_symbols": F.col("what") == SYMBOL}
+    lacking = of(FILE, STUCK | SIBLING) | ((F.col("what") == STEM) & (F.col("bits") == NEEDED))
+    full = one.groupBy("package").agg(flag(FILE, STATIC, "has_static"), flag(FILE, DYNAMIC, "has_dynamic"), flag(FILE, DLOPEN, "has_dlopen"), flag(FILE, STUCK, "stuck"), F.bool_or(lacking).alias("open"), F.bool_or(F.col("what") == FILE).alias("has_files"), *[F.count_if(c).alias(n) for n, c in counts.items()]).where("has_files")
     number = sum((F.col(c).cast("int") for c in ("has_static", "has_dlopen", "has_dynamic")), F.lit(0))
     method = F.when(number == 0, "None").when(number > 1, "Mixed").when(F.col("has_dynamic"), "Dynamic").when(F.col("has_static"), "Static").otherwise("dlopen")
     kind = F.when((F.col("n_symbols") == 0) & ~F.col("has_dlopen"), "No-OpenSSL").when(~F.col("open"), "Self-Contained").otherwise("System-Link")
-    return full.select("package", method.alias("method"), kind.alias("kind"), "n_static", "n_dynamic", "n_dlopen", "n_symbols")
+    return full.select("package", method.alias("method"), kind.alias("kind"), *counts, "stuck")
 
 
 def package_methods(files: DataFrame, bundled: DataFrame) -> DataFrame:
@@ -160,24 +177,27 @@ def package_methods(files: DataFrame, bundled: DataFrame) -> DataFrame:
 
     files: see FILE_FACTS.  A file that loads at run time and has other symbols too counts as both.
     """
-    own = package_libraries(files, bundled).groupBy("package").agg(F.collect_set(F.lower(library_stem(F.col("library")))).alias("stems"))
-    return _kinds(files.join(own, "package", "left").withColumn("providers", F.array().cast("array<string>")))
+    return _alone(files, bundled).drop("stuck")
 
 
 def in_release(files: DataFrame, bundled: DataFrame, releases: DataFrame) -> DataFrame:
     """package_methods() with `In-APP-Link` for a package whose needs the packages of its release meet together.
 
     releases: package, release.  Names of files with a library built in count for direct needs only if a sibling has them.
+    Packages by themselves are found once and written; of files only those with a need are read again.
     """
-    alone = package_methods(files, bundled)
-    held = package_libraries(files, bundled).join(releases, "package")
-    of_release = held.groupBy("release").agg(F.collect_set(F.lower(library_stem(F.col("library")))).alias("stems"), F.collect_set(F.when(F.col("provider"), F.struct("package", "library"))).alias("held"))
-    several = releases.groupBy("release").agg(F.count("*").alias("n")).where("n > 1").select("release")
-    waiting = alone.where("kind = 'System-Link'").select("package").join(releases, "package").join(several, "release", "left_semi").join(of_release, "release")
+    alone = cut(_alone(files, bundled))
+    held = package_libraries(files, bundled).join(releases, "package").select("release", F.struct("package", "library", "provider").alias("h"))
+    # a release counts with several packages and some library
+    both = releases.select("release", F.lit(None).cast(held.schema["h"].dataType).alias("h")).unionByName(held)
+    own = both.groupBy("release").agg(F.count_if(F.col("h").isNull()).alias("n"), F.count("h").alias("some"), F.collect_set(F.lower(library_stem(F.col("h.library")))).alias("stems"), F.collect_set(F.when(F.col("h.provider"), F.struct("h.package", "h.library"))).alias("held"))
+    waiting = alone.where("kind = 'System-Link' and not stuck").select("package").join(releases, "package").join(own.where("n > 1 and some > 0"), "release")
     siblings = F.transform(F.filter("held", lambda x: x["package"] != F.col("package")), lambda x: x["library"])
-    again = _kinds(files.join(waiting.select("package", "stems", siblings.alias("providers")), "package")).where("kind = 'Self-Contained'")
-    better = again.select("package", F.lit("In-APP-Link").alias("better"))
-    return alone.join(better, "package", "left").withColumn("kind", F.coalesce("better", "kind")).drop("better")
+    needs = _file_ways(files).select("package", "needed", "deps", (F.col("bits").bitwiseAND(F.lit(SIBLING)) != 0).alias("sibling")).where((F.size("needed") > 0) | F.col("sibling"))
+    lacking = (F.size(F.array_except("needed", "stems")) > 0) | (F.col("sibling") & ~F.arrays_overlap("deps", "providers"))
+    met = dealt(needs, "package").join(waiting.select("package", "stems", siblings.alias("providers")), "package").groupBy("package").agg(F.bool_or(lacking).alias("open"))
+    better = met.where(~F.col("open")).select("package", F.lit("In-APP-Link").alias("better"))
+    return alone.drop("stuck").join(better, "package", "left").withColumn("kind", F.coalesce("better", "kind")).drop("better")
 
 
 def all_resolved(needs: DataFrame, bundled: DataFrame) -> DataFrame:

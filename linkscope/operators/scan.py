@@ -80,10 +80,11 @@ def file_results(files: DataFrame, rules=None) -> DataFrame:
 
 def roll_up(results: DataFrame) -> DataFrame:
     """Files with something built in, files that load at run time, and the distinct names and libraries that they load, as text."""
-    # a file is read once: itself (0) and its names and libraries (1, 2), which are made distinct first
+    # a file is read once: itself (0) and its names and libraries (1, 2), which are made distinct first;
+    # an inner explode would have Spark filter by the array's size, and work out all of it once more for that
     of = lambda i, c: F.transform(c, lambda x: F.struct(F.lit(i).alias("of"), x.alias("name")))
     itself = F.array(F.struct(F.lit(0).alias("of"), F.lit(None).cast("string").alias("name")))
-    rows = results.select("is_static", "uses_dlopen", F.explode(F.concat(itself, of(1, "dlsym"), of(2, "dlopen_libs"))).alias("x")).select("is_static", "uses_dlopen", "x.*")
+    rows = results.select("is_static", "uses_dlopen", F.explode_outer(F.concat(itself, of(1, "dlsym"), of(2, "dlopen_libs"))).alias("x")).select("is_static", "uses_dlopen", "x.*")
     each = rows.groupBy("of", "name").agg(F.count_if("is_static").alias("s"), F.count_if("uses_dlopen").alias("d"))
     number = lambda c, v: F.coalesce(F.sum(F.when(F.col("of") == 0, F.col(c))), F.lit(0)).alias(v)
     names = lambda i, v: [F.count_if(F.col("of") == i).alias(f"n_{v}"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("of") == i, F.col("name")))), ",").alias(v)]
@@ -94,8 +95,8 @@ def totals(results: DataFrame, machines: DataFrame) -> DataFrame:
     """Files, files with symbols, references, distinct symbols, and the first known machine; machines: path, arch, position."""
     first = F.min_by("arch", F.when(F.col("arch") != "unknown", F.col("position")))
     arch = machines.where("arch <> 'unknown'").agg(F.coalesce(first, F.lit("unknown")).alias("arch"), F.lit(1).alias("one"))
-    # a file is read once: itself, at 0, and its symbols behind, which are made distinct first
-    rows = results.select(F.size("symbols").alias("n"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "symbols")).alias("at", "s"))
+    # a file is read once: itself, at 0, and its symbols behind, which are made distinct first; outer as in roll_up
+    rows = results.select(F.size("symbols").alias("n"), F.posexplode_outer(F.concat(F.array(F.lit(None).cast("string")), "symbols")).alias("at", "s"))
     itself = F.col("at") == 0
     each = rows.groupBy("s").agg(F.count_if(itself).alias("files"), F.count_if(itself & (F.col("n") > 0)).alias("some"), F.sum(F.when(itself, F.col("n"))).alias("n"))
     total = lambda c, v: F.coalesce(F.sum(c), F.lit(0)).alias(v)

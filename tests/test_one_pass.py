@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkscope.functions import categories, text
-from linkscope.operators import scan
+from linkscope.operators import classify, scan
 from linkscope.plans import registry, scans  # noqa: F401  (these add their queries to the registry)
 
 
@@ -38,3 +38,18 @@ def test_first_category_that_fits(spark):
     assert [(x.c, x.o) for x in rows] == [(plain(x.s, categories.PREFIXES), plain(x.s, odd)) for x in rows]
 
 
+
+
+def test_packages_are_dealt_once_and_summed_up_where_they_lie(spark, sf_dir):
+    plan = registry.QUERIES["package_methods"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and scanned(registry.QUERIES["package_methods"](spark, sf_dir)) <= 3
+
+
+def test_release_of_packages_with_odd_rows(spark):
+    """A package in two releases, one that is bundled only, one with no list at all, and a library without a name."""
+    kind = "package string, path string, symbols array<string>, dlsym array<string>, dlopen_libs array<string>, libs array<string>, deps array<string>, is_static boolean, uses_dlopen boolean, confidence string"
+    files = [("a", "x/liba.so", ["s"], [], [], ["libssl.so.3"], [], False, False, None), ("b", "y/libb.so", ["s"], None, None, None, None, True, None, "high"), ("c", "z/libc.so", None, None, None, None, None, None, None, None), ("d", "libd.so", ["t"], [], [], [], ["q/libb.so"], False, False, None)]
+    bundled = spark.createDataFrame([("b", "lib/libssl.so.1"), ("only", "libssl.so"), ("c", None)], "package string, library string")
+    releases = spark.createDataFrame([("a", "r1"), ("b", "r1"), ("d", "r1"), ("a", "r2"), ("c", "r3")], "package string, release string")
+    out = {r.package: (r.method, r.kind, r.n_symbols) for r in classify.in_release(spark.createDataFrame(files, kind), bundled, releases).collect()}
+    assert out == {"a": ("Dynamic", "In-APP-Link", 1), "b": ("Static", "Self-Contained", 1), "c": ("None", "No-OpenSSL", 0), "d": ("Dynamic", "In-APP-Link", 1)}
