@@ -73,7 +73,11 @@ def first_paths_to(edges: DataFrame, targets: DataFrame, n: int = 50, depth: int
     """
     goal = cut(targets.select("node").where("node is not null").distinct())
     hop = cut(edges.select("src", "dst").where("src <> dst").distinct().join(goal.withColumnRenamed("node", "src"), "src", "left_anti"))
+    # each level reads all edges again, so those that lead nowhere go first, and for the search those whose end reaches no target
+    ends = hop.select(F.col("src").alias("dst")).union(goal.select(F.col("node").alias("dst"))).distinct()
+    hop = cut(hop.join(ends, "dst", "left_semi"))
     mask = lengths(hop, goal, depth)
+    hop = cut(hop.join(mask.select(F.col("node").alias("dst")), "dst", "left_semi"))
     todo, keep, out = mask.where("mask > 1").select("node"), keep or n, None
     while True:
         found, gaps = searched(hop, mask, todo, n, depth, keep)
