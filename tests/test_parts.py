@@ -40,3 +40,9 @@ def test_names_of_one_file_are_many_tasks(spark, monkeypatch):
     found = prefixes.first_by_prefix(nodes, files)
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
     assert sorted(map(tuple, found.collect())) == [("a/lib", "b/libx0.so"), ("a/libx.so.1", "a/libx.so"), ("q", None)]
+
+
+def test_nodes_are_dealt_like_their_edges(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(parts, "PART_BYTES", 4096)
+    plan = registry.QUERIES["graph_stats"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert any("hashpartitioning(src" in x and "REPARTITION_BY_NUM" in x and "dst" not in x.split("hashpartitioning")[1] for x in plan.splitlines())
