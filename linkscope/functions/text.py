@@ -18,6 +18,15 @@ def dirname(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
 
+def ending(name: Column) -> Column:
+    """The last dot and what follows it, empty without one."""
+    return F.when(F.instr(name, ".") > 0, F.concat(F.lit("."), F.substring_index(name, ".", -1))).otherwise(F.lit(""))
+
+
+def without_ending(name: Column) -> Column:
+    return F.when(F.instr(name, ".") > 0, F.left(name, F.length(name) - F.length(F.substring_index(name, ".", -1)) - 1)).otherwise(name)
+
+
 def library_stem(name: Column) -> Column:
     """Base name up to the first `.so`."""
     return F.substring_index(basename(name), ".so", 1)

@@ -7,6 +7,8 @@ it without its last number, and all is settled from names without such a bearer
 For one name: those that need a number come in turn, and the number goes up only.  Of the numbers that others bear, in
 order, one is passed over if its bearer came before the turn that reaches it.  With r of those in need before the bearer of k, and s
 numbers passed over so far, that is s < k - 1 - r.
+
+That is for groups of any size.  Most are small: their rows are sorted by Spark and a task gives out the names one by one.
 """
 
 from __future__ import annotations
@@ -14,11 +16,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkscope.operators.lineage import cut
 from linkscope.operators.ordering import numbered, within
+from linkscope.operators.parts import gathered
+
+#: Most rows of a group whose names one task gives out.
+MOST = 1 << 16
 
 
 def passed_over(bearers: DataFrame, name: list[str]) -> DataFrame:
@@ -52,11 +61,10 @@ def numbers_of(need: DataFrame, bearers: DataFrame, name: list[str]) -> DataFram
     return within(gaps.unionByName(turns), name, ["turn", "who"], "number").where("who = 1").select(*name, "at", (F.col("number") + 2).alias("number"))
 
 
-def free_names(rows: DataFrame, group: str, stem: str, ending: str, order: list[str]) -> DataFrame:
-    """rows with one more column, number: null for those that keep stem and ending as their name, else what goes, as _number, between them.
+def by_contention(rows: DataFrame, group: str, stem: str, ending: str, order: list[str]) -> DataFrame:
+    """free_names of groups of any size.
 
-    Names are distinct within a group; rows take theirs in the given order, ties in any.  Group, stem and ending may not be
-    null.  Rows of a name that nobody bears with a number behind it need one pass; each further number behind a name takes a few jobs.
+    Rows of a name that nobody bears with a number behind it need one pass; each further number behind a name takes a few jobs.
     A name's rows never meet in one task; of the numbers that others bear behind one name, two numbers each go through one.
     """
     name = [group, stem, ending]
@@ -85,3 +93,50 @@ def free_names(rows: DataFrame, group: str, stem: str, ending: str, order: list[
         got = numbers.select(group, F.col(stem).alias("parent"), ending, F.col("number").alias("k"), F.col("at").alias("got"))
         here = cut(below.join(got, [group, "parent", ending, "k"], "left").select(*name, "first", F.coalesce(F.col("got") < F.col("first"), F.lit(False)).alias("lost")))
     return all_rows.join(out, "at").drop("at")
+
+
+def in_turn_of(rows: DataFrame, group: str, stem: str, ending: str, order: list[str]) -> DataFrame:
+    """free_names of groups that a task can hold the names of."""
+    names = rows.columns
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, taken, least = None, set(), {}
+        for batch in batches:
+            numbers, of = [], batch.column(names.index(group))
+            begins = [True, *pc.not_equal(of[1:], of[:-1]).to_pylist()] if len(of) else []
+            if begins and of[0].as_py() == last:
+                begins[0] = False
+            for new, s, e in zip(begins, *(batch.column(names.index(c)).to_pylist() for c in (stem, ending)), strict=True):
+                if new:
+                    taken, least = set(), {}
+                name, number = s, None
+                if (s, e) in taken:
+                    # a name that is taken stays so, thus the number goes up only
+                    number = least.get((s, e), 2)
+                    while (name := f"{s}_{number}", e) in taken:
+                        number += 1
+                    least[s, e] = number + 1
+                taken.add((name, e))
+                numbers.append(number)
+            last = of[-1].as_py() if begins else last
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*names, "number"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("number", T.LongType())])
+    # by the hash first, as beginnings of names tell little apart
+    return gathered(rows, group).sortWithinPartitions(F.xxhash64(group), group, *order).mapInArrow(walk, schema)
+
+
+def free_names(rows: DataFrame, group: str, stem: str, ending: str, order: list[str]) -> DataFrame:
+    """rows with one more column, number: null for those that keep stem and ending as their name, else what goes, as _number, between them.
+
+    Names are distinct within a group; rows take theirs in the given order, ties in any.  Group, stem and ending may not be
+    null.  Groups of more than MOST rows go the way of by_contention, so no task holds one.
+    """
+    # groups whose hashes are equal are counted as one, which is more than either has
+    of = F.xxhash64(group).alias("_of")
+    large = cut(rows.select(of).groupBy("_of").count().where(F.col("count") > MOST).select("_of"))
+    if large.isEmpty():
+        return in_turn_of(rows, group, stem, ending, order)
+    there = F.xxhash64(rows[group]) == large["_of"]
+    small = in_turn_of(rows.join(large, there, "left_anti"), group, stem, ending, order)
+    return small.unionByName(by_contention(rows.join(large, there, "left_semi"), group, stem, ending, order))

@@ -24,3 +24,9 @@ def dealt(df: DataFrame, *by: str) -> DataFrame:
     """
     n = -(-file_bytes(df) // PART_BYTES)
     return df.repartition(n, *by) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def gathered(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by these columns whatever its size, over as many partitions as its files or the session ask for; for rows that Python goes through group by group."""
+    there = dealt(df, *by)
+    return df.repartition(*by) if there is df else there

@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkscope.functions.text import basename, dirname
+from linkscope.functions.text import basename, dirname, ending, without_ending
 from linkscope.operators.free_names import free_names
 
 # Folders without libraries.
@@ -72,10 +72,9 @@ def static_providers(files: DataFrame) -> DataFrame:
 def planned(entries: DataFrame) -> DataFrame:
     """Packages inside containers (container, entry, position) with their display names; those that are taken get the least free number."""
     name = basename(F.col("entry"))
-    inner = entries.where(~F.col("entry").startswith("__MACOSX") & (name != "") & F.lower(F.regexp_extract("entry", r"\.[^./]*$", 0)).isin(INNER))
-    ending = F.regexp_extract(name, r"\.[^.]*$", 0)
-    stem = F.concat(F.regexp_replace(basename(F.col("container")), r"\.[^.]*$", ""), F.lit("_"), F.regexp_replace(name, r"\.[^.]*$", ""))
-    named = free_names(inner.select("container", "entry", "position", stem.alias("stem"), ending.alias("ending")), "container", "stem", "ending", ["position", "entry"])
+    inner = entries.where(~F.col("entry").startswith("__MACOSX") & (name != "") & F.lower(ending(name)).isin(INNER))
+    stem = F.concat(without_ending(basename(F.col("container"))), F.lit("_"), without_ending(name))
+    named = free_names(inner.select("container", "entry", "position", stem.alias("stem"), ending(name).alias("ending")), "container", "stem", "ending", ["position", "entry"])
     return named.select("container", "entry", F.concat("stem", F.coalesce(F.concat(F.lit("_"), F.col("number").cast("string")), F.lit("")), "ending").alias("display_name"))
 
 
