@@ -72,9 +72,14 @@ def pairs(old: DataFrame, new: DataFrame, key: list[str] = KEY) -> DataFrame:
 
     A null line counts as 0 and null args as empty.  Counts equal those of call_sites.
     """
+    return pairs_of(_sides(old.select(*key, "line", "args"), new.select(*key, "line", "args")), key)
+
+
+def pairs_of(sides: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """pairs() of rows of both sides, with o and n: 1 and 0 for an old row, 0 and 1 for a new one."""
     key_columns = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in key]
-    side = lambda d: d.select(*key_columns, F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("args", F.lit("")).alias("args"))
-    return matching.pairs(_sides(side(old), side(new)).groupBy(*key, "args", "line").agg(F.sum("o").alias("o"), F.sum("n").alias("n")), key)
+    rows = sides.select(*key_columns, F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("args", F.lit("")).alias("args"), "o", "n")
+    return matching.pairs(rows.groupBy(*key, "args", "line").agg(F.sum("o").alias("o"), F.sum("n").alias("n")), key)
 
 
 def _first(value: str, of_new: str = "n") -> Column:

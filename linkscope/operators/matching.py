@@ -11,13 +11,15 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from linkscope.operators.lineage import cut
+from linkscope.operators.parts import gathered
 
 Row = tuple[int, str, int]
 
@@ -80,54 +82,80 @@ def phase(olds: list[Row], news: list[Row], pairs: list) -> tuple[list[Row], lis
     return without(olds, of[0]), without(news, of[1])
 
 
-def partners(rows: DataFrame, key: list[str], by: list[str], phases: list) -> DataFrame:
-    """Pairs of each group of by: key, old and new line and args, status (left: no partner) and times.
+def partners(rows: DataFrame, key: list[str], by_args: bool, phases: list) -> DataFrame:
+    """rows with partners for those that are left, within equal keys, and equal args too if by_args.
 
-    rows: key, line, args, is_old and times; phases: functions of both sides with the status of what they pair.
+    rows: key, old and new line and args (null on the side that a row is not of), status (left: no partner yet) and times.
+    What has a partner goes through, spread evenly, as reading rows a second time would match all of it again.
+    phases: functions of both sides with the status of what they pair; the last one pairs whatever it is given.
     """
-    kind = rows.schema["line"].dataType
-    fields = [*[rows.schema[k] for k in key], *[T.StructField(f"{side}_{c}", kind if c == "line" else T.StringType()) for side in ("old", "new") for c in ("line", "args")], T.StructField("status", T.StringType()), T.StructField("times", T.LongType())]
-    schema = T.StructType(fields)
-    names, line_kind = [f.name for f in fields], pa.int64() if isinstance(kind, T.LongType) else pa.int32()
-    kinds = [pa.string()] * len(key) + [line_kind, pa.string()] * 2 + [pa.string(), pa.int64()]
-    places = [key.index(c) for c in by if c in key]
-    by_args = "args" in by
-
-    def matched(own: tuple, olds: list[Row], news: list[Row]):
-        for status, pair in phases:
-            found = list(pair(olds, news)) if olds and news else []
-            if found:
-                olds, news = phase(olds, news, found)
-            for line, args, at, other, k in found:
-                yield (*own, line, args, at, other, status, k)
-        for line, args, n in olds:
-            yield (*own, line, args, None, None, "left", n)
-        for line, args, n in news:
-            yield (*own, None, None, line, args, "left", n)
-
-    def run(batches):
-        out, last, own, sides = [], None, None, ([], [])
+    names = rows.columns
+    args = F.coalesce("old_args", "new_args")
+    by = [*key, args] if by_args else key
+    to = F.when(F.col("status") == "left", F.xxhash64(*by)).otherwise(F.xxhash64(*names))
+
+    def matched(out: list, own: tuple, olds: list[Row], news: list[Row]) -> None:
+        if olds and news:
+            for status, pair in phases:
+                found = list(pair(olds, news)) if olds and news else []
+                if found:
+                    olds, news = phase(olds, news, found)
+                out += [(*own, line, args, at, other, status, k) for line, args, at, other, k in found]
+        out += [(*own, line, args, None, None, "left", n) for line, args, n in olds]
+        out += [(*own, None, None, line, args, "left", n) for line, args, n in news]
+
+    def at_once(batch: pa.RecordBatch, begins: np.ndarray) -> tuple[list[pa.RecordBatch], pa.Array]:
+        """What becomes of groups of one side, and of one row on each side as often, and a mask of the other rows; the first and the last group may go on in other batches."""
+        start = np.flatnonzero(begins)
+        size = np.diff(np.append(start, len(begins)))
+        is_old, times = batch.column("old_line").is_valid().to_numpy(zero_copy_only=False), batch.column("times").to_numpy()
+        olds, inside = np.add.reduceat(is_old.astype("int64"), start), np.ones(len(start), bool)
+        inside[[0, -1]] = False
+        alone = inside & ((olds == 0) | (olds == size))
+        two = inside & (size == 2) & (olds == 1)
+        two[two] = times[start[two]] == times[start[two] + 1]
+        s = start[two]
+        old, new = pa.array(np.where(is_old[s], s, s + 1)), pa.array(np.where(is_old[s], s + 1, s))
+        of = {**{c: batch.column(c).take(new if c in ("new_line", "new_args") else old) for c in (*key, "old_line", "old_args", "new_line", "new_args", "times")}, "status": pa.array([phases[-1][0]] * len(s), pa.string())}
+        done = [batch.filter(pa.array(np.repeat(alone, size))), pa.RecordBatch.from_arrays([of[c] for c in names], schema=batch.schema)]
+        return done, pa.array(np.repeat(~alone & ~two, size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, own, last, sides, schema = [], None, None, ([], []), None
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*key, "line", "args", "is_old", "times")]
-            for *k, line, args, is_old, times in zip(*columns, strict=True):
-                group = (*[k[i] for i in places], args if by_args else None)
-                if group != last:
-                    if last is not None:
-                        out += matched(own, *sides)
-                    last, own, sides = group, tuple(k), ([], [])
+            schema, left = batch.schema, pc.equal(batch.column("status"), "left")
+            yield batch.filter(pc.invert(left))
+            batch = batch.filter(left)
+            if not batch.num_rows:
+                continue
+            line, args = (pc.coalesce(batch.column(f"old_{c}"), batch.column(f"new_{c}")) for c in ("line", "args"))
+            group = [*(batch.column(k) for k in key), *([args] if by_args else [])]
+            begins = np.append(True, reduce(pc.or_, (pc.not_equal(c[1:], c[:-1]) for c in group)).to_numpy(zero_copy_only=False))
+            done, hard = at_once(batch, begins)
+            yield from done
+            begins[0] = tuple(c[0].as_py() for c in group) != last
+            last = tuple(c[-1].as_py() for c in group)
+            batch, line, args, begins = (x.filter(hard) for x in (batch, line, args, pa.array(begins)))
+            owns = zip(*(batch.column(k).to_pylist() for k in key), strict=True)
+            for new, now, *row, is_old in zip(begins.to_pylist(), owns, line.to_pylist(), args.to_pylist(), batch.column("times").to_pylist(), batch.column("old_line").is_valid().to_pylist(), strict=True):
+                if new:
+                    if own is not None:
+                        matched(out, own, *sides)
+                    own, sides = now, ([], [])
                     if len(out) > 4096:
-                        yield made(out)
+                        yield made(out, schema)
                         out = []
-                sides[not is_old].append((line, args, times))
-        if last is not None:
-            out += matched(own, *sides)
+                sides[not is_old].append(row)
+        if own is not None:
+            matched(out, own, *sides)
         if out:
-            yield made(out)
+            yield made(out, schema)
 
-    def made(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+    def made(out, schema):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return rows.select(*key, "line", "args", "is_old", "times").repartition(*by).sortWithinPartitions(*by, *[c for c in ("line", "args") if c not in by]).mapInArrow(run, schema)
+    there = gathered(rows.withColumn("_to", to), "_to").sortWithinPartitions("_to", *by, F.coalesce("old_line", "new_line"), args)
+    return there.drop("_to").mapInArrow(run, rows.schema)
 
 
 def pairs(counted: DataFrame, key: list[str]) -> DataFrame:
@@ -135,10 +163,9 @@ def pairs(counted: DataFrame, key: list[str]) -> DataFrame:
     out = ["old_line", "old_args", "new_line", "new_args", "status"]
     here = [F.col("line").alias("old_line"), F.col("args").alias("old_args"), F.col("line").alias("new_line"), F.col("args").alias("new_args")]
     same = counted.where("least(o, n) > 0").select(*key, *here, F.lit("unchanged").alias("status"), F.least("o", "n").cast("long").alias("times"))
-    rest = counted.where("o <> n").select(*key, "line", "args", (F.col("o") > F.col("n")).alias("is_old"), F.abs(F.col("o") - F.col("n")).cast("long").alias("times"))
-    moved = cut(partners(rest, key, [*key, "args"], [("moved", nearest)]))
-    left = moved.where("status = 'left'").select(*key, F.coalesce("old_line", "new_line").alias("line"), F.coalesce("old_args", "new_args").alias("args"), F.col("old_line").isNotNull().alias("is_old"), "times")
-    changed = partners(left, key, key, [("changed", side_by_side), ("changed", nearest)])
+    one_side = [F.when(F.col("o") > F.col("n") if side == "old" else F.col("o") < F.col("n"), F.col(c)).alias(f"{side}_{c}") for side in ("old", "new") for c in ("line", "args")]
+    rest = counted.where("o <> n").select(*key, *one_side, F.lit("left").alias("status"), F.abs(F.col("o") - F.col("n")).cast("long").alias("times"))
+    moved = partners(rest, key, True, [("moved", nearest)])
+    changed = partners(moved, key, False, [("changed", side_by_side), ("changed", nearest)])
     changed = changed.withColumn("status", F.when(F.col("status") != "left", F.col("status")).when(F.col("old_line").isNull(), "added").otherwise("removed"))
-    found = same.unionByName(moved.where("status <> 'left'")).unionByName(changed)
-    return found.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*key, *out)
+    return same.unionByName(changed).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*key, *out)

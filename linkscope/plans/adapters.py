@@ -43,12 +43,26 @@ COMPONENTS = """facts AS (SELECT n_name AS component, c_custkey AS executable, l
   JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)"""
 
 
-def snapshots(spark, sf_dir):
+_SITE = ["l_suppkey % 7 as project", "l_suppkey as file", "l_linenumber as caller", "p_brand as symbol"]
+_OLD, _OLD_SITE = "l_orderkey % 40 <> 0", ["cast(l_quantity as int) as line", "concat(l_returnflag, l_linestatus) as args"]
+_NEW = "l_orderkey % 50 <> 1 and not (l_suppkey % 17 = 0 and l_linenumber = 7)"
+_NEW_SITE = ["cast(l_quantity as int) + case when l_suppkey % 3 = 0 then 2 else 0 end as line", "concat(l_returnflag, l_linestatus, case when l_suppkey % 4 = 0 and l_orderkey % 11 = 0 then 'x' else '' end) as args"]
+
+
+def _call_rows(spark, sf_dir):
     l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    both = l.join(p, l.l_partkey == p.p_partkey)
-    old = both.where("l_orderkey % 40 <> 0").selectExpr("l_suppkey % 7 as project", "l_suppkey as file", "l_linenumber as caller", "p_brand as symbol", "cast(l_quantity as int) as line", "concat(l_returnflag, l_linestatus) as args")
-    new = both.where("l_orderkey % 50 <> 1 and not (l_suppkey % 17 = 0 and l_linenumber = 7)").selectExpr("l_suppkey % 7 as project", "l_suppkey as file", "l_linenumber as caller", "p_brand as symbol", "cast(l_quantity as int) + case when l_suppkey % 3 = 0 then 2 else 0 end as line", "concat(l_returnflag, l_linestatus, case when l_suppkey % 4 = 0 and l_orderkey % 11 = 0 then 'x' else '' end) as args")
-    return old, new
+    return l.join(p, l.l_partkey == p.p_partkey)
+
+
+def snapshots(spark, sf_dir):
+    both = _call_rows(spark, sf_dir)
+    return both.where(_OLD).selectExpr(*_SITE, *_OLD_SITE), both.where(_NEW).selectExpr(*_SITE, *_NEW_SITE)
+
+
+def sides(spark, sf_dir):
+    """Both snapshots in one frame, from one reading of the rows: o and n say which one a row is of."""
+    row = lambda which, site, o, n: f"if({which}, struct({', '.join(site)}, {o} as o, {n} as n), null)"
+    return _call_rows(spark, sf_dir).selectExpr(*_SITE, f"inline(array({row(_OLD, _OLD_SITE, 1, 0)}, {row(_NEW, _NEW_SITE, 0, 1)}))").where("o is not null")
 
 
 SNAPSHOTS = """old AS (SELECT l_suppkey % 7 AS project, l_suppkey AS file, l_linenumber AS caller, p_brand AS symbol, l_quantity::INT AS line, l_returnflag || l_linestatus AS args FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 40 <> 0),

@@ -105,7 +105,7 @@ e AS (SELECT * FROM x WHERE i = len(olds) OR len(news) = 0)
 SELECT * EXCLUDE (i) FROM same UNION ALL SELECT {_KEY}, old_line, args, new_line, args, 'moved' FROM w WHERE i > 0 UNION ALL SELECT {_KEY}, line, old_args, line, new_args, 'changed' FROM beside
 UNION ALL SELECT {_KEY}, a.line, a.args, b.line, b.args, 'changed' FROM x WHERE i > 0
 UNION ALL SELECT {_KEY}, v.line, v.args, NULL, NULL, 'removed' FROM (SELECT *, unnest(olds[i + 1 :]) AS v FROM e) UNION ALL SELECT {_KEY}, NULL, NULL, v.line, v.args, 'added' FROM (SELECT *, unnest(news) AS v FROM e)""")(
-    lambda s, d: diff.pairs(*(x.drop("project") for x in a.snapshots(s, d))))
+    lambda s, d: diff.pairs_of(a.sides(s, d).drop("project")))
 _CATEGORISED = f"{a.SNAPSHOTS}, s AS (SELECT *, 'c' || line % 3 AS category FROM sides)"
 _FIRST = "coalesce(min(CASE WHEN n > 0 THEN {'l': line, 'a': args, 'c': category} END).c, min(CASE WHEN o > 0 THEN {'l': line, 'a': args, 'c': category} END).c, '')"
 
