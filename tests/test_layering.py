@@ -66,3 +66,19 @@ def test_numbers_are_places(spark, n, parts):
     got = ordering.numbered(df, ["_part", "_before"], "place").collect()
     expected = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     assert sorted((x["place"], x["_part"], x["_before"]) for x in got) == [(i, *x) for i, x in enumerate(expected)]
+
+
+def test_rounds_read_edges_from_nodes_that_are_led_to(spark, monkeypatch):
+    edges = [(100 + i, 1 + i % 2) for i in range(60)] + [(1, 2), (2, 3)]
+    read, passed_on = [], layering.passed_on
+    monkeypatch.setattr(layering, "passed_on", lambda e, given: read.append(e.count()) or passed_on(e, given))
+    got = {tuple(r) for r in layering.layers(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == plain(edges) and read == [2]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_layers_where_something_leads_to_every_node(spark, seed):
+    r = random.Random(seed)
+    edges = [(i, (i + 1) % 9) for i in range(9)] + [(r.randrange(9), r.randrange(9)) for _ in range(6)]
+    got = [tuple(x) for x in layering.layers(spark.createDataFrame(edges, "src long, dst long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain(edges)
