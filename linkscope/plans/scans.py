@@ -159,19 +159,19 @@ SELECT m.pid, m.path, t.path IS NULL AS runtime_only FROM m LEFT JOIN t ON t.pid
 
 
 def tree(s, d):
-    """Trees of all customers' orders: order to part, part to the smaller part at half its key."""
+    """What trees of all customers' orders are made of: order to part, part to the smaller part at half its key; the roots; the files that exist."""
     l = a.table(s, d, "lineitem").selectExpr("concat('o', l_orderkey) as src", "concat('p', l_partkey) as dst", "l_linenumber as position")
     p = a.table(s, d, "part").where("p_partkey > 1").selectExpr("concat('p', p_partkey) as src", "concat('p', floor(p_partkey / 2)) as dst", "1 as position")
     files = l.select(F.col("src").alias("path")).union(a.table(s, d, "part").where("p_partkey <> 3").selectExpr("concat('p', p_partkey)"))
-    return trees.trees(l.unionByName(p), a.table(s, d, "orders").selectExpr("concat('o', o_orderkey) as node"), files)
+    return l.unionByName(p), a.table(s, d, "orders").selectExpr("concat('o', o_orderkey) as node"), files
 
 
-query("dependency_trees")(tree)
-query("tree_places")(lambda s, d: trees.first_places(tree(s, d)))
-query("tree_files")(lambda s, d: trees.collected(tree(s, d)))
-query("tree_symbols_by_depth")(lambda s, d: trees.symbols_by_depth(tree(s, d), a.table(s, d, "part").selectExpr("concat('p', p_partkey) as name", "p_brand as symbol")))
-query("tree_chains")(lambda s, d: trees.import_chains(tree(s, d), a.table(s, d, "part").where("p_size < 5").selectExpr("concat('p', p_partkey) as name", "p_brand as symbol")))
-query("tree_transitive")(lambda s, d: trees.has_library_below(tree(s, d), a.table(s, d, "part").where("p_size < 5").selectExpr("concat('p', p_partkey) as name")))
+query("dependency_trees")(lambda s, d: trees.trees(*tree(s, d)))
+query("tree_places")(lambda s, d: trees.first_places_of(*tree(s, d)))
+query("tree_files")(lambda s, d: trees.collected(trees.trees(*tree(s, d))))
+query("tree_symbols_by_depth")(lambda s, d: trees.symbols_by_depth(trees.trees(*tree(s, d)), a.table(s, d, "part").selectExpr("concat('p', p_partkey) as name", "p_brand as symbol")))
+query("tree_chains")(lambda s, d: trees.import_chains(trees.trees(*tree(s, d)), a.table(s, d, "part").where("p_size < 5").selectExpr("concat('p', p_partkey) as name", "p_brand as symbol")))
+query("tree_transitive")(lambda s, d: trees.has_library_below(trees.trees(*tree(s, d)), a.table(s, d, "part").where("p_size < 5").selectExpr("concat('p', p_partkey) as name")))
 
 # Small rules
 
