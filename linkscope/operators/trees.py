@@ -282,3 +282,17 @@ def _place(root, nodes, marks, seen):
 def first_places_of(edges: DataFrame, roots: DataFrame, files: DataFrame, most: int = DEPTH) -> DataFrame:
     """first_places of the trees of these."""
     return told(edges, roots, files, _place, "root string, name string, parent string, depth int", most)
+
+
+def _depths(root, nodes, marks, seen):
+    found = {}
+    for name, _, depth, _, error in nodes:
+        if error != CIRCULAR and (said := marks(name)):
+            found.setdefault(depth, set()).update(said)
+    for depth, symbols in found.items():
+        yield root, depth, len(symbols - {None})
+
+
+def symbols_by_depth_of(edges: DataFrame, roots: DataFrame, files: DataFrame, symbols: DataFrame, most: int = DEPTH) -> DataFrame:
+    """symbols_by_depth of the trees of these."""
+    return told(edges, roots, files, _depths, "root string, depth int, n_symbols long", most, symbols.select("name", F.col("symbol").alias("mark")))

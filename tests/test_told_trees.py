@@ -51,3 +51,20 @@ def test_places_are_told_by_the_walk(spark, sf_dir):
         kept = trees.first_places(trees.trees(*given, 4))
         assert told.dtypes == kept.dtypes and sorted(map(str, told.collect())) == sorted(map(str, kept.collect()))
     assert above_walk(registry.QUERIES["tree_places"](spark, sf_dir)) == 0
+
+
+def marked(spark, of):
+    dice = random.Random(8)
+    rows = [(f"l{i}", dice.choice(["S1", "S2", "odd\3\2b", "", None])) for i in range(30) for _ in range(dice.randint(0, 3))] + [("r1", "S1"), ("odd\0name", "S3"), ("a -> b", "S1"), ("gone", "S9"), (None, "S1")]
+    return spark.createDataFrame(rows, "name string, symbol string").select(*of)
+
+
+def same(told, kept):
+    return told.dtypes == kept.dtypes and sorted(map(str, told.collect())) == sorted(map(str, kept.collect()))
+
+
+def test_symbols_by_depth_are_told_by_the_walk(spark, sf_dir):
+    *_, given = made(spark, 70)
+    names = marked(spark, ["name", "symbol"])
+    assert same(trees.symbols_by_depth_of(*given, names, 4), trees.symbols_by_depth(trees.trees(*given, 4), names))
+    assert above_walk(registry.QUERIES["tree_symbols_by_depth"](spark, sf_dir)) == 0
