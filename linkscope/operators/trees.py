@@ -296,3 +296,17 @@ def _depths(root, nodes, marks, seen):
 def symbols_by_depth_of(edges: DataFrame, roots: DataFrame, files: DataFrame, symbols: DataFrame, most: int = DEPTH) -> DataFrame:
     """symbols_by_depth of the trees of these."""
     return told(edges, roots, files, _depths, "root string, depth int, n_symbols long", most, symbols.select("name", F.col("symbol").alias("mark")))
+
+
+def _has_below(root, nodes, marks, seen):
+    found = set()
+    for name, _, _, chain, error in nodes:
+        if error != CIRCULAR and marks(name):
+            found.update(chain.split(" -> ")[:-1])
+    for name in found:
+        yield root, name
+
+
+def has_library_below_of(edges: DataFrame, roots: DataFrame, files: DataFrame, targets: DataFrame, most: int = DEPTH) -> DataFrame:
+    """has_library_below of the trees of these."""
+    return told(edges, roots, files, _has_below, "root string, name string", most, targets.select("name", F.lit(None).cast("string").alias("mark")))
