@@ -310,3 +310,14 @@ def _has_below(root, nodes, marks, seen):
 def has_library_below_of(edges: DataFrame, roots: DataFrame, files: DataFrame, targets: DataFrame, most: int = DEPTH) -> DataFrame:
     """has_library_below of the trees of these."""
     return told(edges, roots, files, _has_below, "root string, name string", most, targets.select("name", F.lit(None).cast("string").alias("mark")))
+
+
+def _chains(root, nodes, marks, seen):
+    found = {(symbol, chain) for name, _, _, chain, error in nodes if error != CIRCULAR for symbol in marks(name) or ()}
+    for symbol, chain in found:
+        yield root, symbol, chain
+
+
+def import_chains_of(edges: DataFrame, roots: DataFrame, files: DataFrame, symbols: DataFrame, most: int = DEPTH) -> DataFrame:
+    """import_chains of the trees of these."""
+    return told(edges, roots, files, _chains, "root string, symbol string, chain string", most, symbols.select("name", F.col("symbol").alias("mark")))

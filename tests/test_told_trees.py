@@ -75,3 +75,10 @@ def test_files_above_libraries_are_told_by_the_walk(spark, sf_dir):
     names = marked(spark, ["name"])
     assert same(trees.has_library_below_of(*given, names, 4), trees.has_library_below(trees.trees(*given, 4), names))
     assert above_walk(registry.QUERIES["tree_transitive"](spark, sf_dir)) == 0
+
+
+def test_chains_are_told_by_the_walk(spark, sf_dir):
+    *_, given = made(spark, 70)
+    names = marked(spark, ["name", "symbol"])
+    assert same(trees.import_chains_of(*given, names, 4), trees.import_chains(trees.trees(*given, 4), names))
+    assert above_walk(registry.QUERIES["tree_chains"](spark, sf_dir)) == 0
