@@ -321,3 +321,17 @@ def _chains(root, nodes, marks, seen):
 def import_chains_of(edges: DataFrame, roots: DataFrame, files: DataFrame, symbols: DataFrame, most: int = DEPTH) -> DataFrame:
     """import_chains of the trees of these."""
     return told(edges, roots, files, _chains, "root string, symbol string, chain string", most, symbols.select("name", F.col("symbol").alias("mark")))
+
+
+def _files(root, nodes, marks, seen):
+    for name, _, _, _, error in nodes:
+        if error is None and name not in seen:
+            if len(seen) == TOLD:
+                seen.clear()
+            seen.add(name)
+            yield (name,)
+
+
+def collected_of(edges: DataFrame, roots: DataFrame, files: DataFrame, most: int = DEPTH) -> DataFrame:
+    """collected of the trees of these; a task tells a name again only where it has told very many others since."""
+    return told(edges, roots, files, _files, "path string", most).distinct()

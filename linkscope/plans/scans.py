@@ -168,7 +168,7 @@ def tree(s, d):
 
 query("dependency_trees")(lambda s, d: trees.trees(*tree(s, d)))
 query("tree_places")(lambda s, d: trees.first_places_of(*tree(s, d)))
-query("tree_files")(lambda s, d: trees.collected(trees.trees(*tree(s, d))))
+query("tree_files")(lambda s, d: trees.collected_of(*tree(s, d)))
 query("tree_symbols_by_depth")(lambda s, d: trees.symbols_by_depth_of(*tree(s, d), a.table(s, d, "part").selectExpr("concat('p', p_partkey) as name", "p_brand as symbol")))
 query("tree_chains")(lambda s, d: trees.import_chains_of(*tree(s, d), a.table(s, d, "part").where("p_size < 5").selectExpr("concat('p', p_partkey) as name", "p_brand as symbol")))
 query("tree_transitive")(lambda s, d: trees.has_library_below_of(*tree(s, d), a.table(s, d, "part").where("p_size < 5").selectExpr("concat('p', p_partkey) as name")))

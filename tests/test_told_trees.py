@@ -82,3 +82,13 @@ def test_chains_are_told_by_the_walk(spark, sf_dir):
     names = marked(spark, ["name", "symbol"])
     assert same(trees.import_chains_of(*given, names, 4), trees.import_chains(trees.trees(*given, 4), names))
     assert above_walk(registry.QUERIES["tree_chains"](spark, sf_dir)) == 0
+
+
+def test_files_are_told_few_times(spark, monkeypatch):
+    *_, given = made(spark, 70)
+    assert same(trees.collected_of(*given, 4), trees.collected(trees.trees(*given, 4)))
+    seen = set()
+    again = [("r", None, 0, "r", None), ("a", "r", 1, "", None), ("r", "a", 2, "", trees.CIRCULAR), ("lost", "a", 2, "", trees.MISSING)]
+    assert [list(trees._files("r", again, None, seen)) for _ in range(2)] == [[("r",), ("a",)], []]
+    monkeypatch.setattr(trees, "TOLD", 2)
+    assert [x for x, in trees._files("b", [(x, None, 0, x, None) for x in "bcbc"], None, seen)] == ["b", "c"] and len(seen) <= 2
