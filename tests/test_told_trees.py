@@ -92,3 +92,13 @@ def test_files_are_told_few_times(spark, monkeypatch):
     assert [list(trees._files("r", again, None, seen)) for _ in range(2)] == [[("r",), ("a",)], []]
     monkeypatch.setattr(trees, "TOLD", 2)
     assert [x for x, in trees._files("b", [(x, None, 0, x, None) for x in "bcbc"], None, seen)] == ["b", "c"] and len(seen) <= 2
+
+
+def test_roots_get_no_packs_of_files_that_tasks_hold(spark, monkeypatch):
+    edges = spark.range(300).selectExpr("concat('r', id) as src", "concat('l', id % 7) as dst", "0 as position").unionByName(spark.range(9).selectExpr("concat('l', id) as src", "concat('l', id + 1) as dst", "0 as position"))
+    given = edges, spark.range(300).selectExpr("concat('r', id) as node"), edges.selectExpr("src as path")
+    monkeypatch.setattr(trees, "teller", lambda *_: lambda batches: batches)
+    rows = trees.told(*given, None, "root string, pack string").collect()
+    assert sorted(r.pack for r in rows) == sorted(f"+r{i}\0l{i % 7}" for i in range(300))
+    monkeypatch.setattr(trees, "HELD", 0)
+    assert trees.told(*given, None, "root string, pack string").count() == 600
